@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, written
 
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -40,7 +40,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     raw = F.col("payload").cast("binary")
     own = own.withColumn("bytes", F.octet_length("payload")).withColumn("digest", F.sha1(raw))
     keyed = own.select("id", "bytes", "digest").where(F.col("bytes") >= least)
+    # written, so that its size is known: a small one is broadcast, and payloads are shuffled only for a large one
     first = keyed.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    first = written(first, "repeated")
     own = own.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
     revisit = F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     body = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
