@@ -4,10 +4,12 @@ Nodes are distinct shingle sets, keyed by a 128-bit fingerprint of the set, so
 any number of exact copies is one node. A node's SuperMinHash signature is cut
 into bands; nodes that share a band are candidates. Candidates are not expanded
 into all pairs: each bucket is verified as a star around its pivot (the node
-with the smallest fingerprint), and union-find joins what is linked. Then only
-pairs of a bucket that are in different components so far, and whose signatures
-are within MARGIN of the threshold, are verified too; crowded buckets are
-searched for them in blocks of chunks, and nothing is capped.
+with the smallest fingerprint), and union-find joins what is linked. Pairs of a
+bucket that are in different components so far, and whose signatures are within
+MARGIN of the threshold, are still open; crowded buckets are searched for them
+in blocks of chunks. What they connect is a canopy, and within each canopy, in
+blocks again, open pairs are verified on full sets. Blocks give spanning
+forests, not pairs; nothing is capped.
 
 Defined results: null or blank text has no shingles and is linked with nothing.
 Rows with a null id are grouped, but the smallest non-null id names the
@@ -28,7 +30,7 @@ LOW = np.uint64(0xFFFFFFFF)
 #: Under the threshold by this much, a signature still counts as likely: 5 standard deviations.
 MARGIN = 0.12
 #: Nodes of a chunk of a crowded bucket.
-BLOCK = 1024
+BLOCK = 512
 #: Places of a signature; the first ones make the bands.
 PLACES = 240
 #: Shingles handled at once in a worker.
@@ -238,10 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     known = _verified(star, reps, texts, k, least)
     roots = components(_linked(known, percent))
-    rest = _open_pairs(members, roots, reps, least)
-    if not rest.isEmpty():
-        known = written(known.union(_verified(rest.join(known, ["a", "b"], "left_anti"), reps, texts, k, least)), "known")
-        roots = components(_linked(known, percent))
+    canopies = components(_open(members, roots, reps, least))
+    more = _linked_in(canopies, roots, reps, texts, k, percent, least)
+    if not more.isEmpty():
+        roots = components(_linked(known, percent).unionByName(more))
     out = sketch.select("id", "n", "node").join(roots, "node", "left")
     out = out.select("id", "n", F.coalesce("root", "node").alias("root"))
     names = reps.select("node", F.col("rep.id").alias("rep_id")).join(roots, "node", "left")
@@ -254,41 +256,75 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """(a, b): likely pairs of a bucket that the stars have left in different components, each once."""
-    state = members.where("size > 2").join(roots, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
-    mixed = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    state = state.join(mixed, "bucket").join(reps.select("node", "bands", "sig"), "node")
+def _chunked(state: DataFrame) -> DataFrame:
+    """A row for each pair (i, j) of chunks of its group that a node has part in: groups of any size in blocks."""
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     state = state.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    state = state.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return written(state.groupBy("bucket", "i", "j").applyInArrow(_block(least), "a binary, b binary"), "open")
+    return state.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def _open(members: DataFrame, roots: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Edges that span, within blocks of buckets, all likely pairs which the stars have left in different components."""
+    state = members.where("size > 2").join(roots, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
+    mixed = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    state = _chunked(state.join(mixed, "bucket")).join(reps.select("node", "sig"), "node")
+    return state.groupBy("bucket", "i", "j").applyInArrow(_block(least), "a binary, b binary")
+
+
+def _linked_in(canopies: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+    """Links between components within a canopy, as a spanning forest; exact, on full sets."""
+    own = canopies.select("node", F.col("root").alias("canopy"))
+    texts = docs.join(reps.join(own, "node").select("node", F.col("rep.key").alias("key")), "key").dropDuplicates(["node"]).select("node", "raw")
+    sets = texts.mapInArrow(_sets(k), "node binary, shingles binary")
+    sizes = own.groupBy("canopy").agg(F.count("*").alias("size"))
+    state = own.join(sizes, "canopy").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    state = _chunked(state.join(sets, "node").join(reps.select("node", "sig"), "node"))
+    return written(state.groupBy("canopy", "i", "j").applyInArrow(_block(least, percent), "a binary, b binary"), "links")
 
 
-def _block(least: float):
-    """Pairs of one block of a bucket: between its two chunks, or within its only one."""
+def _block(least: float, percent: int | None = None):
+    """A spanning forest of one block's open pairs, between its two chunks or within its only one.
+
+    Open: in different components, and signatures agree in `least` of the
+    places. With `percent`, the forest is of components, and only of pairs
+    that their full sets link.
+    """
 
     def run(table):
-        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
-        codes = {r: n for n, r in enumerate(dict.fromkeys(root))}
-        root = np.array([codes[r] for r in root])
+        node = table.column("node").to_pylist()
+        codes: dict[bytes, int] = {}
+        tree = np.array([codes.setdefault(r, len(codes)) for r in table.column("root").to_pylist()])
         sig = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
-        bands = np.stack([np.asarray(x, np.int64) for x in table.column("bands").to_pylist()])
-        own, bucket = table.column("own").to_numpy(), table.column("bucket")[0].as_py()
-        at = int(np.argmax(bands[0] == bucket))
+        own = table.column("own").to_numpy()
         two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        common = np.bincount(root).argmax()
+        if percent is not None:
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            starts = np.concatenate([[0], np.cumsum(size)])
+            names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(names), bool)
+        common = np.bincount(tree).argmax()
         left, right = [], []
-        for x in np.flatnonzero(root != common):  # pairs inside the commonest component are connected
-            ok = (root != root[x]) & ((root == common) | (np.arange(len(root)) > x))
+        order = np.arange(len(node))
+        # exact links join components; open pairs join the very nodes, all of which a canopy needs
+        joint = tree.copy() if percent is not None else order.copy()
+        for x in np.flatnonzero(tree != common):  # two in the commonest component are connected
+            ok = (tree != tree[x]) & ((tree == common) | (order > x))
             if two:
                 ok &= own != own[x]
             y = np.flatnonzero(ok)
             y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-            y = y[(bands[y, :at] != bands[x, :at]).all(axis=1)]  # else an earlier band has the pair
-            left += [max(node[x], node[v]) for v in y]
-            right += [min(node[x], node[v]) for v in y]
+            if percent is not None and len(y := y[joint[y] != joint[x]]):
+                mark[flat[starts[x] : starts[x + 1]]] = True
+                shared = np.array([mark[flat[starts[v] : starts[v + 1]]].sum() for v in y])
+                mark[flat[starts[x] : starts[x + 1]]] = False
+                y = y[shared * 100 >= percent * (size[x] + size[y] - shared)]
+            for v in y:
+                if joint[v] != joint[x]:
+                    left.append(max(node[x], node[v]))
+                    right.append(min(node[x], node[v]))
+                    joint[joint == joint[v]] = joint[x]
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return run
