@@ -6,11 +6,11 @@ theta_1 < theta_2 < ...; the output is the expected severity sum_c P(grade > c).
 Features are words and word beginnings of 4 to 6 letters (insults share stems
 in languages that inflect), with value log(1 + count). The vocabulary is the
 `n_features` features of the largest signed log-likelihood ratio with the
-toxic label, counted over all labelled documents. Grades: 0 for documents
+toxic label. Grades: 0 for documents
 labelled clean; labelled toxic ones get 1, 2 or 3 by the tertile of the share of
-their words that the vocabulary holds. Weights are fitted on at most `sample`
-labelled documents (those with the smallest hash of their id), a bound on what
-the driver gathers; everything else covers all documents.
+their words that the vocabulary holds. The model, vocabulary and weights, is
+fitted on at most `sample` labelled documents (those with the smallest hash of
+their id), a bound on what is broadcast and gathered; every document is scored.
 
 Defined results: null or empty text scores by the intercepts alone; a null id
 gets a row with id null; repeated rows get equal rows. Labels with a null id or
@@ -27,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WORDS = re.compile(r"[^\W\d_]+").findall
-FEATURES, SAMPLE, GRADES = 4096, 12_000, 4
-#: Expected severity from which a document is rejected: toxic rather than not.
-REJECT = 0.5
+FEATURES, SAMPLE, GRADES = 4096, 20_000, 4
+#: A feature's least part in the log-likelihood ratio: weaker ones are noise at this many candidates.
+LEAST = 6.0
+#: Expected severity from which a document is rejected.
+REJECT = 0.4
 
 
 def word_features(word: str) -> list[str]:
@@ -87,12 +91,12 @@ class Scorer:
         return float((1 / (1 + np.exp(self.theta - z))).sum())
 
 
-def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of the cumulative-link model, by Adam on the mean log likelihood."""
-    at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)] or [[]]).astype(np.int64)
-    col = np.array([c for r in rows for c in r], np.int64)
-    val = np.array([v for r in rows for v in r.values()], float)
-    n, k = len(rows), n_grades - 1
+def fit_ordinal(at: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of the cumulative-link model, by Adam on the mean log likelihood.
+
+    The features' values are sparse: row at[i] has val[i] at col[i].
+    """
+    n, k = len(grades), n_grades - 1
     w, raw = np.zeros(n_features), np.concatenate([[1.0], np.zeros(k - 1)])
     moments = [np.zeros(n_features), np.zeros(n_features), np.zeros(k), np.zeros(k)]
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -118,7 +122,10 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: in
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_features: int = FEATURES, sample: int = SAMPLE, n_grades: int = GRADES) -> Scorer | None:
     gold = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("long")).alias("label"))
-    have = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(gold, "id")
+    chosen = gold.orderBy(F.xxhash64("id"), "id").limit(sample)
+    # at most `sample` pairs of ids and labels: a bounded broadcast, and no text is shuffled to find them
+    have = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    have = written(have, "labelled")
     counts = have.select("text", "label").mapInArrow(_counted, "feature string, label long, n long")
     by = counts.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
     sizes = {r["label"]: r["n"] for r in have.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -128,9 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     expected = (bad + good) * F.lit(sizes[1] / (sizes[0] + sizes[1]))
     ratio = (bad * F.log((bad + 0.01) / expected)).alias("ratio")
     top = by.where("bad >= 2").select("feature", ratio).orderBy(F.desc("ratio"), "feature").limit(n_features)
-    vocabulary = {r["feature"]: i for i, r in enumerate(top.where("ratio > 0").collect())}
+    vocabulary = {r["feature"]: i for i, r in enumerate(top.where(F.col("ratio") >= LEAST).collect())}
     scorer = Scorer(vocabulary)
-    chosen = have.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def encode(batches):
         for batch in batches:
@@ -140,11 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 names=["features", "counts", "share", "label"],
             )
 
-    got = chosen.select("text", "label").mapInArrow(encode, "features array<long>, counts array<long>, share double, label long").toPandas()
-    cuts = np.quantile(got.share[got.label == 1], np.arange(1, n_grades - 1) / (n_grades - 1)) if (got.label == 1).any() else []
-    grades = np.where(got.label == 1, 1 + np.searchsorted(cuts, got.share), 0).astype(np.int64)
-    rows = [{int(i): float(np.log1p(c)) for i, c in zip(f, n)} for f, n in zip(got.features, got.counts)]
-    scorer.weights, scorer.theta = fit_ordinal(rows, grades, len(vocabulary), n_grades)
+    got = have.select("text", "label").mapInArrow(encode, "features array<long>, counts array<long>, share double, label long").toArrow().combine_chunks()
+    label, share, features = got["label"].to_numpy(), got["share"].to_numpy(), got["features"].combine_chunks()
+    cuts = np.quantile(share[label == 1], np.arange(1, n_grades - 1) / (n_grades - 1))
+    grades = np.where(label == 1, 1 + np.searchsorted(cuts, share), 0).astype(np.int64)
+    at = np.repeat(np.arange(len(label)), features.value_lengths().to_numpy())
+    col, val = features.flatten().to_numpy(), np.log1p(got["counts"].combine_chunks().flatten().to_numpy())
+    scorer.weights, scorer.theta = fit_ordinal(at, col, val, grades, len(vocabulary), n_grades)
     scorer.cache = {}
     return scorer
 
