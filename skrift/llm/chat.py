@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
+from .spans import running
 
 #: Fixed control strings of the template, and common ones of others.
 CONTROLS = ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -65,14 +66,15 @@ def doubled(messages: DataFrame) -> DataFrame:
     # up: the ancestor reached so far, null beyond the root; top: the topmost message seen
     state = own.select("conv", "id", F.col("pid").alias("up"), F.coalesce("pid", "id").alias("top"), F.when(F.col("pid").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
     state = written(state, "tree")
-    last = -1
-    while (open_ := state.where("up IS NOT NULL").count()) and open_ != last:
-        a = state.select(F.col("conv").alias("ac"), F.col("id").alias("aid"), F.col("up").alias("aup"), F.col("top").alias("atop"), F.col("depth").alias("adepth"), F.col("total").alias("atotal"))
-        state = state.join(a, F.col("conv").eqNullSafe(F.col("ac")) & (F.col("up") == F.col("aid")), "left")
-        step = F.col("aid").isNotNull()
-        state = written(state.select("conv", "id", F.col("aup").alias("up"), F.when(step, F.col("atop")).otherwise(F.col("top")).alias("top"), (F.col("depth") + F.coalesce("adepth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("atotal", F.lit(0.0))).alias("total")), "tree")
-        last = open_
-    return state.where("up IS NULL").drop("up").withColumnRenamed("top", "root")
+    done, live, last = state.where("up IS NULL"), state.where("up IS NOT NULL"), -1
+    # only messages that have not reached their root go on; those on a cycle never do
+    while (left := live.count()) and left != last:
+        a = live.unionByName(done).select(*[F.col(c).alias(f"a_{c}") for c in live.columns])
+        step = live.join(a, F.col("conv").eqNullSafe(F.col("a_conv")) & (F.col("up") == F.col("a_id")))
+        step = step.select("conv", "id", F.col("a_up").alias("up"), F.col("a_top").alias("top"), (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total"))
+        step = written(step, "tree")
+        done, live, last = done.unionByName(step.where("up IS NULL")), step.where("up IS NOT NULL"), left
+    return done.drop("up").withColumnRenamed("top", "root")
 
 
 def best_paths(messages: DataFrame, most: int | None = None) -> DataFrame:
@@ -110,15 +112,13 @@ def formatted(messages: DataFrame, most: int | None = None) -> DataFrame:
     head = F.length(F.concat(F.lit("<s>[ROLE] "), escaped(F.col("role")), F.lit(" [/ROLE] ")))
     pieces = messages.select(F.col("conv").alias("mc"), F.col("id").alias("mid"), piece.alias("piece"), head.alias("head"), F.length(escaped(F.col("text"))).alias("chars"), (F.col("role") == LOSS_ROLE).alias("loss"))
     joined = paths.join(pieces, F.col("conv").eqNullSafe(F.col("mc")) & (F.col("id") == F.col("mid")))
-    return joined.groupBy("conv", "leaf").applyInPandas(_assembled, "conv long, leaf string, rank int, formatted string, loss array<array<long>>")
-
-
-def _assembled(turns: pd.DataFrame) -> pd.DataFrame:
-    turns = turns.sort_values("place")
-    ends = turns.piece.str.len().cumsum()
-    starts = ends - turns.piece.str.len() + turns["head"]
-    loss = [[int(s), int(s + n)] for s, n, y in zip(starts, turns.chars, turns.loss) if y is True or y == 1]
-    return pd.DataFrame({"conv": [turns.conv.iloc[0]], "leaf": [turns.leaf.iloc[0]], "rank": [turns["rank"].iloc[0]], "formatted": ["".join(turns.piece)], "loss": [loss]})
+    turn = F.struct("place", "piece", "head", "chars", "loss")
+    whole = joined.groupBy("conv", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    ends = running(F.transform("turns", lambda t: F.length(t["piece"])))
+    start = lambda t, e: e - F.length(t["piece"]) + t["head"]
+    spans = F.zip_with("turns", ends, lambda t, e: F.struct(t["loss"].alias("loss"), start(t, e).alias("start"), (start(t, e) + t["chars"]).alias("end")))
+    loss = F.transform(F.filter(spans, lambda x: F.coalesce(x["loss"], F.lit(False))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return whole.select("conv", "leaf", "rank", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), loss.alias("loss"))
 
 
 def linear(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -138,7 +138,7 @@ def digests(paths: DataFrame) -> DataFrame:
             out = []
             for conv, text, loss in zip(frame.conv, frame.formatted, frame.loss):
                 turns = read_back(text)
-                spans = [unescape(text[int(s) : int(e)]) for s, e in loss]
+                spans = [unescape(text[x["start"] : x["end"]]) for x in loss]
                 whole = "".join(f"{r}\n{t}\n" for r, t, _, _ in turns)
                 learnt = "".join(spans)
                 out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)))
