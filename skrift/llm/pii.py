@@ -229,5 +229,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wide = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
     model = fit(candidates(docs.withColumn("__none", F.lit(None).cast("long")), "__none", text_col))
     every = _all(candidates(wide, "row", "text"), model)
-    text = F.when(F.col(f"row.{text_col}").isNotNull(), replaced(F.col(f"row.{text_col}"), F.concat("base", "added")))
-    return every.select(*[text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    text = F.when(F.col(f"id.{text_col}").isNotNull(), replaced(F.col(f"id.{text_col}"), F.concat("base", "added")))
+    return every.select(*[text.alias(c) if c == text_col else F.col(f"id.{c}").alias(c) for c in docs.columns])
