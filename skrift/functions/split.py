@@ -3,7 +3,7 @@
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, types
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -51,7 +51,7 @@ def split_text(text: str | None, most: int = K.MAX_CHARS, overlap: int = K.OVERL
     return [(t.split(" ", 1)[1] + " " + p if " " in t else p) for t, p in zip(tails, pieces)]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def split_pieces(texts: pd.Series) -> pd.Series:
     return texts.map(split_text)
 
