@@ -49,7 +49,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3, budget: int | None
     # were this source the first uncapped one, this would be the level
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
     per = per.withColumn("level", level)
-    top = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
+    # from the first uncapped source on, levels do not rise: the largest that fits is its
+    top = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
     per = per.withColumn("top", top)
     target = F.when(F.col("top").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("weight") * F.col("top")))
     return per.select("source", "source_size", target.alias("target"))
@@ -100,7 +101,7 @@ WITH sized AS (
   SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
        / sum(weight) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratio
 ), goal AS (
-  SELECT source, source_size, least(cast(cap AS DOUBLE), weight * coalesce(min(level) FILTER (level <= r) OVER (), 1e300)) AS target FROM levels
+  SELECT source, source_size, least(cast(cap AS DOUBLE), weight * coalesce(max(level) FILTER (level <= r) OVER (), 1e300)) AS target FROM levels
 ), queue AS (
   SELECT s.doc_id, s.source, s.size, t.turn, md5(coalesce(cast(s.doc_id AS VARCHAR), 'null') || ':' || t.turn) AS place
   FROM sized s, range(3) t(turn)
