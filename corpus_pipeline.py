@@ -19,11 +19,14 @@ def less_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; repeated rows of an id are one row."""
-    gone = dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct().withColumnRenamed("doc_id", "__gone")
+    gone = dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again"))
+    # written, so that their sizes are known: texts are shuffled only for a large one
+    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    again = F.col("doc_id") == F.col("__again")
+    once = kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, again, "left_anti").unionByName(once) if not repeated.isEmpty() else kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
