@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3, budget: int | None
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = 3, budget: int | None = None) -> DataFrame:
-    """A row per row of docs: id, source, size, source_size, target, taken, first_finish (virtual time of its first copy)."""
+    """A row per row of docs: id, source, size, source_size, target, taken, first_finish (virtual time of its first copy), range-sorted by the last."""
     sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
     goal = targets(sizes, weights, most, budget)
     queue = sizes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
@@ -80,14 +80,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # one row per row of docs: repeated rows are told apart by their number within the turn
     nth = F.row_number().over(Window.partitionBy("source", "turn", "bin", "place", "id", "size").orderBy("end"))
     taken = queue.withColumn("nth", nth).groupBy(*keys, "nth").agg(F.sum("served").alias("taken"), F.min("finish").alias("first_finish"))
+    taken = taken.orderBy(F.asc_nulls_last("first_finish"), "id", "source", "size")  # a global range sort
     return taken.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "first_finish")
 
 
-def served_order(mixed: DataFrame) -> DataFrame:
-    """The documents that the mix takes, globally range-sorted by first virtual finish time."""
-    return mixed.where("taken > 0").orderBy("first_finish", *[c for c in mixed.columns if c != "first_finish"][:2])
-
-
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
