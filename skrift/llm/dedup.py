@@ -206,14 +206,27 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def _full_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of nodes, from one row of docs each.
+
+    The wanted keys are written, so that their size is known and texts are
+    shuffled only for a large table. Only rows that repeat an id and text have
+    to be made one; others are not compared.
+    """
+    wanted = written(reps.join(nodes, "node").select("node", F.col("rep.key").alias("key"), "again"), "wanted")
+    texts = docs.join(wanted, "key").select("node", "raw", "again")
+    once = texts.where("NOT again")
+    if not wanted.where("again").isEmpty():
+        once = once.unionByName(texts.where("again").dropDuplicates(["node"]))
+    return once.select("node", "raw").mapInArrow(_sets(k), "node binary, shingles binary")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b, common, union) of those pairs whose signatures are likely enough; exact counts on full sets."""
     left, right = (reps.select(F.col("node").alias(n), F.col("sig").alias(f"sig_{n}")) for n in "ab")
     likely = written(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(least), "a binary, b binary"), "likely")
     needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    wanted = reps.join(needed, "node").select("node", F.col("rep.key").alias("key"))
-    texts = docs.join(wanted, "key").dropDuplicates(["node"]).select("node", "raw")
-    sets = written(texts.mapInArrow(_sets(k), "node binary, shingles binary"), "sets")
+    sets = written(_full_sets(needed, reps, docs, k), "sets")
     left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}")) for n in "ab")
     found = written(likely.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(_compared, "a binary, b binary, common long, union long"), "compared")
     dropped(sets)
@@ -231,11 +244,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("raw"))
     sketch = written(raw.mapInArrow(_sketches(k, bands, rows), "id long, key long, n long, node binary, bands array<long>, sig binary"), "sketch")
     rep = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key")).alias("rep")
-    reps = written(sketch.where("n > 0").groupBy("node").agg(rep, F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    reps = sketch.where("n > 0").groupBy("node").agg(rep, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    repeated = sketch.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
+    repeated = written(repeated.select("__key"), "repeated")
+    reps = written(reps.join(repeated, F.col("rep.key") == F.col("__key"), "left").withColumn("again", F.col("__key").isNotNull()).drop("__key"), "reps")
     texts = raw.select("key", "raw")
     bucketed = reps.select("node", F.explode("bands").alias("bucket"))
-    crowded = bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    members = written(bucketed.join(crowded, "bucket"), "members")
+    # most buckets have one node: those are counted without it, and only members of others are shuffled for a pivot
+    crowded = written(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
+    shared = written(bucketed.join(crowded, "bucket"), "shared")
+    pivots = shared.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    members = written(shared.join(pivots, "bucket"), "members")
+    dropped(shared)
     least = percent / 100 - MARGIN
     star = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     known = _verified(star, reps, texts, k, least)
@@ -275,8 +295,7 @@ def _open(members: DataFrame, roots: DataFrame, reps: DataFrame, least: float) -
 def _linked_in(canopies: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     """Links between components within a canopy, as a spanning forest; exact, on full sets."""
     own = canopies.select("node", F.col("root").alias("canopy"))
-    texts = docs.join(reps.join(own, "node").select("node", F.col("rep.key").alias("key")), "key").dropDuplicates(["node"]).select("node", "raw")
-    sets = texts.mapInArrow(_sets(k), "node binary, shingles binary")
+    sets = _full_sets(own.select("node"), reps, docs, k)
     sizes = own.groupBy("canopy").agg(F.count("*").alias("size"))
     state = own.join(sizes, "canopy").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     state = _chunked(state.join(sets, "node").join(reps.select("node", "sig"), "node"))
