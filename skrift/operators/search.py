@@ -46,12 +46,17 @@ def query_terms(questions: DataFrame, drop_party_words: bool = False) -> DataFra
 
 def bm25(passages: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False) -> DataFrame:
     """(qid, pid, score, rank): ties by the earliest matching query word, then pid."""
-    asked = small(query_terms(questions, drop_party_words))
     lists = token_lists(passages)
-    found = postings(lists, asked.select("term").distinct())
+    terms = small(query_terms(questions, drop_party_words).select("term").distinct())
+    return bm25_scored(postings(lists, terms), corpus_stats(lists), questions, limit, drop_party_words)
+
+
+def bm25_scored(posted: DataFrame, stats: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False) -> DataFrame:
+    """bm25 from postings (term, pid, dl, tf), all or of the questions' terms, and statistics (n, avgdl) of one row."""
+    asked = small(query_terms(questions, drop_party_words))
+    found = posted.join(small(asked.select("term").distinct()), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(lists))  # one row
-    weights = df.crossJoin(stats).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+    weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K.K1 + 1) / (F.col("tf") + K.K1 * (1 - K.B + K.B * F.col("dl") / F.col("avgdl")))
     scored = found.join(small(asked.join(weights, "term")), "term").groupBy("qid", "pid").agg(F.sum(part).alias("score"), F.min("qpos").alias("qpos"))
     return ranked(scored, F.desc(F.round("score", 9)), "qpos", "pid", limit=limit).select("qid", "pid", "score", "rank")
