@@ -64,6 +64,13 @@ def oracle_sql() -> dict[str, str]:
         "doc_freq_idf": f"WITH {LISTS}, {STATS}, {POST}, {DF} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",
         "corpus_stats": f"WITH {LISTS}, {STATS} SELECT n, round(avgdl, 6) AS avgdl FROM st",
         "bm25_topk": f"WITH {bm25()} SELECT {SHOW}, rank FROM b",
+        "index_bm25": f"WITH {bm25()} SELECT {SHOW}, rank FROM b",
+        "report_grains": "SELECT event_type AS config, user_id % 3 AS typ, user_id AS id, CAST(grouping(event_type, user_id % 3, user_id) AS BIGINT) AS grain, round(avg(value), 6) AS value, count(value) AS n_value FROM events GROUP BY GROUPING SETS ((event_type), (event_type, user_id % 3), (event_type, user_id % 3, user_id))",
+        "grading_sheet": """
+WITH o AS (SELECT *, conv_id || '-' || turn AS id, 'rag' AS config FROM conversations WHERE role = 'assistant'),
+g AS (SELECT DISTINCT id, CASE WHEN turn = 1 THEN text ELSE 'old' END AS answer FROM o WHERE turn % 4 = 1)
+SELECT config, o.id, 'a' || chr(10) || 'b' AS sources, CASE WHEN g.id IS NOT NULL THEN '1' END AS supported, CASE WHEN g.id IS NOT NULL THEN '1' END AS neutral, CASE WHEN g.id IS NOT NULL THEN 'n' END AS notes
+FROM o LEFT JOIN g ON o.id = g.id AND o.text = g.answer WHERE NOT (conv_id % 5 = 0)""",
         "bm25_drop_party_words": f"WITH {bm25(K.PARTY_WORDS)} SELECT {SHOW}, rank FROM b",
         "vector_topk": f"WITH {dense()} SELECT {SHOW}, rank FROM ve",
         "vector_topk_per_label": f"WITH {dense('true')} SELECT label, pid, round(score, 6) AS score, rank FROM (SELECT e.label, ve.pid, ve.score, CAST(row_number() OVER (PARTITION BY e.label ORDER BY round(ve.score, 9) DESC, ve.pid) AS INT) AS rank FROM ve JOIN embeddings e ON ve.pid = e.vec_id WHERE ve.qid = 0) WHERE rank <= 3",

@@ -12,7 +12,9 @@ from ..operators import retrieve as R
 from ..operators import search as S
 from ..operators import sections as X
 from ..sources import html as H
+from ..sources import index as I
 from ..sources import layers as L
+from . import report
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,6 +72,14 @@ def bm25_topk(spark, sf):
     return rounded(S.bm25(corpus(spark, sf), asked(spark, sf), 10))
 
 
+def index_bm25(spark, sf):
+    """The same search from a written index."""
+    folder = I.scratch(spark)
+    I.build(corpus(spark, sf), folder, None)
+    own = I.Index(spark, folder)
+    return rounded(S.bm25_scored(own.postings, own.stats, asked(spark, sf), 10))
+
+
 def bm25_drop_party_words(spark, sf):
     return rounded(S.bm25(corpus(spark, sf), asked(spark, sf), 10, True))
 
@@ -257,6 +267,19 @@ def pooled_citation_coverage(spark, sf):
     return E.pooled(parts, "event_type").withColumn("coverage", F.round("coverage", 6))
 
 
+def report_grains(spark, sf):
+    own = table(spark, sf, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 3).alias("typ"), F.col("user_id").alias("id"), "value")
+    out = report.means(own, ["value"])
+    return out.select("config", "typ", "id", "grain", F.round("value", 6).alias("value"), "n_value")
+
+
+def grading_sheet(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    own = c.select(F.lit("rag").alias("config"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("typ"), F.lit("f").alias("fraga"), F.col("text").alias("answer"), F.array(F.lit("a"), F.lit("b")).alias("sources"), F.when(F.col("conv_id") % 5 == 0, "broken").alias("error"), "turn")
+    old = own.where("turn % 4 = 1").select("config", "id", F.when(F.col("turn") == 1, F.col("answer")).otherwise("old").alias("answer"), *[F.lit("1").alias(g) for g in report.GRADES], F.lit("n").alias("notes"))
+    return report.grading_rows(own, old).select("config", "id", "sources", "supported", "neutral", "notes")
+
+
 def latest_result(spark, sf):
     return E.latest(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
@@ -344,11 +367,11 @@ def problem_flags(spark, sf):
 
 
 ALL = (
-    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
+    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
-    pooled_citation_coverage, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
+    pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
 )
 

@@ -7,6 +7,7 @@ has. Lexical tables can be rebuilt alone.
 """
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,12 @@ from ..functions import text as T
 from ..operators import search as S
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the session names; a temporary one only if it names none (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skrift-")
+    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 def _fs(spark: SparkSession, path: str):
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
