@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..tables import spread, written
 
 #: Rows of a query side that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -46,7 +47,8 @@ def query_terms(questions: DataFrame, drop_party_words: bool = False) -> DataFra
 
 def bm25(passages: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False) -> DataFrame:
     """(qid, pid, score, rank): ties by the earliest matching query word, then pid."""
-    lists = token_lists(passages)
+    # written: statistics, document frequencies and scores all read the lists, whose words are costly to stem
+    lists = written(token_lists(spread(passages)), "tokens")
     terms = small(query_terms(questions, drop_party_words).select("term").distinct())
     return bm25_scored(postings(lists, terms), corpus_stats(lists), questions, limit, drop_party_words)
 
@@ -73,7 +75,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def dense(vectors: DataFrame, asked: DataFrame, limit: int | None) -> DataFrame:
     """(qid, pid, score, rank) from unit vectors (pid, vector) and a stated set of questions (qid, qvector)."""
-    scored = vectors.crossJoin(F.broadcast(asked)).select("qid", "pid", dot(F.col("vector"), F.col("qvector")).alias("score"))
+    scored = spread(vectors).crossJoin(F.broadcast(asked)).select("qid", "pid", dot(F.col("vector"), F.col("qvector")).alias("score"))
     return ranked(scored, F.desc(F.round("score", 9)), "pid", limit=limit)
 
 

@@ -14,6 +14,7 @@ from ..operators import sections as X
 from ..sources import html as H
 from ..sources import index as I
 from ..sources import layers as L
+from ..tables import scratch, spread
 from . import report
 
 
@@ -74,7 +75,7 @@ def bm25_topk(spark, sf):
 
 def index_bm25(spark, sf):
     """The same search from a written index."""
-    folder = I.scratch(spark)
+    folder = scratch(spark)
     I.build(corpus(spark, sf), folder, None)
     own = I.Index(spark, folder)
     return rounded(S.bm25_scored(own.postings, own.stats, asked(spark, sf), 10))
@@ -209,7 +210,7 @@ def split_paragraphs(spark, sf):
 
 
 def split_text_full(spark, sf):
-    own = corpus(spark, sf).select("pid", F.posexplode(split_pieces("text")).alias("i", "piece"))
+    own = spread(corpus(spark, sf)).select("pid", F.posexplode(split_pieces("text")).alias("i", "piece"))
     return own.select("pid", "i", F.length("piece").alias("chars"))
 
 
@@ -314,11 +315,11 @@ def html_strip(spark, sf):
 
 
 def html_main_text(spark, sf):
-    return H.main_text(table(spark, sf, "pages").select("page_id", "html"))
+    return H.main_text(spread(table(spark, sf, "pages").select("page_id", "html")))
 
 
 def html_anchors(spark, sf):
-    return H.anchors(table(spark, sf, "pages"))
+    return H.anchors(spread(table(spark, sf, "pages")))
 
 
 def section_ranges(spark, sf):

@@ -7,7 +7,6 @@ has. Lexical tables can be rebuilt alone.
 """
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,12 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import search as S
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; a temporary one only if it names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skrift-")
-    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+from ..tables import spread
 
 
 def _fs(spark: SparkSession, path: str):
@@ -70,7 +64,7 @@ def build(passages: DataFrame, folder: str, encode: Callable[[DataFrame], DataFr
     """
     spark, old = passages.sparkSession, manifest(passages.sparkSession, folder) or {}
     version = f"{folder}/v-{uuid.uuid4().hex}"
-    keyed(passages).write.parquet(f"{version}/passages")
+    keyed(spread(passages)).write.parquet(f"{version}/passages")
     own = spark.read.parquet(f"{version}/passages")
     S.token_lists(own).write.parquet(f"{version}/tokens")
     lists = spark.read.parquet(f"{version}/tokens")
