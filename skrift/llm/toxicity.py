@@ -142,11 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = [scorer.hits(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([list(c) for c, _ in rows], pa.list_(pa.int64())), pa.array([list(c.values()) for c, _ in rows], pa.list_(pa.int64())), pa.array([s for _, s in rows], pa.float64()), batch.column(1)],
+                [pa.array([list(c) for c, _ in rows], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in rows], pa.list_(pa.int32())), pa.array([s for _, s in rows], pa.float64()), batch.column(1)],
                 names=["features", "counts", "share", "label"],
             )
 
-    got = have.select("text", "label").mapInArrow(encode, "features array<long>, counts array<long>, share double, label long").toArrow().combine_chunks()
+    got = have.select("text", "label").mapInArrow(encode, "features array<int>, counts array<int>, share double, label long").toArrow().combine_chunks()
     label, share, features = got["label"].to_numpy(), got["share"].to_numpy(), got["features"].combine_chunks()
     cuts = np.quantile(share[label == 1], np.arange(1, n_grades - 1) / (n_grades - 1))
     grades = np.where(label == 1, 1 + np.searchsorted(cuts, share), 0).astype(np.int64)
