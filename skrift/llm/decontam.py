@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mix, rolling, salted
+from .shared import WordHashes, byte_batches, mix, rolling, salted
 
 WORDS = re.compile(r"\w+").findall
 CHUNK = 2_000_000
@@ -118,6 +118,7 @@ class Index:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 80, places: int = PLACES, chunk: int = CHUNK) -> DataFrame:
     """(id, item, shared, item_size): each pair of a document and an item that it contains."""
     spark = docs.sparkSession
+    byte_batches(spark)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts, chunks, held = [], [], 0
 

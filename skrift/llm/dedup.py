@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, dropped, mix, rolling, salted, written
+from .shared import WordHashes, byte_batches, dropped, mix, rolling, salted, written
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64(0xFFFFFFFF)
@@ -34,7 +34,7 @@ BLOCK = 512
 #: Places of a signature; the first ones make the bands.
 PLACES = 240
 #: Shingles handled at once in a worker.
-CHUNK = 200_000
+CHUNK = 100_000
 
 
 def shingle_set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A linked pair misses all of 30 bands of 4 with a probability of 1.4e-7 at
     80 percent, 2e-10 at 85, and less above the threshold.
     """
+    byte_batches(docs.sparkSession)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("raw"))
     sketch = written(raw.mapInArrow(_sketches(k, bands, rows), "id long, key long, n long, node binary, bands array<long>, sig binary"), "sketch")
     rep = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key")).alias("rep")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: blank and the controls 9 to 13. bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Words that a worker's cache holds.
+CACHED = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def byte_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the Arrow batches of texts by bytes, unless the session does: by rows alone, a split goes to Python as one."""
+    if not spark.conf.get(BATCH_BYTES, None):
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def n_words(text):
     """Count of the contracts' words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -68,7 +77,7 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash; forgets everything when it holds `most` words, so memory is bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = CACHED):
         self.most = most
 
     def __missing__(self, word):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import CACHED, byte_batches, written
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 FEATURES, SAMPLE, GRADES = 4096, 20_000, 4
@@ -75,7 +75,7 @@ class Scorer:
         for word, n in counts.items():
             ids = cache.get(word)
             if ids is None:
-                if len(cache) > 500_000:
+                if len(cache) >= CACHED:
                     cache.clear()
                 ids = cache[word] = tuple(i for f in word_features(word) if (i := vocabulary.get(f)) is not None)
             words += n
@@ -121,6 +121,7 @@ def fit_ordinal(at: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_features: int = FEATURES, sample: int = SAMPLE, n_grades: int = GRADES) -> Scorer | None:
+    byte_batches(docs.sparkSession)
     gold = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("long")).alias("label"))
     chosen = gold.orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most `sample` pairs of ids and labels: a bounded broadcast, and no text is shuffled to find them
@@ -161,6 +162,7 @@ def severity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", nam
     """docs and their expected severity, 0 to the number of grades less 1."""
     if scorer is None:
         return docs.withColumn(name, F.lit(0.0))
+    byte_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
