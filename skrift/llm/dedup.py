@@ -34,7 +34,7 @@ BLOCK = 512
 #: Places of a signature; the first ones make the bands.
 PLACES = 240
 #: Shingles handled at once in a worker.
-CHUNK = 100_000
+CHUNK = 25_000
 
 
 def shingle_set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     known = _verified(star, reps, texts, k, least)
     roots = components(_linked(known, percent))
-    canopies = components(_open(members, roots, reps, least))
+    # written: a task that runs both functions would hold two Python workers
+    canopies = components(written(_open(members, roots, reps, least), "open"))
     more = _linked_in(canopies, roots, reps, texts, k, percent, least)
     if not more.isEmpty():
         roots = components(_linked(known, percent).unionByName(more))
