@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skrift.llm import decontam, dedup, mixing, pii, toxicity
-from skrift.llm.shared import written
+from skrift.llm.shared import WORD, keyed, written
+
+#: Rows are taken out by a key of their own: ids may be null or repeated.
+ROW = "__row"
 
 
 def less_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,22 +21,22 @@ def less_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; repeated rows of an id are one row."""
-    gone = dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again"))
-    # written, so that their sizes are known: texts are shuffled only for a large one
-    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    again = F.col("doc_id") == F.col("__again")
-    once = kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, again, "left_anti").unionByName(once) if not repeated.isEmpty() else kept
+    """One row of each near-duplicate group, of the smallest id; rows that repeat an id and a wordless text are one row."""
+    rows = keyed(docs, ROW)
+    gone = dedup.near_duplicates(rows, row_col=ROW).where("NOT kept").select(ROW)
+    wordless = rows.where(F.col("doc_id").isNotNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    firsts = wordless.groupBy("doc_id", "text").agg(F.min(ROW).alias(ROW))
+    # written, so that its size is known: texts are shuffled only for a large one
+    gone = written(gone.unionByName(wordless.select(ROW).join(firsts.select(ROW), ROW, "left_anti")), "gone")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = written(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    """Rows that contain no benchmark item."""
+    rows = keyed(docs, ROW)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    leaks = written(found.select(ROW).distinct(), "leaks")
+    return rows.join(leaks, ROW, "left_anti").select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

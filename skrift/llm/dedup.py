@@ -14,7 +14,8 @@ forests, not pairs; nothing is capped.
 Defined results: null or blank text has no shingles and is linked with nothing.
 Rows with a null id are grouped, but the smallest non-null id names the
 component; if there is none, component_id is null and the row is kept. Repeated
-rows get equal results. Columns other than id and text are not read.
+rows get equal results. Columns other than id and text are not read. With a
+column of row keys, one row of each group is kept, whatever its id.
 """
 
 import numpy as np
@@ -234,15 +235,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 30, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 30, rows: int = 4, row_col: str | None = None) -> DataFrame:
     """A row per row of docs: id, n_shingles, component_id, kept.
 
+    row_col: a column of longs that no two rows share. It is returned too, and
+    kept then holds for one row of each group: of those with the smallest id (null is the
+    largest) the one with the smallest key. Rows without shingles are all kept.
+
     Linked: 100 * |A & B| >= percent * |A | B| on distinct k-word shingles.
     A linked pair misses all of 30 bands of 4 with a probability of 1.4e-7 at
     80 percent, 2e-10 at 85, and less above the threshold.
     """
     byte_batches(docs.sparkSession)
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("raw"))
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.xxhash64(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("raw"))
     sketch = written(raw.mapInArrow(_sketches(k, bands, rows), "id long, key long, n long, node binary, bands array<long>, sig binary"), "sketch")
     rep = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key")).alias("rep")
     reps = sketch.where("n > 0").groupBy("node").agg(rep, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -266,12 +271,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _linked_in(canopies, roots, reps, texts, k, percent, least)
     if not more.isEmpty():
         roots = components(_linked(known, percent).unionByName(more))
-    out = sketch.select("id", "n", "node").join(roots, "node", "left")
-    out = out.select("id", "n", F.coalesce("root", "node").alias("root"))
-    names = reps.select("node", F.col("rep.id").alias("rep_id")).join(roots, "node", "left")
-    names = names.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep_id").alias("name"))
-    out = out.join(names, "root", "left").withColumn("name", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("name")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), F.col("id").eqNullSafe(F.col("name")).alias("kept"))
+    out = sketch.select("id", "key", "n", "node").join(roots, "node", "left")
+    out = out.select("id", "key", "n", F.coalesce("root", "node").alias("root"))
+    names = reps.select("node", "rep").join(roots, "node", "left")
+    names = names.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("first"))
+    out = out.join(names, "root", "left").withColumn("name", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id")))
+    kept = F.col("root").isNull() | (F.col("key") == F.col("first.key")) if row_col else F.col("id").eqNullSafe(F.col("name"))
+    keys = [F.col("key").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), *keys, F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), kept.alias("kept"))
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:

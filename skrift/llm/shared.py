@@ -36,6 +36,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with a long of its own for every row, which is the same in each plan that reads it.
+
+    A table that is read as it is has its rows' file and place in it for a key;
+    anything else is written once.
+    """
+    spark = df.sparkSession
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in df.columns:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    own = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = sorted(r[0] for r in own.select("__file").distinct().collect())
+    first = spark.createDataFrame([(f, n << 40) for n, f in enumerate(files)], "__file string, __first long")
+    return own.join(F.broadcast(first), "__file").select(*df.columns, (F.col("__first") + F.col("__at")).alias(name))
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a written table that no later plan reads."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession

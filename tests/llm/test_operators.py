@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skrift.llm import ann, chat, decontam, dedup, license, mixing, pii, secrets, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, node string"
@@ -161,3 +162,24 @@ def test_mixing_reaches_targets(spark):
         by.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.taken
     assert abs(sum(t for t, _, _ in by.values()) - total) < 1e-6
     assert all(abs(t - taken) <= 1 and t <= 3 * size + 1e-9 for t, size, taken in by.values())
+
+
+@pytest.mark.parametrize("read", [False, True])
+def test_pipeline_takes_out_rows_not_ids(spark, tmp_path, read):
+    rnd = random.Random(8)
+    t = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(9)]
+    rows = [(1, t[0]), (None, t[0] + " x"), (None, t[1]), (2, t[2]), (2, t[3]), (3, t[3]), (None, t[4]), (None, t[4]), (5, t[5]), (5, t[5]), (6, ""), (6, ""), (None, ""), (None, "")]
+    # the other text of id 2 is the chosen row of another group
+    rows += [(7, t[2] + " y"), (None, None)]
+    d = docs(spark, [(i, x, str(n)) for n, (i, x) in enumerate(rows)])
+    if read:
+        d.repartition(3).sortWithinPartitions("source").write.parquet(f"{tmp_path}/documents.parquet")
+        d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.deduplicated(spark, d, "")
+    assert out.columns == d.columns
+    one = lambda x: (x.doc_id is None, x.doc_id or 0, x.text or "")
+    expected = [(1, t[0]), (None, t[1]), (2, t[2]), (2, t[3]), (None, t[4]), (5, t[5]), (6, ""), (None, ""), (None, ""), (None, None)]
+    assert sorted(map(one, out.collect())) == sorted((i is None, i or 0, x or "") for i, x in expected)
+    spark.createDataFrame([(1, t[1]), (2, t[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.decontaminated(spark, d, str(tmp_path))
+    assert sorted(map(one, out.collect())) == sorted((i is None, i or 0, x or "") for i, x in rows if t[1] not in (x or "") and t[2] not in (x or ""))
