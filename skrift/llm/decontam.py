@@ -7,8 +7,10 @@ blocks of 2 L shingles with stride L, which any passage of L shingles fits
 whole. Items and blocks get a MinHash signature of `places` places (a shingle
 belongs to the place its hash names; the smallest hash in a place is its
 value). A document with a block that agrees with an item in a place is a
-candidate, and is verified by exact containment of the item's k-word shingles
-in the whole document: 100 * shared >= percent * size of the item's set.
+candidate; so is one with any shingle of a short item (at most SHORT shingles),
+which other words of a block could hide. Candidates are verified by exact
+containment of the item's k-word shingles in the whole document:
+100 * shared >= percent * size of the item's set.
 
 Words are lower-cased runs of letters, digits and underscores; an item of fewer
 than k words is one shingle of all its words. Items go out to executors in
@@ -32,6 +34,8 @@ from .shared import WordHashes, byte_batches, mix, rolling, salted
 WORDS = re.compile(r"\w+").findall
 CHUNK = 2_000_000
 PLACES = 64
+#: Items of so few shingles are looked up by each of them, at every position.
+SHORT = 8
 
 
 def _words(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -47,7 +51,7 @@ def _signature(shingles: np.ndarray, places: int) -> np.ndarray:
 
 
 class Index:
-    """Items of one chunk: sets, and per word count and size class the values of their signatures."""
+    """Items of one chunk: sets, and per word count and size class the values of their signatures (all hashes of short ones)."""
 
     def __init__(self, items: list[tuple[int, str]], k: int, places: int):
         hashes = WordHashes()
@@ -58,8 +62,8 @@ class Index:
             if not len(words):
                 continue
             own = np.unique(rolling(words, k))
-            size = 1 << max(3, int(len(own) - 1).bit_length())
-            values = _signature(own, places)
+            size = 1 << int(len(own) - 1).bit_length() if len(own) > SHORT else SHORT
+            values = _signature(own, places) if len(own) > SHORT else salted(own, 77)
             for v in values[values != np.iinfo(np.uint64).max]:
                 owners.setdefault(min(k, len(words)), {}).setdefault(size, []).append((int(v), len(self.ids)))
             self.ids.append(item)
@@ -90,7 +94,7 @@ class Index:
                     continue
                 left, right = np.searchsorted(values, h[hit], "left"), np.searchsorted(values, h[hit], "right")
                 for at, lo, hi in zip(hit, left, right):
-                    if hi > lo and self._smallest(h, int(at), size):
+                    if hi > lo and (size == SHORT or self._smallest(h, int(at), size)):
                         found.update(owner[lo:hi].tolist())
         return found
 

@@ -183,3 +183,17 @@ def test_pipeline_takes_out_rows_not_ids(spark, tmp_path, read):
     spark.createDataFrame([(1, t[1]), (2, t[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.decontaminated(spark, d, str(tmp_path))
     assert sorted(map(one, out.collect())) == sorted((i is None, i or 0, x or "") for i, x in rows if t[1] not in (x or "") and t[2] not in (x or ""))
+
+
+def test_short_items_are_found_wherever_they_stand(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    items = [(n, " ".join(f"q{n}x{i}" for i in range(1 + n % 12))) for n in range(60)]
+    rows, expected = [], set()
+    for i in range(1200):
+        w = [word() for _ in range(rnd.randrange(30, 300))]
+        n, at = rnd.randrange(60), rnd.randrange(len(w))
+        rows.append((i, " ".join(w[:at] + [items[n][1]] + w[at:]), "s"))
+        expected.add((i, n))
+    out = decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == expected and all(r.shared == r.item_size for r in out)
