@@ -105,8 +105,8 @@ class Scanner:
 
     def finds(self, text: str):
         """(template, coverage, start, end) with offsets in code points."""
-        low = text.lower()
-        words = WORDS.findall(low)
+        # by word, as lower() may change a text's length and its words
+        words = [w.lower() for w in WORDS.findall(text)]
         places: dict[str, list[int]] = {}
         vocabulary = self.vocabulary
         for at, w in enumerate(words):
@@ -138,10 +138,8 @@ class Scanner:
                 if all(b <= x or y <= a for x, y in taken):
                     taken.append((a, b))
                     if offsets is None:
-                        # lower() may change lengths, so offsets are those of the text itself where they differ
-                        offsets = [m.span() for m in WORDS.finditer(low if len(low) == len(text) else text)]
-                    if b <= len(offsets):
-                        yield name, -score / n, offsets[a][0], offsets[b - 1][1]
+                        offsets = [m.span() for m in WORDS.finditer(text)]
+                    yield name, -score / n, offsets[a][0], offsets[b - 1][1]
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:

@@ -197,3 +197,12 @@ def test_short_items_are_found_wherever_they_stand(spark):
         expected.add((i, n))
     out = decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in out} == expected and all(r.shared == r.item_size for r in out)
+
+
+def test_license_after_letters_that_lower_case_lengthens():
+    scan = license.Scanner(license.TEMPLATES)
+    line = "Released under the MIT License"
+    for before in ("İstanbul bİc aİ. ", "İİİ İ ", "Straße ΣΑΣ İ\n"):
+        text = before * 5 + line
+        (found,) = scan.finds(text)
+        assert found[0] == "mit-line" and text[found[2] : found[3]] == line
