@@ -1,16 +1,19 @@
 """Personal data: generators, boosted trees and calibrated thresholds, on DataFrame functions only.
 
 Base rules find emails, IPv4 addresses, payment cards and phone numbers. Beside
-them, high-recall generators propose further number and address spans, which
-may overlap. A candidate's format and context (digits, groups, brackets,
+them, high-recall generators propose further spans of each kind, which may
+overlap: for cards and IPv4 addresses, all windows of whole digit groups in a
+run of numbers, so a number before or after one does not hide it. A candidate's format and context (digits, groups, brackets,
 separators, a telling word before it, its neighbours) are small integers, so
 the counts of all distinct feature vectors are a table of bounded size
 (CODES rows a label). Gradient boosting (depth-2 trees, logistic loss) is
 fitted to these counts over all documents; the label is whether a base rule
-confirms the candidate, and features that decide a base rule (the plus sign,
+confirms the candidate (a window: whether its check digit or its octets are
+right), and features that decide a base rule (the plus sign,
 the check digit, the @) are not shown to it. A kind's threshold is the lowest
 score at which the candidates above are confirmed to at least `precision`.
-Candidates above it that overlap no base span are added. Scoring is a sum of
+Candidates above it that overlap no base span are added; windows only if their
+check digit or octets are right. Scoring is a sum of
 CASE expressions in the plan.
 
 The rules' patterns are given with possessive quantifiers and a start guard,
@@ -39,10 +42,22 @@ PATTERNS = {
 WIDE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?:\G|(?<![0-9+(]))[+]?[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9])",
+    # runs, of which windows are taken
+    "card": r"(?=(?:[0-9][\x20.-]?){12}[0-9])[0-9]++(?:[\x20.-][0-9]++)*+",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+",
 }
-CONTEXT = {"email": r"(?i)(?:mail|contact|write to)[^0-9A-Za-z]*$", "phone": r"(?i)(?:tel|phone|call|fax|mobile)[^0-9A-Za-z]*$"}
-#: Name and number of values of each feature.
-FEATURES = (("kind", 2), ("digits", 6), ("groups", 6), ("brackets", 2), ("separators", 3), ("context", 2), ("glued", 2))
+#: What makes a window from where a group of digits starts, after its separator: each pattern gives at most one.
+WINDOWS = {
+    "card": [r"^[\x20.-]([0-9](?:[\x20.-]?[0-9]){%d})(?![0-9])" % (n - 1) for n in range(13, 20)],
+    "ip": [r"^[\x20.]([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9])"],
+}
+#: Characters that the patterns look at, and places of a run that are looked at together.
+REACH, PART = 40, 512
+CONTEXT = {"email": r"(?i)(?:mail|contact|write to)[^0-9A-Za-z]*$", "phone": r"(?i)(?:tel|phone|call|fax|mobile)[^0-9A-Za-z]*$", "card": r"(?i)(?:card|visa|master|amex|credit|debit|pay)[^0-9A-Za-z]*$", "ip": r"(?i)(?:ip|addr|address|host|server|from)[^0-9A-Za-z]*$"}
+#: Upper ends of all but the last class of a candidate's number of digits.
+CUTS = {"email": (0, 7, 9, 12, 15), "phone": (0, 7, 9, 12, 15), "card": (13, 14, 15, 16, 18), "ip": (4, 6, 8, 10, 11)}
+#: Name and number of values of each feature. Mark: brackets; of a card, an issuer's first digit; of an address, that more groups are beside it.
+FEATURES = (("kind", 4), ("digits", 6), ("groups", 6), ("mark", 2), ("separators", 3), ("context", 2), ("glued", 2))
 CODES = math.prod(n for _, n in FEATURES)
 PRECISION, ROUNDS, RATE = 0.95, 30, 0.3
 
@@ -63,6 +78,25 @@ CHECKS = {
     "card": lambda hit: F.length(_digits(hit)).between(14, 19) & _luhn(_digits(hit)),
     "phone": lambda hit: F.length(_digits(hit)).between(10, 15),
 }
+#: The check digit holds for cards of 13 digits too.
+WINDOW_CHECKS = {"card": lambda hit: _luhn(_digits(hit)), "ip": CHECKS["ip"]}
+
+
+def _windows(runs: Column, name: str) -> Column:
+    """[{start, end, hit}] of all windows in the runs; a long run is looked at in parts, so it stays near linear."""
+
+    def parts(run):
+        padded = F.concat(F.lit(" "), run["hit"])
+        bases = F.sequence(F.lit(0), F.length(run["hit"]) - 1, F.lit(PART))
+        return F.transform(bases, lambda b: F.struct((run["start"] + b).alias("start"), F.substring(padded, b + 1, F.lit(PART + REACH)).alias("part")))
+
+    def windows(part):
+        places = F.sequence(F.lit(0), F.least(F.lit(PART), F.length(part["part"])) - 1)
+        ahead = F.transform(places, lambda q: F.struct((part["start"] + q).alias("start"), F.substring(part["part"], q + 1, F.lit(REACH)).alias("ahead")))
+        ahead = F.filter(ahead, lambda a: a["ahead"].rlike(r"^[^0-9][0-9]"))
+        return F.flatten(F.transform(ahead, lambda a: F.transform(F.filter(F.array(*[F.regexp_extract(a["ahead"], p, 1) for p in WINDOWS[name]]), lambda w: w != ""), lambda w: F.struct(a["start"].alias("start"), (a["start"] + F.length(w)).alias("end"), w.alias("hit")))))
+
+    return F.flatten(F.transform(F.flatten(F.transform(runs, parts)), windows))
 
 
 def _bucket(n: Column, *cuts: int) -> Column:
@@ -78,11 +112,15 @@ def _code(text: Column, kind: int, span: Column, name: str) -> Column:
     before = F.substring(text, F.greatest(start - 15, F.lit(1)), F.least(start, F.lit(16)))
     after = F.substring(text, span["end"] + 1, F.lit(1))
     groups = F.size(F.split(hit, "[^0-9A-Za-z]+"))
+    if name == "ip":
+        mark = before.rlike(r"[0-9]\.$") | F.substring(text, span["end"] + 1, F.lit(2)).rlike(r"^\.[0-9]")
+    else:
+        mark = hit.rlike("^[3-6]" if name == "card" else r"[()\[\]]")
     values = [
         F.lit(kind),
-        _bucket(F.length(_digits(hit)), 0, 7, 9, 12, 15),
+        _bucket(F.length(_digits(hit)), *CUTS[name]),
         _bucket(groups, 1, 2, 3, 4, 5),
-        hit.rlike(r"[()\[\]]").cast("int"),
+        mark.cast("int"),
         F.when(hit.contains(" "), 2).when(hit.rlike("[.-]"), 1).otherwise(0),
         before.rlike(CONTEXT[name]).cast("int"),
         (before.rlike("[0-9A-Za-z]$") | after.rlike("^[0-9A-Za-z]")).cast("int"),
@@ -106,12 +144,12 @@ def _passing(spans: Column, check) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """id, base spans by kind, and candidates [{kind, start, end, code, confirmed}]; one scan of the texts."""
+    """id, base spans by kind, and candidates [{kind, start, end, code, confirmed, open}]; one scan of the texts."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     number = text.rlike(r"[0-9][\x20().-]{0,2}[0-9]")
     may = {"email": text.contains("@"), "ip": number & text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][\x20-]?){13}[0-9]"), "phone": text.contains("+")}
-    wide_may = {"email": text.contains("@") | text.contains("(at)") | text.contains("[at]"), "phone": text.rlike(r"(?:[0-9][\x20().-]{0,2}){6}[0-9]")}
+    wide_may = {"email": text.contains("@") | text.contains("(at)") | text.contains("[at]"), "phone": text.rlike(r"(?:[0-9][\x20().-]{0,2}){6}[0-9]"), "card": text.rlike(r"(?:[0-9][\x20.-]?){12}[0-9]"), "ip": may["ip"] & text.rlike(r"(?:[0-9]\.[0-9]+){2}")}
     own = own.select("*", *[hits(text, PATTERNS[k], may[k]).alias(f"h_{k}") for k in KINDS], *[hits(text, WIDE[k], wide_may[k]).alias(f"w_{k}") for k in WIDE])
     own = own.select("id", "text", *[located(text, PATTERNS[k], F.col(f"h_{k}")).alias(f"h_{k}") for k in KINDS], *[located(text, WIDE[k], F.col(f"w_{k}")).alias(f"w_{k}") for k in WIDE])
     slim = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -119,7 +157,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = own.select("id", "text", *base, *[f"w_{k}" for k in WIDE])
 
     def scored(kind, name):
-        return F.transform(f"w_{name}", lambda s: F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _code(text, kind, s, name).alias("code"), F.exists(name, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])).alias("confirmed")))
+        def one(s):
+            if name in WINDOWS:
+                confirmed = available = WINDOW_CHECKS[name](s["hit"])
+            else:
+                confirmed = F.exists(name, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+                available = ~confirmed
+            return F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _code(text, kind, s, name).alias("code"), confirmed.alias("confirmed"), available.alias("open"))
+
+        return F.transform(_windows(F.col(f"w_{name}"), name) if name in WINDOWS else F.col(f"w_{name}"), one)
 
     both = F.concat(*[scored(i, k) for i, k in enumerate(WIDE)])
     return own.select("id", *(["text"] if keep_text else []), *KINDS, both.alias("proposed"))
@@ -187,10 +233,12 @@ class Boosted:
         return out
 
     def selects(self, span: Column) -> Column:
-        ok = F.lit(False)
-        for name, least in self.thresholds.items():
-            ok = ok | ((span["kind"] == name) & (self.column(span["code"]) >= least))
-        return ok
+        if not self.thresholds:
+            return F.lit(False)
+        least = F.lit(None).cast("double")
+        for name, value in self.thresholds.items():
+            least = F.when(span["kind"] == name, value).otherwise(least)
+        return F.coalesce(self.column(span["code"]) >= least, F.lit(False))
 
 
 def fit(found: DataFrame) -> Boosted:
@@ -206,8 +254,9 @@ def fit(found: DataFrame) -> Boosted:
 def _all(found: DataFrame, model: Boosted) -> DataFrame:
     base = F.concat(*[tagged(F.col(k), k, i) for i, k in enumerate(KINDS)])
     found = found.withColumn("base", base)
-    chosen = outside(F.filter("proposed", lambda s: ~s["confirmed"] & model.selects(s)), F.col("base"))
-    added = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), F.when(s["kind"] == "email", 0).otherwise(3).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    chosen = outside(F.filter("proposed", lambda s: s["open"] & model.selects(s)), F.col("base"))
+    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1
+    added = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.withColumn("added", added)
 
 

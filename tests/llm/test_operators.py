@@ -206,3 +206,26 @@ def test_license_after_letters_that_lower_case_lengthens():
         text = before * 5 + line
         (found,) = scan.finds(text)
         assert found[0] == "mit-line" and text[found[2] : found[3]] == line
+
+
+def test_pii_finds_cards_and_addresses_among_other_numbers(spark):
+    rnd = random.Random(11)
+
+    def card():
+        d = [4] + [rnd.randrange(10) for _ in range(14)]
+        total = sum(sum(divmod(2 * x, 10)) if i % 2 == 0 else x for i, x in enumerate(d))
+        t = "".join(map(str, d + [-total % 10]))
+        return " ".join(t[i : i + 4] for i in range(0, 16, 4))
+
+    rows = [(i, f"card {card()} and host 10.{i}.0.1 seen", "s") for i in range(60)]
+    rows += [(100 + i, f"row {rnd.randrange(10**15, 10**16)} of {rnd.randrange(10**15, 10**16)}", "s") for i in range(20)]
+    hard = {200: ("2024 4111 1111 1111 1111 x", "card", "4111 1111 1111 1111"), 201: ("on 2024.10.0.0.1 up", "ip", "10.0.0.1"), 202: ("é 4111.1111.1111.1111", "card", "4111.1111.1111.1111"), 203: ("7 " * 700 + "4111 1111 1111 1111 9", "card", "4111 1111 1111 1111")}
+    rows += [(i, t, "s") for i, (t, _, _) in hard.items()]
+    d = docs(spark, rows)
+    out = {r.doc_id: r for r in pii.find_pii(d).collect()}
+    for i, (t, kind, want) in hard.items():
+        spans = [x.split(":") for x in out[i].spans.split(",")]
+        assert (kind, want) in [(k, t[int(a) : int(b)]) for k, a, b in spans] and out[i].n_added > 0, i
+    assert all(out[i].n_card == out[i].n_ip == 1 and out[i].n_added == 0 for i in range(60))
+    text = {r.doc_id: r.text for r in pii.redacted(d).collect()}
+    assert text[200] == "2024 [CARD] x" and text[201] == "on 2024.[IP] up" and text[202] == "é [CARD]"
