@@ -64,7 +64,7 @@ def bm25_scored(posted: DataFrame, stats: DataFrame, questions: DataFrame, limit
     return ranked(scored, F.desc(F.round("score", 9)), "qpos", "pid", limit=limit).select("qid", "pid", "score", "rank")
 
 
-def ranked(scored: DataFrame, *order, limit: int | None = None, by: str = "qid") -> DataFrame:
+def ranked(scored: DataFrame, *order, limit: int | None = None, by: str | list[str] = "qid") -> DataFrame:
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return out if limit is None else out.where(F.col("rank") <= limit)
 

@@ -95,6 +95,13 @@ def vector_topk_per_label(spark, sf):
     return S.ranked(hits.drop("rank"), F.desc(F.round("score", 9)), "pid", limit=3, by="label").select("label", "pid", F.round("score", 6).alias("score"), "rank")
 
 
+def vector_topk_per_label_all(spark, sf):
+    """For every question, the three nearest of each label."""
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), "label")
+    hits = S.dense(vectors(spark, sf), asked_with_vectors(spark, sf), None).join(labels, "pid")
+    return rounded(S.ranked(hits.drop("rank"), F.desc(F.round("score", 9)), "pid", limit=3, by=["qid", "label"]), "label")
+
+
 def _hybrid(spark, sf, **options):
     return S.hybrid(corpus(spark, sf), vectors(spark, sf), asked_with_vectors(spark, sf), **options)
 
@@ -368,7 +375,7 @@ def problem_flags(spark, sf):
 
 
 ALL = (
-    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
+    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, vector_topk_per_label_all, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
