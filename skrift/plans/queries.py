@@ -293,9 +293,9 @@ def latest_result(spark, sf):
 
 
 def best_section_match(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = spread(table(spark, sf, "documents"))
     s = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "body")).withColumn("heading", F.lit(""))
-    y = docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("nr"), F.left("text", F.lit(300)).alias("text"))
+    y = docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("nr"), "text")
     return E.best_sections(y, s).select("doc", F.round("match_score", 6).alias("match_score"), F.length("section_text").cast("long").alias("chars"))
 
 

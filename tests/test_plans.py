@@ -28,3 +28,17 @@ def test_vector_topk_per_label_of_all_questions(spark, tmp_path):
     y = x.astype(float)
     expected = {(q, label, r, p) for q in (0, 7, 35) for label in range(3) for r, p in enumerate(sorted((i for i in range(30) if i % 3 == label), key=lambda i: (-round(float(y[i] @ y[q]), 9), i))[:3], 1)}
     assert {(r.qid, r.label, r["rank"], r.pid) for r in Q.queries()["vector_topk_per_label_all"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_best_section_match_of_whole_texts_in_all_languages(spark, tmp_path):
+    documents(spark, tmp_path)
+    words = lambda texts: [set(r[0] or []) for r in spark.createDataFrame([(x,) for x in texts], "x string").select(T.match_words("x")).collect()]
+    expected = {}
+    for i, t, _ in TEXTS:
+        lines = (t or "").split("\n")
+        whole, *own = words([t, *lines])
+        match = [len(whole & o) / len(whole) if whole else 0.0 for o in own]
+        best = match.index(max(match))
+        expected[i] = (round(match[best], 6), len(lines[best]) if match[best] >= 0.5 else 0)
+    out = Q.best_section_match(spark, str(tmp_path)).collect()
+    assert {r.doc: (r.match_score, r.chars) for r in out} == expected
