@@ -59,6 +59,16 @@ def term_freq(spark, sf):
     return S.postings(S.token_lists(corpus(spark, sf))).where("tf >= 5").select("pid", "term", "tf")
 
 
+def tokenize_stem_whole(spark, sf):
+    """With a digest of all stems of a text."""
+    own = T.tokens(F.col("text"))
+    return corpus(spark, sf).select("pid", F.size(own).cast("long").alias("n_tokens"), F.sha1(F.array_join(own, " ").cast("binary")).alias("sha1"))
+
+
+def term_freq_whole(spark, sf):
+    return S.postings(S.token_lists(corpus(spark, sf))).select("pid", "term", "tf")
+
+
 def doc_freq_idf(spark, sf):
     lists = S.token_lists(corpus(spark, sf))
     df = S.postings(lists).groupBy("term").agg(F.count("*").alias("df"))
@@ -366,6 +376,12 @@ def followup_parent(spark, sf):
     return c.where("role = 'user'").select("conv_id", "turn").join(up, ["conv_id", "turn"])
 
 
+def followup_parent_whole(spark, sf):
+    c = table(spark, sf, "conversations")
+    up = c.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("parent_answer"))
+    return c.where("role = 'user'").select("conv_id", "turn").join(up, ["conv_id", "turn"])
+
+
 def problem_flags(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     answer = F.concat("text", F.when(F.col("turn") % 4 == 1, " [1] och [7].").otherwise(""))
@@ -375,12 +391,12 @@ def problem_flags(spark, sf):
 
 
 ALL = (
-    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, vector_topk_per_label_all, rrf_hybrid, rrf_weights,
+    tokenize_stem, tokenize_stem_whole, term_freq, term_freq_whole, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, vector_topk_per_label_all, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
     pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
-    carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
+    carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, followup_parent_whole, problem_flags,
 )
 
 

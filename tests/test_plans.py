@@ -10,6 +10,9 @@ from skrift.plans import queries as Q
 
 TEXTS = [(0, "Landsbygden behöver skolor\nskolor skolor skolor skolor skolor behöver lärare", "en"), (1, "ett två tre fyra fem sex sju åtta nio tio elva tolv tretton fjorton " + "femton " * 3, "fr"), (2, "la maison est grande\n" + "le chat dort sur la grande maison " * 20, "fr"), (3, "", "de"), (4, None, "es")]
 
+#: Postings are of the context, "source (lang)", and the text; en and de are stop words.
+CONTEXT = {i: ["src0"] + [x] * (x not in ("en", "de")) for i, _, x in TEXTS}
+
 
 def stored(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
@@ -42,3 +45,15 @@ def test_best_section_match_of_whole_texts_in_all_languages(spark, tmp_path):
         expected[i] = (round(match[best], 6), len(lines[best]) if match[best] >= 0.5 else 0)
     out = Q.best_section_match(spark, str(tmp_path)).collect()
     assert {r.doc: (r.match_score, r.chars) for r in out} == expected
+
+
+def test_whole_stem_lists_postings_and_parent_answers(spark, tmp_path):
+    documents(spark, tmp_path)
+    stems = {r.doc_id: r.s or [] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", T.tokens("text").alias("s")).collect()}
+    assert any(len(s) > 12 for s in stems.values())
+    q = Q.queries()
+    assert {r.pid: r.sha1 for r in q["tokenize_stem_whole"](spark, str(tmp_path)).where("n_tokens > 0").collect()} == {i: hashlib.sha1(" ".join(s).encode()).hexdigest() for i, s in stems.items() if s}
+    assert {(r.pid, r.term, r.tf) for r in q["term_freq_whole"](spark, str(tmp_path)).collect()} == {(i, w, n) for i, s in stems.items() for w, n in Counter(s + CONTEXT[i]).items()}
+    long = "ett långt svar " * 9
+    stored(spark, tmp_path, "conversations", [(1, 0, "user", "a"), (1, 1, "assistant", long), (1, 2, "user", "b"), (2, 1, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in q["followup_parent_whole"](spark, str(tmp_path)).collect()] == [(1, 2, long)]
