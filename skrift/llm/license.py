@@ -1,19 +1,26 @@
 """License scans by patience alignment.
 
-Around each occurrence of a template's telling words a window of the text is
-aligned with the template: common ends are stripped, words that are unique in
-both are matched, a longest increasing subsequence of them are the anchors, and
-the gaps between anchors are aligned in the same way, so that words need only
-be unique within their gap. Coverage is the share of the template's words that
-are aligned; of overlapping windows of a template the best stays.
-
-A window is skipped only if so many telling words are missing that the coverage
-cannot reach `least`. Words are lower-cased runs of letters, digits and
-underscores.
+A window of a text is aligned with a template: common ends are stripped, words
+that are unique in both are matched, a longest increasing subsequence of them
+are the anchors, and the gaps between anchors are aligned in the same way, so
+that words need only be unique within their gap. Coverage is the share of the
+template's words that are aligned.
+
+Windows are twice as long as the template, so up to as many words as it has may
+be inserted, and start at every word that the template has. A window is skipped
+only if it cannot reach `least`: if it holds too few of the template's words,
+repeats counted. A find needs `least` coverage and more aligned words than
+inserted and missing ones together. In a short template (under SHORT words) the
+words that tell licenses apart (MARKS and numbers) must all be aligned, and none
+may be inserted. Finds that overlap, of whatever templates, are the same place:
+the one with the most aligned words less inserted and missing ones stays.
+
+Words are lower-cased runs of letters, digits and underscores.
 
 Defined results: null and empty texts have no finds; a null id is kept; repeated
-rows give repeated finds; ties in coverage go to the earlier window. Other
-columns are not read.
+rows give repeated finds; ties go to more aligned words, then to the earlier
+window, then to the template's name. Other columns are not read; an empty table
+gives no rows.
 """
 
 import re
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
-LEAST = 0.8
+LEAST, SHORT = 0.8, 20
 
 #: Fixed texts: public license notices.
 TEMPLATES = {
@@ -45,6 +52,9 @@ TEMPLATES = {
 #: Fixed list: words too common to point at a license.
 COMMON = frozenset("a above all an and any are as at by can either file for free in is it may met no not of on or public that the this to under use used with without work you".split())
 
+#: Fixed list: words that tell one license from another.
+MARKS = frozenset("affero agpl apache bsd by cc gnu gpl isc lesser lgpl library mit mpl nc nd public sa unlicense zero".split())
+
 
 def increasing(values: list[int]) -> list[int]:
     """Places of a longest increasing subsequence, by patience piles."""
@@ -88,58 +98,80 @@ def aligned(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Template:
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, [w.lower() for w in WORDS.findall(text)]
+        self.need = Counter(self.words)
+        self.telling = {w for w in self.words if w not in COMMON} or set(self.words)
+        self.short = len(self.words) < SHORT
+        self.marks = [i for i, w in enumerate(self.words) if _mark(w)] if self.short else []
+
+    def found(self, words: list[str], start: int, least: float):
+        """(score, aligned, start, end) of the window from start, if it is a find; offsets in words."""
+        n = len(self.words)
+        part = words[start : start + 2 * n]
+        pairs = aligned(part, self.words)
+        if len(pairs) < least * n:
+            return None
+        first, last = pairs[0][0], pairs[-1][0]
+        inserted, missing = last - first + 1 - len(pairs), n - len(pairs)
+        score = len(pairs) - inserted - missing
+        if score <= 0:
+            return None
+        if self.short:
+            own = {j for _, j in pairs}
+            there = {i for i, _ in pairs}
+            if any(j not in own for j in self.marks) or any(_mark(part[i]) for i in range(first, last + 1) if i not in there):
+                return None
+        return score, len(pairs), start + first, start + last + 1
+
+
+def _mark(word: str) -> bool:
+    return word in MARKS or word.isdigit()
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float = LEAST):
         self.least = least
-        self.templates = []
-        for name, text in templates.items():
-            words = WORDS.findall(text.lower())
-            telling: dict[str, list[int]] = {}
-            for i, w in enumerate(words):
-                if w not in COMMON:
-                    telling.setdefault(w, []).append(i)
-            if not telling and words:
-                telling = {w: [i] for i, w in enumerate(words)}
-            self.templates.append((name, words, telling))
-        self.vocabulary = {w for _, _, t in self.templates for w in t}
+        self.templates = [t for name, text in templates.items() if (t := Template(name, text)).words]
+        self.vocabulary = {w for t in self.templates for w in t.telling}
+
+    def _windows(self, words: list[str], t: Template):
+        """Starts of windows that hold enough of the template's words, by a count that slides over their places."""
+        n, need = len(t.words), t.need
+        places = [i for i, w in enumerate(words) if w in need]
+        held, common, end = Counter(), 0, 0
+        for start in places:
+            while end < len(places) and places[end] < start + 2 * n:
+                w = words[places[end]]
+                common += held[w] < need[w]
+                held[w] += 1
+                end += 1
+            if common >= self.least * n:
+                yield start
+            w = words[start]
+            held[w] -= 1
+            common -= held[w] < need[w]
 
     def finds(self, text: str):
-        """(template, coverage, start, end) with offsets in code points."""
+        """(template, coverage, start, end) with offsets in code points, in the order of the text."""
         # by word, as lower() may change a text's length and its words
         words = [w.lower() for w in WORDS.findall(text)]
-        places: dict[str, list[int]] = {}
-        vocabulary = self.vocabulary
-        for at, w in enumerate(words):
-            if w in vocabulary:
-                places.setdefault(w, []).append(at)
-        if not places:
-            return
-        offsets = None
-        for name, template, telling in self.templates:
-            n = len(template)
-            missing = sum(w not in places for w in telling)
-            if not n or missing > (1 - self.least) * n:
-                continue
-            starts = sorted({at - i for w, own in telling.items() for at in places.get(w, ()) for i in own})
-            good, reach, done = [], max(2, n // 4), None
-            for s in starts:
-                if done is not None and s < done:
-                    continue
-                done = s + max(1, reach // 2)
-                a, b = max(0, s - reach), min(len(words), s + n + reach)
-                part = words[a:b]
-                if sum(w not in part for w in telling) > (1 - self.least) * n:
-                    continue
-                pairs = aligned(part, template)
-                if len(pairs) >= self.least * n:
-                    good.append((-len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
-            taken = []
-            for score, a, b in sorted(good):
-                if all(b <= x or y <= a for x, y in taken):
-                    taken.append((a, b))
-                    if offsets is None:
-                        offsets = [m.span() for m in WORDS.finditer(text)]
-                    yield name, -score / n, offsets[a][0], offsets[b - 1][1]
+        there = self.vocabulary.intersection(words)
+        good = []
+        for t in self.templates if there else ():
+            n = len(t.words)
+            if sum(w not in there for w in t.telling) <= (1 - self.least) * n:
+                found = {f for start in self._windows(words, t) if (f := t.found(words, start, self.least))}
+                good += [(-score, -n_aligned, a, t.name, b, n_aligned / n) for score, n_aligned, a, b in found]
+        taken = []
+        for _, _, a, name, b, coverage in sorted(good):
+            if all(b <= x or y <= a for x, y, _, _ in taken):
+                taken.append((a, b, name, coverage))
+        if taken:
+            offsets = [m.span() for m in WORDS.finditer(text)]
+            for a, b, name, coverage in sorted(taken):
+                yield name, coverage, offsets[a][0], offsets[b - 1][1]
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
