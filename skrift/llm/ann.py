@@ -1,23 +1,33 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is padded to a power of two and rotated by three rounds of random
-signs and a fast Hadamard transform; its hash is the nearest signed axis.
-`tables` independent rotations are kept. A query probes, in each table, the
-`probes` signed axes nearest to it; rows in a probed bucket of any table are
-candidates and are reranked by their exact cosine in double precision.
+signs and a fast Hadamard transform; a rotation's code is the nearest signed
+axis. Each of `tables` tables has `hashes` rotations, whose codes together are
+the bucket; their number grows with the table, so that buckets do not. A query
+probes, in each table, the `probes` buckets nearest to it: those with the least
+sum of squared gaps to the nearest axes.
+
+Rows and probes meet in a shuffle join by table and head (all codes of a bucket
+but the last). Heads with many rows or probes, however hot, are cut into blocks
+of at most ROWS rows and ASKED queries, so a task's memory is bounded. In a
+block each query looks up its buckets, and what they hold are its candidates:
+they are reranked by exact cosine in double precision, and the best k + 1 leave
+the block. What the tables found is made one by its largest score, and ranked.
+A query with fewer than k found is searched exactly, in blocks of at most
+`block` queries that are broadcast against all rows.
 
 Equal vectors are hashed and scored once, with their k + 1 smallest ids, which
 is all that ties can bring into a result; a vector that a third of all rows
-share costs no more than another. Queries are searched in blocks of at most
-`block` distinct vectors, so what is broadcast has a bound, and each task keeps
-the best k + 1 of its own rows for each query of a block.
+share costs no more than another.
 
 Defined results: null, zero or other-length vectors (the commonest length
 holds), and those with null or non-finite components, take no part, nor do rows
-without an id. Rows that share a query's id are its own. A query with fewer
-candidates than k gets all that are found. Other columns are not read.
+without an id. Rows that share a query's id are its own. Other columns are not
+read; an empty table gives no rows.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,7 +35,10 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, written
 
-TABLES, PROBES, BLOCK, K = 12, 24, 4096, 5
+TABLES, PROBES, BLOCK, K = 16, 192, 4096, 5
+#: Distinct vectors and queries of a block of a head.
+ROWS, ASKED = 8192, 2048
+FOUND = "class long, vec_id long, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -40,67 +53,158 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    def __init__(self, size: int, tables: int = TABLES, seed: int = 7):
-        self.size, self.padded = size, 1 << max(0, (size - 1).bit_length())
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.padded))
+    """`tables` tables of `hashes` rotations each; a code is one of 2 * padded signed axes."""
+
+    def __init__(self, size: int, tables: int = TABLES, hashes: int = 2, seed: int = 7):
+        self.size, self.padded, self.tables, self.hashes = size, 1 << max(0, (size - 1).bit_length()), tables, hashes
+        self.axes = 2 * self.padded
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, hashes, 3, self.padded))
 
-    def rotated(self, x: np.ndarray, table: int) -> np.ndarray:
+    def rotated(self, x: np.ndarray, table: int, nth: int) -> np.ndarray:
+        """Rows' coordinates along all signed axes."""
         x = np.pad(x, ((0, 0), (0, self.padded - self.size)))
-        for signs in self.signs[table]:
+        for signs in self.signs[table, nth]:
             x = hadamard(x * signs) / np.sqrt(self.padded)
-        return x
+        return np.concatenate([x, -x], axis=1)
 
     def codes(self, x: np.ndarray, table: int) -> np.ndarray:
-        r = self.rotated(x, table)
-        axis = np.abs(r).argmax(axis=1)
-        return axis + self.padded * (r[np.arange(len(r)), axis] < 0)
+        """The bucket of each row, its codes in mixed radix."""
+        out = np.zeros(len(x), np.int64)
+        for nth in range(self.hashes):
+            out = out * self.axes + self.rotated(x, table, nth).argmax(axis=1)
+        return out
 
     def probed(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
-        """(queries, 2 * padded) bool: the buckets that each query probes."""
-        r = self.rotated(x, table)
-        both = np.concatenate([r, -r], axis=1)
-        best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
-        out = np.zeros(both.shape, bool)
-        np.put_along_axis(out, best, True, axis=1)
-        return out
+        """(rows, probes): the nearest buckets. The best sums have prefixes among the best sums."""
+        codes, gaps = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for nth in range(self.hashes):
+            r = self.rotated(x, table, nth)
+            own = (r.max(axis=1, keepdims=True) - r) ** 2
+            codes = (codes[:, :, None] * self.axes + np.arange(self.axes)).reshape(len(x), -1)
+            gaps = (gaps[:, :, None] + own[:, None, :]).reshape(len(x), -1)
+            if gaps.shape[1] > probes:
+                best = np.argpartition(gaps, probes - 1, axis=1)[:, :probes]
+                codes, gaps = np.take_along_axis(codes, best, 1), np.take_along_axis(gaps, best, 1)
+        return codes
 
 
 def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
-def _search(block, hasher: Hasher, probes: int, keep: int):
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
+
+
+def _indexed(hasher: Hasher, with_vectors: bool):
+    """(tbl, head[, tail, ids, v]) of classes (v, ids): a row for each table."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = _matrix(part.column(0))
+                for t in range(hasher.tables):
+                    codes = hasher.codes(x, t)
+                    columns = {"tbl": pa.array(np.full(len(x), t, np.int32)), "head": pa.array(codes // hasher.axes)}
+                    if with_vectors:
+                        columns |= {"tail": pa.array((codes % hasher.axes).astype(np.int32)), "ids": part.column(1), "v": _vectors(x)}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _asked(hasher: Hasher, probes: int, with_vectors: bool):
+    """(tbl, head[, tails, class, v]) of queries (v, class): a row for each head that is probed."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, names = _matrix(part.column(0)), part.column(1).to_numpy()
+                for t in range(hasher.tables):
+                    codes = np.sort(hasher.probed(x, t, probes), axis=1)
+                    heads, tails = codes // hasher.axes, (codes % hasher.axes).astype(np.int32)
+                    first = np.concatenate([np.ones((len(x), 1), bool), heads[:, 1:] != heads[:, :-1]], axis=1).reshape(-1)
+                    starts = np.flatnonzero(first)
+                    own = starts // codes.shape[1]
+                    columns = {"tbl": pa.array(np.full(len(starts), t, np.int32)), "head": pa.array(heads.reshape(-1)[starts])}
+                    if with_vectors:
+                        ends = pa.array(np.append(starts, first.size), pa.int32())
+                        columns |= {"tails": pa.ListArray.from_arrays(ends, pa.array(tails.reshape(-1))), "class": pa.array(names[own]), "v": _vectors(x[own])}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _best(x: np.ndarray, ids: list, query: np.ndarray, keep: int) -> list[tuple[float, int]]:
+    """(-cosine, id) of the rows nearest to the query, ties to smaller ids."""
+    score = (x * query).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum()))
+    near = np.arange(len(x))
+    if len(near) > keep:
+        edge = np.partition(score, len(score) - keep)[len(score) - keep]
+        near = np.flatnonzero(score >= edge)
+    return sorted((-float(score[n]), i) for n in near for i in ids[n])[:keep]
+
+
+def _rows(found: list[tuple[int, float, int]], kind=pa.RecordBatch):
+    return kind.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([-f[1] for f in found], pa.float64())], names=["class", "vec_id", "score"])
+
+
+def _met(keep: int):
+    """What each query of a block finds in the buckets that it probes."""
+
+    def run(rows, asking):
+        found = []
+        if rows.num_rows and asking.num_rows:
+            tail = rows["tail"].to_numpy()
+            order = np.argsort(tail, kind="stable")
+            tail, x = tail[order], _matrix(rows["v"].combine_chunks())[order]
+            ids = rows["ids"].to_pylist()
+            ids = [ids[n] for n in order]
+            queries, names = _matrix(asking["v"].combine_chunks()), asking["class"].to_pylist()
+            for name, query, tails in zip(names, queries, asking["tails"].to_pylist()):
+                left, right = np.searchsorted(tail, tails, "left"), np.searchsorted(tail, tails, "right")
+                near = np.concatenate([np.arange(a, b) for a, b in zip(left, right)])
+                if len(near):
+                    found += [(name, s, i) for s, i in _best(x[near], [ids[n] for n in near], query, keep)]
+        return _rows(found, pa.Table)
+
+    return run
+
+
+def _exact(block, keep: int):
     def run(batches):
-        names, queries = block.value
-        tables = range(len(hasher.signs))
-        probed = [hasher.probed(queries, t, probes) for t in tables]
-        q_norm = np.sqrt((queries * queries).sum(axis=1))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = _matrix(batch.column(0)), batch.column(1).to_pylist()
-            x_norm = np.sqrt((x * x).sum(axis=1))
-            codes = [hasher.codes(x, t) for t in tables]
-            out: list[list] = [[], [], []]
-            for q in range(len(queries)):
-                near = np.zeros(len(x), bool)
-                for t in tables:
-                    near |= probed[t][q][codes[t]]
-                near = np.flatnonzero(near)
-                score = (x[near] * queries[q]).sum(axis=1) / (x_norm[near] * q_norm[q])
-                if len(near) > keep:
-                    edge = np.partition(score, len(score) - keep)[len(score) - keep]
-                    near, score = near[score >= edge], score[score >= edge]
-                found = sorted((-s, i) for n, s in zip(near.tolist(), score.tolist()) for i in ids[n])[:keep]
-                for col, values in zip(out, ([names[q]] * len(found), [i for _, i in found], [-s for s, _ in found])):
-                    col += values
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["class", "vec_id", "score"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, ids = _matrix(part.column(0)), part.column(1).to_pylist()
+                yield _rows([(name, s, i) for name, query in zip(*block.value) for s, i in _best(x, ids, query, keep)])
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row that is_query (a condition on the id column)."""
+def candidates(classes: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, keep: int) -> DataFrame:
+    """(class, vec_id, score): the `keep` best of each block's candidates for queries (v, class) among classes (v, ids)."""
+    keys = ["tbl", "head"]
+    n_rows = classes.mapInArrow(_indexed(hasher, False), "tbl int, head long").groupBy(keys).agg(F.count("*").alias("n_rows"))
+    n_asked = queries.mapInArrow(_asked(hasher, probes, False), "tbl int, head long").groupBy(keys).agg(F.count("*").alias("n_asked"))
+    heads = written(n_rows.join(n_asked, keys).select(*keys, F.ceil(F.col("n_rows") / ROWS).cast("int").alias("rows"), F.ceil(F.col("n_asked") / ASKED).cast("int").alias("asks")), "heads")
+    rows = classes.mapInArrow(_indexed(hasher, True), "tbl int, head long, tail int, ids array<long>, v array<double>").join(heads, keys)
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("ids"), "rows").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    asks = queries.mapInArrow(_asked(hasher, probes, True), "tbl int, head long, tails array<int>, class long, v array<double>").join(heads, keys)
+    asks = asks.withColumn("j", F.pmod(F.xxhash64("class"), "asks").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    block = [*keys, "i", "j"]
+    met = rows.select(*block, "tail", "ids", "v").groupBy(block).cogroup(asks.select(*block, "tails", "class", "v").groupBy(block))
+    return met.applyInArrow(_met(keep), FOUND)
+
+
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, hashes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each row that is_query (a condition on the id column).
+
+    hashes: rotations of a table; by default as many as keep about 1,000 rows
+    in a head's bucket, and two at least.
+    """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("query")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     usual = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -113,21 +217,28 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     classes = written(firsts.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
     asking = written(own.where("query").select("vec_id", "v").distinct(), "asking")
     distinct = written(asking.groupBy("v").agg(F.min("vec_id").alias("class")), "queries")
-    n = distinct.count()
-    if not n:
+    size = classes.count()
+    if not size:
         return empty
-    blocks = -(-n // block)
-    hasher = Hasher(usual["n"], tables)
-    path, marked = new_path(spark, "near"), distinct.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)))
-    for b in range(blocks):
+    if hashes is None:
+        axes = Hasher(usual["n"], 1, 1).axes
+        hashes = max(2, round(math.log(max(2, size / 1024)) / math.log(max(2, axes))))
+    found = candidates(classes, distinct, Hasher(usual["n"], tables, hashes), probes, k + 1)
+    found = written(found.groupBy("class", "vec_id").agg(F.max("score").alias("score")), "found")
+    # each query's own id is one of those found
+    short = found.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > k).select("class")
+    short = written(distinct.join(short, "class", "left_anti"), "short")
+    path, n = new_path(spark, "exact"), short.count()
+    marked = short.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(-(-n // block) or 1)))
+    for b in range(-(-n // block)):
         rows = marked.where(F.col("block") == b).select("class", "v").collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([list(r[1]) for r in rows], float)))
-        found = classes.select("v", "ids").mapInArrow(_search(sent, hasher, probes, k + 1), "class long, vec_id long, score double")
-        by = Window.partitionBy("class").orderBy(F.desc("score"), "vec_id")
-        found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1).drop("n").write.mode("append").parquet(path)
-    found = spark.read.schema("class long, vec_id long, score double").parquet(path)
+        if rows:
+            sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([list(r[1]) for r in rows], float)))
+            classes.select("v", "ids").mapInArrow(_exact(sent, k + 1), FOUND).write.mode("append").parquet(path)
+    if n:
+        found = found.unionByName(spark.read.schema(FOUND).parquet(path)).groupBy("class", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("class").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     # each query's own id goes, then the first k of its class stay
     members = asking.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "class")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

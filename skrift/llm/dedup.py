@@ -7,15 +7,23 @@ into all pairs: each bucket is verified as a star around its pivot (the node
 with the smallest fingerprint), and union-find joins what is linked. Pairs of a
 bucket that are in different components so far, and whose signatures are within
 MARGIN of the threshold, are still open; crowded buckets are searched for them
-in blocks of chunks. What they connect is a canopy, and within each canopy, in
-blocks again, open pairs are verified on full sets. Blocks give spanning
-forests, not pairs; nothing is capped.
+in blocks: nodes of a bucket's largest component need only be compared with the
+others, so a large group that its star has linked costs no more than its rows.
+What open pairs connect is a canopy, and within each canopy, in blocks again,
+open pairs are verified on full sets. Blocks give spanning forests, not pairs;
+nothing is capped.
+
+Texts are fetched for full sets by row key, after a filter of bounded size on
+the side of the scan; a set counts only if its fingerprint is its node. Joins on
+keys that many rows may share (node, bucket, root) have a written table with one
+row a key on the other side, so that skewed partitions can be split.
 
 Defined results: null or blank text has no shingles and is linked with nothing.
 Rows with a null id are grouped, but the smallest non-null id names the
 component; if there is none, component_id is null and the row is kept. Repeated
 rows get equal results. Columns other than id and text are not read. With a
-column of row keys, one row of each group is kept, whatever its id.
+column of row keys, one row of each group is kept, whatever its id. An empty
+table gives no rows.
 """
 
 import numpy as np
@@ -24,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, byte_batches, dropped, mix, rolling, salted, written
+from .shared import WordHashes, byte_batches, dropped, mix, pruned, rolling, salted, written
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64(0xFFFFFFFF)
 #: Under the threshold by this much, a signature still counts as likely: 5 standard deviations.
 MARGIN = 0.12
-#: Nodes of a chunk of a crowded bucket.
+#: Nodes of a chunk of a crowded group.
 BLOCK = 512
 #: Places of a signature; the first ones make the bands.
 PLACES = 240
@@ -126,13 +134,20 @@ def _sketches(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
+    """Full sets of nodes; a row whose set is not its node's (equal row keys of other texts) goes."""
+
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t.as_py(), k, hashes).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                nodes, sets = [], []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    own = shingle_set(text.as_py(), k, hashes).tobytes()
+                    if xxhash.xxh3_128_digest(own) == node:
+                        nodes.append(node)
+                        sets.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -210,16 +225,15 @@ def components(edges: DataFrame) -> DataFrame:
 def _full_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of nodes, from one row of docs each.
 
-    The wanted keys are written, so that their size is known and texts are
-    shuffled only for a large table. Only rows that repeat an id and text have
-    to be made one; others are not compared.
+    Only rows that repeat a row key have to be made one text; others are not compared.
     """
     wanted = written(reps.join(nodes, "node").select("node", F.col("rep.key").alias("key"), "again"), "wanted")
-    texts = docs.join(wanted, "key").select("node", "raw", "again")
-    once = texts.where("NOT again")
+    texts = pruned(docs, "key", wanted).join(wanted.hint("merge"), "key").select("node", "raw", "again")
+    once = texts.where("NOT again").select("node", "raw")
     if not wanted.where("again").isEmpty():
-        once = once.unionByName(texts.where("again").dropDuplicates(["node"]))
-    return once.select("node", "raw").mapInArrow(_sets(k), "node binary, shingles binary")
+        repeated = texts.where("again").groupBy("node", F.md5("raw").alias("md5")).agg(F.first("raw").alias("raw"))
+        once = once.unionByName(repeated.select("node", "raw"))
+    return once.mapInArrow(_sets(k), "node binary, shingles binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -259,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # most buckets have one node: those are counted without it, and only members of others are shuffled for a pivot
     crowded = written(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
     shared = written(bucketed.join(crowded, "bucket"), "shared")
-    pivots = shared.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    pivots = written(shared.groupBy("bucket").agg(F.min("node").alias("pivot")), "pivots")
     members = written(shared.join(pivots, "bucket"), "members")
     dropped(shared)
     least = percent / 100 - MARGIN
@@ -271,12 +285,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _linked_in(canopies, roots, reps, texts, k, percent, least)
     if not more.isEmpty():
         roots = components(_linked(known, percent).unionByName(more))
-    out = sketch.select("id", "key", "n", "node").join(roots, "node", "left")
-    out = out.select("id", "key", "n", F.coalesce("root", "node").alias("root"))
-    names = reps.select("node", "rep").join(roots, "node", "left")
-    names = names.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("first"))
-    out = out.join(names, "root", "left").withColumn("name", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id")))
-    kept = F.col("root").isNull() | (F.col("key") == F.col("first.key")) if row_col else F.col("id").eqNullSafe(F.col("name"))
+    # one row a node: its component's first row
+    own = reps.select("node", "rep").join(roots, "node", "left")
+    names = written(own.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("top")), "names")
+    firsts = written(own.join(names, "root", "left").select(F.col("node").alias("of"), F.coalesce("top", "rep").alias("first")), "firsts")
+    out = sketch.select("id", "key", "n", "node").join(firsts, F.col("node") == F.col("of"), "left")
+    out = out.withColumn("name", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("first.id")))
+    kept = F.col("of").isNull() | (F.col("key") == F.col("first.key")) if row_col else F.col("id").eqNullSafe(F.col("name"))
     keys = [F.col("key").alias(row_col)] if row_col else []
     return out.select(F.col("id").alias(id_col), *keys, F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), kept.alias("kept"))
 
@@ -285,74 +300,81 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
 
 
-def _chunked(state: DataFrame) -> DataFrame:
-    """A row for each pair (i, j) of chunks of its group that a node has part in: groups of any size in blocks."""
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    state = state.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    return state.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def _chunked(state: DataFrame, group: str) -> DataFrame:
+    """state (group, node, root, ...) dealt to blocks (i, j), for groups that have several roots.
+
+    Nodes that are not of their group's commonest root (`few`) visit all blocks
+    of the group: block (i, j) has chunk i of all nodes, and as visitors chunk j
+    of the few. A group of N nodes, M of them few, makes (N * M) / 256 rows and N + M at least.
+    """
+    sizes = state.groupBy(group, "root").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy(group).agg(F.sum("n").alias("size"), F.max(F.struct("n", F.col("root").alias("bulk"))).alias("top"))
+    shape = written(shape.where(F.col("size") > F.col("top.n")).select(group, "size", (F.col("size") - F.col("top.n")).alias("others"), "top.bulk"), "shape")
+    chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = state.join(shape, group).withColumn("few", F.col("root") != F.col("bulk"))
+    at = lambda n: F.pmod(F.xxhash64("node"), chunks(n)).cast("int")
+    block = lambda i, j, visitor: F.struct(i.alias("i"), j.alias("j"), F.lit(visitor).alias("visitor"))
+    held = F.transform(F.sequence(F.lit(0), chunks("others") - 1), lambda j: block(at("size"), j, False))
+    sent = F.transform(F.sequence(F.lit(0), chunks("size") - 1), lambda i: block(i, at("others"), True))
+    own = own.withColumn("b", F.explode(F.when(F.col("few"), F.concat(held, sent)).otherwise(held)))
+    return own.select("*", "b.*").drop("b", "size", "others", "bulk")
 
 
 def _open(members: DataFrame, roots: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Edges that span, within blocks of buckets, all likely pairs which the stars have left in different components."""
-    state = members.where("size > 2").join(roots, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
-    mixed = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    state = _chunked(state.join(mixed, "bucket")).join(reps.select("node", "sig"), "node")
+    state = members.where("size > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    state = _chunked(written(state, "state"), "bucket").join(reps.select("node", "sig"), "node")
     return state.groupBy("bucket", "i", "j").applyInArrow(_block(least), "a binary, b binary")
 
 
 def _linked_in(canopies: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     """Links between components within a canopy, as a spanning forest; exact, on full sets."""
     own = canopies.select("node", F.col("root").alias("canopy"))
-    sets = _full_sets(own.select("node"), reps, docs, k)
-    sizes = own.groupBy("canopy").agg(F.count("*").alias("size"))
-    state = own.join(sizes, "canopy").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    state = _chunked(state.join(sets, "node").join(reps.select("node", "sig"), "node"))
-    return written(state.groupBy("canopy", "i", "j").applyInArrow(_block(least, percent), "a binary, b binary"), "links")
+    state = written(own.join(roots, "node", "left").select("canopy", "node", F.coalesce("root", "node").alias("root")), "state")
+    sets = written(_full_sets(own.select("node"), reps, docs, k), "sets")
+    state = _chunked(state, "canopy").join(sets, "node").join(reps.select("node", "sig"), "node")
+    found = written(state.groupBy("canopy", "i", "j").applyInArrow(_block(least, percent), "a binary, b binary"), "links")
+    dropped(sets)
+    return found
 
 
 def _block(least: float, percent: int | None = None):
-    """A spanning forest of one block's open pairs, between its two chunks or within its only one.
+    """A spanning forest of one block's open pairs of a visitor and a node that is held.
 
     Open: in different components, and signatures agree in `least` of the
     places. With `percent`, the forest is of components, and only of pairs
-    that their full sets link.
+    that their full sets link. A pair of two few meets in two blocks, and is
+    taken in one.
     """
 
     def run(table):
         node = table.column("node").to_pylist()
         codes: dict[bytes, int] = {}
         tree = np.array([codes.setdefault(r, len(codes)) for r in table.column("root").to_pylist()])
+        place: dict[bytes, int] = {n: i for i, n in enumerate(sorted(set(node)))}
+        name = np.array([place[n] for n in node])
         sig = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
-        own = table.column("own").to_numpy()
-        two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        few, visitor = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("few", "visitor"))
         if percent is not None:
             sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             size = np.array([len(x) for x in sets])
-            starts = np.concatenate([[0], np.cumsum(size)])
-            names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            mark = np.zeros(len(names), bool)
-        common = np.bincount(tree).argmax()
         left, right = [], []
-        order = np.arange(len(node))
         # exact links join components; open pairs join the very nodes, all of which a canopy needs
-        joint = tree.copy() if percent is not None else order.copy()
-        for x in np.flatnonzero(tree != common):  # two in the commonest component are connected
-            ok = (tree != tree[x]) & ((tree == common) | (order > x))
-            if two:
-                ok &= own != own[x]
-            y = np.flatnonzero(ok)
+        joint = (tree if percent is not None else name).copy()
+        held = np.flatnonzero(~visitor)
+        for x in np.flatnonzero(visitor):
+            y = held[(tree[held] != tree[x]) & (~few[held] | (name[held] > name[x]))]
             y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-            if percent is not None and len(y := y[joint[y] != joint[x]]):
-                mark[flat[starts[x] : starts[x + 1]]] = True
-                shared = np.array([mark[flat[starts[v] : starts[v + 1]]].sum() for v in y])
-                mark[flat[starts[x] : starts[x + 1]]] = False
-                y = y[shared * 100 >= percent * (size[x] + size[y] - shared)]
-            for v in y:
-                if joint[v] != joint[x]:
-                    left.append(max(node[x], node[v]))
-                    right.append(min(node[x], node[v]))
-                    joint[joint == joint[v]] = joint[x]
+            for v in y[joint[y] != joint[x]]:
+                if joint[v] == joint[x]:
+                    continue
+                if percent is not None:
+                    shared = len(np.intersect1d(sets[x], sets[v], assume_unique=True))
+                    if shared * 100 < percent * (size[x] + size[v] - shared):
+                        continue
+                left.append(max(node[x], node[v]))
+                right.append(min(node[x], node[v]))
+                joint[joint == joint[v]] = joint[x]
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return run

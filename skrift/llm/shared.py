@@ -59,6 +59,21 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pruned(df: DataFrame, key: str, wanted: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Rows of df whose key may be among those of the written table `wanted`, so that a join shuffles few others.
+
+    A bit for each key's hash, in at most `most` longs: this is what is
+    broadcast, whatever the number of keys. Eight keys a long let 12 % of other
+    rows pass; beyond 8 * most keys the filter lets more pass, and never loses a row.
+    """
+    longs = 1 << max(6, min(most.bit_length() - 1, (wanted.count() // 8).bit_length()))
+    h = F.xxhash64(F.col(key), F.lit(3))
+    place, bit = h.bitwiseAND(longs - 1).alias("__place"), F.shiftrightunsigned(h, 58).cast("int")
+    bits = wanted.select(place, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("__place").agg(F.bit_or("b").alias("__bits"))
+    held = F.col("__bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
+    return df.withColumn("__place", place).join(F.broadcast(bits), "__place").where(held).drop("__place", "__bits")
+
+
 def byte_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds the Arrow batches of texts by bytes, unless the session does: by rows alone, a split goes to Python as one."""
     if not spark.conf.get(BATCH_BYTES, None):
