@@ -20,7 +20,7 @@ ARGUMENT_CHARS = {"one_party": 1500, "several_parties": 600}
 QUOTA = {"one_party": {"program": 3, "motion": 8, "proposition": 3, "said": 3}, "several_parties": {"program": 1, "motion": 2, "proposition": 2, "said": 1}}
 MAX_DISTANCE, MIN_SIMILARITY, MIN_MATCH = 0.04, 0.80, 0.5
 SLOT_EXTRA = 20
-HISTORY_TURNS, TOOL_ROUNDS = 20, 2
+HISTORY_TURNS, TOOL_ROUNDS, MOST_INDIVIDUAL = 20, 2, 0
 MIN_TEXT_CHARS, MIN_CHARS, HEAD_CHARS = 150, 150, 400_000
 
 # Words that search ignores.
@@ -51,7 +51,10 @@ ALIASES = {
 }
 # Patterns of questions and answers.
 VOTING_ADVICE = "vilket parti (ska|bör) jag|vilket parti är bäst|bästa partiet|passar mig|(ska|bör) jag rösta|rekommendera(r)? du|hjälp mig välja"
-CITATION = r" ?\[\d+(?:\s*[,–-]\s*\d+)*\]"
+CITATION = r"\s*\[\d+(?:\s*[,–-]\s*\d+)*\]"
+LIST_MARKER = r"^([-*•]|\d+\.)\s+"
+TRAILING_CITATIONS = r"([.!?])((?:\s*\[\d+(?:\s*[,–-]\s*\d+)*\])+)"
+LAYER_LABEL = r" ?\((?:PROGRAM|SAID|MOTION|PROPOSITION)\)"
 GAP = (
     "saknas|finns (det )?(inget|inga|inte)|inget (relevant )?(material|underlag)|framgår inte|tar inte upp|hittade (inget|inga)|"
     "inte (något|någon|några) (material|underlag|information)|no (relevant )?(material|information|sources)|not (in|covered by) the material|"
@@ -61,5 +64,26 @@ REFUSAL = (
     "rekommender|rangordna|ge (något |några )?råd|tar inte ställning|inte (säga|avgöra|tala om) vilket parti|recommend|advi[cs]e|"
     "not (tell|say) (you )?which party"
 )
+# How answers name the parties, in Swedish or English; case counts.
+PARTY_NAMES_IN_ANSWERS = {
+    "S": r"Socialdemokrat\w*|Social Democrat\w*",
+    "M": r"Moderat\w*|Moderate\w*",
+    "SD": r"Sverigedemokrat\w*|Sweden Democrat\w*",
+    "C": r"Centerpartiet\w*|Centern\w*|Cent(?:re|er) Party",
+    "V": r"Vänsterpartiet\w*|Left Party",
+    "KD": r"Kristdemokrat\w*|Christian Democrat\w*",
+    "MP": r"Miljöpartiet\w*|Green Party|the Greens",
+    "L": r"Liberalerna\w*|Liberal Party|Liberals",
+}
 SWEDISH = "och att det som är inte för med har vill partiet de om sig".split()
 ENGLISH = "the and to of is that not for with has wants party they it".split()
+# What a prompt is made of.
+LAYER_NAMES = {"said": "hemsidan", "motion": "motioner", "program": "partiprogrammet", "proposition": "propositioner"}
+GAPS_TITLE = "INGET RELEVANT MATERIAL HITTADES FÖR"
+ALL_SHOWN = "(Alla träffar i den här sökningen har redan visats ovan.)"
+VOTING_ADVICE_NOTE = (
+    "\n\nOBS: användaren ber om en partirekommendation. Följ regel 3 — rekommendera inte, förklara kort varför, och redovisa sedan neutralt "
+    "vad partierna säger i sakfrågan, om frågan nämner någon.\n"
+)
+NO_ANSWER = "[no answer was generated — finish_reason: {}]"
+CONFIGS = ("rag_tools", "rag_one_call", "no_rag")

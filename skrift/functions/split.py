@@ -11,25 +11,42 @@ from .. import constants as K
 ENDS = re.compile(r"(?<=[.!?])\s+")
 
 
-def _sentences(paragraph: str, most: int, overlap: int) -> list[str]:
-    """Sentences packed with blanks; one that is too long is cut in steps of most - overlap."""
+def _packed(parts, between: str, most: int) -> list[str]:
+    """Parts joined while they fit; a part that is alone and just as long as a piece may be stays as it is."""
     out, held = [], ""
-    for s in ENDS.split(paragraph):
-        if len(s) > most:
-            if held:
-                out.append(held)
-                held = ""
-            out += [s[i : i + most] for i in range(0, len(s), most - overlap)]
-        elif held and len(held) + len(s) + 1 > most:
-            out.append(held)
-            held = s
+    for p in parts:
+        if len(held) + len(between) + len(p) <= most:
+            held = f"{held}{between}{p}".strip()
         else:
-            held = f"{held} {s}" if held else s
+            out += [held] if held else []
+            held = p
     return out + ([held] if held else [])
 
 
-def split_text(text: str | None, most: int = K.MAX_CHARS, overlap: int = K.OVERLAP) -> list[str]:
-    """Pieces of a text: paragraphs, then sentences, packed while they fit, in the order of the text.
+def _sentences(paragraph: str, most: int, overlap: int, ordered: bool) -> list[str]:
+    """Sentences packed with blanks. One that is too long loses pieces of `most` characters, each `overlap` into the next, and its rest is packed on.
+
+    ordered: what is held goes before such pieces; else after them, as the rest is packed with it.
+    """
+    out, run = [], []
+    for s in ENDS.split(paragraph):
+        if ordered and len(s) > most:
+            out += _packed(run, " ", most)
+            run = []
+        elif len(s) > most and run:
+            # what is held already moves on, in packed form, with the rest
+            *done, held = _packed(run, " ", most)
+            out += done
+            run = [held]
+        while len(s) > most:
+            out.append(s[:most])
+            s = s[most - overlap :]
+        run.append(s)
+    return out + _packed(run, " ", most)
+
+
+def split_text(text: str | None, most: int = K.MAX_CHARS, overlap: int = K.OVERLAP, ordered: bool = True) -> list[str]:
+    """Pieces of a text: paragraphs, then sentences, packed while they fit, in the order of the text (see _sentences).
 
     Each piece after the first starts with the tail of the one before, from
     its first blank on. A short text is one piece, an empty one has none.
@@ -38,17 +55,11 @@ def split_text(text: str | None, most: int = K.MAX_CHARS, overlap: int = K.OVERL
     if len(text) <= most:
         return [text] if text else []
     paras = filter(None, map(str.strip, re.split(r"\n\s*\n", text)))
-    parts = [p for para in paras for p in ([para] if len(para) <= most else _sentences(para, most, overlap))]
-    pieces, held = [], ""
-    for p in parts:
-        if held and len(held) + len(p) + 2 > most:
-            pieces.append(held)
-            held = p
-        else:
-            held = f"{held}\n\n{p}" if held else p
-    pieces += [held] if held else []
-    tails = ["", *(p[-overlap:] for p in pieces)]
-    return [(t.split(" ", 1)[1] + " " + p if " " in t else p) for t, p in zip(tails, pieces)]
+    pieces = _packed([p for para in paras for p in ([para] if len(para) <= most else _sentences(para, most, overlap, ordered))], "\n\n", most)
+    if not overlap:
+        return pieces
+    tails = (p[-overlap:].partition(" ")[2] for p in pieces)
+    return pieces[:1] + [f"{t} {p}".strip() for t, p in zip(tails, pieces[1:])]
 
 
 @F.pandas_udf(types.ArrayType(types.StringType()))

@@ -81,11 +81,21 @@ def without_citations(text: Column) -> Column:
     return F.regexp_replace(text, K.CITATION, "")
 
 
+def without_layer_labels(text: Column) -> Column:
+    return F.regexp_replace(text, K.LAYER_LABEL, "")
+
+
+def mentioned(answer: Column) -> Column:
+    """Codes of the parties that an answer names, or writes as a code of its own, in slot order."""
+    named = [F.when(answer.rlike(rf"(?U)(?:{names})|(?<![\w-]){code}(?![\w-])"), F.lit(code)) for code, names in K.PARTY_NAMES_IN_ANSWERS.items()]
+    return F.array_compact(F.array(*named))
+
+
 def sentences(text: Column) -> Column:
     """Sentences of an answer: no headings, labels or list markers; a citation behind a stop goes before it."""
     lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.endswith(":") & ~(x.startswith("**") & x.endswith("**")))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^([-*•]|\d+\.)\s+", ""), r"([.!?])((?:\s*\[\d+(?:\s*[,–-]\s*\d+)*\])+)", "$2$1"))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, K.LIST_MARKER, ""), K.TRAILING_CITATIONS, "$2$1"))
     return F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda s: s != "")
 
 
@@ -117,6 +127,20 @@ def truncated(text: Column, chars: int) -> Column:
     return F.when(F.length(text) > chars, F.concat(F.regexp_replace(F.left(text, F.lit(chars)), "(?s) [^ ]*$", ""), F.lit(" …"))).otherwise(text)
 
 
+def subset(items: Column, of: Column) -> Column:
+    return F.size(F.array_except(items, of)) == 0
+
+
+def day(stamp: Column) -> Column:
+    """The date of an ISO time stamp."""
+    return F.left(stamp, F.lit(10))
+
+
+def budget_year(session: Column) -> Column:
+    """The year that a session's budget is for: that after its first one."""
+    return F.left(session, F.lit(4)).cast("int") + 1
+
+
 def slug(url: Column) -> Column:
     last = F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)
     return F.when(last == "", "index").otherwise(last)

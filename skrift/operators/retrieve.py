@@ -9,17 +9,17 @@ from .. import constants as K
 from ..functions import text as T
 
 
-def quota(mode: str, layers=K.LAYERS) -> dict[str, int]:
-    """Passages a slot gets, scaled so that the searched layers share the whole budget."""
+def quota(mode: str, layers=K.LAYERS, searched=None) -> dict[str, int]:
+    """Passages a slot gets, scaled so that all layers searched in this step share the whole budget."""
     own = K.QUOTA[mode]
-    budget, weight = sum(own.values()), sum(own[x] for x in layers)
+    budget, weight = sum(own.values()), sum(own[x] for x in searched or layers)
     return {x: math.ceil(own[x] * budget / weight) for x in layers}
 
 
-def slots(spark: SparkSession, parties, layers=K.LAYERS, government=K.GOVERNMENT) -> DataFrame:
-    """(slot, s_party, s_layer, n): parties by layers, without propositions for the opposition; two short fixed lists."""
-    each = quota("one_party" if len(parties) == 1 else "several_parties", layers)
-    rows = [(p, x, each[x]) for p in parties for x in layers if x != "proposition" or p in government]
+def slots(spark: SparkSession, parties, layers=K.LAYERS, government=K.GOVERNMENT, searched=None) -> DataFrame:
+    """(slot, s_party, s_layer, n): parties (none: all) by layers, without propositions for the opposition; two short fixed lists."""
+    each = quota("one_party" if len(parties) == 1 else "several_parties", layers, searched)
+    rows = [(p, x, each[x]) for p in parties or K.PARTIES for x in layers if x != "proposition" or p in government]
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "slot int, s_party string, s_layer string, n int")
 
 
@@ -44,6 +44,15 @@ def relevant(candidates: DataFrame, floor: float = K.MIN_SIMILARITY, distance: f
     return own.where(F.col("similarity").isNull() | (F.col("similarity") >= F.greatest(F.lit(floor), F.col("best") - distance))).drop("best")
 
 
+def group_motions(candidates: DataFrame, most: int = K.MOST_INDIVIDUAL) -> DataFrame:
+    """Candidates (qid, slot, pos, layer, subtype, undertecknare, ...) with at most so many individual motions a slot; after the cutoff, for which all count."""
+    own = candidates.withColumn("single", F.coalesce(individual(F.col("layer"), F.col("subtype"), F.col("undertecknare")), F.lit(False)))
+    if not most:
+        return own.where("NOT single").drop("single")
+    nth = F.sum(F.col("single").cast("int")).over(Window.partitionBy("qid", "slot").orderBy("pos"))
+    return own.withColumn("nth", nth).where(~F.col("single") | (F.col("nth") <= most)).drop("single", "nth")
+
+
 def fill(candidates: DataFrame) -> DataFrame:
     """Slots filled in order, no passage twice; a skipped one leaves its place free.
 

@@ -5,15 +5,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..tables import spread, written
+from ..tables import range_ranked, spread, written
 
 #: Rows of a query side that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if a count shows that it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Questions of a block that is broadcast against all vectors.
+ASKED = 4096
+#: Passages up to which a whole ranking of one question is sorted in one task.
+RANKED_ROWS = 2_000_000
 
 
 def token_lists(passages: DataFrame) -> DataFrame:
@@ -45,26 +44,42 @@ def query_terms(questions: DataFrame, drop_party_words: bool = False) -> DataFra
     return own.groupBy("qid", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("qpos"))
 
 
+def _asked(questions: DataFrame, drop_party_words: bool):
+    """The questions' terms, written, and what hints that they are broadcast, if a count shows that they are few."""
+    asked = written(query_terms(questions, drop_party_words), "asked")
+    return asked, F.broadcast if asked.count() <= BROADCAST_ROWS else lambda df: df
+
+
 def bm25(passages: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False) -> DataFrame:
     """(qid, pid, score, rank): ties by the earliest matching query word, then pid."""
     # written: statistics, document frequencies and scores all read the lists, whose words are costly to stem
     lists = written(token_lists(spread(passages)), "tokens")
-    terms = small(query_terms(questions, drop_party_words).select("term").distinct())
-    return bm25_scored(postings(lists, terms), corpus_stats(lists), questions, limit, drop_party_words)
+    asked, small = _asked(questions, drop_party_words)
+    found = postings(lists, small(asked.select("term").distinct()))
+    return _bm25(written(found, "found"), corpus_stats(lists), asked, small, limit)
 
 
 def bm25_scored(posted: DataFrame, stats: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False) -> DataFrame:
-    """bm25 from postings (term, pid, dl, tf), all or of the questions' terms, and statistics (n, avgdl) of one row."""
-    asked = small(query_terms(questions, drop_party_words))
+    """bm25 from an index's postings (term, pid, dl, tf) and statistics (n, avgdl) of one row."""
+    asked, small = _asked(questions, drop_party_words)
     found = posted.join(small(asked.select("term").distinct()), "term", "left_semi")
+    return _bm25(written(found, "found"), stats, asked, small, limit)
+
+
+def _bm25(found: DataFrame, stats: DataFrame, asked: DataFrame, small, limit: int | None) -> DataFrame:
+    """From the written postings of the asked terms, which several steps read."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K.K1 + 1) / (F.col("tf") + K.K1 * (1 - K.B + K.B * F.col("dl") / F.col("avgdl")))
     scored = found.join(small(asked.join(weights, "term")), "term").groupBy("qid", "pid").agg(F.sum(part).alias("score"), F.min("qpos").alias("qpos"))
-    return ranked(scored, F.desc(F.round("score", 9)), "qpos", "pid", limit=limit).select("qid", "pid", "score", "rank")
+    many = limit is None and (stats.first() or [0])[0] > RANKED_ROWS
+    return ranked(scored, F.desc(F.round("score", 9)), "qpos", "pid", limit=limit, many=many).select("qid", "pid", "score", "rank")
 
 
-def ranked(scored: DataFrame, *order, limit: int | None = None, by: str | list[str] = "qid") -> DataFrame:
+def ranked(scored: DataFrame, *order, limit: int | None = None, by: str | list[str] = "qid", many: bool = False) -> DataFrame:
+    """scored with its rank; `many`: groups are too large for one task, and no limit cuts them first."""
+    if many and limit is None:
+        return range_ranked(scored, by, *order)
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return out if limit is None else out.where(F.col("rank") <= limit)
 
@@ -74,14 +89,21 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, asked: DataFrame, limit: int | None) -> DataFrame:
-    """(qid, pid, score, rank) from unit vectors (pid, vector) and a stated set of questions (qid, qvector)."""
-    scored = spread(vectors).crossJoin(F.broadcast(asked)).select("qid", "pid", dot(F.col("vector"), F.col("qvector")).alias("score"))
-    return ranked(scored, F.desc(F.round("score", 9)), "pid", limit=limit)
+    """(qid, pid, score, rank) from unit vectors (pid, vector) and a stated set of questions (qid, qvector), in blocks."""
+    n = asked.count()
+    blocks = -(-n // ASKED) or 1
+    own, out = spread(vectors), None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        scored = own.crossJoin(F.broadcast(part)).select("qid", "pid", dot(F.col("vector"), F.col("qvector")).alias("score"))
+        out = scored if out is None else out.unionAll(scored)
+    many = limit is None and vectors.count() > RANKED_ROWS
+    return ranked(out, F.desc(F.round("score", 9)), "pid", limit=limit, many=many)
 
 
 def stub_vectors(texts: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
     """(key, vector): hashed bag of words of unit length, the same in every process; a text without words is all zero."""
-    bins = texts.select(key, F.explode_outer(T.tokens(F.col(text))).alias("t")).groupBy(key, F.pmod(F.xxhash64("t"), F.lit(size)).cast("int").alias("bin"))
+    bins = texts.select(key, F.explode_outer(T.tokens(F.col(text))).alias("t")).groupBy(key, F.pmod(F.conv(F.left(F.md5(F.col("t").cast("binary")), F.lit(8)), 16, 10).cast("long"), F.lit(size)).cast("int").alias("bin"))
     counts = bins.agg(F.count("t").cast("double").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("own"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     unit = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("own", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0))
     return counts.select(key, unit.alias("vector"))

@@ -8,7 +8,8 @@ from .. import constants as K
 # Page furniture, hyphenation at line ends, headings of volumes.
 NOISE = r"^(?:Prop\.|Prop\. \d{4}/\d{2}:\d+|\d{4}/\d{2}:\d+|[\d\s,.−\-–+%()]+|(?:Prop\. \d{4}/\d{2}:\d+\s*)?Utgiftsområde \d{1,2})$"
 HYPHEN = r"(?U)(\w)- (?!och\b|eller\b|samt\b|till\b|som\b)([a-zåäö])"
-HEADING = r"\n(\d+(?:\.\d+){1,3})\n([A-ZÅÄÖ][^\n.]{3,110})\n"
+#: Levels of headings in a table; numbering has four.
+MOST_DEPTHS = 32
 
 
 def paragraphs(text: Column) -> Column:
@@ -34,25 +35,47 @@ def mostly_numbers(p: Column) -> Column:
 
 def topic_records(bodies: DataFrame, least: int = K.MIN_CHARS) -> DataFrame:
     """(doc, section, heading, text) of bodies (doc, section, body): text between headings, without number-heavy paragraphs."""
-    own = bodies.select("doc", "section", F.posexplode(paragraphs(F.col("body"))).alias("pos", "p"))
-    by = Window.partitionBy("doc", "section").orderBy("pos")
-    head = is_heading(F.col("p"))
-    own = own.withColumn("group", F.sum(head.cast("int")).over(by)).withColumn("head", head)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & ~mostly_numbers(F.col("p")), F.struct("pos", "p")))), lambda x: x["p"]), "\n\n")
-    out = own.groupBy("doc", "section", "group").agg(F.max(F.when(F.col("head"), F.col("p"))).alias("h"), text.alias("text"))
-    return out.where(F.length("text") >= least).select("doc", "section", F.coalesce("h", "section").alias("heading"), "text")
+    return grouped_topics(bodies, ["doc"], least).select("doc", "section", "heading", "text")
+
+
+def grouped_topics(bodies: DataFrame, keys: list[str], least: int = K.MIN_CHARS) -> DataFrame:
+    """(keys, section, group, heading, text) of bodies (keys, section, body): a fold over one body's paragraphs, without a shuffle.
+
+    A heading opens a group; the text before the first has the section's title
+    for a heading. Groups of fewer than `least` characters go.
+    """
+    kind = "array<struct<heading:string,parts:array<string>>>"
+
+    def step(done, p):
+        last = F.element_at(done, -1)
+        opened = F.concat(done, F.array(F.struct(p.alias("heading"), F.array().cast("array<string>").alias("parts"))))
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["heading"].alias("heading"), F.concat(last["parts"], F.array(p)).alias("parts"))))
+        return F.when(is_heading(p), opened).when(mostly_numbers(p), done).otherwise(grown)
+
+    start = F.array(F.struct(F.col("section").alias("heading"), F.array().cast("array<string>").alias("parts"))).cast(kind)
+    groups = F.aggregate(paragraphs(F.col("body")), start, lambda done, p: step(done, p).cast(kind))
+    own = bodies.select(*keys, "section", F.posexplode(groups).alias("group", "g"))
+    own = own.select(*keys, "section", "group", F.col("g.heading").alias("heading"), F.array_join("g.parts", "\n\n").alias("text"))
+    return own.where(F.length("text") >= least)
 
 
 def section_ranges(headings: DataFrame) -> DataFrame:
     """(doc, pos, depth, next_any, next_level) of headings (doc, pos, depth): where a section ends.
 
     next_any is the next heading; next_level the next of the same or a higher
-    level: one sort by document, then a search in its own few headings.
+    level. Depths are few, so the next heading of each depth is carried back by
+    one window, and the least of those that count is taken.
     """
     own = Window.partitionBy("doc").orderBy("pos")
-    later = F.collect_list(F.struct("pos", "depth")).over(own.rowsBetween(1, Window.unboundedFollowing))
-    ends = F.filter(later, lambda n: n["depth"] <= F.col("depth"))
-    return headings.select("doc", "pos", "depth", F.lead("pos").over(own).alias("next_any"), F.array_min(F.transform(ends, lambda n: n["pos"])).alias("next_level"))
+    # backwards, so that the frame grows: one that shrinks is computed anew for each row
+    after = Window.partitionBy("doc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    depths = [r[0] for r in headings.select("depth").distinct().orderBy("depth").limit(MOST_DEPTHS + 1).collect()]
+    if len(depths) > MOST_DEPTHS:
+        raise ValueError(f"more than {MOST_DEPTHS} heading levels")
+    next_of = {d: F.last(F.when(F.col("depth") == d, F.col("pos")), ignorenulls=True).over(after) for d in depths}
+    out = headings.select("doc", "pos", "depth", F.lead("pos").over(own).alias("next_any"), *[c.alias(f"__{i}") for i, c in enumerate(next_of.values())])
+    ends = F.array_min(F.array(*[F.when(F.lit(d) <= F.col("depth"), F.col(f"__{i}")) for i, d in enumerate(depths)])) if depths else F.lit(None).cast("int")
+    return out.select("doc", "pos", "depth", "next_any", ends.alias("next_level"))
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -66,33 +89,18 @@ def carried(rows: DataFrame, by: str, order: str, value: str, name: str) -> Data
 
 
 def body_style(spans: DataFrame) -> DataFrame:
-    """(file, font, size): the style most characters have; ties by font and size."""
-    per = spans.groupBy("file", "font", F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("chars"))
+    """(file, font, size): the style most characters have, white space at the ends apart; ties by font and size."""
+    stripped = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    per = spans.groupBy("file", "font", F.round("size", 1).alias("size")).agg(F.sum(F.length(stripped)).alias("chars"))
     best = F.max(F.struct("chars", "font", "size")).alias("b")
     return per.groupBy("file").agg(best).select("file", "b.font", "b.size")
 
 
-def line_style(size: Column, bold: Column, body_size: Column, chars: Column) -> Column:
-    """heading, body, dropcap or skip of a line against the body's size."""
-    return F.when(chars == 0, "skip").when((chars <= 2) & (size > body_size * 2), "dropcap").when((size > body_size + 0.5) | (bold & (size >= body_size)), "heading").when(size < body_size - 1, "skip").otherwise("body")
-
-
 def joined_lines(lines: Column) -> Column:
-    """Lines as one text; a hyphen at a line's end goes when the next one starts in lower case."""
+    """Lines as one text; a hyphen at a line's end goes when the next one starts in lower case, unless it stands for a shared ending."""
 
     def step(done, line):
-        cut = done.endswith("-") & line.rlike(r"^\p{Ll}")
-        return F.when(done == "", line).when(cut, F.concat(F.regexp_replace(done, "-$", ""), line)).otherwise(F.concat(done, F.lit(" "), line))
+        cut = done.endswith("-") & line.rlike(r"^\p{Ll}") & ~line.rlike("^(?:och|eller) ")
+        return F.when(done == "", line).when(cut, F.concat(F.regexp_replace(done, "-$", ""), line)).otherwise(F.trim(F.concat(done, F.lit(" "), line)))
 
     return F.aggregate(lines, F.lit(""), step)
-
-
-def headed_sections(lines: DataFrame) -> DataFrame:
-    """(file, section, heading, page, text) of lines (file, pos, page, style, text): runs of heading lines open a section."""
-    own = lines.where("style IN ('heading', 'body')")
-    by = Window.partitionBy("file").orderBy("pos")
-    opens = (F.col("style") == "heading") & (F.coalesce(F.lag("style").over(by), F.lit("body")) != "heading")
-    own = own.withColumn("section", F.sum(opens.cast("int")).over(by))
-    part = lambda s: joined_lines(F.transform(F.array_sort(F.collect_list(F.when(F.col("style") == s, F.struct("pos", "text")))), lambda x: x["text"]))
-    out = own.groupBy("file", "section").agg(part("heading").alias("heading"), F.min("page").alias("page"), part("body").alias("text"))
-    return out.where("text <> ''")

@@ -1,12 +1,13 @@
 """Queries over the driver's tables; documents stand in for passages (layer = lang, party = source)."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from ..functions.split import paragraphs as blank_line_paragraphs
 from ..functions.split import split_pieces
+from ..operators import answer as A
 from ..operators import evaluate as E
 from ..operators import retrieve as R
 from ..operators import search as S
@@ -14,6 +15,7 @@ from ..operators import sections as X
 from ..sources import html as H
 from ..sources import index as I
 from ..sources import layers as L
+from ..sources import sites as Y
 from ..tables import scratch, spread
 from . import report
 
@@ -51,21 +53,12 @@ def rounded(hits: DataFrame, *extra: str) -> DataFrame:
 
 
 def tokenize_stem(spark, sf):
-    own = T.tokens(F.col("text"))
-    return corpus(spark, sf).select("pid", F.size(own).cast("long").alias("n_tokens"), F.array_join(F.slice(own, 1, 12), " ").alias("head"))
-
-
-def term_freq(spark, sf):
-    return S.postings(S.token_lists(corpus(spark, sf))).where("tf >= 5").select("pid", "term", "tf")
-
-
-def tokenize_stem_whole(spark, sf):
     """With a digest of all stems of a text."""
     own = T.tokens(F.col("text"))
     return corpus(spark, sf).select("pid", F.size(own).cast("long").alias("n_tokens"), F.sha1(F.array_join(own, " ").cast("binary")).alias("sha1"))
 
 
-def term_freq_whole(spark, sf):
+def term_freq(spark, sf):
     return S.postings(S.token_lists(corpus(spark, sf))).select("pid", "term", "tf")
 
 
@@ -100,12 +93,6 @@ def vector_topk(spark, sf):
 
 
 def vector_topk_per_label(spark, sf):
-    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), "label")
-    hits = S.dense(vectors(spark, sf), asked_with_vectors(spark, sf).where("qid = 0"), None).join(labels, "pid")
-    return S.ranked(hits.drop("rank"), F.desc(F.round("score", 9)), "pid", limit=3, by="label").select("label", "pid", F.round("score", 6).alias("score"), "rank")
-
-
-def vector_topk_per_label_all(spark, sf):
     """For every question, the three nearest of each label."""
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), "label")
     hits = S.dense(vectors(spark, sf), asked_with_vectors(spark, sf), None).join(labels, "pid")
@@ -140,16 +127,41 @@ def per_party_cap_shared(spark, sf):
     return S.capped_shared(S.filtered(_hybrid(spark, sf), shared_corpus(spark, sf)), 1, 8)
 
 
-SLOT_PARTIES, SLOT_LAYERS = ("src0", "src1", "src2"), ("en", "fr", "de")
+SLOT_PARTIES = ("S", "M")
+
+
+def political(spark, sf) -> DataFrame:
+    """Documents as passages of the format's layers and parties, with what tells individual motions and sources."""
+    c = F.col
+    layer = F.when(c("lang") == "fr", "motion").when(c("lang") == "de", "program").when(c("lang") == "es", "proposition").otherwise("said")
+    code = F.get(F.lit(list(K.PARTIES)), F.regexp_extract("source", r"(\d+)", 1).try_cast("int") % len(K.PARTIES))
+    party = F.when(c("lang") == "es", "M;KD;L").otherwise(code)
+    own = table(spark, sf, "documents").select(c("doc_id").alias("pid"), layer.alias("layer"), party.alias("party"), "text")
+    return own.select(
+        "*", F.col("party").alias("parti"), F.concat("party", F.lit(" ("), "layer", F.lit(")")).alias("context"),
+        F.when(c("layer") == "motion", F.get(F.array(F.lit("Enskild motion"), F.lit("Kommittémotion"), F.lit("")), (c("pid") % 3).cast("int"))).alias("subtype"),
+        F.when(c("layer") == "motion", F.when(c("pid") % 2 == 0, "A B").otherwise("A B;C D")).alias("undertecknare"),
+        F.lit("2024/25").alias("rm"), c("pid").cast("string").alias("beteckning"), F.concat(F.lit("t"), c("pid").cast("string")).alias("doc_title"), F.lit("1 maj 2024").alias("datum"),
+        F.lit("partiprogram").alias("doc_type"), (c("pid") % 40).cast("int").alias("page"), (F.lit(2000) + c("pid") % 2 * 20).cast("int").alias("year"), F.lit("h").alias("heading"),
+        F.concat(F.when(c("pid") % 7 == 0, F.lit("ftp://")).otherwise(F.lit("https://")), F.lit("p.se/"), (c("pid") % 50).cast("string")).alias("url"), F.when(c("pid") % 2 == 0, "2024-05-06T01").alias("lastmod"),
+        F.when(c("pid") % 5 == 0, F.left("text", F.lit(900))).alias("sektion_text"),
+    )
 
 
 def _slot_table(spark):
-    return spark.createDataFrame([(i * 3 + j, p, x, 1 + (j == 0)) for i, p in enumerate(SLOT_PARTIES) for j, x in enumerate(SLOT_LAYERS)], "slot int, s_party string, s_layer string, n int")
+    return R.slots(spark, SLOT_PARTIES)
+
+
+def _candidates(spark, sf):
+    """A party's candidates of one ranking, after a cutoff that the synthetic vectors pass; propositions are shared, so they have their own query."""
+    own = political(spark, sf)
+    hits = S.filtered(_hybrid(spark, sf, party_filter=True), own, party=list(SLOT_PARTIES)).where("layer <> 'proposition'")
+    near = R.relevant(R.slot_candidates(hits, _slot_table(spark)), floor=-0.2, distance=0.3)
+    return near.join(own.select("pid", "subtype", "undertecknare"), "pid")
 
 
 def _filled(spark, sf):
-    hits = S.filtered(_hybrid(spark, sf, party_filter=True), corpus(spark, sf), party=list(SLOT_PARTIES))
-    return R.fill(R.relevant(R.slot_candidates(hits, _slot_table(spark)), floor=-0.2, distance=0.3))
+    return R.fill(R.group_motions(_candidates(spark, sf)))
 
 
 def slot_retrieval(spark, sf):
@@ -157,7 +169,77 @@ def slot_retrieval(spark, sf):
 
 
 def slot_gaps(spark, sf):
-    return R.gaps(asked_with_vectors(spark, sf), _slot_table(spark), _filled(spark, sf), government=())
+    return R.gaps(asked_with_vectors(spark, sf), _slot_table(spark), _filled(spark, sf))
+
+
+def individual_motions(spark, sf):
+    return political(spark, sf).where("layer = 'motion'").select("pid", R.individual(F.col("layer"), F.col("subtype"), F.col("undertecknare")).alias("single"))
+
+
+def slot_table(spark, sf):
+    """All slots of a question about all parties, and of one about one."""
+    every = R.slots(spark, []).withColumn("asked", F.lit("all"))
+    return every.unionByName(R.slots(spark, ["KD"], ["motion", "said"], searched=["motion", "said"]).withColumn("asked", F.lit("KD")))
+
+
+def _shown(spark, sf):
+    """Numbered hits of two searches: by words, then by vectors."""
+    own = political(spark, sf)
+    ranked = [S.bm25(own, asked(spark, sf), 6), S.dense(vectors(spark, sf), asked_with_vectors(spark, sf), 6)]
+    both = ranked[0].withColumn("call", F.lit(0)).unionByName(ranked[1].withColumn("call", F.lit(1)))
+    return A.numbered_calls(both).join(own, "pid")
+
+
+def tool_round(spark, sf):
+    return _shown(spark, sf).select("qid", "n", "call", "pid")
+
+
+def prompt_context(spark, sf):
+    gaps = asked(spark, sf).where("qid % 2 = 0").select("qid", F.explode(F.array(F.lit("motion"), F.lit("program"))).alias("s_layer"), F.lit("S").alias("s_party"))
+    out = A.prompt_context(_shown(spark, sf), gaps, limit=None).join(asked(spark, sf), "qid")
+    text = A.prompt(F.col("context"), F.col("question"))
+    return out.select("qid", F.length(text).cast("long").alias("chars"), F.sha1(text.cast("binary")).alias("sha1"))
+
+
+def listed_sources(spark, sf):
+    return _shown(spark, sf).select("qid", "n", A.listed_source().alias("line"))
+
+
+def link_buttons(spark, sf):
+    answers = asked(spark, sf).select("qid", F.lit("A [1–4] b [6, 7] och [99].").alias("answer"))
+    return A.links(_shown(spark, sf), answers)
+
+
+def passage_counts(spark, sf):
+    return E.passage_counts(political(spark, sf)).select("layer", "party", "subtype", "grain", "n")
+
+
+def filter_hits(spark, sf):
+    q = F.concat(F.col("question"), F.when(F.col("qid") % 3 == 0, " Vilket parti SKA jag välja?").otherwise(""))
+    return E.filter_hits(asked(spark, sf).select(q.alias("question"), (F.col("qid") % 2 == 0).alias("expect_refusal")))
+
+
+def text_length_places(spark, sf):
+    out = Y.length_stats(table(spark, sf, "documents").select(F.col("lang").alias("parti"), "text"))
+    return out.select("parti", "n", *[F.col(c).cast("long").alias(c) for c in ("median", "p90", "largest")])
+
+
+def party_mentions(spark, sf):
+    named = F.get(F.lit(["Moderaterna", "the Greens", "SD", "sd", "xMP", "moderat", "Centre Party", "Liberalerna"]), (F.col("doc_id") % 8).cast("int"))
+    text = F.concat("text", F.lit(" "), named, F.lit(", V."))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.mentioned(text), ",").alias("parties"))
+
+
+def citation_strip(spark, sf):
+    answer = F.concat("text", F.lit("  [3]\n[4, 5] x ("), F.get(F.lit(["SAID", "MOTION", "x"]), (F.col("doc_id") % 3).cast("int")), F.lit(")."))
+    return table(spark, sf, "documents").select("doc_id", F.sha1(T.without_layer_labels(T.without_citations(answer)).cast("binary")).alias("sha1"))
+
+
+def joined_line_text(spark, sf):
+    """Lines of words ending in hyphens, joined."""
+    words = F.split("text", " ")
+    lines = F.transform(F.slice(words, 1, F.size(words)), lambda w, i: F.when(i % 3 == 0, F.concat(w, F.lit("-"))).when(i % 3 == 1, F.concat(F.get(F.lit(["och ", "eller ", "x"]), (i % 9 / 3).cast("int")), w)).otherwise(w))
+    return table(spark, sf, "documents").select("doc_id", F.sha1(X.joined_lines(F.filter(lines, lambda x: x != "")).cast("binary")).alias("sha1"))
 
 
 def relevance_cutoff(spark, sf):
@@ -191,7 +273,8 @@ def cited_numbers(spark, sf):
 
 
 def history_last_turns(spark, sf):
-    return R.history(table(spark, sf, "conversations"), 3)
+    c = table(spark, sf, "conversations")
+    return R.history(c.withColumn("text", F.concat("text", F.when(F.col("turn") % 2 == 1, F.lit("  [1]\n[2, 3–5].")).otherwise(""))), 3)
 
 
 def content_key(spark, sf):
@@ -199,9 +282,10 @@ def content_key(spark, sf):
 
 
 def embedding_cache_missing(spark, sf):
-    keyed = corpus(spark, sf).select("pid", T.content_key(F.col("text")).alias("emb"))
-    known = keyed.where("pid % 3 = 0").select("emb").distinct()
-    return keyed.join(known, "emb", "left_anti").groupBy("emb").agg(F.min("pid").alias("pid"), F.count("*").alias("copies"))
+    """Content keys that a cache of every third passage lacks, by the index's own function."""
+    keyed = I.keyed(corpus(spark, sf))
+    known = keyed.where("pid % 3 = 0").select("emb")
+    return I.missing(keyed, known).select("emb", F.sha1(F.col("text").cast("binary")).alias("sha1"))
 
 
 def passage_union(spark, sf):
@@ -228,17 +312,17 @@ def split_paragraphs(spark, sf):
 
 def split_text_full(spark, sf):
     own = spread(corpus(spark, sf)).select("pid", F.posexplode(split_pieces("text")).alias("i", "piece"))
-    return own.select("pid", "i", F.length("piece").alias("chars"))
+    return own.select("pid", F.col("i").cast("long").alias("i"), F.length("piece").cast("long").alias("chars"), F.sha1(F.col("piece").cast("binary")).alias("sha1"))
 
 
 def sentence_split(spark, sf):
-    s = F.filter(F.split(F.col("text"), r"(?<=[.!?])\s+"), lambda x: x != "")
-    return corpus(spark, sf).select("pid", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"))
+    s = T.sentences(F.col("text"))
+    return corpus(spark, sf).select("pid", F.size(s).cast("long").alias("n"), F.sha1(F.array_join(s, "|").cast("binary")).alias("sha1"))
 
 
 def substantive_sentences(spark, sf):
     own = corpus(spark, sf).select("pid", T.sentences(F.col("text")).alias("s"))
-    return own.select("pid", F.size("s").alias("n"), F.size(F.filter("s", T.substantive)).alias("substantive"))
+    return own.select("pid", F.size("s").cast("long").alias("n"), F.size(F.filter("s", T.substantive)).cast("long").alias("substantive"))
 
 
 def language_vote(spark, sf):
@@ -293,7 +377,7 @@ def report_grains(spark, sf):
 
 def grading_sheet(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    own = c.select(F.lit("rag").alias("config"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("typ"), F.lit("f").alias("fraga"), F.col("text").alias("answer"), F.array(F.lit("a"), F.lit("b")).alias("sources"), F.when(F.col("conv_id") % 5 == 0, "broken").alias("error"), "turn")
+    own = c.select(F.lit("rag").alias("config"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("typ"), F.lit("f").alias("fraga"), F.concat("text", F.lit(" [1].")).alias("answer"), F.array(F.lit("[1, 4] a"), F.lit("[2–3] b")).alias("sources"), F.when(F.col("conv_id") % 5 == 0, "broken").alias("error"), "turn")
     old = own.where("turn % 4 = 1").select("config", "id", F.when(F.col("turn") == 1, F.col("answer")).otherwise("old").alias("answer"), *[F.lit("1").alias(g) for g in report.GRADES], F.lit("n").alias("notes"))
     return report.grading_rows(own, old).select("config", "id", "sources", "supported", "neutral", "notes")
 
@@ -321,9 +405,7 @@ def url_discovery_join(spark, sf):
 
 
 def slug_collisions(spark, sf):
-    p = _urls(spark, sf).withColumn("slug", T.slug(F.col("url")))
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy("url", "page_id"))
-    return p.select("page_id", "slug", (nth > 1).alias("renamed"))
+    return H.slugs(_urls(spark, sf).groupBy("url").agg(F.min("page_id").alias("page_id"))).select("url", "slug")
 
 
 def html_strip(spark, sf):
@@ -355,48 +437,66 @@ def body_style_mode(spark, sf):
 
 
 def stub_embedding(spark, sf):
-    return S.stub_vectors(asked(spark, sf), "qid", "question")
+    """Places of the vector that are not zero."""
+    own = S.stub_vectors(asked(spark, sf), "qid", "question")
+    return own.select("qid", F.posexplode("vector").alias("bin", "value")).where("value <> 0").select("qid", F.col("bin").cast("long").alias("bin"), F.round("value", 9).alias("value"))
 
 
 def worklist(spark, sf):
-    configs = spark.createDataFrame([("rag",), ("no_rag",)], "config string")
-    done = table(spark, sf, "events").where("user_id % 2 = 0").select(F.lit("rag").alias("config"), F.col("user_id").alias("qid")).distinct()
-    return asked(spark, sf).select("qid").crossJoin(F.broadcast(configs)).join(done, ["config", "qid"], "left_anti")
+    done = table(spark, sf, "events").where("user_id % 2 = 0").select(F.lit("rag_tools").alias("config"), F.col("user_id").alias("id"))
+    asks = asked(spark, sf).select(F.col("qid").alias("id"), F.col("qid").alias("ord"))
+    return E.worklist(asks, ["rag_tools", "no_rag"], done).select("config", "id")
 
 
 def grade_carry_over(spark, sf):
+    """Grades of a sheet come over to the very answer that was graded."""
     c = table(spark, sf, "conversations")
-    old = c.where("conv_id % 2 = 0").select("conv_id", "turn", F.when(F.col("conv_id") % 4 == 0, F.col("text")).otherwise("old").alias("answer"), F.lit("ok").alias("grade"))
-    return c.select("conv_id", "turn", F.col("text").alias("answer")).join(old, ["conv_id", "turn", "answer"], "left").select("conv_id", "turn", "grade")
+    own = c.select(F.lit("rag").alias("config"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("typ"), F.lit("f").alias("fraga"), F.col("text").alias("answer"), F.array().cast("array<string>").alias("sources"), F.lit(None).cast("string").alias("error"))
+    old = c.where("conv_id % 2 = 0").select(F.lit("rag").alias("config"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("conv_id") % 4 == 0, F.col("text")).otherwise("old").alias("answer"), *[F.lit("2").alias(g) for g in report.GRADES], F.lit("n").alias("notes"))
+    return report.grading_rows(own, old).select("id", "supported", "notes")
 
 
 def followup_parent(spark, sf):
     c = table(spark, sf, "conversations")
-    up = c.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.left("text", F.lit(20)).alias("parent_answer"))
-    return c.where("role = 'user'").select("conv_id", "turn").join(up, ["conv_id", "turn"])
+    name = lambda turn: F.concat_ws("-", "conv_id", turn.cast("string"))
+    answered = c.where("role = 'assistant'").select(F.lit("rag").alias("config"), name(F.col("turn")).alias("id"), F.col("text").alias("answer"))
+    asks = c.where("role = 'user'").select(name(F.col("turn")).alias("id"), F.when(F.col("turn") > 1, name(F.col("turn") - 1)).alias("follows"))
+    return E.with_parent(asks, answered).select("id", "config", "follows", F.sha1(F.col("parent_answer").cast("binary")).alias("parent_sha1"))
 
 
-def followup_parent_whole(spark, sf):
-    c = table(spark, sf, "conversations")
-    up = c.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("parent_answer"))
-    return c.where("role = 'user'").select("conv_id", "turn").join(up, ["conv_id", "turn"])
+def _metrics(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    nth = F.col("turn") % 4
+    answer = F.concat("text", F.when(nth == 1, " Moderaterna vill sänka skatten för alla [1] och [7].").when(nth == 3, " Det saknas material [2].").otherwise(""))
+    hit = lambda n, layer, party: F.struct(F.lit(n).alias("n"), F.lit(layer).alias("layer"), F.lit(party).alias("parti"))
+    odd = F.col("conv_id") % 2 == 1
+    return E.answer_metrics(
+        c.select(
+            F.concat_ws("-", "conv_id", "turn").alias("qid"), F.when(F.col("conv_id") % 5 == 0, "no_rag").otherwise("rag_tools").alias("config"), answer.alias("answer"),
+            F.array(hit(1, "motion", "S;M"), hit(2, "said", "V")).alias("hits"), F.when(odd, F.array(F.lit("M"), F.lit("V"))).alias("expected"), F.when(odd, F.array(F.lit("said"))).alias("layers"),
+            F.when(F.col("conv_id") % 3 == 0, "REGERINGEN|moderaterna").alias("attribution"), (F.col("conv_id") % 4 == 0).alias("expect_gap"), (F.col("conv_id") % 4 == 1).alias("expect_refusal"), F.lit("sv").alias("lang"),
+        )
+    )
+
+
+def answer_metrics(spark, sf):
+    m = _metrics(spark, sf)
+    return m.select("qid", "config", "answered", F.round("citation_validity", 6).alias("citation_validity"), F.round("party_mentioned", 6).alias("party_mentioned"), F.round("party_cited", 6).alias("party_cited"), "layer_cited", "attribution_found", "gap_acknowledged", "refused", "language_ok")
 
 
 def problem_flags(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'assistant'")
-    answer = F.concat("text", F.when(F.col("turn") % 4 == 1, " [1] och [7].").otherwise(""))
-    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.lit("rag").alias("config"), answer.alias("answer"), F.array(F.lit(1), F.lit(2)).alias("hit_ns"))
-    m = E.answer_metrics(rows)
+    m = _metrics(spark, sf)
     return m.select("qid", E.problem_flags(m).alias("problems"))
 
 
 ALL = (
-    tokenize_stem, tokenize_stem_whole, term_freq, term_freq_whole, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, vector_topk_per_label_all, rrf_hybrid, rrf_weights,
+    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
     pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
-    carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, followup_parent_whole, problem_flags,
+    individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
+    carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
 )
 
 

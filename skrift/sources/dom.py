@@ -1,0 +1,95 @@
+"""A small element tree over the standard library's HTML parser.
+
+Elements that are never closed stay open until an outer one is closed, so a
+malformed page still gives a tree; text of scripts, styles and comments is not
+text of a page.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+MUTE = frozenset(("script", "style", "template"))
+
+
+class Element:
+    __slots__ = ("tag", "attrs", "parent", "items")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
+        self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+
+    @property
+    def classes(self) -> set[str]:
+        return set(self.attrs.get("class", "").split())
+
+    def walk(self) -> Iterator[Element]:
+        """All elements below, in document order; without recursion, as pages may nest deeply."""
+        stack = [x for x in reversed(self.items) if isinstance(x, Element)]
+        while stack:
+            e = stack.pop()
+            yield e
+            stack += [x for x in reversed(e.items) if isinstance(x, Element)]
+
+    def all(self, *tags: str, cls: str | None = None) -> list[Element]:
+        return [e for e in self.walk() if (not tags or e.tag in tags) and (cls is None or cls in e.classes)]
+
+    def first(self, *tags: str, cls: str | None = None) -> Element | None:
+        return next((e for e in self.walk() if (not tags or e.tag in tags) and (cls is None or cls in e.classes)), None)
+
+    def inside(self, tag: str) -> bool:
+        up = self.parent
+        while up is not None and up.tag != tag:
+            up = up.parent
+        return up is not None
+
+    def strings(self) -> Iterator[str]:
+        stack = list(reversed(self.items))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                yield x
+            elif x.tag not in MUTE:
+                stack += reversed(x.items)
+
+    def text(self) -> str:
+        """All text, with white space of any kind as one blank; soft hyphens go."""
+        return re.sub(r"\s+", " ", "".join(self.strings()).replace("­", "")).strip()
+
+    def lines(self, between: str = "\n") -> str:
+        """Each string on a line of its own, stripped, without empty ones."""
+        return between.join(x for x in map(str.strip, self.strings()) if x)
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Element("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.items.append(e)
+        if tag not in VOID:
+            self.at = e
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.items.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
+
+    def handle_endtag(self, tag):
+        up = self.at
+        while up.parent is not None and up.tag != tag:
+            up = up.parent
+        if up.parent is not None:
+            self.at = up.parent
+
+    def handle_data(self, data):
+        self.at.items.append(data)
+
+
+def tree(html: str | None) -> Element:
+    b = _Builder()
+    b.feed(html or "")
+    b.close()
+    return b.root

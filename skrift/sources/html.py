@@ -1,7 +1,6 @@
 """HTML by the standard library's parser: main text, anchors, sitemaps."""
 
 import gzip
-import re
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 from xml.etree import ElementTree
@@ -81,13 +80,20 @@ def anchors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     return found.groupBy("url").agg(F.array_sort(F.collect_set(F.nullif(F.col("label"), F.lit("")))).alias("labels"))
 
 
-def sitemap_entries(content: bytes) -> list[tuple[str, str]]:
-    """(loc, lastmod cut to its date); gzip, a byte order mark and leading junk are dealt with."""
+def sitemap_entries(content: bytes, tag: str = "url") -> list[tuple[str, str | None]]:
+    """(loc, lastmod cut to its date) of each `tag`, in any namespace; gzip, a byte order mark and leading junk are dealt with."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
-    start = content.find(b"<")
-    root = ElementTree.fromstring(re.sub(rb"\sxmlns=\"[^\"]*\"", b"", content[max(start, 0) :], count=1))
-    return [((n.findtext("loc") or "").strip(), (n.findtext("lastmod") or "").strip()[:10]) for n in root if n.findtext("loc")]
+    content = content.removeprefix(b"\xef\xbb\xbf").lstrip()
+    start = content.find(b"<?xml")
+    content = content[max(start if start >= 0 else content.find(b"<"), 0) :]
+    out = []
+    for node in ElementTree.fromstring(content).iter():
+        if node.tag.rsplit("}", 1)[-1] == tag:
+            own = {child.tag.rsplit("}", 1)[-1]: (child.text or "").strip() for child in node}
+            if own.get("loc"):
+                out.append((own["loc"], own.get("lastmod", "")[:10] or None))
+    return out
 
 
 def discovered(sitemap: DataFrame, index: DataFrame, pattern: str | None = None, index_only: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ import json
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,11 +101,46 @@ class Index:
             own = spark.read.parquet(*found["vectors"]).dropDuplicates(["emb"])
             self.vectors = self.passages.select("pid", "emb").join(own, "emb").select("pid", "vector")
 
-    def search(self, questions: DataFrame, k: int = 8, method: str = "hybrid", layer: str | None = None, party: list[str] | None = None, candidates: int = K.CANDIDATES) -> DataFrame:
-        """Fused hits of questions (qid, question[, qvector]); filters follow the ranking, a party filter widens the pool."""
-        pool = None if party else candidates
+    def ranking(self, questions: DataFrame, method: str = "hybrid", party_filter: bool = True, candidates: int = K.CANDIDATES) -> DataFrame:
+        """The fused ranking of questions (qid, question[, qvector]) before any filter."""
+        pool = None if party_filter else candidates
         if method != "bm25" and self.vectors is None:
             raise ValueError("this index has no vectors")
-        lexical = S.bm25_scored(self.postings, self.stats, questions, pool, bool(party)) if method in ("hybrid", "bm25") else None
+        lexical = S.bm25_scored(self.postings, self.stats, questions, pool, party_filter) if method in ("hybrid", "bm25") else None
         dense = S.dense(self.vectors, questions.select("qid", "qvector"), pool) if method in ("hybrid", "vector") else None
-        return S.top(S.filtered(S.fuse(lexical, dense), self.passages, layer, party), k)
+        return S.fuse(lexical, dense)
+
+    def search(self, questions: DataFrame, k: int = 8, method: str = "hybrid", layer: str | None = None, party: list[str] | None = None, per_party: int | None = None, candidates: int = K.CANDIDATES) -> DataFrame:
+        """Fused hits of questions; filters follow the ranking, a party filter widens the pool, a cap holds for each party."""
+        hits = S.filtered(self.ranking(questions, method, bool(party), candidates), self.passages, layer, party)
+        return S.top(hits, k) if per_party is None else S.capped_shared(hits, per_party, k)
+
+
+#: Indexes by folder, with the version that they were opened at.
+_OPEN: dict[str, tuple[str, Index]] = {}
+
+
+def opened(spark: SparkSession, folder: str) -> Index:
+    """The index of a folder, opened anew only when a build has replaced its tables."""
+    now = json.dumps(manifest(spark, folder), sort_keys=True)
+    if _OPEN.get(folder, ("",))[0] != now:
+        _OPEN[folder] = (now, Index(spark, folder))
+    return _OPEN[folder][1]
+
+
+def encoder(load: Callable[[], Callable[[list[str]], list]], prefix: str = "", batch: int = 32) -> Callable[[DataFrame], DataFrame]:
+    """Turns (emb, text) into (emb, vector) by a model that each worker loads once; vectors get unit length.
+
+    load() gives a function from texts to vectors; a question's encoder has the prefix "query: ".
+    """
+
+    def run(frames):
+        model = load()
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                rows = np.asarray(model([prefix + t for t in part["text"]]), float)
+                norm = np.linalg.norm(rows, axis=1, keepdims=True)
+                yield pd.DataFrame({"emb": part["emb"], "vector": list(rows / np.where(norm > 0, norm, 1))})
+
+    return lambda texts: texts.select("emb", "text").mapInPandas(run, "emb string, vector array<double>")

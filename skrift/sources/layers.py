@@ -14,15 +14,19 @@ SCHEMAS = {
     "program": "chunk_id string, layer string, parti string, doc_type string, year int, heading string, page int, text string, source_file string",
     "proposition": "rm string, beteckning string, doc_title string, parti string, datum string, file string, heading string, text string, chunk_id string",
 }
-QUESTIONS = "id string, typ string, fraga string, sok struct<parti:array<string>,layer:string,k:int,per_parti:int>, relevant struct<layer:string,parti:array<string>,beteckning:array<string>,rm:array<string>,sakfraga_regex:string,text_regex:string>, forvantade_partier array<string>"
+QUESTIONS = "id string, typ string, fraga string, sok struct<parti:array<string>,layer:string,k:int,per_parti:int>, relevant struct<layer:string,parti:array<string>,beteckning:array<string>,rm:array<string>,sakfraga_regex:string,text_regex:string>, forvantade_partier array<string>, forvantade_lager array<string>, tillskrivning_regex string, forvantat_saknas boolean, forvantat_avboj boolean, sprak string, foljer string, kommentar string"
 RESULTS = "config string, id string, typ string, fraga string, foljer string, answer string, model string, latency_s double, api_calls int, n_hits int, n_gaps int, searches string, hits array<struct<n:int,layer:string,parti:string,kontext:string,similarity:double>>, sources array<string>, time string, error string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there any file of this path, which may have wildcards, in whatever store?"""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm))
+
+
 def layer(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A layer's JSON lines by its schema; a path without files is an empty layer."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm)
-    return spark.read.schema(SCHEMAS[name]).json(path) if found else spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).json(path) if exists(spark, path) else spark.createDataFrame([], SCHEMAS[name])
 
 
 def questions(spark: SparkSession, path: str, with_rule: bool = False) -> DataFrame:
@@ -31,7 +35,9 @@ def questions(spark: SparkSession, path: str, with_rule: bool = False) -> DataFr
 
 
 def subtypes(spark: SparkSession, path: str) -> DataFrame:
-    """(key, subtype) of a JSON object."""
+    """(key, subtype) of a JSON object; a missing file is an empty map."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "key string, subtype string")
     own = spark.read.text(path, wholetext=True)
     return own.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "subtype"))
 

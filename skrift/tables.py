@@ -1,15 +1,39 @@
-"""Spreading over cores, and tables in the shared folder."""
+"""Spreading over cores, ranks of large groups, and tables in the shared folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+SHARED = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. Only a local session may have a temporary one, which goes with it."""
+    found = spark.conf.get(SHARED, None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{SHARED} must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="skrift-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
+        spark.conf.set(SHARED, found)
+    return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str = "index") -> str:
-    """A new path in the shared folder that the session names; in a temporary one only if it names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skrift-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/skrift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; for its end, as unread results may need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skrift-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -23,3 +47,18 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its source has fewer splits than there are; larger inputs are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def range_ranked(df: DataFrame, by: str, *order, name: str = "rank") -> DataFrame:
+    """df with the row's number within `by`, for groups that are too large for one task.
+
+    Rows are range-sorted by group and order and written; each range numbers its
+    own rows, and adds the sizes of the group's ranges before it, which are few.
+    """
+    ranged = written(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    nth = F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order))
+    out = ranged.withColumn("__nth", nth).join(sizes, [by, "__part"])
+    return out.withColumn(name, (F.col("__nth") + F.col("__before")).cast("int")).drop("__nth", "__before", "__part")

@@ -62,14 +62,14 @@ def test_stream_adds_each_key_once(spark, tmp_path):
 
 def test_grading_sheet(spark, tmp_path):
     kind = "config string, id string, typ string, fraga string, answer string, sources array<string>, error string"
-    log = spark.createDataFrame([("rag", "q2", "t", "f", "new\nline", ["s1", "s2"], None), ("rag", "q1", "t", "f", "same", [], None), ("rag", "q3", "t", "f", None, None, "broken")], kind)
+    log = spark.createDataFrame([("rag", "q2", "t", "f", "new\nline [2, 3]", ["[1] s1", "[2] s2", "[3, 4] s3"], None), ("rag", "q1", "t", "f", "same", [], None), ("rag", "q3", "t", "f", None, None, "broken")], kind)
     old = spark.createDataFrame([("rag", "q1", "same", "2", "1", "1", "1", "ok"), ("rag", "q2", "old", "0", "0", "0", "0", "")], "config string, id string, answer string, supported string, attribution string, relevance string, neutral string, notes string")
     path = tmp_path / "grading.csv"
     assert report.write_grading(report.grading_rows(log, old), str(path), ["rag"], ["q1", "q2"]) == 2
     assert path.read_bytes().startswith(b"\xef\xbb\xbf")
     with open(path, encoding="utf-8-sig", newline="") as f:
         rows = list(csv.DictReader(f))
-    assert [(r["id"], r["supported"], r["sources"]) for r in rows] == [("q1", "2", ""), ("q2", "", "s1\ns2")]
+    assert [(r["id"], r["supported"], r["sources"]) for r in rows] == [("q1", "2", ""), ("q2", "", "[2] s2\n[3, 4] s3")]
 
 
 def test_means_at_three_grains(spark):

@@ -30,7 +30,7 @@ def test_vector_topk_per_label_of_all_questions(spark, tmp_path):
     stored(spark, tmp_path, "benchmark", [(q, "t") for q in (0, 7, 35)], "item_id long, text string")
     y = x.astype(float)
     expected = {(q, label, r, p) for q in (0, 7, 35) for label in range(3) for r, p in enumerate(sorted((i for i in range(30) if i % 3 == label), key=lambda i: (-round(float(y[i] @ y[q]), 9), i))[:3], 1)}
-    assert {(r.qid, r.label, r["rank"], r.pid) for r in Q.queries()["vector_topk_per_label_all"](spark, str(tmp_path)).collect()} == expected
+    assert {(r.qid, r.label, r["rank"], r.pid) for r in Q.queries()["vector_topk_per_label"](spark, str(tmp_path)).collect()} == expected
 
 
 def test_best_section_match_of_whole_texts_in_all_languages(spark, tmp_path):
@@ -52,8 +52,8 @@ def test_whole_stem_lists_postings_and_parent_answers(spark, tmp_path):
     stems = {r.doc_id: r.s or [] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", T.tokens("text").alias("s")).collect()}
     assert any(len(s) > 12 for s in stems.values())
     q = Q.queries()
-    assert {r.pid: r.sha1 for r in q["tokenize_stem_whole"](spark, str(tmp_path)).where("n_tokens > 0").collect()} == {i: hashlib.sha1(" ".join(s).encode()).hexdigest() for i, s in stems.items() if s}
-    assert {(r.pid, r.term, r.tf) for r in q["term_freq_whole"](spark, str(tmp_path)).collect()} == {(i, w, n) for i, s in stems.items() for w, n in Counter(s + CONTEXT[i]).items()}
+    assert {r.pid: r.sha1 for r in q["tokenize_stem"](spark, str(tmp_path)).where("n_tokens > 0").collect()} == {i: hashlib.sha1(" ".join(s).encode()).hexdigest() for i, s in stems.items() if s}
+    assert {(r.pid, r.term, r.tf) for r in q["term_freq"](spark, str(tmp_path)).collect()} == {(i, w, n) for i, s in stems.items() for w, n in Counter(s + CONTEXT[i]).items()}
     long = "ett långt svar " * 9
-    stored(spark, tmp_path, "conversations", [(1, 0, "user", "a"), (1, 1, "assistant", long), (1, 2, "user", "b"), (2, 1, "user", "c")], "conv_id long, turn long, role string, text string")
-    assert [tuple(r) for r in q["followup_parent_whole"](spark, str(tmp_path)).collect()] == [(1, 2, long)]
+    stored(spark, tmp_path, "conversations", [(1, 1, "user", "a"), (1, 2, "assistant", long), (1, 3, "user", "b"), (2, 4, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert {tuple(r) for r in q["followup_parent"](spark, str(tmp_path)).collect()} == {("1-1", None, None, None), ("1-3", "rag", "1-2", hashlib.sha1(long.encode()).hexdigest())}
