@@ -14,7 +14,8 @@ Template marks stand after a blank or line feed, never after a backslash. Loss
 spans cover the texts of assistant turns.
 
 Defined results: null texts and roles are empty; a missing parent makes a root;
-messages on a cycle are on no path. A conversation without a message gives no
+messages on a cycle are on no path. Of messages that repeat an id within a
+conversation, the one with the smallest parent, role and text counts. A conversation without a message gives no
 row. In linear(), a conversation is one path ordered by turn (nulls first), and
 ties by role, then text. Columns other than the named ones are not read.
 """
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 from .spans import running
 
 #: Fixed control strings of the template, and common ones of others.

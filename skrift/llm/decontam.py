@@ -79,6 +79,16 @@ class Index:
             table = self.bits.setdefault(width, np.zeros(1 << 22, bool))
             table[(values >> np.uint64(42)).astype(np.int64)] = True
 
+    def state(self) -> dict:
+        """Plain arrays: what is broadcast needs no module of this library to be read."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, state: dict) -> "Index":
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def candidates(self, words: np.ndarray) -> set[int]:
         found: set[int] = set()
         for width, table in self.bits.items():
@@ -129,7 +139,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     def close():
         nonlocal parts, held
         if parts:
-            chunks.append(raw.mapInArrow(_search(spark.sparkContext.broadcast(Index(parts, k, places)), k, percent), "id long, item long, shared long, item_size long"))
+            chunks.append(raw.mapInArrow(_search(spark.sparkContext.broadcast(Index(parts, k, places).state()), k, percent), "id long, item long, shared long, item_size long"))
         parts, held = [], 0
 
     for row in items.select(F.col(item_col).cast("long"), item_text).toLocalIterator():
@@ -149,7 +159,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def _search(index, k: int, percent: int):
     def run(batches):
         hashes = WordHashes()
-        look = index.value
+        look = Index.of(index.value)
         for batch in batches:
             out = [[], [], [], []]
             for at in range(batch.num_rows):

@@ -210,7 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
     left = written(step.union(roots.select("node", "root")).where("a <> b").distinct(), "edges")
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("x"), F.least("a", "up").alias("up"))
+        # written, so that a node to which many hook can be split in the join
+        hook = written(both.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("x"), F.least("a", "up").alias("up")), "hooks")
         for _ in range(2):
             other = hook.select(F.col("x").alias("y"), F.col("up").alias("top"))
             hook = hook.join(other, F.col("up") == F.col("y"), "left").select("x", F.coalesce("top", "up").alias("up"))

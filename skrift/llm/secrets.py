@@ -1,16 +1,16 @@
 """Secret scans by a trigram inverted index, on DataFrame functions only.
 
 From each rule's pattern a Boolean query over trigrams is derived: every match
-must satisfy it. Postings (trigram, document) are built for the trigrams that
-the queries name (or a given list, for an index that later rules share),
-written, and intersected by document; rules are then run only where their
-query holds. A rule without mandatory trigrams scans every text.
+must satisfy it. Postings (trigram, row) are built for the trigrams that the
+queries name (or a given list, for an index that later rules share), written,
+and intersected by row; rules are then run only where their query holds. A rule
+without mandatory trigrams scans every text, where it lies: only rows that may
+be candidates, after a filter of bounded size, are shuffled to meet their rules.
 
-Postings carry ids; where rows share an id or have none, their postings are
-taken together, which can only add candidates, and the patterns decide.
+Postings carry a row key, not ids, which may be null or repeated.
 
 Defined results: null and empty texts have no secrets; null ids and repeated
-rows give a row each; other columns are not read.
+rows give a row each; other columns are not read. An empty table gives no rows.
 """
 
 import re
@@ -21,8 +21,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .spans import hits, joined, located, outside, tagged
+from .shared import keyed, split_by, written
+from .spans import SPANS, hits, joined, located, outside, tagged
 
 
 @dataclass(frozen=True)
@@ -151,17 +151,9 @@ def _long_enough(spans: Column, groups: Column, least: int) -> Column:
     return F.filter(spans, lambda _, i: F.length(F.get(groups, i)) >= least)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, added=ADDED) -> DataFrame:
-    """A row per row of docs: id, n_<kind> of base rules, base_sha256, spans."""
-    queries = {r.kind: q for r in (*base, *added) if (q := trigram_query(r.pattern))}
-    grams = sorted({g for q in queries.values() for g in grams_of(q)})
-    index = written(postings(docs, grams, id_col, text_col), "postings")
-    wanted = candidates(index, queries, grams).withColumnRenamed("id", "cid")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "rules")
+def _scanned(own: DataFrame, every, may: dict[str, Column], kept: int) -> DataFrame:
+    """id, the spans of each of the first `kept` rules by kind, and what the others add, of rows (id, text); `may` holds for a rule where it has to be run."""
     text = F.col("text")
-    every = (*base, *added)
-    may = {r.kind: F.array_contains("rules", r.kind) if r.kind in queries else F.lit(True) for r in every}
     own = own.select("id", "text", *[hits(text, r.pattern, may[r.kind]).alias(f"h_{r.kind}") for r in every], *[hits(text, r.pattern, may[r.kind], r.group).alias(f"g_{r.kind}") for r in every if r.group])
     spans = []
     for i, r in enumerate(every):
@@ -170,14 +162,32 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at = _long_enough(at, F.col(f"g_{r.kind}"), r.least)
         spans.append(tagged(at, r.kind, i).alias(r.kind))
     own = own.select("id", *spans)
-    first = F.concat(*[r.kind for r in base])
-    more = outside(F.concat(*[r.kind for r in added]), F.col("base")) if added else F.array()
-    own = own.withColumn("base", first)
+    base = [r.kind for r in every[:kept]]
+    own = own.withColumn("base", F.concat(*base))
+    more = outside(F.concat(*[r.kind for r in every[kept:]]), F.col("base")) if every[kept:] else F.array().cast(SPANS)
+    return own.select("id", *base, "base", more.alias("more"))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, added=ADDED) -> DataFrame:
+    """A row per row of docs: id, n_<kind> of base rules, base_sha256, spans, n_spans."""
+    every = (*base, *added)
+    queries = {r.kind: q for r in every if (q := trigram_query(r.pattern))}
+    grams = sorted({g for q in queries.values() for g in grams_of(q)})
+    rows = keyed(docs, "__row").select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "__row")
+    index = written(postings(rows, grams, "__row", "text"), "postings")
+    wanted = written(candidates(index, queries, grams).withColumnRenamed("id", "__row"), "candidates")
+    may, rest = split_by(rows, "__row", wanted)
+    met = may.join(wanted.hint("merge"), "__row", "left")
+    always = {r.kind: F.lit(r.kind not in queries) for r in every}
+    named = {r.kind: F.array_contains("rules", r.kind) if r.kind in queries else F.lit(True) for r in every}
+    own = _scanned(met, every, named, len(base)).unionAll(_scanned(rest, every, always, len(base)))
+    spans = F.concat("base", "more")
     return own.select(
         F.col("id").alias(id_col),
         *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in base],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        joined(F.concat("base", more)).alias("spans"),
+        joined(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )
 
 
@@ -200,8 +210,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 s AS ({" UNION ALL ".join(parts)}),
 b AS (SELECT * FROM s WHERE is_base),
 k AS (SELECT * FROM b UNION ALL SELECT * FROM s WHERE NOT is_base AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.f0 < s.f1 AND s.f0 < b.f1)),
-a AS (SELECT doc_id, {each}, string_agg({item}) FILTER (is_base) AS base, string_agg({item}) AS spans FROM k GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+a AS (SELECT doc_id, {each}, string_agg({item}) FILTER (is_base) AS base, string_agg({item}) AS spans, count(*) AS n_spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
 FROM d LEFT JOIN a USING (doc_id)
 """
 

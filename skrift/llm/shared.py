@@ -1,13 +1,12 @@
 """What several operators need: shared storage, words and hashes."""
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import scratch, written
+
 #: White space of the contracts: blank and the controls 9 to 13. bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -15,25 +14,9 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CACHED = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skrift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A new path in the folder that driver and executors share (see tables.shared_dir)."""
+    return scratch(spark, name)
 
 
 def keyed(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +42,8 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pruned(df: DataFrame, key: str, wanted: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """Rows of df whose key may be among those of the written table `wanted`, so that a join shuffles few others.
+def split_by(df: DataFrame, key: str, wanted: DataFrame, most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose key may be among those of the written table `wanted`, and rows whose key is not, without a shuffle.
 
     A bit for each key's hash, in at most `most` longs: this is what is
     broadcast, whatever the number of keys. Eight keys a long let 12 % of other
@@ -69,9 +52,18 @@ def pruned(df: DataFrame, key: str, wanted: DataFrame, most: int = 1 << 20) -> D
     longs = 1 << max(6, min(most.bit_length() - 1, (wanted.count() // 8).bit_length()))
     h = F.xxhash64(F.col(key), F.lit(3))
     place, bit = h.bitwiseAND(longs - 1).alias("__place"), F.shiftrightunsigned(h, 58).cast("int")
-    bits = wanted.select(place, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("__place").agg(F.bit_or("b").alias("__bits"))
-    held = F.col("__bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
-    return df.withColumn("__place", place).join(F.broadcast(bits), "__place").where(held).drop("__place", "__bits")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = F.broadcast(wanted.select(place, mask.alias("b")).groupBy("__place").agg(F.bit_or("b").alias("__bits")))
+    both = df.withColumn("__place", place)
+    held = F.col("__bits").bitwiseAND(mask) != 0
+    may = both.join(bits, "__place").where(held).drop("__place", "__bits")
+    rest = both.join(bits, "__place", "left").where(~F.coalesce(held, F.lit(False))).drop("__place", "__bits")
+    return may.select(df.columns), rest.select(df.columns)
+
+
+def pruned(df: DataFrame, key: str, wanted: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Rows of df whose key may be wanted, so that a join shuffles few others."""
+    return split_by(df, key, wanted, most)[0]
 
 
 def byte_batches(spark: SparkSession, most: str = "4m") -> None:

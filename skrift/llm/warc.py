@@ -6,14 +6,19 @@ occur more than once and have at least `least` bytes are stored once, in the
 record with the largest id; the others revisit it.
 
 Reading: every archive file is parsed by its Content-Length headers and gives a
-capture run, sorted locally by URL key and timestamp. Runs are range-partitioned
-by (URL key, timestamp, id) and a loser tree merges the k slices of each range:
-globally ordered capture histories, without one task that sees everything.
-Archives hold at most `per_file` records, so that a task reads a bounded file.
+capture run, sorted locally by URL key and timestamp. Runs are written, then
+range-partitioned by (URL key, timestamp, id) to ranges of about RANGE lines,
+and a loser tree merges the k slices of each range: globally ordered capture
+histories, without one task that sees everything.
+
+Records are written by size class, and an archive holds so many of its class
+that it has at most about FILE_BYTES (one record, if that is larger), as a task
+reads an archive as one value. The largest class holds what one value can.
 
 Defined results: a null payload is empty; a null URL has the key ""; null ids
 are the smallest, and repeated ids with equal payloads are all responses if
-that id is the largest. Other columns are not read.
+that id is the largest. Other columns are not read; an empty table gives no
+rows.
 """
 
 import hashlib
@@ -31,10 +36,13 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The capture time of id 0; others follow by a second each, where the table has no time.
 EPOCH = 1704067200
 LEAST, PER_FILE = 1000, 20_000
+#: Bytes of an archive; lines of a merged range; upper ends of the size classes of payloads.
+FILE_BYTES, RANGE = 64 << 20, 200_000
+CLASSES = (4 << 10, 64 << 10, 1 << 20, 16 << 20)
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time: Column | None = None, least: int = LEAST) -> DataFrame:
-    """One column `value`: a WARC record without its closing CRLFs."""
+    """(bytes, value): a WARC record without its closing CRLFs, and its payload's size."""
     time = time if time is not None else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(id_col), F.lit(0)))
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
     raw = F.col("payload").cast("binary")
@@ -57,11 +65,21 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(body).cast("string"),
         F.lit(CRLF * 2),
     )
-    return own.select(F.concat(header, body).alias("value"))
+    return own.select("bytes", F.concat(header, body).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = PER_FILE, **columns) -> None:
-    records(pages, **columns).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, per_file: int = PER_FILE, payload_col: str = "html", **columns) -> None:
+    size = F.octet_length(F.coalesce(F.col(payload_col), F.lit("")))
+    nth = F.lit(len(CLASSES))
+    for i, most in reversed(list(enumerate(CLASSES))):
+        nth = F.when(size <= most, i).otherwise(nth)
+    own = records(pages, payload_col=payload_col, **columns)
+    ends = (-1, *CLASSES, None)
+    for i in sorted(r[0] for r in pages.select(nth.alias("c")).distinct().collect()):
+        low, high = ends[i], ends[i + 1]
+        part = own.where((F.col("bytes") > low) & (F.lit(True) if high is None else F.col("bytes") <= high))
+        most = 1 if high is None else max(1, min(per_file, FILE_BYTES // high))
+        part.select("value").write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str) -> str:
@@ -181,21 +199,25 @@ def _merged(batches):
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Index lines, a sorted run for each archive below the path; none where nothing was written."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_runs, SCHEMA)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Partitions in order, each in order: read in partition order, the global capture history."""
-    return runs.repartitionByRange(F.col("url_key"), F.col("timestamp"), F.col("page_id")).mapInArrow(_merged, SCHEMA)
+    """Partitions in order, each in order: read in partition order, the global capture history. runs: a written table, as it is read for its ranges first."""
+    ranges = max(1, -(-runs.count() // RANGE), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return runs.repartitionByRange(ranges, F.col("url_key"), F.col("timestamp"), F.col("page_id")).mapInArrow(_merged, SCHEMA)
 
 
 def capture_index(pages: DataFrame, **columns) -> DataFrame:
     """Writes archives into the shared folder and reads them back as one merged index."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
+    if pages.isEmpty():
+        return spark.createDataFrame([], SCHEMA)
     write_archives(pages, path, **columns)
-    return merge_runs(read_runs(spark, path))
+    return merge_runs(written(read_runs(spark, path), "runs"))
 
 
 ORACLE = """

@@ -130,6 +130,45 @@ def test_pii_spans_and_redaction(spark):
     assert "@" not in out.text and "4111" not in out.text and out.text.startswith("é [IP] and 999") and out.key == 1
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 256 << 10)
+    sizes = [0, 10, 5000, 70_000, 300_000] * 6 + [2_000_000, 17_000_000]
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}/", "é" + chr(97 + i % 26) * n, "clash") for i, n in enumerate(sizes)], "page_id long, url string, html string, digest string")
+    out = f"file://{tmp_path}/warc"
+    warc.write_archives(pages.coalesce(1), out)
+    files = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert len(files) > 10 and all(n < 2 * (256 << 10) or n < 1.1 * 17_000_000 for n in files)
+    assert sum(n > 2 * (256 << 10) for n in files) <= 8  # one record each
+    rows = warc.merge_runs(warc.read_runs(spark, out)).collect()
+    assert {r.page_id: r.payload_bytes for r in rows} == {i: n + 2 for i, n in enumerate(sizes)}
+    keys = [warc.order(tuple(r)) for r in rows]
+    assert keys == sorted(keys)
+
+
+def brute_secrets(text):
+    import re
+
+    groups = {"assign": (1, 6), "access": (0, 20), "hex": (0, 24)}
+    patterns = {"assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    found = []
+    for rank, (kind, p) in enumerate(patterns.items()):
+        for m in re.finditer(p, text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= groups[kind][1]:
+                found.append((m.start(), rank, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets_of_null_and_repeated_ids(spark):
+    import hashlib
+
+    texts = ["é password = 'abcdef1'", "token: abc", None, "", "AKIA" + "A" * 16 + " x", "0123456789abcdef" * 2, "SECRET=" + "f" * 30, "plain words", "pass word token", "x" * 40_000 + " api_key:" + "q" * 9]
+    rows = [(None if i % 3 == 0 else i % 4, t, "clash", 1) for i, t in enumerate(texts * 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, rules string, gram int")
+    out = secrets.find_secrets(table).collect()
+    want = sorted((i or 0, hashlib.sha256(brute_secrets(t).encode()).hexdigest()) for i, t, _, _ in rows)
+    assert sorted((r.doc_id or 0, r.base_sha256) for r in out) == want
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", (("and", ("aki", "kia")),))
