@@ -92,10 +92,6 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
-def _vectors(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
-
-
 def _indexed(hasher: Hasher, with_vectors: bool):
     """(tbl, head[, tail, ids, v]) of classes (v, ids): a row for each table."""
 
@@ -108,7 +104,7 @@ def _indexed(hasher: Hasher, with_vectors: bool):
                     codes = hasher.codes(x, t)
                     columns = {"tbl": pa.array(np.full(len(x), t, np.int32)), "head": pa.array(codes // hasher.axes)}
                     if with_vectors:
-                        columns |= {"tail": pa.array((codes % hasher.axes).astype(np.int32)), "ids": part.column(1), "v": _vectors(x)}
+                        columns |= {"tail": pa.array((codes % hasher.axes).astype(np.int32)), "ids": part.column(1), "v": part.column(0)}
                     yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -131,20 +127,19 @@ def _asked(hasher: Hasher, probes: int, with_vectors: bool):
                     columns = {"tbl": pa.array(np.full(len(starts), t, np.int32)), "head": pa.array(heads.reshape(-1)[starts])}
                     if with_vectors:
                         ends = pa.array(np.append(starts, first.size), pa.int32())
-                        columns |= {"tails": pa.ListArray.from_arrays(ends, pa.array(tails.reshape(-1))), "class": pa.array(names[own]), "v": _vectors(x[own])}
+                        columns |= {"tails": pa.ListArray.from_arrays(ends, pa.array(tails.reshape(-1))), "class": pa.array(names[own]), "v": part.column(0).take(pa.array(own))}
                     yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _best(x: np.ndarray, ids: list, query: np.ndarray, keep: int) -> list[tuple[float, int]]:
-    """(-cosine, id) of the rows nearest to the query, ties to smaller ids."""
-    score = (x * query).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum()))
-    near = np.arange(len(x))
+def _best(x: np.ndarray, norms: np.ndarray, ids: list, near: np.ndarray, query: np.ndarray, keep: int) -> list[tuple[float, int]]:
+    """(-cosine, id) of those of the rows `near` that are nearest to the query, ties to smaller ids."""
+    score = (x[near] * query).sum(axis=1) / (norms[near] * np.sqrt((query * query).sum()))
     if len(near) > keep:
-        edge = np.partition(score, len(score) - keep)[len(score) - keep]
-        near = np.flatnonzero(score >= edge)
-    return sorted((-float(score[n]), i) for n in near for i in ids[n])[:keep]
+        top = score >= np.partition(score, len(score) - keep)[len(score) - keep]
+        near, score = near[top], score[top]
+    return sorted((-s, i) for n, s in zip(near.tolist(), score.tolist()) for i in ids[n])[:keep]
 
 
 def _rows(found: list[tuple[int, float, int]], kind=pa.RecordBatch):
@@ -159,15 +154,14 @@ def _met(keep: int):
         if rows.num_rows and asking.num_rows:
             tail = rows["tail"].to_numpy()
             order = np.argsort(tail, kind="stable")
-            tail, x = tail[order], _matrix(rows["v"].combine_chunks())[order]
-            ids = rows["ids"].to_pylist()
-            ids = [ids[n] for n in order]
+            tail, x, ids = tail[order], _matrix(rows["v"].combine_chunks()), rows["ids"].to_pylist()
+            norms = np.sqrt((x * x).sum(axis=1))
             queries, names = _matrix(asking["v"].combine_chunks()), asking["class"].to_pylist()
             for name, query, tails in zip(names, queries, asking["tails"].to_pylist()):
                 left, right = np.searchsorted(tail, tails, "left"), np.searchsorted(tail, tails, "right")
-                near = np.concatenate([np.arange(a, b) for a, b in zip(left, right)])
+                near = np.concatenate([order[a:b] for a, b in zip(left, right)])
                 if len(near):
-                    found += [(name, s, i) for s, i in _best(x[near], [ids[n] for n in near], query, keep)]
+                    found += [(name, s, i) for s, i in _best(x, norms, ids, near, query, keep)]
         return _rows(found, pa.Table)
 
     return run
@@ -178,21 +172,22 @@ def _exact(block, keep: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, ids = _matrix(part.column(0)), part.column(1).to_pylist()
-                yield _rows([(name, s, i) for name, query in zip(*block.value) for s, i in _best(x, ids, query, keep)])
+                x, ids, every = _matrix(part.column(0)), part.column(1).to_pylist(), np.arange(part.num_rows)
+                norms = np.sqrt((x * x).sum(axis=1))
+                yield _rows([(name, s, i) for name, query in zip(*block.value) for s, i in _best(x, norms, ids, every, query, keep)])
 
     return run
 
 
 def candidates(classes: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, keep: int) -> DataFrame:
     """(class, vec_id, score): the `keep` best of each block's candidates for queries (v, class) among classes (v, ids)."""
-    keys = ["tbl", "head"]
+    keys, kind = ["tbl", "head"], dict(classes.dtypes)["v"]
     n_rows = classes.mapInArrow(_indexed(hasher, False), "tbl int, head long").groupBy(keys).agg(F.count("*").alias("n_rows"))
     n_asked = queries.mapInArrow(_asked(hasher, probes, False), "tbl int, head long").groupBy(keys).agg(F.count("*").alias("n_asked"))
     heads = written(n_rows.join(n_asked, keys).select(*keys, F.ceil(F.col("n_rows") / ROWS).cast("int").alias("rows"), F.ceil(F.col("n_asked") / ASKED).cast("int").alias("asks")), "heads")
-    rows = classes.mapInArrow(_indexed(hasher, True), "tbl int, head long, tail int, ids array<long>, v array<double>").join(heads, keys)
+    rows = classes.mapInArrow(_indexed(hasher, True), f"tbl int, head long, tail int, ids array<long>, v {kind}").join(heads, keys)
     rows = rows.withColumn("i", F.pmod(F.xxhash64("ids"), "rows").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    asks = queries.mapInArrow(_asked(hasher, probes, True), "tbl int, head long, tails array<int>, class long, v array<double>").join(heads, keys)
+    asks = queries.mapInArrow(_asked(hasher, probes, True), f"tbl int, head long, tails array<int>, class long, v {kind}").join(heads, keys)
     asks = asks.withColumn("j", F.pmod(F.xxhash64("class"), "asks").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     block = [*keys, "i", "j"]
     met = rows.select(*block, "tail", "ids", "v").groupBy(block).cogroup(asks.select(*block, "tails", "class", "v").groupBy(block))
