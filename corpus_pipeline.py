@@ -52,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", less_toxic), ("near-dedup", deduplicated), ("decontamination", decontaminated), ("pii", redacted), ("mixing", mixed)]
 
-#: No SQL expresses trained or hashed stages; tests hold each stage against brute force.
+#: No SQL expresses trained or hashed stages; tests hold each stage against what small rows must give.
 ORACLE_SQL = None
 
 
