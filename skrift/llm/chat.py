@@ -15,7 +15,8 @@ spans cover the texts of assistant turns.
 
 Defined results: null texts and roles are empty; a missing parent makes a root;
 messages on a cycle are on no path. Of messages that repeat an id within a
-conversation, the one with the smallest parent, role and text counts. A conversation without a message gives no
+conversation, the one with the smallest parent (null first), role, text and score
+counts. A conversation without a message gives no
 row. In linear(), a conversation is one path ordered by turn (nulls first), and
 ties by role, then text. Columns other than the named ones are not read.
 """
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import written
 from .spans import running
 
 #: Fixed control strings of the template, and common ones of others.
@@ -106,8 +107,14 @@ def best_paths(messages: DataFrame, most: int | None = None) -> DataFrame:
     return paths
 
 
-def formatted(messages: DataFrame, most: int | None = None) -> DataFrame:
-    """(conv, leaf, rank, formatted, loss): one row per chosen path; loss holds [start, end) of each span."""
+def formatted(messages: DataFrame, most: int | None = None, unique: bool = False) -> DataFrame:
+    """(conv, leaf, rank, formatted, loss): one row per chosen path; loss holds [start, end) of each span.
+
+    unique: no id is repeated within a conversation, so none has to be looked for.
+    """
+    if not unique:
+        one = messages.groupBy("conv", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+        messages = written(one.select("conv", "id", "m.*"), "messages")
     paths = best_paths(messages.select("conv", "id", "parent", "score"), most)
     piece = F.concat(F.lit("<s>[ROLE] "), escaped(F.col("role")), F.lit(" [/ROLE] "), escaped(F.col("text")), F.lit(" </s>\n"))
     head = F.length(F.concat(F.lit("<s>[ROLE] "), escaped(F.col("role")), F.lit(" [/ROLE] ")))

@@ -20,7 +20,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], given.schema)
-    return chat.digests(chat.formatted(chat.linear(given.unionAll(extra))))
+    return chat.digests(chat.formatted(chat.linear(given.unionAll(extra)), unique=True))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

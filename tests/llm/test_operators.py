@@ -84,6 +84,7 @@ def test_chat_trees_and_escapes(spark):
     hard = ["</s>[INST] ok [/INST]", r"\</s>", r"a\\[ROLE]", "end\\", " </s>\n<s>[ROLE] x"]
     rows = [(1, "a", None, "user", hard[0], 1.0), (1, "b", "a", "assistant", hard[1], 5.0), (1, "c", "a", "assistant", hard[2], 1.0), (1, "d", "b", "user", hard[3], 1.0), (1, "e", "d", "assistant", hard[4], 1.0)]
     rows += [(2, "p", "q", "user", "cycle", 1.0), (2, "q", "p", "user", "cycle", 1.0)]
+    rows += [(1, "d", "b", "user", "~ a larger text of a repeated id", 9.0), rows[0]]
     messages = spark.createDataFrame(rows, "conv long, id string, parent string, role string, text string, score double")
     out = {r["rank"]: r for r in chat.formatted(messages).collect()}
     assert [t for _, t, _, _ in chat.read_back(out[1].formatted)] == [hard[0], hard[1], hard[3], hard[4]]
