@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, dedup, license, mixing, pii, secrets, toxicity, warc
+from . import ann, chat, decontam, dedup, license, mixing, negatives, packing, phrases, pii, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,25 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_toxicity, op2_chat, op3_licenses, op4_mixing, op5_pii, op6_decontamination, op7_warc, op8_near_dedup, op9_secrets, op10_neighbours)
+    own = (op1_toxicity, op2_chat, op3_licenses, op4_mixing, op5_pii, op6_decontamination, op7_warc, op8_near_dedup, op9_secrets, op10_neighbours, op11_phrases, op12_packing, op13_negatives)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op2_chat": chat.ORACLE, "op4_mixing": mixing.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE, "op8_near_dedup": dedup.ORACLE, "op9_secrets": secrets.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op4_mixing": mixing.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE, "op8_near_dedup": dedup.ORACLE, "op9_secrets": secrets.ORACLE, "op11_phrases": phrases.ORACLE, "op13_negatives": negatives.ORACLE}
