@@ -1,26 +1,15 @@
-"""From hits to an answer: contexts, prompts, searches by tool calls, clean-up, sources and links.
+"""From hits to an answer: contexts, prompts, numbers across searches, sources and links.
 
-What belongs to passages is column expressions over hits, for one question or
-many. The loop with a language model is a small state machine on the driver over
-a `LanguageModel`, which any vendor's client or a stub can be.
+All are column expressions and joins over hits, for one question or many; the
+conversation with a language model is the caller's.
 """
 
-from __future__ import annotations
-
-import re
-import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
-from pathlib import Path
-from typing import Protocol
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from . import retrieve as R
-from . import search as S
 
 #: Columns of passages that source lines use; a table without one has empty values.
 FIELDS = ("rm", "beteckning", "datum", "doc_type", "page", "doc_title", "parti", "year", "heading", "url", "lastmod", "undertecknare", "subtype")
@@ -109,252 +98,3 @@ def cited_sources(sources: Column, answer: Column) -> Column:
     """Those lines of a source list whose numbers an answer cites."""
     head = lambda s: F.concat(F.substring_index(s, "]", 1), F.lit("]"))
     return F.filter(sources, lambda s: F.arrays_overlap(T.cited_numbers(answer), T.cited_numbers(head(s))))
-
-
-# -- the loop with a language model ------------------------------------------
-
-
-@dataclass
-class Reply:
-    """A model's turn: a text or tool calls (name, arguments)."""
-
-    text: str | None = None
-    calls: list[tuple[str, dict]] = field(default_factory=list)
-    finish: str = ""
-    model: str = ""
-
-
-class LanguageModel(Protocol):
-    def __call__(self, turns: list[dict], system: str, tools: list[dict] | None, mode: str) -> Reply: ...
-
-
-def search_tool() -> dict:
-    """The schema of the one tool, in the form that function calling takes."""
-    return {
-        "name": "sok",
-        "description": "Söker i materialet om svensk partipolitik, i alla lager om lager utelämnas. Returnerar numrerade passager att hänvisa till.",
-        "parameters": {
-            "type": "object",
-            "properties": {
-                "fraga": {"type": "string", "description": "En fullständig, naturlig fråga om sakfrågan. Inte ett enstaka sökord."},
-                "lager": {"type": "string", "enum": list(K.LAYERS), "description": "Utelämna för att söka alla lager. Ange bara när användaren uttryckligen begränsar källorna."},
-                "partier": {"type": "array", "items": {"type": "string", "enum": list(K.PARTIES)}, "description": "Partikoder att söka för. Utelämna för alla partier."},
-            },
-            "required": ["fraga"],
-        },
-    }
-
-
-def system_text(path: str | Path) -> str:
-    """A system prompt, with its background questions and answers, is a text file of the deployment."""
-    return Path(path).read_text(encoding="utf-8")
-
-
-def clean_answer(reply: Reply) -> str:
-    """The text without layer labels; a marker where there is none."""
-    return re.sub(K.LAYER_LABEL, "", reply.text) if reply.text else K.NO_ANSWER.format(reply.finish or "unknown")
-
-
-def cut_off(reply: Reply) -> bool:
-    return "MAX_TOKENS" in reply.finish
-
-
-def history_turns(history: list[tuple[str, str]], most: int = K.HISTORY_TURNS) -> list[dict]:
-    """Earlier questions and answers as turns, answers without citations."""
-    out = []
-    for q, a in history[-most:]:
-        out += [{"role": "user", "text": f"FRÅGA: {q}"}, {"role": "model", "text": re.sub(K.CITATION, "", a)}]
-    return out
-
-
-def advice(question: str) -> bool:
-    return re.search(K.VOTING_ADVICE, question, re.IGNORECASE) is not None
-
-
-def parties_named(question: str) -> list[str]:
-    """Codes of the parties a question names, longest alias first; none means all."""
-    low = question.lower()
-    return list(dict.fromkeys(K.ALIASES[a] for a in sorted(K.ALIASES, key=len, reverse=True) if re.search(rf"\b{re.escape(a)}\b", low)))
-
-
-#: What a retriever is: (question, parties, layers, layers searched in this step) to numbered-to-be hits and gaps.
-Retriever = Callable[[str, list[str], list[str], list[str]], tuple[list[dict], list[tuple[str, str]]]]
-
-
-def index_retriever(index, encode: Callable[[str], list[float]] | None = None, method: str = "hybrid") -> Retriever:
-    """A retriever over an index (sources.index.Index): one ranking of the question serves all slots.
-
-    A slot's passages are few, so what comes to the driver is bounded by the quota.
-    """
-    spark = index.passages.sparkSession
-
-    def run(question, parties, layers, searched):
-        own = spark.createDataFrame([(0, question, encode(question) if encode else None)], "qid long, question string, qvector array<double>")
-        ranked = index.ranking(own, method)
-        table = R.slots(spark, parties, layers, searched=searched)
-        hits = S.filtered(ranked, index.passages, party=parties or list(K.PARTIES))
-        fields = with_fields(index.passages)
-        candidates = R.relevant(R.slot_candidates(hits, table)).join(fields.select("pid", "subtype", "undertecknare"), "pid")
-        filled = R.fill(R.group_motions(candidates)).persist()
-        try:
-            found = R.final_order(filled).select("pid", "n", "similarity").join(fields, "pid").orderBy("n").collect()
-            gaps = R.gaps(own, table, filled).select("s_party", "s_layer").collect()
-        finally:
-            filled.unpersist()
-        order = {(p, x): (i, j) for i, p in enumerate(K.PARTIES) for j, x in enumerate(K.LAYERS)}
-        return [r.asDict() for r in found], sorted((tuple(g) for g in gaps), key=order.__getitem__)
-
-    return run
-
-
-def _source(m: dict) -> str:
-    kind = m.get("layer")
-    if kind == "motion":
-        signers = [s for s in (m.get("undertecknare") or "").split(";") if s]
-        single = m["subtype"] == "Enskild motion" if m.get("subtype") else len(signers) == 1
-        return f"motion {m.get('beteckning') or ''} {m.get('rm') or ''}" + (f" (enskild motion, {', '.join(signers)})" if single else "")
-    if kind == "proposition":
-        return f"prop. {m.get('rm') or ''}:{m.get('beteckning') or ''}, {m.get('datum') or ''}"
-    return f"{m.get('doc_type') or 'partiprogram'}, s. {m.get('page')}" if kind == "program" else m.get("url") or ""
-
-
-def context_text(hits: list[dict], argument_chars: int, limit: int | None = K.MAX_CONTEXT_CHARS, start: int = 1) -> str:
-    """prompt_context's text of one question's hits on the driver: a search result of a few dozen passages."""
-    parts, used = ["\nHÄMTADE TEXTER"], 0
-    for n, m in enumerate(hits, start):
-        piece = f"\n[{n}] {m['layer'].upper()} — {m['context']}\nkälla: {_source(m)}\n{m['text']}"
-        if m["layer"] == "motion" and (said := m.get("sektion_text") or ""):
-            piece += "\nMotivering: " + (said if len(said) <= argument_chars else said[:argument_chars].rsplit(" ", 1)[0] + " …")
-        piece += "\n"
-        used += len(piece)
-        if limit is not None and used > limit:
-            break
-        parts.append(piece)
-    return "\n".join(parts)
-
-
-def gap_text(gaps: list[tuple[str, str]]) -> str:
-    return f"\n\n{K.GAPS_TITLE}\n" + "\n".join(f"- {K.PARTIES[p]} ({p}): {K.LAYER_NAMES[x]}" for p, x in gaps) if gaps else ""
-
-
-def one_call_prompt(retrieve: Retriever, question: str, layer: str | None = None) -> tuple[list[dict], list[dict], dict]:
-    """(turns, hits, info) of a question whose material is all retrieved up front."""
-    parties, layers = parties_named(question), [layer] if layer else list(K.LAYERS)
-    hits, gaps = retrieve(question, parties, layers, layers)
-    text = context_text(hits, K.ARGUMENT_CHARS["one_party" if len(parties) == 1 else "several_parties"]) + gap_text(gaps)
-    note = K.VOTING_ADVICE_NOTE if advice(question) else ""
-    turn = {"role": "user", "text": f"KONTEXT\n{text}\n\nSLUT PÅ KONTEXT{note}\n\nFRÅGA: {question}"}
-    return [turn], hits, {"parties": parties or "all", "layers": ",".join(layers), "hits": len(hits), "gaps": len(gaps), "voting_advice": bool(note), "context_chars": len(text)}
-
-
-def call_layers(args: dict) -> list[str]:
-    return [args["lager"]] if args.get("lager") else list(K.LAYERS)
-
-
-def run_search(retrieve: Retriever, args: dict, shown: list[dict], searched: list[str]) -> tuple[str, int]:
-    """One tool call: (text for the model, gaps). `shown` grows by passages that are new, which are numbered after those before."""
-    layers = call_layers(args)
-    if not set(layers) <= set(K.LAYERS):
-        return f"Okänt lager: {args['lager']}. Välj {', '.join(K.LAYERS)} eller utelämna.", 0
-    parties = [p for p in args.get("partier") or [] if p in K.PARTIES]
-    hits, gaps = retrieve(args.get("fraga") or "", parties, layers, searched)
-    known = {m["pid"] for m in shown}
-    new = [m for m in hits if m["pid"] not in known]
-    text = context_text(new, K.ARGUMENT_CHARS["one_party" if len(parties) == 1 else "several_parties"], None, len(shown) + 1) + gap_text(gaps)
-    shown += new
-    return text + (f"\n\n{K.ALL_SHOWN}" if hits and not new else ""), len(gaps)
-
-
-def answer_with_tools(retrieve: Retriever, model: LanguageModel, question: str, system: str = "", history: list[tuple[str, str]] = (), rounds: int = K.TOOL_ROUNDS) -> tuple[str, list[dict], dict]:
-    """(answer, shown passages, info). The first step must search, the last may not; parallel searches share one quota."""
-    note = K.VOTING_ADVICE_NOTE if advice(question) else ""
-    turns = [*history_turns(list(history)), {"role": "user", "text": f"FRÅGA: {question}{note}"}]
-    shown: list[dict] = []
-    info = {"searches": [], "gaps": 0, "context_chars": 0, "api_calls": 0, "voting_advice": bool(note)}
-    reply = Reply()
-    for step in range(rounds + 1):
-        mode = "ANY" if step == 0 else "NONE" if step == rounds else "AUTO"
-        reply = model(turns, system, [search_tool()], mode)
-        info["api_calls"] += 1
-        if not reply.calls:
-            break
-        turns.append({"role": "model", "calls": reply.calls})
-        searched = sorted({x for _, args in reply.calls for x in call_layers(args)})
-        unsearched = [x for x in K.LAYERS if x not in searched]
-        results = []
-        for _, args in reply.calls:
-            info["searches"].append(f"{args.get('lager') or 'alla lager'}:{','.join(args.get('partier') or []) or 'alla'} \"{args.get('fraga', '')}\"")
-            text, gaps = run_search(retrieve, args, shown, searched)
-            info["gaps"] += gaps
-            results.append(text)
-        if unsearched:
-            results[-1] += "\n\nEJ SÖKTA LAGER: " + ", ".join(K.LAYER_NAMES[x] for x in unsearched) + ". Påstå inte att material saknas där — det har inte sökts."
-        results[-1] += f'\n\nSVARSSPRÅK: skriv svaret på samma språk som frågan "{question}" är skriven på, inte på materialets språk.'
-        info["context_chars"] += sum(map(len, results))
-        turns.append({"role": "user", "results": results})
-    info |= {"hits": len(shown), "model": reply.model}
-    return clean_answer(reply), shown, info
-
-
-class GaveUp(RuntimeError):
-    """No model answered."""
-
-
-#: What tells a failure that passes from one that does not.
-TRANSIENT = ("429", "500", "502", "503", "504", "RESOURCE_EXHAUSTED", "UNAVAILABLE")
-
-
-def with_retries(models: list[tuple[str, LanguageModel]], attempts: int = 2, switch_after: int = 2, wait: Callable[[float], None] = time.sleep) -> LanguageModel:
-    """A model that tries others: after `switch_after` passing failures, at once if a model is unknown or its day's quota is used up."""
-
-    def ask(turns, system, tools, mode):
-        at = failures = tries = 0
-        while True:
-            name, model = models[at]
-            try:
-                reply = model(turns, system, tools, mode)
-                reply.model = reply.model or name
-                return reply
-            except Exception as error:  # noqa: BLE001 - vendors' errors are told apart by their text
-                text = str(error)
-                unknown, daily = "404" in text or "NOT_FOUND" in text, "PerDay" in text
-                if not unknown and not any(code in text for code in TRANSIENT):
-                    raise
-                failures, tries = failures + 1, tries + (not unknown)
-                if (unknown or daily or failures >= switch_after) and at + 1 < len(models):
-                    at, failures = at + 1, 0
-                elif unknown or daily or tries >= attempts:
-                    raise GaveUp(f"gave up after {', '.join(n for n, _ in models[: at + 1])}") from error
-                else:
-                    wait(min(60, 4 * 2**failures))
-
-    return ask
-
-
-def error_message(error: Exception) -> str:
-    """What a user may see of an error: never its text, which can hold keys."""
-    text = str(error).lower()
-    for marks, said in (
-        (("401", "403", "api_key_invalid", "unauthenticated"), "Åtkomsten godkändes inte. Kontrollera nyckeln och dess behörigheter."),
-        (("429", "quota", "resource_exhausted"), "Gränsen för anrop har nåtts. Vänta och försök igen senare."),
-        (("404", "not_found", "not available"), "Den valda modellen är inte tillgänglig."),
-    ):
-        if any(m in text for m in marks):
-            return said
-    if isinstance(error, OSError):
-        return "En fil eller anslutning kunde inte öppnas."
-    return "Svaret kunde inte hämtas."
-
-
-def ask_config(config: str, retrieve: Retriever, model: LanguageModel, question: str, system: str = "", no_rag_system: str = "", history: list[tuple[str, str]] = ()) -> tuple[str, list[dict], dict]:
-    """One question through one variant: with tools, with all material up front, or without any."""
-    if config == "rag_tools":
-        return answer_with_tools(retrieve, model, question, system, history)
-    if config not in K.CONFIGS:
-        raise ValueError(f"unknown config {config!r}; known: {', '.join(K.CONFIGS)}")
-    if config == "rag_one_call":
-        turns, hits, info = one_call_prompt(retrieve, question)
-    else:
-        turns, hits, info, system = [{"role": "user", "text": question}], [], {}, no_rag_system
-    reply = model([*history_turns(list(history)), *turns], system, None, "NONE")
-    return clean_answer(reply), hits, {**info, "model": reply.model, "api_calls": 1}

@@ -1,5 +1,6 @@
 """Ordered text structure: paragraphs, headings, section ranges, PDF spans, carried values."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,8 +9,6 @@ from .. import constants as K
 # Page furniture, hyphenation at line ends, headings of volumes.
 NOISE = r"^(?:Prop\.|Prop\. \d{4}/\d{2}:\d+|\d{4}/\d{2}:\d+|[\d\s,.−\-–+%()]+|(?:Prop\. \d{4}/\d{2}:\d+\s*)?Utgiftsområde \d{1,2})$"
 HYPHEN = r"(?U)(\w)- (?!och\b|eller\b|samt\b|till\b|som\b)([a-zåäö])"
-#: Levels of headings in a table; numbering has four.
-MOST_DEPTHS = 32
 
 
 def paragraphs(text: Column) -> Column:
@@ -63,19 +62,29 @@ def section_ranges(headings: DataFrame) -> DataFrame:
     """(doc, pos, depth, next_any, next_level) of headings (doc, pos, depth): where a section ends.
 
     next_any is the next heading; next_level the next of the same or a higher
-    level. Depths are few, so the next heading of each depth is carried back by
-    one window, and the least of those that count is taken.
+    level. A document's headings are folded backwards over a stack of those that
+    may still end a section, whose depths fall from top to bottom: any number of
+    levels, each heading pushed and popped once. A null depth ends nothing and
+    has no next_level; the second of two headings at one place is the next one.
     """
-    own = Window.partitionBy("doc").orderBy("pos")
-    # backwards, so that the frame grows: one that shrinks is computed anew for each row
-    after = Window.partitionBy("doc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    depths = [r[0] for r in headings.select("depth").distinct().orderBy("depth").limit(MOST_DEPTHS + 1).collect()]
-    if len(depths) > MOST_DEPTHS:
-        raise ValueError(f"more than {MOST_DEPTHS} heading levels")
-    next_of = {d: F.last(F.when(F.col("depth") == d, F.col("pos")), ignorenulls=True).over(after) for d in depths}
-    out = headings.select("doc", "pos", "depth", F.lead("pos").over(own).alias("next_any"), *[c.alias(f"__{i}") for i, c in enumerate(next_of.values())])
-    ends = F.array_min(F.array(*[F.when(F.lit(d) <= F.col("depth"), F.col(f"__{i}")) for i, d in enumerate(depths)])) if depths else F.lit(None).cast("int")
-    return out.select("doc", "pos", "depth", "next_any", ends.alias("next_level"))
+
+    def ends(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        pos, depth = rows["pos"].to_pylist(), rows["depth"].to_pylist()
+        stack, level = [], [None] * len(pos)
+        for i in reversed(range(len(pos))):
+            if depth[i] is None:
+                continue
+            while stack and depth[stack[-1]] > depth[i]:
+                stack.pop()
+            level[i] = pos[stack[-1]] if stack else None
+            stack.append(i)
+        kind = rows.schema.field("pos").type
+        return rows.select(["doc", "pos", "depth"]).append_column("next_any", pa.array(pos[1:] + [None] * bool(pos), kind)).append_column("next_level", pa.array(level, kind))
+
+    kinds = dict(headings.dtypes)
+    schema = f"doc {kinds['doc']}, pos {kinds['pos']}, depth {kinds['depth']}, next_any {kinds['pos']}, next_level {kinds['pos']}"
+    return headings.select("doc", "pos", "depth").groupBy("doc").applyInArrow(ends, schema)
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -49,11 +49,13 @@ POLITICAL = """pol AS (SELECT *, party || ' (' || layer || ')' AS kontext, layer
   CASE WHEN pid % 2 = 0 THEN 'A B' ELSE 'A B, C D' END AS signers, CASE WHEN pid % 7 = 0 THEN 'ftp://' ELSE 'https://' END || 'p.se/' || pid % 50 AS url FROM (
   SELECT doc_id AS pid, text, CASE lang WHEN 'fr' THEN 'motion' WHEN 'de' THEN 'program' WHEN 'es' THEN 'proposition' ELSE 'said' END AS layer,
   CASE WHEN lang = 'es' THEN 'M;KD;L' ELSE ['S', 'M', 'SD', 'C', 'V', 'KD', 'MP', 'L'][CAST(regexp_extract(source, '(\\d+)', 1) AS INT) % 8 + 1] END AS party FROM documents))"""
-SLOTS = "sl AS (SELECT * FROM (VALUES (0,'S','program',1),(1,'S','motion',2),(2,'S','said',1),(3,'M','program',1),(4,'M','motion',2),(5,'M','proposition',2),(6,'M','said',1)) t(slot, s_party, s_layer, n))"
+SLOTS = "sl AS (SELECT * FROM (VALUES (0,'S','program',1),(1,'S','motion',2),(2,'S','said',1),(3,'M','program',1),(4,'M','motion',2),(5,'M','proposition',2),(6,'M','said',1),(7,'KD','program',1),(8,'KD','motion',2),(9,'KD','proposition',2),(10,'KD','said',1)) t(slot, s_party, s_layer, n))"
 FILLED = f"""{hybrid(pool='true', drop=K.PARTY_WORDS)}, {POLITICAL}, {SLOTS},
-ca AS (SELECT * FROM (SELECT h.*, pol.layer, single, slot, s_party, s_layer, n, row_number() OVER (PARTITION BY qid, slot ORDER BY rank) AS pos FROM h JOIN pol USING (pid) JOIN sl ON pol.party = s_party AND pol.layer = s_layer WHERE pol.layer <> 'proposition') WHERE pos <= n + 20),
+ca AS (SELECT * FROM (SELECT h.*, pol.layer, single, slot, s_party, s_layer, n, row_number() OVER (PARTITION BY qid, slot ORDER BY rank) AS pos FROM h JOIN pol USING (pid) JOIN sl ON list_contains(string_split(pol.party, ';'), s_party) AND pol.layer = s_layer) WHERE pos <= n + 20),
 re AS (SELECT * FROM (SELECT *, max(similarity) OVER (PARTITION BY qid, layer) AS best FROM ca) WHERE similarity IS NULL OR similarity >= greatest(-0.2, best - 0.3)),
-fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, slot ORDER BY pos) AS k FROM re WHERE NOT single) WHERE k <= n)"""
+f0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, slot ORDER BY pos) AS k FROM re WHERE NOT single AND slot <> 9) WHERE k <= n),
+f9 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, slot ORDER BY pos) AS k FROM re WHERE slot = 9 AND NOT EXISTS (SELECT 1 FROM f0 WHERE f0.qid = re.qid AND f0.pid = re.pid)) WHERE k <= n),
+fi AS (SELECT * FROM f0 UNION ALL SELECT * FROM f9)"""
 SHOWN = f"""{bm25(limit='rank <= 6').replace(CORPUS, f"{POLITICAL}, c AS (SELECT pid, layer, party, kontext AS context, text FROM pol)")}, {dense('rank <= 6')},
 two AS (SELECT qid, pid, 0 AS call, rank FROM b UNION ALL SELECT qid, pid, 1, rank FROM ve),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, pid ORDER BY call, rank) AS k FROM two) WHERE k = 1),

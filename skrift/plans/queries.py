@@ -127,7 +127,7 @@ def per_party_cap_shared(spark, sf):
     return S.capped_shared(S.filtered(_hybrid(spark, sf), shared_corpus(spark, sf)), 1, 8)
 
 
-SLOT_PARTIES = ("S", "M")
+SLOT_PARTIES = ("S", "M", "KD")
 
 
 def political(spark, sf) -> DataFrame:
@@ -153,9 +153,9 @@ def _slot_table(spark):
 
 
 def _candidates(spark, sf):
-    """A party's candidates of one ranking, after a cutoff that the synthetic vectors pass; propositions are shared, so they have their own query."""
+    """A party's candidates of one ranking, after a cutoff that the synthetic vectors pass; propositions are shared by the parties in government."""
     own = political(spark, sf)
-    hits = S.filtered(_hybrid(spark, sf, party_filter=True), own, party=list(SLOT_PARTIES)).where("layer <> 'proposition'")
+    hits = S.filtered(_hybrid(spark, sf, party_filter=True), own, party=list(SLOT_PARTIES))
     near = R.relevant(R.slot_candidates(hits, _slot_table(spark)), floor=-0.2, distance=0.3)
     return near.join(own.select("pid", "subtype", "undertecknare"), "pid")
 

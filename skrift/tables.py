@@ -44,9 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its source has fewer splits than there are; larger inputs are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores if it is too small to be split among them, by the planner's estimate of its size: nothing runs for it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 def range_ranked(df: DataFrame, by: str, *order, name: str = "rank") -> DataFrame:

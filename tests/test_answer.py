@@ -1,9 +1,7 @@
-"""The answer path with a scripted model: contexts, searches, loop, retries, links; and metrics of answers."""
+"""Links and sources of answers, metrics, flags and worklists."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from skrift import constants as K
 from skrift.operators import answer as A
 from skrift.operators import evaluate as E
 from skrift.operators import retrieve as R
@@ -11,93 +9,6 @@ from skrift.operators import search as S
 from skrift.plans import report
 from skrift.sources import index as I
 
-HITS = [
-    {"pid": 1, "layer": "motion", "context": "S, motion 7", "text": "Ett förslag.", "beteckning": "7", "rm": "2024/25", "undertecknare": "A B;C D", "subtype": "", "sektion_text": "ord " * 200, "url": None},
-    {"pid": 2, "layer": "motion", "context": "S, motion 8", "text": "Två.", "beteckning": "8", "rm": "2024/25", "undertecknare": "E F", "subtype": None, "sektion_text": "", "url": "https://r.se/8"},
-    {"pid": 3, "layer": "proposition", "context": "Regeringen", "text": "Tre.", "beteckning": "9", "rm": "2023/24", "datum": "1 maj 2024"},
-    {"pid": 4, "layer": "program", "context": "M", "text": "Fyra.", "doc_type": None, "page": 3},
-    {"pid": 5, "layer": "said", "context": "V", "text": "Fem.", "url": "https://v.se/x"},
-]
-
-
-class Scripted:
-    def __init__(self, *replies):
-        self.replies, self.asked = list(replies), []
-
-    def __call__(self, turns, system, tools, mode):
-        self.asked.append((list(turns), system, tools, mode))
-        reply = self.replies.pop(0)
-        if isinstance(reply, Exception):
-            raise reply
-        return reply
-
-
-def retriever(log):
-    def retrieve(question, parties, layers, searched):
-        log.append((question, parties, layers, searched))
-        return [h for h in HITS if h["layer"] in layers], [("S", "said")] if "said" in layers else []
-
-    return retrieve
-
-
-def test_context_of_rows_and_of_tables_is_the_same(spark):
-    fields = "qid long, n long, pid long, layer string, context string, text string, beteckning string, rm string, undertecknare string, subtype string, sektion_text string, datum string, doc_type string, page int, url string"
-    rows = [(1, n, h["pid"], h["layer"], h["context"], h["text"], h.get("beteckning"), h.get("rm"), h.get("undertecknare"), h.get("subtype"), h.get("sektion_text"), h.get("datum"), h.get("doc_type"), h.get("page"), h.get("url")) for n, h in enumerate(HITS, 1)]
-    table = spark.createDataFrame(rows, fields)
-    gaps = spark.createDataFrame([(1, "M", "said"), (1, "S", "said"), (2, "S", "motion")], "qid long, s_party string, s_layer string")
-    out = {r.qid: r.context for r in A.prompt_context(table, gaps, limit=None).collect()}
-    assert out[1] == A.context_text(HITS, 600, None) + A.gap_text([("S", "said"), ("M", "said")])
-    assert out[2] == "\nHÄMTADE TEXTER" + A.gap_text([("S", "motion")])
-    assert "källa: motion 8 2024/25 (enskild motion, E F)\n" in out[1] and "källa: motion 7 2024/25\n" in out[1] and "källa: partiprogram, s. 3\n" in out[1] and "prop. 2023/24:9, 1 maj 2024" in out[1]
-    assert out[1].count("Motivering: ") == 1 and "ord …" in out[1]
-
-
-def test_tool_loop_numbers_on_and_shares_a_quota():
-    log: list = []
-    model = Scripted(
-        A.Reply(calls=[("sok", {"fraga": "skatt?", "lager": "motion", "partier": ["S", "X"]}), ("sok", {"fraga": "mer?", "lager": "motion"})]),
-        A.Reply(calls=[("sok", {"fraga": "igen?"}), ("sok", {"fraga": "fel", "lager": "votering"})]),
-        A.Reply(text="Svar (MOTION) [1] och [3].", finish="STOP"),
-    )
-    text, shown, info = A.answer_with_tools(retriever(log), model, "Vad vill S om skatt?", "SYSTEM", [("förr", "då [1] sa de. [2, 3]")])
-    assert text == "Svar [1] och [3]." and [m["pid"] for m in shown] == [1, 2, 3, 4, 5]
-    assert [m for _, _, _, m in model.asked] == ["ANY", "AUTO", "NONE"] and info["api_calls"] == 3 and info["gaps"] == 1
-    assert log[0] == ("skatt?", ["S"], ["motion"], ["motion"]) and log[2][2] == list(K.LAYERS) and "votering" in log[2][3]
-    first = model.asked[1][0][-1]["results"]
-    assert "[1] MOTION — S, motion 7" in first[0] and K.ALL_SHOWN in first[1] and "EJ SÖKTA LAGER: partiprogrammet, propositioner, hemsidan" in first[1] and "EJ SÖKTA" not in first[0]
-    second = model.asked[2][0][-1]["results"]
-    assert "[3] PROPOSITION" in second[0] and second[1].startswith("Okänt lager: votering") and "SVARSSPRÅK" in second[1] and "EJ SÖKTA" not in second[1]
-    assert model.asked[0][0][:2] == [{"role": "user", "text": "FRÅGA: förr"}, {"role": "model", "text": "då sa de."}]
-    assert info["searches"][0] == 'motion:S,X "skatt?"'
-
-
-def test_one_call_and_configs():
-    log: list = []
-    turns, hits, info = A.one_call_prompt(retriever(log), "Vilket parti ska jag rösta på, Moderaterna?")
-    assert info["parties"] == ["M"] and info["voting_advice"] and turns[0]["text"].endswith("FRÅGA: Vilket parti ska jag rösta på, Moderaterna?") and K.VOTING_ADVICE_NOTE in turns[0]["text"]
-    assert log[0][1] == ["M"] and len(hits) == 5
-    model = Scripted(A.Reply(text=None, finish="SAFETY"), A.Reply(text="x"))
-    assert A.ask_config("no_rag", retriever(log), model, "q?", "S", "N")[0] == "[no answer was generated — finish_reason: SAFETY]" and model.asked[0][1] == "N"
-    assert A.ask_config("rag_one_call", retriever(log), model, "q?", "S")[2]["api_calls"] == 1 and model.asked[1][1] == "S"
-    with pytest.raises(ValueError):
-        A.ask_config("other", retriever(log), model, "q?")
-    assert A.cut_off(A.Reply("x", finish="FinishReason.MAX_TOKENS")) and A.search_tool()["parameters"]["required"] == ["fraga"]
-
-
-def test_retries_and_other_models():
-    waits: list = []
-    ok = A.Reply(text="a")
-    busy, gone, day = RuntimeError("503 UNAVAILABLE"), RuntimeError("404 NOT_FOUND"), RuntimeError("429 PerDay")
-    assert A.with_retries([("m", Scripted(busy, ok))], wait=waits.append)([], "", None, "AUTO").model == "m" and waits == [8]
-    for first in (Scripted(gone), Scripted(day), Scripted(busy, busy)):
-        assert A.with_retries([("m", first), ("n", Scripted(A.Reply(text="b")))], attempts=3, wait=waits.append)([], "", None, "AUTO").model == "n"
-    with pytest.raises(A.GaveUp):
-        A.with_retries([("m", Scripted(busy, busy))], wait=waits.append)([], "", None, "AUTO")
-    with pytest.raises(ZeroDivisionError):
-        A.with_retries([("m", Scripted(ZeroDivisionError()))])([], "", None, "AUTO")
-    secret = RuntimeError("401 key=abc")
-    assert "abc" not in A.error_message(secret) and A.error_message(FileNotFoundError("x")).startswith("En fil")
-
 
 def test_links_and_sources(spark):
     hits = spark.createDataFrame([(1, 1, "https://a.se/x"), (1, 2, "https://a.se/x"), (1, 3, "https:///y"), (1, 4, "javascript:x"), (1, 5, "http://b.se"), (1, 6, None)], "qid long, n int, url string")
@@ -107,22 +18,6 @@ def test_links_and_sources(spark):
     assert one.select(A.cited_sources(F.col("s"), F.col("a")).alias("c")).first().c == ["[1, 2] x"]
 
 
-def test_index_retriever_rejects_individual_motions(spark, tmp_path):
-    rows = [(1, "S", "motion", "S m", "skatten på arbete ska sänkas", "Enskild motion", "A"), (2, "S", "motion", "S m", "skatten på arbete höjs", "Partimotion", "A;B"), (3, "M;KD;L", "proposition", "R", "skatten på arbete ändras", None, None), (4, "S", "said", "S w", "skatten är låg", None, None)]
-    table = spark.createDataFrame(rows, "pid long, party string, layer string, context string, text string, subtype string, undertecknare string")
-    folder = f"file://{tmp_path}/index"
-    I.build(table, folder, None)
-    own = I.opened(spark, folder)
-    assert I.opened(spark, folder) is own
-    retrieve = A.index_retriever(own, method="bm25")
-    hits, gaps = retrieve("skatten på arbete", ["S"], list(K.LAYERS), list(K.LAYERS))
-    assert {h["pid"] for h in hits} == {2, 4} and gaps == [("S", "program")]
-    hits, gaps = retrieve("skatten på arbete", [], ["proposition", "motion"], ["proposition", "motion"])
-    assert {h["pid"] for h in hits} == {2, 3} and ("M", "motion") not in gaps and ("KD", "proposition") in gaps
-    I.build(table, folder, None)
-    assert I.opened(spark, folder) is not own
-
-
 def test_encoders_have_unit_vectors(spark):
     encode = I.encoder(lambda: lambda texts: [[len(t), 0.0] for t in texts], "query: ", 2)
     out = encode(spark.createDataFrame([("a", "x"), ("b", "yy"), ("c", "")], "emb string, text string")).collect()
