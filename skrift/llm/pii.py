@@ -263,14 +263,14 @@ def fit(found: DataFrame, **options) -> Boosted:
 
 
 def _best(spans: Column) -> Column:
-    """Of spans (start, rank, end, kind, score) that overlap, the best scored; a sweep in order of start."""
+    """Of spans (start, rank, end, kind, score) those that overlap no better one that is kept; ties to the first start, then kind."""
+    best_first = F.array_sort(F.transform(spans, lambda s: F.struct((-s["score"]).alias("loss"), s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(done, s):
-        last = F.element_at(done, -1)
-        swapped = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(s))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] >= last["end"], F.concat(done, F.array(s))).when(s["score"] > last["score"], swapped).otherwise(done)
+        return F.when(F.exists(done, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])), done).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:int>>"), step)
+    kept = F.aggregate(best_first, F.array().cast("array<struct<loss:int,start:int,rank:int,end:int,kind:string>>"), step)
+    return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
 
 def _all(found: DataFrame, model: Boosted) -> DataFrame:
@@ -286,7 +286,7 @@ def _all(found: DataFrame, model: Boosted) -> DataFrame:
     able = F.filter("proposed", lambda s: F.when(s["kind"].isin(*WINDOW_CHECKS), s["label"]).otherwise(~s["label"]))
     scored = F.transform(outside(able, F.col("base")), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.get(scores, s["code"]).alias("score")))
     best = _best(F.filter(scored, lambda s: s["score"] > NO))
-    return found.withColumn("added", F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return found.withColumn("added", best)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import scratch, written
@@ -22,15 +22,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 def keyed(df: DataFrame, name: str) -> DataFrame:
     """df with a long of its own for every row, which is the same in each plan that reads it.
 
-    A table that is read as it is has its rows' file and place in it for a key;
-    anything else is written once.
+    A Parquet table that is read as it is has its rows' file and place in it for
+    a key: files are numbered in a written table of two longs a file, which is
+    all that is broadcast. Other formats do not know a row's place, and plans
+    other than a scan may give rows in another order: these are written once.
     """
-    spark = df.sparkSession
-    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in df.columns:
+    whole = df._jdf.queryExecution().analyzed()
+    scan = whole.nodeName() == "LogicalRelation" and "_metadata" not in df.columns and "HadoopFsRelation" in whole.relation().getClass().getName()
+    if not scan or whole.relation().fileFormat().toString() != "Parquet":
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    file = F.col("_metadata.file_path")
+    own = df.select("*", F.xxhash64(file).alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = df.select(file.alias("path")).distinct()
+    nth = F.row_number().over(Window.orderBy("path")).cast("long")
+    first = written(files.select(F.xxhash64("path").alias("__file"), F.call_function("shiftleft", nth, F.lit(40)).alias("__first")), "files")
+    if first.count() != first.select("__file").distinct().count():  # two paths of one hash
         return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
-    own = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    files = sorted(r[0] for r in own.select("__file").distinct().collect())
-    first = spark.createDataFrame([(f, n << 40) for n, f in enumerate(files)], "__file string, __first long")
     return own.join(F.broadcast(first), "__file").select(*df.columns, (F.col("__first") + F.col("__at")).alias(name))
 
 

@@ -188,7 +188,7 @@ def mined(spark, rows, **options):
     return sorted(map(tuple, negatives.hard_negatives(table, F.col("id") % 50 == 0, **options).collect()))
 
 
-@pytest.mark.parametrize("shard,dims,cells", [((4096, 256), 32, 1 << 31), ((40, 3), 7, 1500)])
+@pytest.mark.parametrize("shard,dims,cells", [((4096, 256), 32, 1 << 31), ((60, 5), 7, 4000)])
 def test_negatives_match_brute_force(spark, shard, dims, cells):
     rng = np.random.default_rng(4)
     rows = [(int(i), (0.3 + rng.normal(size=20) * rng.choice([0.1, 1])).tolist(), int(rng.integers(3))) for i in range(0, 3000, 10)]
