@@ -1,6 +1,7 @@
 """SQL that checks the queries, for DuckDB over the same tables."""
 
 from .. import constants as K
+from ..operators import sections as X
 
 
 def _list(words) -> str:
@@ -126,8 +127,52 @@ URLS = "p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pag
 SHOW = "qid, pid, round(score, 6) AS score"
 
 
+def unescaped(text: str) -> str:
+    """The character references that the pages have; of doubled ones, one."""
+    for name, mark in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{mark}', 'g')"
+    return text
+
+
+def cleaned(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({text}, chr(173), '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+#: Blocks of text: marks for edges of blocks, for a heading, and for parts that are not the page's own.
+BLOCKS = rf"""
+h0 AS (SELECT page_id, {cleaned(unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title,
+  regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '(?s)<title>.*?</title>|</?(?:p|div|article|br|body|head)(?: [^>]*)?>', chr(30), 'g') AS t FROM pages),
+h1 AS (SELECT page_id, title, regexp_replace(regexp_replace(replace(replace(t, '<h1>', chr(30) || chr(28)), '</h1>', chr(30)), '(?s)<nav>.*?</nav>|<footer>.*?</footer>', chr(30) || chr(29) || chr(30), 'g'), '<[^>]*>', '', 'g') AS t FROM h0),
+h2 AS (SELECT page_id, title, p, starts_with(p, chr(28)) AS heads, p = chr(29) AS skipped, i FROM (SELECT page_id, title, unnest(string_split(t, chr(30))) AS p, generate_subscripts(string_split(t, chr(30)), 1) AS i FROM h1)),
+h3 AS (SELECT *, CASE WHEN skipped THEN 0 ELSE len(string_split(text, ' ')) END AS words FROM (SELECT * EXCLUDE (p), {cleaned(unescaped("replace(p, chr(28), '')"))} AS text FROM h2) WHERE text <> ''),
+h4 AS (SELECT *, NOT skipped AND coalesce(lag(words) OVER o, 0) + 2 * words + coalesce(lead(words) OVER o, 0) >= 40 AS dense FROM h3 WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+bl AS (SELECT *, dense OR (heads AND NOT skipped AND coalesce(lead(dense) OVER (PARTITION BY page_id ORDER BY i), false)) AS main FROM h4),
+mt AS (SELECT page_id, title, coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (main), '') AS text FROM bl GROUP BY page_id, title)"""
+MOTIONS = rf"""
+m0 AS (SELECT page_id, list_transform(regexp_extract_all(html, '<p>([^<]+)</p>', 1), lambda x: {unescaped('x')}) AS body, list_transform(regexp_extract_all(html, '<p>([^<]+)</p>', 1), lambda x: {unescaped("string_split(x, '. ')[1]")}) AS ask FROM pages),
+m1 AS (SELECT page_id, i, {cleaned('b')} AS body, {cleaned('a')} AS ask FROM (SELECT page_id, unnest(body) AS b, unnest(ask) AS a, generate_subscripts(ask, 1) AS i FROM m0)),
+mq AS (SELECT page_id, ask AS text, {match_words('ask')} AS y, row_number() OVER (PARTITION BY page_id ORDER BY i) AS nr FROM m1 WHERE ask <> ''),
+ms AS (SELECT page_id, i, body, {match_words('body')} AS s FROM m1),
+mm AS (SELECT mq.page_id, nr, text, i, body, CASE WHEN len(y) > 0 THEN len(list_intersect(y, s)) / CAST(len(y) AS DOUBLE) ELSE 0 END AS score FROM mq JOIN ms USING (page_id)),
+mb AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY page_id, nr ORDER BY score DESC, i) = 1)"""
+BILLS = rf"""
+b0 AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: {STRIPPED.format('x')}), lambda x: x <> '') AS own FROM documents),
+b1 AS (SELECT doc_id, list_filter(own, lambda x: NOT regexp_full_match(x, '{X.NOISE[1:-1]}')) AS lines FROM b0 WHERE len(own) > 0),
+b2 AS (SELECT doc_id, list_reduce([{{'done': []::VARCHAR[], 'held': NULL::VARCHAR}}] || list_transform(lines, lambda x: {{'done': []::VARCHAR[], 'held': x}}), lambda a, x: CASE
+    WHEN a.held IS NULL THEN {{'done': a.done, 'held': x.held}}
+    WHEN NOT regexp_matches(a.held, '[.!?:]$') AND (length(a.held) >= 90 OR regexp_matches(x.held, '^\p{{Ll}}') OR regexp_matches(a.held, '[,–-]$')) THEN {{'done': a.done, 'held': a.held || ' ' || x.held}}
+    ELSE {{'done': a.done || [a.held], 'held': x.held}} END) AS f FROM b1),
+b3 AS (SELECT doc_id, array_to_string(list_transform(CASE WHEN f.held IS NULL THEN [] ELSE f.done || [f.held] END, lambda p: regexp_replace(p, '([\p{{L}}\p{{N}}_])- ([a-zåäö])', '\1\2', 'g')), chr(10) || chr(10)) AS text FROM b2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "html_main_text": f"WITH {BLOCKS} SELECT page_id, title, text FROM mt",
+        "html_blocks": f"WITH {BLOCKS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS nth, sha1(text) AS sha1, CAST(words AS INT) AS words, 0 AS linked, main FROM bl WHERE NOT skipped",
+        "html_anchors": f"WITH a0 AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]+') AS host, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS label FROM pages), a1 AS (SELECT host || regexp_replace({unescaped('href')}, '#.*', '') AS url, {cleaned(unescaped('label'))} AS label FROM a0) SELECT url, array_to_string(list_sort(coalesce(list(DISTINCT label) FILTER (label <> ''), [])), '|') AS labels FROM a1 GROUP BY url",
+        "said_records": f"WITH {BLOCKS}, s0 AS (SELECT page_id, text, CASE WHEN page_id % 5 = 0 OR title = '' THEN 'En sida ' || page_id ELSE title END AS heading FROM mt WHERE length(text) >= {K.MIN_TEXT_CHARS}) SELECT 'V:said:en-sida-' || page_id AS chunk_id, 'V' AS parti, 'en-sida-' || page_id AS sakfraga, heading, sha1(text) AS text, sha1(heading || chr(10) || CASE WHEN page_id % 4 = 0 THEN '(Ämne; B)' || chr(10) ELSE '' END || text) AS text_for_embedding, page_id % 2 = 0 AS in_index, concat_ws(',', CASE WHEN page_id % 3 <> 0 THEN 'sitemap' END, CASE WHEN page_id % 2 = 0 THEN 'index' END) AS sources, left(sha256(text), 16) AS content_hash FROM s0",
+        "motion_records": f"WITH {MOTIONS} SELECT '2024/25:' || page_id || ':yrkande:' || nr AS chunk_id, sha1(text) AS text, CASE WHEN score >= {K.MIN_MATCH} THEN 'Del ' || (i - 1) ELSE '' END AS heading, sha1(CASE WHEN score >= {K.MIN_MATCH} THEN body ELSE '' END) AS sektion_text, round(score, 6) AS match_score, CAST(nr AS INT) AS yrkande_nr, ['S', 'C', 'MP', ''][page_id % 4 + 1] AS parti, 'Område ' || page_id AS doc_title, 'av A B m.fl. (' || ['S', 'båda C', 'alla MP', '?'][page_id % 4 + 1] || ')' AS forste_undertecknare, 'A B;C D' AS undertecknare FROM mb",
+        "proposition_records": f"WITH {BILLS} SELECT 'prop:2023/24:' || (doc_id + 200) || ':0' AS chunk_id, doc_id || '.html' AS file, 'Lag ' || doc_id AS doc_title, '5 oktober 2023' AS datum, 'Propositionens huvudsakliga innehåll' AS heading, length(text) AS chars, sha1(text) AS sha1 FROM b3",
         "tokenize_stem": f"SELECT pid, len(t) AS n_tokens, sha1(array_to_string(t, ' ')) AS sha1 FROM (SELECT doc_id AS pid, {tok('text')} AS t FROM documents)",
         "term_freq": f"WITH {LISTS}, {POST} SELECT pid, term, tf FROM po",
         "doc_freq_idf": f"WITH {LISTS}, {STATS}, {POST}, {DF} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",

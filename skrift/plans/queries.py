@@ -1,6 +1,6 @@
 """Queries over the driver's tables; documents stand in for passages (layer = lang, party = source)."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -15,6 +15,8 @@ from ..operators import sections as X
 from ..sources import html as H
 from ..sources import index as I
 from ..sources import layers as L
+from ..sources import motions as M
+from ..sources import propositions as B
 from ..sources import sites as Y
 from ..tables import scratch, spread
 from . import report
@@ -417,8 +419,63 @@ def html_main_text(spark, sf):
     return H.main_text(spread(table(spark, sf, "pages").select("page_id", "html")))
 
 
+def html_blocks(spark, sf):
+    """The blocks of text of each page, and which of them are its main text."""
+    own = H.blocks(spread(table(spark, sf, "pages").select("page_id", "html")), ["page_id"])
+    order = Window.partitionBy("page_id").orderBy("block")
+    out = H.main_blocks(own, ["page_id"]).where("NOT skipped").withColumn("nth", F.row_number().over(order))
+    return out.select("page_id", "nth", F.sha1(F.col("text").cast("binary")).alias("sha1"), "words", "linked", "main")
+
+
 def html_anchors(spark, sf):
-    return H.anchors(spread(table(spark, sf, "pages")))
+    return H.anchors(spread(table(spark, sf, "pages"))).select("url", F.array_join("labels", "|").alias("labels"))
+
+
+def said_records(spark, sf):
+    """The said layer of all pages, whose saved list says where each was found."""
+    n = F.col("page_id")
+    both = F.array_compact(F.array(F.when(n % 3 != 0, "sitemap"), F.when(n % 2 == 0, "index")))
+    own = spread(table(spark, sf, "pages")).select(
+        F.lit("V").alias("party"), F.lit("Vänsterpartiet").alias("name"), F.lit("2026-09-08").alias("fetched"), F.concat(F.lit("en-sida-"), n.cast("string")).alias("slug"), "url", F.lit(None).cast("string").alias("lastmod"),
+        both.alias("sources"), F.when(n % 4 == 0, F.array(F.lit("Ämne"), F.lit("B"))).alias("labels"), F.when(n % 5 == 0, F.regexp_replace("html", "(?s)<title>.*?</title>", "")).otherwise(F.col("html")).alias("html"),
+    )
+    sha = lambda c: F.sha1(F.col(c).cast("binary")).alias(c)
+    return Y.said_records(own).select("chunk_id", "parti", "sakfraga", "heading", sha("text"), sha("text_for_embedding"), "in_index", F.array_join("sources", ",").alias("sources"), "content_hash")
+
+
+def motion_files(spark, sf) -> DataFrame:
+    """Pages as motions: a paragraph's first sentence is a proposal, each paragraph a section, in the two kinds of markup."""
+    paras = F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1))
+    own = spread(table(spark, sf, "pages").select("page_id", paras.alias("p")))
+    item = lambda x, i: F.concat(F.when(i % 3 == 2, F.lit('<p class="a Yrkande">')).otherwise(F.lit('<li class="Frslagstext">')), F.substring_index(x, ". ", 1), F.when(i % 3 == 2, F.lit("</p>")).otherwise(F.lit("</li>")))
+    name = lambda i: F.concat(F.lit("Del "), i.cast("string"))
+    part = lambda x, i: F.concat(F.when(i % 2 == 0, F.concat(F.lit('<p class="Rubrik2numrerat b">'), name(i), F.lit("</p>"))).otherwise(F.concat(F.lit("<h3>"), name(i), F.lit("</h3>"))), F.lit("<div><p>"), x, F.lit("</p></div><ul><li><p>punkt</p></li></ul>"))
+    code = F.get(F.lit(["S", "båda C", "alla MP", "?"]), (F.col("page_id") % 4).cast("int"))
+    html = F.concat(
+        F.lit('<html><body><span class="sidhuvud_beteckning"> 2024/25:'), F.col("page_id").cast("string"), F.lit(' </span><span class="MotionarLista">av A B m.fl. ('), code, F.lit(")</span><h1>Om&shy;råde <i>"),
+        F.col("page_id").cast("string"), F.lit("</i></h1><ol>"), F.array_join(F.transform("p", item), ""), F.lit('</ol><div class="Section1"><p>ingress</p>'), F.array_join(F.transform("p", part), ""), F.lit('</div><p>efter</p><p class="Underskrifter">A B</p><p class="Underskrifter"> </p><p class="Underskrifter">C D</p></body>'),
+    )
+    return own.select(F.col("page_id").alias("file"), html.alias("html"))
+
+
+def motion_records(spark, sf):
+    sha = lambda c: F.sha1(F.col(c).cast("binary")).alias(c)
+    return M.records(motion_files(spark, sf)).select("chunk_id", sha("text"), "heading", sha("sektion_text"), F.round("match_score", 6).alias("match_score"), "yrkande_nr", "parti", "doc_title", "forste_undertecknare", "undertecknare")
+
+
+def bill_files(spark, sf) -> DataFrame:
+    """Documents as bills whose summary their text is, with a line for each sentence; styles of different length come before."""
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.array_join(F.transform(F.split(safe, r"(?<=[.!?]) |\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    head = F.concat(F.lit("<html><head><title>Lag "), F.col("doc_id").cast("string"), F.lit("</title><style>"), F.repeat(F.lit("p {} "), (F.col("doc_id") % 9 * 100).cast("int")), F.lit("</style></head><body><p>Regeringens proposition 2023/24:"), (F.col("doc_id") + 200).cast("string"))
+    html = F.concat(head, F.lit("</p><p>Stockholm den 5 oktober 2023</p><p>Propositionens huvudsakliga innehåll</p>"), body, F.lit("<p>Innehållsförteckning</p><p>1</p>"))
+    return spread(table(spark, sf, "documents")).select(F.concat(F.lit("b/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("file"), html.alias("html"))
+
+
+def proposition_records(spark, sf):
+    """Bills in two passes: those whose summary is not in the first 3,000 characters are read whole."""
+    out = B.records(B.texts(bill_files(spark, sf), limit=3000))
+    return out.select("chunk_id", "file", "doc_title", "datum", "heading", F.length("text").cast("long").alias("chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
 
 
 def section_ranges(spark, sf):
@@ -496,7 +553,7 @@ ALL = (
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
     pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
-    carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
+    html_blocks, said_records, motion_records, proposition_records, carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
 )
 
 

@@ -1,7 +1,6 @@
-"""HTML by the standard library's parser: main text, anchors, sitemaps."""
+"""Pages as rows of elements: main text by density, anchors; sitemaps."""
 
 import gzip
-from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 from xml.etree import ElementTree
 
@@ -10,73 +9,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import written
+from .elements import HEADINGS, elements, inside, strings
 
-SKIP = {"script", "style", "nav", "footer", "header", "aside", "noscript", "form", "svg"}
-BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "section", "article", "title", "ul", "ol", "table"}
-
-
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.title, self.in_title, self.parts, self.links, self.href, self.label = 0, "", False, [], [], None, []
-
-    def handle_starttag(self, tag, attrs):
-        own = dict(attrs)
-        if tag in SKIP:
-            self.skip += 1
-        self.in_title = self.in_title or tag == "title"
-        if tag in BLOCK:
-            self.parts.append("\n")
-        if tag == "a" and own.get("href"):
-            self.href, self.label = own["href"], []
-
-    def handle_endtag(self, tag):
-        if tag in SKIP and self.skip:
-            self.skip -= 1
-        if tag == "title":
-            self.in_title = False
-        if tag in BLOCK:
-            self.parts.append("\n")
-        if tag == "a" and self.href is not None:
-            self.links.append((self.href, " ".join("".join(self.label).split())))
-            self.href = None
-
-    def handle_data(self, data):
-        if self.href is not None:
-            self.label.append(data)
-        if self.in_title:
-            self.title += data
-        elif not self.skip:
-            self.parts.append(data)
-
-
-def parsed(html: str | None) -> tuple[str, str, list[tuple[str, str]]]:
-    """(title, text, [(href, label)])."""
-    p = _Text()
-    p.feed(html or "")
-    p.close()
-    lines = (" ".join(x.split()) for x in "".join(p.parts).split("\n"))
-    return " ".join(p.title.split()), "\n".join(x for x in lines if x), p.links
+#: Elements whose text is not the page's own, the most of a block's words that may be links, and the least words about a block of main text.
+SKIP = ("nav", "footer", "header", "aside", "noscript", "form", "svg")
+MOST_LINKED, LEAST_WORDS = 1 / 3, 10
+
+
+def blocks(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """(keys, block, text, words, linked, skipped, heads, title) of pages (keys, html): blocks of text in order.
+
+    words are those outside links, linked those inside; skipped blocks stand in
+    an element whose text is not the page's own; title blocks are the page's title.
+    """
+    rows = elements(pages.select(*keys, html), html)
+    for outer, name in ((F.col("tag") == "a", "in_link"), (F.col("tag").isin(*SKIP), "skipped"), (F.col("tag").isin(*HEADINGS), "heads"), (F.col("tag") == "title", "title")):
+        rows = inside(rows, keys, outer, name)
+    text = lambda only: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(only, F.struct("start", "text")))), lambda s: s["text"]), "")
+    both = rows.where("tag = '#text'").groupBy(*keys, "block").agg(text(F.lit(True)).alias("text"), text(F.col("in_link")).alias("links"), *[F.max(c).alias(c) for c in ("skipped", "heads", "title")])
+    count = lambda c: F.regexp_count(F.col(c), F.lit(r"(?U)\S+"))
+    own = both.select(*keys, "block", T.clean(F.col("text")).alias("text"), (count("text") - count("links")).alias("words"), count("links").alias("linked"), "skipped", "heads", "title")
+    return own.where("text <> ''")
+
+
+def main_blocks(blocks: DataFrame, keys: list[str], linked: float = MOST_LINKED, least: int = LEAST_WORDS) -> DataFrame:
+    """blocks with `main`: few of a block's words are links, and the words of it and its neighbours (a quarter, a half, a quarter) are many.
+
+    A heading is main where the block after it is: it is short, but what follows is not.
+    """
+    order = Window.partitionBy(*keys).orderBy("block")
+    own = blocks.where("NOT title").withColumn("plain", F.when(F.col("skipped"), 0).otherwise(F.col("words")))
+    near = lambda f: F.coalesce(f("plain").over(order), F.lit(0))
+    smooth = near(F.lag) + 2 * F.col("plain") + near(F.lead)
+    dense = ~F.col("skipped") & (F.col("linked") <= linked * (F.col("words") + F.col("linked"))) & (smooth >= 4 * least)
+    own = own.withColumn("dense", dense)
+    return own.withColumn("main", F.col("dense") | (F.col("heads") & ~F.col("skipped") & F.coalesce(F.lead("dense").over(order), F.lit(False)))).drop("plain", "dense")
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with title and text; one pass over the HTML in Arrow batches."""
+    """pages with title and text: the lines of the main blocks. A page without any has empty ones."""
+    rows = keyed(pages, html)
+    own = written(blocks(rows.select("__page", html), ["__page"], html), "blocks")
+    title = own.where("title").groupBy("__page").agg(F.min_by("text", "block").alias("__title"))
+    lines = main_blocks(own, ["__page"]).where("main").groupBy("__page").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("__lines"))
+    both = rows.drop(html).join(title, "__page", "left").join(lines, "__page", "left")
+    text = F.coalesce(F.array_join(F.transform("__lines", lambda x: x["text"]), "\n"), F.lit(""))
+    return both.select(*[c for c in pages.columns if c != html], F.coalesce("__title", F.lit("")).alias("title"), text.alias("text"))
+
+
+def keyed(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages, written once, with a number of their own: urls and ids may be null or repeated."""
+    return written(pages.withColumn("__page", F.monotonically_increasing_id()), "pages")
 
-    @F.pandas_udf("title string, text string")
-    def extract(col: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parsed(x)[:2] for x in col], columns=["title", "text"])
 
-    return pages.withColumn("__x", extract(F.col(html))).select(*[c for c in pages.columns if c != html], "__x.title", "__x.text")
+def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, href, label): a row a link of each page, as it stands."""
+    rows = elements(keyed(pages.select(F.col(url).alias("url"), F.col(html).alias("html"))))
+    return strings(rows, ["__page", "url"], (F.col("tag") == "a") & F.col("href").isNotNull()).select("url", "href", T.clean(F.array_join("strings", "")).alias("label"))
 
 
 def anchors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, labels): absolute links without fragment, and the set of their labels."""
 
-    @F.pandas_udf("array<struct<url:string,label:string>>")
-    def links(base: pd.Series, col: pd.Series) -> pd.Series:
-        return pd.Series([[{"url": urldefrag(urljoin(b or "", h))[0], "label": t} for h, t in parsed(x)[2]] for b, x in zip(base, col)])
+    @F.pandas_udf("string")
+    def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
+        return pd.Series([urldefrag(urljoin(b or "", h))[0] for b, h in zip(base, href)])
 
-    found = pages.select(F.explode(links(F.col(url), F.col(html))).alias("a")).select("a.url", "a.label")
+    found = links(pages, url, html).select(absolute("url", "href").alias("url"), "label")
     return found.groupBy("url").agg(F.array_sort(F.collect_set(F.nullif(F.col("label"), F.lit("")))).alias("labels"))
 
 

@@ -1,32 +1,24 @@
 """Motions: HTML files to one record a proposal, each with the section that argues for it.
 
-A file is parsed once, in Arrow batches, to its header, proposals and sections;
-matching a proposal with sections is a join and a window (evaluate.best_sections
-has the same rule over tables of their own). A file that fails is a row with an
-error, not a failed job.
+A file is rows of elements (see elements.py); headers, proposals and sections
+are aggregates and windows over them, and proposals meet sections by a join on
+their words.
 """
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from .dom import Element, tree
+from ..tables import written
+from .elements import HEADINGS, elements, inside, stripped, strings
 
 # Classes and patterns of the export's markup.
 PROPOSAL_CLASSES = {"Frslagstext", "Hemstlatt", "Yrkande"}
 HEADING_CLASSES = {"Rubrik1numrerat", "Rubrik2numrerat", "Rubrik3numrerat", "Rubrik4numrerat"}
-HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-NUMBER = re.compile(r"^(?P<rm>\d{4}/\d{2}):(?P<nr>\S+)")
-PARTY = re.compile(r"\((?:[a-zåäö]+\s+)?([A-ZÅÄÖ]{1,3})\)\s*$")
-
-PARSED = (
-    "rm string, beteckning string, parti string, forste_undertecknare string, doc_title string, undertecknare string, "
-    "proposals array<string>, sections array<struct<heading:string,body:string>>, error string"
-)
+NUMBER = r"^(\d{4}/\d{2}):(\S+)"
+PARTY = r"\((?:[a-zåäö]+\s+)?([A-ZÅÄÖ]{1,3})\)\s*$"
 
 
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,95 +32,95 @@ def html_files(spark: SparkSession, folder: str) -> DataFrame:
     return own.select(F.col("path").alias("file"), decoded("content").alias("html"))
 
 
-def header(page: Element) -> dict[str, str]:
-    """Session, number, party, first signer and title; what a page lacks is empty."""
-    out = dict.fromkeys(("rm", "beteckning", "parti", "forste_undertecknare", "doc_title"), "")
-    if (span := page.first("span", cls="sidhuvud_beteckning")) and (m := NUMBER.match("".join(map(str.strip, span.strings())))):
-        out["rm"], out["beteckning"] = m["rm"], m["nr"]
-    if span := page.first("span", cls="MotionarLista"):
-        out["forste_undertecknare"] = "".join(map(str.strip, span.strings()))
-        if m := PARTY.search(out["forste_undertecknare"]):
-            out["parti"] = m[1]
-    if h1 := page.first("h1"):
-        out["doc_title"] = h1.text()
-    return out
+def _named(tag: str, name: str) -> Column:
+    return (F.col("tag") == tag) & F.array_contains("classes", name)
 
 
-def proposals(page: Element) -> list[str]:
-    """Proposals stand in list items or paragraphs of their own classes."""
-    return [t for e in page.all("li", "p") if e.classes & PROPOSAL_CLASSES and (t := e.text())]
+def _any(names) -> Column:
+    return F.arrays_overlap("classes", F.array(*map(F.lit, sorted(names))))
 
 
-def sections(page: Element) -> list[dict[str, str]]:
-    """Headings with the paragraphs up to the next; neither list items nor proposals are body text."""
-    top = page.first("div", cls="Section1")
-    out: list[dict] = []
-    for e in top.all("p", *HEADING_TAGS) if top else ():
-        if e.inside("li") or e.classes & PROPOSAL_CLASSES or not (text := e.text()):
-            continue
-        if e.tag in HEADING_TAGS or e.classes & HEADING_CLASSES:
-            out.append({"heading": text, "body": []})
-        elif out:
-            out[-1]["body"].append(text)
-    return [{"heading": s["heading"], "body": " ".join(s["body"])} for s in out]
+def lines(files: DataFrame, key: str = "file") -> DataFrame:
+    """Elements of the files that a motion is read from: headers, headings, paragraphs and list items with their strings and text, and section divisions."""
+    rows = inside(elements(files.select(key, "html")), [key], F.col("tag") == "li", "in_item")
+    wanted = F.col("tag").isin("p", "li", *HEADINGS) | _named("span", "sidhuvud_beteckning") | _named("span", "MotionarLista")
+    own = strings(rows, [key], wanted).withColumn("text", T.clean(F.array_join("strings", "")))
+    rest = rows.where(_named("div", "Section1") | (F.col("tag") == "#error")).select(*[c for c in own.columns if c not in ("strings", "text")], F.array().cast("array<string>").alias("strings"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.unionByName(rest)
 
 
-def parse(html: str | None) -> dict:
-    try:
-        page = tree(html)
-        signers = [t for p in page.all("p", cls="Underskrifter") if (t := p.text())]
-        return {**header(page), "undertecknare": ";".join(signers), "proposals": proposals(page), "sections": sections(page), "error": None}
-    except Exception as error:  # noqa: BLE001 - one bad file is a row with an error
-        return {"error": repr(error)[:300]}
+def headers(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, rm, beteckning, parti, forste_undertecknare, doc_title, undertecknare) by the first element of each kind; what a page lacks is empty."""
+    first = lambda kind, value: F.coalesce(F.min_by(value, F.when(kind, F.col("start"))), F.lit(""))
+    signer = F.struct("start", "text")
+    own = lines.groupBy(key).agg(
+        first(_named("span", "sidhuvud_beteckning"), stripped(F.col("strings"))).alias("number"),
+        first(_named("span", "MotionarLista"), stripped(F.col("strings"))).alias("forste_undertecknare"),
+        first(F.col("tag") == "h1", F.col("text")).alias("doc_title"),
+        F.array_sort(F.collect_list(F.when(_named("p", "Underskrifter") & (F.col("text") != ""), signer))).alias("signers"),
+    )
+    return own.select(
+        key, F.regexp_extract("number", NUMBER, 1).alias("rm"), F.regexp_extract("number", NUMBER, 2).alias("beteckning"), F.regexp_extract("forste_undertecknare", PARTY, 1).alias("parti"),
+        "forste_undertecknare", "doc_title", F.array_join(F.transform("signers", lambda s: s["text"]), ";").alias("undertecknare"),
+    )
 
 
-def parsed(files: DataFrame, html: str = "html") -> DataFrame:
-    """files with the parts of each motion in place of its HTML."""
+def proposals(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, nr, text): list items or paragraphs of the classes of proposals, numbered in order."""
+    own = lines.where(F.col("tag").isin("li", "p") & _any(PROPOSAL_CLASSES) & (F.col("text") != ""))
+    return own.select(key, F.row_number().over(Window.partitionBy(key).orderBy("start")).alias("nr"), "text")
 
-    @F.pandas_udf(PARSED)
-    def parts(col: pd.Series) -> pd.DataFrame:
-        names = [p.split(" ", 1)[0].strip() for p in re.split(r", (?=\w+ (?:string|array))", PARSED)]
-        return pd.DataFrame([parse(x) for x in col], columns=names)
 
-    return files.withColumn("__p", parts(F.col(html))).select(*[c for c in files.columns if c != html], "__p.*")
+def sections(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, pos, heading, body): headings of the first section division with the paragraphs up to the next; neither list items nor proposals are body text."""
+    top = lines.where(_named("div", "Section1")).groupBy(key).agg(F.min(F.struct("start", "end")).alias("top"))
+    own = lines.join(top, key).where((F.col("start") > F.col("top.start")) & (F.col("end") < F.col("top.end")))
+    own = own.where(F.col("tag").isin("p", *HEADINGS) & ~F.col("in_item") & ~_any(PROPOSAL_CLASSES) & (F.col("text") != ""))
+    own = own.withColumn("heads", F.col("tag").isin(*HEADINGS) | _any(HEADING_CLASSES))
+    nth = F.sum(F.col("heads").cast("int")).over(Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    body = F.array_sort(F.collect_list(F.when(~F.col("heads"), F.struct("start", "text"))))
+    out = own.withColumn("pos", nth).where("pos > 0").groupBy(key, "pos").agg(F.max(F.when(F.col("heads"), F.col("text"))).alias("heading"), body.alias("b"))
+    return out.select(key, "pos", "heading", F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("body"))
 
 
-def records(motions: DataFrame, key: str = "file", least: float = K.MIN_MATCH) -> DataFrame:
-    """One row a proposal of parsed motions, with the best section if it holds at least `least` of the proposal's words.
+def matched(proposals: DataFrame, sections: DataFrame, key: str = "file") -> DataFrame:
+    """(key, nr, match_score, pos): the section that holds the largest share of a proposal's words, the first of equals; pos is null where none shares any.
 
-    A motion's proposals are exploded, then its sections, so pairs are as many
-    as one document has; the best is taken by a window over (document, number).
-    Sections without words are skipped, the first best wins, no shared word is no match.
+    Words meet words, so pairs are as many as a document's parts share words.
     """
-    own = motions.where("error IS NULL").select(key, "rm", "beteckning", "parti", "doc_title", "forste_undertecknare", "undertecknare", "sections", F.posexplode("proposals").alias("nr", "text"))
-    own = own.withColumn("y", T.match_words(F.col("text")))
-    pairs = own.select("*", F.posexplode_outer("sections").alias("pos", "section")).drop("sections")
-    shared = F.size(F.array_intersect("y", T.match_words(F.col("section.body")))) / F.nullif(F.size("y"), F.lit(0))
-    score = F.coalesce(shared, F.lit(0.0))
-    best = Window.partitionBy(key, "nr").orderBy(F.desc("match_score"), F.asc_nulls_last("pos"))
-    pairs = pairs.withColumn("match_score", score).withColumn("r", F.row_number().over(best)).where("r = 1")
+    asked = proposals.select(key, "nr", T.match_words(F.col("text")).alias("y"))
+    held = sections.select(key, "pos", F.explode(T.match_words(F.col("body"))).alias("word"))
+    shared = asked.select(key, "nr", F.size("y").alias("n"), F.explode("y").alias("word")).join(held, [key, "word"])
+    best = shared.groupBy(key, "nr", "n", "pos").agg(F.count("*").alias("both")).groupBy(key, "nr", "n").agg(F.max(F.struct("both", (-F.col("pos")).alias("back"))).alias("b"))
+    best = best.select(key, "nr", (F.col("b.both") / F.col("n")).alias("match_score"), (-F.col("b.back")).alias("pos"))
+    return proposals.select(key, "nr").join(best, [key, "nr"], "left").select(key, "nr", F.coalesce("match_score", F.lit(0.0)).alias("match_score"), "pos")
+
+
+def records(files: DataFrame, key: str = "file", least: float = K.MIN_MATCH) -> DataFrame:
+    """One row a proposal of the motions in files (key, html), with the best section if it holds at least `least` of the proposal's words."""
+    # written: headers, proposals and sections are read off the same rows
+    own = written(lines(files, key), "lines")
+    asks, parts = proposals(own, key), sections(own, key)
+    best = matched(asks, parts, key)
+    out = asks.join(best, [key, "nr"]).join(headers(own, key), key).join(parts, [key, "pos"], "left")
     good = F.col("match_score") >= least
-    number = F.col("nr") + 1
-    return pairs.select(
-        key, "text", F.when(good, F.col("section.heading")).otherwise("").alias("heading"), F.when(good, F.col("section.body")).otherwise("").alias("sektion_text"),
-        "match_score", number.alias("yrkande_nr"), "parti", "rm", "beteckning", "doc_title", "forste_undertecknare", "undertecknare",
-        F.lit("motion").alias("layer"), F.concat("rm", F.lit(":"), "beteckning", F.lit(":yrkande:"), number.cast("string")).alias("chunk_id"),
+    return out.select(
+        key, "text", F.when(good, F.col("heading")).otherwise("").alias("heading"), F.when(good, F.col("body")).otherwise("").alias("sektion_text"),
+        "match_score", F.col("nr").alias("yrkande_nr"), "parti", "rm", "beteckning", "doc_title", "forste_undertecknare", "undertecknare",
+        F.lit("motion").alias("layer"), F.concat("rm", F.lit(":"), "beteckning", F.lit(":yrkande:"), F.col("nr").cast("string")).alias("chunk_id"),
     )
 
 
 def build(spark: SparkSession, folder: str, path: str, least: float = K.MIN_MATCH) -> dict:
-    """Writes the motion layer of a folder as JSON lines; returns counts: files, failed, records, uncertain, and records by party."""
-    files = parsed(html_files(spark, folder)).persist()
-    try:
-        n = files.agg(F.count("*").alias("files"), F.count("error").alias("failed")).first()
-        if not n["files"]:
-            raise FileNotFoundError(f"no .html files in {folder}")
-        records(files, least=least).drop("file").orderBy("rm", "beteckning", "yrkande_nr").write.mode("overwrite").json(path)
-    finally:
-        files.unpersist()
+    """Writes the motion layer of a folder as JSON lines; returns counts: files, records, uncertain, and records by party."""
+    files = html_files(spark, folder)
+    n = files.count()
+    if not n:
+        raise FileNotFoundError(f"no .html files in {folder}")
+    records(files, least=least).drop("file").orderBy("rm", "beteckning", "yrkande_nr").write.mode("overwrite").json(path)
     done = spark.read.schema("parti string, match_score double").json(path)
     total = done.agg(F.count("*").alias("records"), F.count_if(F.col("match_score") < least).alias("uncertain")).first()
-    return {**n.asDict(), **total.asDict(), "by_party": {r["parti"]: r["count"] for r in done.groupBy("parti").count().collect()}}
+    return {"files": n, **total.asDict(), "by_party": {r["parti"]: r["count"] for r in done.groupBy("parti").count().collect()}}
 
 
 SUBTYPES = "rm string, beteckning string, subtyp string"

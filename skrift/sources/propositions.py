@@ -1,19 +1,17 @@
 """Government bills: HTML exports of PDF pages to one record a topic of a policy section.
 
-HTML becomes (title, text of lines) in Arrow batches; everything after that is
-column expressions: header fields by patterns, sections as an array of places
+HTML becomes rows of elements, and these (title, text of lines); everything after
+that is column expressions: header fields by patterns, sections as an array of places
 and titles, bodies cut out of the text, topics by sections.topic_records' rule.
 """
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import sections as X
-from .dom import tree
+from ..tables import written
+from .elements import elements, inside
 from .motions import html_files
 
 # Names and patterns of the documents.
@@ -38,34 +36,29 @@ PROPOSAL_BOX = (
 HEAD, AREA_HEAD = 5000, 400
 
 
-def plain(html: str | None, limit: int | None = None) -> tuple[str, str]:
-    """(title, text with a line for each string) of the first `limit` characters."""
-    page = tree((html or "")[:limit])
-    title = page.first("title")
-    return title.lines(" ") if title else "", f"\n{page.lines()}\n"
+def lines(files: DataFrame) -> DataFrame:
+    """(file, title, text) of (file, html): a line for each string, without white space at its ends."""
+    rows = inside(elements(files.select("file", "html")), ["file"], F.col("tag") == "title", "title")
+    own = rows.where("tag = '#text'").withColumn("line", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("line <> ''")
+    joined = lambda only, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(only, F.struct("start", "line")))), lambda x: x["line"]), by)
+    own = own.groupBy("file").agg(joined(F.col("title"), " ").alias("title"), F.concat(F.lit("\n"), joined(F.lit(True), "\n"), F.lit("\n")).alias("text"))
+    return files.select("file").join(own, "file", "left").select("file", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("\n\n")).alias("text"))
 
 
 def texts(files: DataFrame, limit: int = K.HEAD_CHARS) -> DataFrame:
-    """(file, title, text, whole) of (file, html): of the first `limit` characters, where these name the bill and hold its summary.
+    """(file, title, text, whole) of (file, html), in two passes.
 
-    Others are read whole: volumes of areas, budgets, bills whose number or
-    summary is not in the first part.
+    The first parses `limit` characters of each file that is no volume of an
+    area. What it lacks goes through the second whole: volumes, budgets, bills
+    whose number or summary is not in the first part.
     """
-    bill, summary, volume = re.compile(BILL), re.compile(SUMMARY), re.compile(AREA_FILE)
-
-    def one(name: str, html: str) -> tuple[str, str, bool]:
-        if not volume.search(name):
-            title, text = plain(html, limit)
-            found = bill.search(text[:HEAD])
-            if found and found[2] not in ("1", "100") and summary.search(text):
-                return title, text, False
-        return *plain(html), True
-
-    @F.pandas_udf("title string, text string, whole boolean")
-    def read(names: pd.Series, col: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(n, h) for n, h in zip(names, col)], columns=["title", "text", "whole"])
-
-    return files.select("file", read("file", "html").alias("r")).select("file", "r.*")
+    volume = F.col("file").rlike(AREA_FILE)
+    head = written(lines(files.where(~volume).select("file", F.left("html", F.lit(limit)).alias("html"))), "heads")
+    start = F.left("text", F.lit(HEAD))
+    enough = (F.regexp_extract(start, BILL, 2) != "") & ~F.regexp_extract(start, BILL, 2).isin("1", "100") & F.col("text").rlike(SUMMARY)
+    found = head.where(enough).withColumn("whole", F.lit(False))
+    missed = files.join(found.select("file"), "file", "left_anti")
+    return found.unionByName(lines(missed).withColumn("whole", F.lit(True)))
 
 
 def headings(text: Column, pattern: str) -> Column:

@@ -11,15 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
-from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from . import html as H
-from .dom import tree
 from .motions import html_files
 
 # Fixed value: where a cookie notice begins in the text of a page.
@@ -87,27 +85,22 @@ def sitemap_urls(site: Site, get: Get, wait: Callable[[float], None] = time.slee
     return out
 
 
-def index_labels(site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> dict[str, set[str]]:
-    """Absolute URL to the labels that the site's index pages link it by."""
-    out: dict[str, set[str]] = {}
+def index_pages(spark: SparkSession, site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, html) of the site's index pages, a few; what cannot be had is left out."""
+    rows = []
     for at in site.index_urls:
         wait(site.delay)
         try:
-            page = tree(get(at).decode("utf-8", errors="replace"))
+            rows.append((at, get(at).decode("utf-8", errors="replace")))
         except Exception:  # noqa: BLE001
             continue
-        for a in page.all("a"):
-            if "href" in a.attrs:
-                label = a.text()
-                out.setdefault(urljoin(at, a.attrs["href"].split("#")[0]), set()).update([label] if label else [])
-    return out
+    return spark.createDataFrame(rows, "url string, html string")
 
 
 def discover(spark: SparkSession, site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(url, lastmod, labels, sources) of the site's topic pages, in order of URL."""
     left = spark.createDataFrame(list(sitemap_urls(site, get, wait).items()), "url string, lastmod string")
-    right = spark.createDataFrame([(u, sorted(x)) for u, x in index_labels(site, get, wait).items()], "url string, labels array<string>")
-    found = H.discovered(left, right, site.topics, bool(site.index_urls and site.index_only))
+    found = H.discovered(left, H.anchors(index_pages(spark, site, get, wait)), site.topics, bool(site.index_urls and site.index_only))
     return found.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).orderBy("url")
 
 
@@ -156,11 +149,15 @@ def said_records(pages: DataFrame, least: int = K.MIN_TEXT_CHARS) -> DataFrame:
 
 
 def length_stats(records: DataFrame) -> DataFrame:
-    """(parti, n, median, p90, largest) of text lengths, by place in order: n // 2 and n * 9 // 10, as counted from 0."""
-    lengths = F.sort_array(F.collect_list(F.length("text")))
-    own = records.groupBy("parti").agg(F.count("*").alias("n"), lengths.alias("l"))
-    at = lambda i: F.get("l", i.cast("int"))
-    return own.select("parti", "n", at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 9 / 10)).alias("p90"), F.element_at("l", -1).alias("largest"))
+    """(parti, n, median, p90, largest) of text lengths, by place in order: n // 2 and n * 9 // 10, as counted from 0.
+
+    Places are found among the counts of each length, so no group's texts are gathered.
+    """
+    own = records.select("parti", F.length("text").alias("l")).groupBy("parti", "l").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("parti").orderBy(F.asc_nulls_first("l")))
+    own = own.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy("parti")))
+    at = lambda place: F.min(F.when(F.col("upto") > F.floor(place), F.col("l")))
+    return own.groupBy("parti", "n").agg(at(F.col("n") / 2).alias("median"), at(F.col("n") * 9 / 10).alias("p90"), F.max("l").alias("largest"))
 
 
 def extract(spark: SparkSession, folder: str, party: str, path: str) -> DataFrame:
