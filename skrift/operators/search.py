@@ -1,7 +1,10 @@
 """Lexical, dense and hybrid search over passages (pid, party, layer, context, text)."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import constants as K
 from ..functions import text as T
@@ -27,11 +30,14 @@ def corpus_stats(lists: DataFrame) -> DataFrame:
 
 
 def postings(lists: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, pid, dl, tf); with terms, only theirs, before anything is shuffled."""
-    exploded = lists.select("pid", "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        exploded = exploded.join(terms, "term", "left_semi")
-    return exploded.groupBy("term", "pid", "dl").agg(F.count("*").alias("tf"))
+    """(term, pid, dl, tf); with terms, only theirs. A passage is one row, so its words are counted there, in order, and nothing is shuffled."""
+    n, at = F.size("own"), F.col("starts")
+    own = lists.where(F.size("tokens") > 0).select("pid", "dl", F.array_sort("tokens").alias("own"))
+    first = lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1))
+    own = own.select("*", F.filter(F.sequence(F.lit(0), n - 1), first).alias("starts"))
+    runs = F.transform(at, lambda i, k: F.struct(F.get("own", i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("long").alias("tf")))
+    found = own.select("pid", "dl", F.inline(runs)).select("term", "pid", "dl", "tf")
+    return found if terms is None else found.join(terms, "term", "left_semi")
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -84,21 +90,71 @@ def ranked(scored: DataFrame, *order, limit: int | None = None, by: str | list[s
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense(vectors: DataFrame, asked: DataFrame, limit: int | None) -> DataFrame:
-    """(qid, pid, score, rank) from unit vectors (pid, vector) and a stated set of questions (qid, qvector), in blocks."""
-    n = asked.count()
+def _products(sent, limit: int | None, kinds: dict[str, pa.DataType]):
+    """Blocks of vectors times the broadcast questions: all scores, or of a task the best `limit` for each question (and group)."""
+
+    def rows(names, at, pid, score, group):
+        columns = {"qid": pa.array(names[at]), "pid": pa.array(pid), "score": pa.array(score)}
+        return pa.RecordBatch.from_pydict({c: v.cast(kinds[c]) for c, v in columns.items()} | ({"by": pa.array([group] * len(at), kinds["by"])} if "by" in kinds else {}))
+
+    def run(batches):
+        names, matrix = sent.value
+        step = max(1, (1 << 22) // max(1, len(names)))
+        best: dict = {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                pid, scores = part.column(0).to_numpy(zero_copy_only=False), x @ matrix.T
+                groups = np.array(part.column(2).to_pylist(), object) if "by" in kinds else None
+                if limit is None:
+                    yield rows(names, np.tile(np.arange(len(names)), len(pid)), np.repeat(pid, len(names)), scores.ravel(), None)
+                    continue
+                for group in [None] if groups is None else list(dict.fromkeys(groups)):
+                    of = np.arange(len(pid)) if groups is None else np.flatnonzero(groups == group)
+                    held = best.setdefault(group, [(np.empty(0, pid.dtype), np.empty(0))] * len(names))
+                    for q in range(len(names)):
+                        own = np.concatenate([held[q][0], pid[of]]), np.concatenate([held[q][1], scores[of, q]])
+                        near = np.round(own[1], 9)
+                        if len(near) > limit:  # those that may be among the best: ties with the last are settled by pid
+                            keep = np.flatnonzero(near >= np.partition(near, len(near) - limit)[len(near) - limit])
+                            keep = keep[np.lexsort((own[0][keep], -near[keep]))[:limit]]
+                            own = own[0][keep], own[1][keep]
+                        held[q] = own
+        for group, held in best.items():
+            at = np.repeat(np.arange(len(names)), [len(h[0]) for h in held])
+            yield rows(names, at, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), group)
+
+    return run
+
+
+def dense(vectors: DataFrame, asked: DataFrame, limit: int | None, by: str | None = None) -> DataFrame:
+    """(qid, pid, score, rank[, by]) from unit vectors (pid, vector[, by]) and a stated set of questions (qid, qvector).
+
+    Questions are broadcast as a matrix, ASKED at a time, and multiplied with
+    blocks of vectors; with a limit a task keeps its best for each question (of
+    each group, if `by` names a column of groups), so only these are shuffled.
+    Vectors that are null, of another length than the questions' or hold a null
+    have no score.
+    """
+    spark, n = vectors.sparkSession, asked.count()
     blocks = -(-n // ASKED) or 1
-    own, out = spread(vectors), None
+    size = F.size("vector")
+    own = spread(vectors.select("pid", "vector", *([F.col(by).alias("by")] if by else [])))
+    kinds = {"qid": dict(asked.dtypes)["qid"], "pid": dict(vectors.dtypes)["pid"], "score": "double"} | ({"by": dict(own.dtypes)["by"]} if by else {})
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
+    arrow = {f.name: to_arrow_type(f.dataType) for f in spark.createDataFrame([], schema).schema.fields}
+    out = spark.createDataFrame([], schema)
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        scored = own.crossJoin(F.broadcast(part)).select("qid", "pid", dot(F.col("vector"), F.col("qvector")).alias("score"))
-        out = scored if out is None else out.unionAll(scored)
+        found = part.where("qvector IS NOT NULL").select("qid", "qvector").collect()
+        for length in sorted({len(r[1]) for r in found}):
+            rows = [r for r in found if len(r[1]) == length]
+            sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([list(r[1]) for r in rows], float)))
+            sound = own.where((size == length) & ~F.exists("vector", lambda x: x.isNull()))
+            out = out.unionAll(sound.mapInArrow(_products(sent, limit, arrow), schema))
     many = limit is None and vectors.count() > RANKED_ROWS
-    return ranked(out, F.desc(F.round("score", 9)), "pid", limit=limit, many=many)
+    return ranked(out, F.desc(F.round("score", 9)), "pid", limit=limit, by=["qid", "by"] if by else "qid", many=many).select("qid", "pid", "score", "rank", *([F.col("by").alias(by)] if by else []))
 
 
 def stub_vectors(texts: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
@@ -109,11 +165,11 @@ def stub_vectors(texts: DataFrame, key: str, text: str, size: int = 256) -> Data
     return counts.select(key, unit.alias("vector"))
 
 
-def fuse(lexical: DataFrame | None, vector: DataFrame | None, bm25_weight: float = K.WEIGHT_BM25) -> DataFrame:
+def fuse(lexical: DataFrame | None, vector: DataFrame | None, bm25_weight: float = K.WEIGHT_BM25, many: bool = False) -> DataFrame:
     """Weighted reciprocal rank fusion: (qid, pid, score, similarity, rank).
 
     A union and a sum, so no full outer join; pure BM25 has weight 1. Ranks
-    are over all passages: filters come after.
+    are over all passages: filters come after. `many`: as for ranked.
     """
     parts = []
     for own, kind, weight in ((lexical, "l", bm25_weight if vector is not None else 1.0), (vector, "v", K.WEIGHT_VECTOR)):
@@ -121,7 +177,7 @@ def fuse(lexical: DataFrame | None, vector: DataFrame | None, bm25_weight: float
             parts.append(own.select("qid", "pid", (F.lit(weight) / (K.RRF_K + F.col("rank"))).alias("part"), *[(F.col(c) if kind == k else F.lit(None)).cast(t).alias(f"{k}_{c}") for k, c, t in (("l", "rank", "int"), ("v", "rank", "int"), ("v", "score", "double"))]))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = both.groupBy("qid", "pid").agg(F.sum("part").alias("score"), F.max("l_rank").alias("l_rank"), F.max("v_rank").alias("v_rank"), F.max("v_score").alias("similarity"))
-    return ranked(out, F.desc(F.round("score", 12)), F.asc_nulls_last("l_rank"), F.asc_nulls_last("v_rank"), "pid")
+    return ranked(out, F.desc(F.round("score", 12)), F.asc_nulls_last("l_rank"), F.asc_nulls_last("v_rank"), "pid", many=many)
 
 
 def hybrid(passages: DataFrame, vectors: DataFrame | None, questions: DataFrame, method: str = "hybrid", party_filter: bool = False, bm25_weight: float = K.WEIGHT_BM25, candidates: int = K.CANDIDATES) -> DataFrame:
@@ -129,7 +185,7 @@ def hybrid(passages: DataFrame, vectors: DataFrame | None, questions: DataFrame,
     pool = None if party_filter else candidates
     lexical = bm25(passages, questions, pool, party_filter) if method in ("hybrid", "bm25") else None
     vector = dense(vectors, questions.select("qid", "qvector"), pool) if method in ("hybrid", "vector") else None
-    return fuse(lexical, vector, bm25_weight)
+    return fuse(lexical, vector, bm25_weight, party_filter and passages.count() > RANKED_ROWS)
 
 
 def filtered(hits: DataFrame, passages: DataFrame, layer: str | None = None, party: list[str] | None = None) -> DataFrame:

@@ -97,8 +97,7 @@ def vector_topk(spark, sf):
 def vector_topk_per_label(spark, sf):
     """For every question, the three nearest of each label."""
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), "label")
-    hits = S.dense(vectors(spark, sf), asked_with_vectors(spark, sf), None).join(labels, "pid")
-    return rounded(S.ranked(hits.drop("rank"), F.desc(F.round("score", 9)), "pid", limit=3, by=["qid", "label"]), "label")
+    return rounded(S.dense(vectors(spark, sf).join(labels, "pid"), asked_with_vectors(spark, sf), 3, by="label"), "label")
 
 
 def _hybrid(spark, sf, **options):
