@@ -1,5 +1,6 @@
 """Phrases, packing and hard negatives against brute force, on awkward and hot rows too."""
 
+import functools
 import random
 import re
 import zlib
@@ -128,15 +129,19 @@ def test_plans_of_large_counts_are_near_the_bound():
         assert len(packing.slots(groups)["first"]) < 140_000
 
 
+@functools.cache
+def encoder():
+    with open(public_tokenizers.path(packing.VOCABULARY), encoding="utf-8") as f:
+        return packing.Encoder(f.read())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from(" \n\t\x1c\xa0 ab1'é.ś<|endoftext|>"), max_size=40), min_size=1, max_size=4))
 def test_cached_words_have_the_tokenizers_ids(texts):
     path = public_tokenizers.path(packing.VOCABULARY)
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    global _encoder
-    _encoder = globals().get("_encoder") or packing.Encoder(open(path, encoding="utf-8").read())
-    assert [np.frombuffer(b, "<u4").tolist() for b in _encoder.ids(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder().ids(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("empty", [False, True])
