@@ -65,10 +65,10 @@ def bm25(passages: DataFrame, questions: DataFrame, limit: int | None, drop_part
     return _bm25(written(found, "found"), corpus_stats(lists), asked, small, limit)
 
 
-def bm25_scored(posted: DataFrame, stats: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False) -> DataFrame:
-    """bm25 from an index's postings (term, pid, dl, tf) and statistics (n, avgdl) of one row."""
+def bm25_scored(posted: DataFrame, stats: DataFrame, questions: DataFrame, limit: int | None, drop_party_words: bool = False, holding=lambda found: found) -> DataFrame:
+    """bm25 from an index's postings (term, pid, dl, tf) and statistics (n, avgdl) of one row; `holding` leaves those postings that still hold."""
     asked, small = _asked(questions, drop_party_words)
-    found = posted.join(small(asked.select("term").distinct()), "term", "left_semi")
+    found = holding(posted.join(small(asked.select("term").distinct()), "term", "left_semi"))
     return _bm25(written(found, "found"), stats, asked, small, limit)
 
 

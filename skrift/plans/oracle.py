@@ -179,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_stats": f"WITH {LISTS}, {STATS} SELECT n, round(avgdl, 6) AS avgdl FROM st",
         "bm25_topk": f"WITH {bm25()} SELECT {SHOW}, rank FROM b",
         "index_bm25": f"WITH {bm25()} SELECT {SHOW}, rank FROM b",
+        "index_deltas": f"WITH {bm25()} SELECT {SHOW}, rank FROM b",
         "report_grains": "SELECT event_type AS config, user_id % 3 AS typ, user_id AS id, CAST(grouping(event_type, user_id % 3, user_id) AS BIGINT) AS grain, round(avg(value), 6) AS value, count(value) AS n_value FROM events GROUP BY GROUPING SETS ((event_type), (event_type, user_id % 3), (event_type, user_id % 3, user_id))",
         "grading_sheet": """
 WITH o AS (SELECT *, conv_id || '-' || turn AS id, 'rag' AS config, text || ' [1].' AS answer FROM conversations WHERE role = 'assistant'),

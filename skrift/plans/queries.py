@@ -83,7 +83,19 @@ def index_bm25(spark, sf):
     folder = scratch(spark)
     I.build(corpus(spark, sf), folder, None)
     own = I.Index(spark, folder)
-    return rounded(S.bm25_scored(own.postings, own.stats, asked(spark, sf), 10))
+    return rounded(own.bm25(asked(spark, sf), 10))
+
+
+def index_deltas(spark, sf):
+    """The same search from an index in steps: old texts and passages that are not there any more, then what replaces the one and takes out the other."""
+    folder, whole = scratch(spark), corpus(spark, sf)
+    old = whole.where("pid % 3 <> 0").withColumn("text", F.when(F.col("pid") % 3 == 1, F.reverse("text")).otherwise(F.col("text")))
+    extra = whole.where("pid % 2 = 0").withColumn("pid", -1 - F.col("pid"))
+    I.build(old.unionByName(extra), folder, None)
+    I.append(whole.where("pid % 3 < 2"), folder, name="first")
+    I.append(whole.limit(0), folder, removed=extra, name="second")
+    I.append(whole.where("pid % 3 < 2"), folder, name="first")  # again: nothing
+    return rounded(I.Index(spark, folder).bm25(asked(spark, sf), 10))
 
 
 def bm25_drop_party_words(spark, sf):
@@ -546,7 +558,7 @@ def problem_flags(spark, sf):
 
 
 ALL = (
-    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
+    tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, index_deltas, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import evaluate as E
-from ..sources.index import keyed, missing
+from ..sources.index import append, keyed, missing
 from ..sources.layers import RESULTS, SCHEMAS
 
 
@@ -33,6 +33,18 @@ def embed_new(passages: DataFrame, folder: str, encode: Callable[[DataFrame], Da
     return passages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_new(passages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Adds a stream of passages (pid, party, layer, context, text) to the index of a folder, a delta segment a batch.
+
+    Segments are named by checkpoint and batch, so a batch that is run again after a failure adds nothing.
+    """
+
+    def add(batch: DataFrame, n: int) -> None:
+        append(batch, folder, name=f"{checkpoint}-{n}")
+
+    return passages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def result_stream(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """Result rows without errors; a repeated row (config, id, time) within the watermark counts once."""
     own = spark.readStream.schema(RESULTS).json(path).where("error IS NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skrift.operators import search as S
 from skrift.plans import report
-from skrift.sources.index import Index, build, manifest
+from skrift.sources.index import Index, append, build, compact, manifest, vacuum
 from skrift.streaming import passages as P
 
 ROWS = [(1, "A", "said", "A said", "skatten på arbete sänks"), (2, "B", "motion", "B motion", "vargen ska skyddas"), (3, "A;C", "program", "AC program", "skatten på vargar"), (4, "B", "said", "A said", "skatten på arbete sänks")]
@@ -48,6 +48,52 @@ def test_index_round_trip(spark, tmp_path):
     assert build(passages(spark), folder, stub, "other")["vectors"][0] not in second["vectors"]
 
 
+def hits(own, spark):
+    return sorted((r.pid, round(r.score, 9), r["rank"]) for r in own.bm25(asked(spark), 10).collect())
+
+
+def test_deltas_are_like_a_build(spark, tmp_path):
+    folder, other = f"file://{tmp_path}/deltas", f"file://{tmp_path}/whole"
+    with pytest.raises(FileNotFoundError):
+        append(passages(spark), folder)
+    build(passages(spark, [ROWS[0], (2, "B", "motion", "B motion", "skatten är gammal"), (9, "X", "said", "X", "skatten går bort")]), folder, stub)
+    append(passages(spark, ROWS[1:3] + ROWS[1:2]), folder, name="a", encode=stub)
+    now = append(passages(spark, ROWS[3:]), folder, removed=spark.createDataFrame([(9,), (77,)], "pid long"), name="b", encode=stub)
+    assert append(passages(spark), folder, name="a") == now and len(now["segments"]) == 3
+    build(passages(spark), other, stub)
+    own, whole = Index(spark, folder), Index(spark, other)
+    assert (own.manifest["n"], own.manifest["words"]) == (whole.manifest["n"], whole.manifest["words"])
+    assert hits(own, spark) == hits(whole, spark) and own.vectors.count() == 4
+    assert [r.pid for r in own.search(asked(spark), 8).orderBy("rank").collect()] == [r.pid for r in whole.search(asked(spark), 8).orderBy("rank").collect()]
+    # a passage that was taken out comes back
+    append(passages(spark, [(9, "X", "said", "X", "skatten kom")]), folder)
+    append(passages(spark, []), folder, removed=spark.createDataFrame([(9,)], "pid long"))
+    assert hits(Index(spark, folder), spark) == hits(whole, spark)
+    done = compact(spark, folder)
+    assert len(done["segments"]) == 1 and compact(spark, folder) == done and hits(Index(spark, folder), spark) == hits(whole, spark)
+    assert vacuum(spark, folder) == []  # the last step's tables may still be read
+    gone = vacuum(spark, folder, 0)
+    assert len(gone) == 5 and not any((tmp_path / "deltas" / g.rsplit("/", 1)[-1] / "postings").exists() for g in gone)
+    assert hits(Index(spark, folder), spark) == hits(whole, spark) and Index(spark, folder).vectors.count() == 4
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    folder, given = f"file://{tmp_path}/index", tmp_path / "in"
+    given.mkdir()
+    build(passages(spark, []), folder, None)
+    kind = passages(spark).schema
+    for n, rows in enumerate((ROWS[:2], ROWS[1:])):
+        (given / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(kind.names, r))) for r in rows))
+        P.append_new(spark.readStream.schema(kind).json(str(given)), folder, f"{tmp_path}/state").awaitTermination()
+    found = manifest(spark, folder)
+    assert found["n"] == 4 and len(found["segments"]) == 3
+    # the last batch's commit is lost: it runs again
+    for name in ("1", ".1.crc"):
+        (tmp_path / "state" / "commits" / name).unlink()
+    P.append_new(spark.readStream.schema(kind).json(str(given)), folder, f"{tmp_path}/state").awaitTermination()
+    assert manifest(spark, folder) == found
+
+
 def test_stream_adds_each_key_once(spark, tmp_path):
     given, out = tmp_path / "in", f"file://{tmp_path}/vectors"
     given.mkdir()
