@@ -8,23 +8,79 @@ from ..functions import text as T
 from ..tables import written
 
 
-def rule_holds(layer=None, party=None, number=None, session=None, topic=None, body=None) -> Column:
-    """A relevance rule: all conditions given hold; with none given, nothing is relevant."""
-    parts = []
-    if layer is not None:
-        parts.append(F.col("layer") == layer)
-    if party:
-        parts.append(F.arrays_overlap(T.split_set(F.col("party")), F.array(*map(F.lit, party))))
-    for name, values in (("number", number), ("session", session)):
-        if values:
-            parts.append(F.col(name).isin(*values))
-    for name, pattern in (("topic", topic), ("text", body)):
-        if pattern:
-            parts.append(F.coalesce(F.col(name), F.lit("")).rlike(f"(?iu){pattern}"))
-    out = F.lit(bool(parts))
-    for p in parts:
-        out = out & F.coalesce(p, F.lit(False))
-    return out
+#: Conditions of a relevance rule; a null or empty one holds for every hit.
+CONDITIONS = ("layer", "party", "number", "session", "topic", "body")
+
+
+def rules(questions: DataFrame) -> DataFrame:
+    """(qid, layer, party, number, session, topic, body) of a question file: a row a question, null where its rule has no such condition."""
+    text = lambda c: F.nullif(F.col(f"relevant.{c}"), F.lit(""))
+    some = lambda c: F.when(F.size(F.col(f"relevant.{c}")) > 0, F.col(f"relevant.{c}"))
+    return questions.select(F.col("id").alias("qid"), text("layer").alias("layer"), some("parti").alias("party"), some("beteckning").alias("number"), some("rm").alias("session"), text("sakfraga_regex").alias("topic"), text("text_regex").alias("body"))
+
+
+def searches(questions: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, k, layer, party, per_party) of a question file: how each question is searched."""
+    own = F.col("sok.parti")
+    return questions.select(F.col("id").alias("qid"), F.coalesce("sok.k", F.lit(k)).alias("k"), F.nullif(F.col("sok.layer"), F.lit("")).alias("layer"), F.when(F.size(own) > 0, own).alias("party"), F.nullif(F.col("sok.per_parti"), F.lit(0)).alias("per_party"))
+
+
+def judged(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """hits (qid, layer, party, number, session, topic, context, text, ...) with `flag`: are they relevant by the rule of their question?
+
+    All conditions of a rule must hold; patterns are looked for whatever the
+    case. A question without a rule, or whose rule has no condition, has no
+    relevant hits.
+    """
+    own = rules.select("qid", *[F.col(c).alias(f"__{c}") for c in CONDITIONS])
+    r = {c: F.col(f"__{c}") for c in CONDITIONS}
+    found = lambda text, pattern: F.regexp_like(text, F.concat(F.lit("(?iu)"), pattern))
+    blob = F.concat(F.coalesce("context", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    holds = {
+        "layer": F.col("layer") == r["layer"],
+        "party": F.arrays_overlap(T.split_set(F.coalesce("party", F.lit(""))), r["party"]),
+        "number": F.array_contains(r["number"], F.col("number")),
+        "session": F.array_contains(r["session"], F.col("session")),
+        "topic": found(F.coalesce("topic", F.lit("")), r["topic"]),
+        "body": found(blob, r["body"]),
+    }
+    flag = F.lit(False)
+    for c in r.values():
+        flag = flag | c.isNotNull()
+    for c, own_holds in holds.items():
+        flag = flag & (r[c].isNull() | F.coalesce(own_holds, F.lit(False)))
+    return hits.join(own, "qid", "left").withColumn("flag", flag).drop(*[f"__{c}" for c in CONDITIONS])
+
+
+def retrieval_run(ranking: DataFrame, passages: DataFrame, searches: DataFrame) -> DataFrame:
+    """Hits (qid, pid, score, rank, layer, party, context) of all questions of a fused ranking, by each question's own search (qid, k, layer, party, per_party).
+
+    Layer and parties filter the ranking, then the first k stay; with per_party
+    a passage goes only if all its parties have so many already.
+    """
+    meta = passages.select("pid", "layer", "party", "context")
+    own = searches.select("qid", "k", F.col("layer").alias("__layer"), F.col("party").alias("__party"), "per_party")
+    keep = (F.col("__layer").isNull() | (F.col("layer") == F.col("__layer"))) & (F.col("__party").isNull() | F.arrays_overlap(T.split_set(F.col("party")), F.col("__party")))
+    hits = ranking.join(own, "qid").join(meta, "pid").where(F.coalesce(keep, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    free = hits.where("per_party IS NULL").withColumn("nth", nth).where("nth <= k")
+    # of a set of parties the greedy choice takes at most per_party passages, so only so many go to Python
+    of_set = F.row_number().over(Window.partitionBy("qid", "party").orderBy("rank"))
+    slim = hits.where("per_party IS NOT NULL").withColumn("__of", of_set).where("__of <= per_party").drop("__of")
+
+    def greedy(pdf):
+        taken: dict[str, int] = {}
+        keep = []
+        for i, row in pdf.sort_values("rank").iterrows():
+            parties = [p for p in (row.party or "").split(";") if p] or ["—"]
+            if len(keep) < row.k and any(taken.get(p, 0) < row.per_party for p in parties):
+                keep.append(i)
+                for p in parties:
+                    taken[p] = taken.get(p, 0) + 1
+        return pdf.loc[keep].assign(nth=range(1, len(keep) + 1))
+
+    capped = slim.groupBy("qid").applyInPandas(greedy, free.schema)
+    return free.unionByName(capped).select("qid", "pid", "score", F.col("nth").cast("int").alias("rank"), "layer", "party", "context")
 
 
 def retrieval_metrics(judged: DataFrame) -> DataFrame:

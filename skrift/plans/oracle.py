@@ -211,6 +211,16 @@ FROM o LEFT JOIN g ON o.id = g.id AND o.answer = g.answer WHERE NOT (conv_id % 5
         "language_vote": rf"SELECT doc_id AS pid, CASE WHEN len(list_filter(w, lambda x: list_contains({_list(K.ENGLISH)}, x))) > len(list_filter(w, lambda x: list_contains({_list(K.SWEDISH)}, x))) THEN 'en' ELSE 'sv' END AS language FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents)",
         "voting_advice_flag": f"SELECT item_id AS qid, regexp_matches(text || CASE WHEN item_id % 3 = 0 THEN ' Vilket parti SKA jag välja?' ELSE '' END, '(?i){K.VOTING_ADVICE}') AS advice FROM benchmark",
         "precision_mrr": f"WITH {JUDGED} SELECT qid, round(p, 6) AS precision, round(CAST(m AS DOUBLE), 6) AS reciprocal_rank FROM pm",
+        "precision_rules": f"""WITH {bm25()}, j AS (SELECT b.*, party, layer, CAST(pid % 10 AS VARCHAR) AS number, CAST(pid % 3 AS VARCHAR) AS session, string_split(text, ' ')[1] AS topic, context || ' ' || text AS body, qid % 8 AS kind FROM b JOIN c USING (pid)),
+f AS (SELECT *, kind <> 6 AND (kind NOT IN (0, 7) OR layer = 'en') AND (kind NOT IN (1, 7) OR party IN ('src0', 'src3', 'src7')) AND (kind NOT IN (2, 7) OR number IN ('1', '2', '5', '7', '9')) AND (kind NOT IN (3, 7) OR session IN ('1', '2'))
+  AND (kind NOT IN (4, 7) OR regexp_matches(topic, '(?i)^(THE|d.|[a-f])')) AND (kind NOT IN (5, 7) OR regexp_matches(body, '(?i)SRC.* (der|THE|la) ')) AS flag FROM j)
+SELECT qid, round(avg(CAST(flag AS INT)), 6) AS precision, round(CAST(coalesce(max(CASE WHEN flag THEN 1.0 / rank END), 0) AS DOUBLE), 6) AS reciprocal_rank, count(*) FILTER (NOT flag) AS false_hits FROM f GROUP BY qid""",
+        "retrieval_runs": f"""WITH r AS (SELECT * FROM (WITH {bm25(limit='rank <= ' + str(K.CANDIDATES))} SELECT * FROM b WHERE qid % 4 <> 1) UNION ALL SELECT * FROM (WITH {bm25(K.PARTY_WORDS, 'true')} SELECT * FROM b WHERE qid % 4 = 1)),
+o AS (SELECT r.qid, r.pid, 1.0 / (60 + rank) AS score, rank, lang AS layer, source AS party FROM r JOIN documents ON pid = doc_id WHERE (qid % 3 <> 0 OR lang = 'en') AND (qid % 4 <> 1 OR source IN ('src0', 'src3'))),
+p AS (SELECT * FROM o QUALIFY qid % 5 <> 2 OR row_number() OVER (PARTITION BY qid, party ORDER BY rank) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM p)
+SELECT qid, pid, round(CAST(score AS DOUBLE), 6) AS score, CAST(nth AS INT) AS rank, layer, party FROM n WHERE nth <= 3 + qid % 5""",
+        "topic_urls": "SELECT page_id, 'p' || page_id % 7 AS party, url FROM pages WHERE regexp_matches(url, '/(en|fr)/[0-9]*' || page_id % 7 || '[0-9]*([?#]|$)')",
         "party_coverage": f"WITH {JUDGED}, o AS (SELECT qid, coalesce(list(DISTINCT party) FILTER (flag), []) AS own FROM j GROUP BY qid) SELECT qid, round(len(list_intersect(own, ['src0', 'src1', 'src2'])) / 3.0::DOUBLE, 6) AS covered, array_to_string(list_sort(list_filter(['src0', 'src1', 'src2'], lambda x: NOT list_contains(own, x))), ',') AS missing, array_to_string(list_sort(list_filter(own, lambda x: NOT list_contains(['src0', 'src1', 'src2'], x))), ',') AS unexpected FROM o",
         "false_hits": f"WITH {JUDGED} SELECT qid, false_hits, top_context FROM pm",
         "metrics_by_type": f"WITH {JUDGED} SELECT coalesce('t' || qid % 3, 'all') AS type, round(avg(p), 6) AS precision, round(avg(CAST(m AS DOUBLE)), 6) AS mrr, count(*) AS n FROM pm GROUP BY ROLLUP ('t' || qid % 3)",

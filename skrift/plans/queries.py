@@ -350,7 +350,38 @@ def voting_advice_flag(spark, sf):
 def _judged(spark, sf):
     good = table(spark, sf, "labels").where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("pid"), F.lit(True).alias("good"))
     hits = S.filtered(S.bm25(corpus(spark, sf), asked(spark, sf), 10), corpus(spark, sf)).join(good, "pid", "left")
-    return hits.withColumn("flag", F.coalesce("good", F.lit(False)) & E.rule_holds(layer="en"))
+    rules = asked(spark, sf).select("qid", F.lit("en").alias("layer"), *[F.lit(None).cast(t).alias(c) for c, t in _CONDITIONS[1:]])
+    none = [F.lit(None).cast("string").alias(c) for c in ("number", "session", "topic", "text")]
+    return E.judged(hits.select("*", *none), rules).withColumn("flag", F.coalesce("good", F.lit(False)) & F.col("flag"))
+
+
+_CONDITIONS = (("layer", "string"), ("party", "array<string>"), ("number", "array<string>"), ("session", "array<string>"), ("topic", "string"), ("body", "string"))
+
+
+def precision_rules(spark, sf):
+    """Precision by a rule a question: every condition alone, all at once, and a rule without conditions."""
+    kind, none = F.col("qid") % 8, F.lit(None)
+    own = {"layer": F.lit("en"), "party": F.array(F.lit("src0"), F.lit("src3"), F.lit("src7")), "number": F.array(*map(F.lit, "12579")), "session": F.array(F.lit("1"), F.lit("2")), "topic": F.lit("^(THE|d.|[a-f])"), "body": F.lit("SRC.* (der|THE|la) ")}
+    rules = asked(spark, sf).select("qid", *[F.when(kind.isin(n, 7), own[c]).otherwise(none).cast(t).alias(c) for n, (c, t) in enumerate(_CONDITIONS)])
+    extra = table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), (F.col("doc_id") % 10).cast("string").alias("number"), (F.col("doc_id") % 3).cast("string").alias("session"), F.substring_index("text", " ", 1).alias("topic"), "text")
+    hits = S.filtered(S.bm25(corpus(spark, sf), asked(spark, sf), 10), corpus(spark, sf)).join(extra, "pid")
+    return E.retrieval_metrics(E.judged(hits, rules)).select("qid", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "false_hits")
+
+
+def retrieval_runs(spark, sf):
+    """Every question by its own search: number of hits, layer, parties, cap a party. Questions for parties rank all passages, without their names."""
+    qid = F.col("qid")
+    how = asked(spark, sf).select("qid", (3 + qid % 5).cast("int").alias("k"), F.when(qid % 3 == 0, "en").alias("layer"), F.when(qid % 4 == 1, F.array(F.lit("src0"), F.lit("src3"))).alias("party"), F.when(qid % 5 == 2, 1).alias("per_party"))
+    parts = [S.hybrid(corpus(spark, sf), None, asked(spark, sf).where(c), "bm25", wide) for c, wide in ((qid % 4 != 1, False), (qid % 4 == 1, True))]
+    return rounded(E.retrieval_run(parts[0].unionByName(parts[1]), corpus(spark, sf), how), "layer", "party")
+
+
+def topic_urls(spark, sf):
+    """Pages of sites whose patterns stand in a table."""
+    sites = table(spark, sf, "pages").select(F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string")).alias("party")).distinct()
+    sites = sites.withColumn("topics", F.concat(F.lit("/(en|fr)/[0-9]*"), F.right("party", F.lit(1)), F.lit("[0-9]*([?#]|$)")))
+    urls = table(spark, sf, "pages").select("page_id", "url", F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string")).alias("party"))
+    return H.topic_pages(urls, sites).select("page_id", "party", "url")
 
 
 def precision_mrr(spark, sf):
@@ -561,7 +592,7 @@ ALL = (
     tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, index_deltas, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
-    sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
+    sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, precision_rules, retrieval_runs, topic_urls, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
     pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
     html_blocks, said_records, motion_records, proposition_records, carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,

@@ -105,6 +105,11 @@ def discovered(sitemap: DataFrame, index: DataFrame, pattern: str | None = None,
     return both.select("url", "lastmod", "labels", F.array_compact(F.array("in_sitemap", "in_index")).alias("sources"))
 
 
+def topic_pages(urls: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows of urls (party, url, ...) that are topic pages of their site: those its pattern in sites (party, topics) is found in. A site without a pattern has none."""
+    return urls.join(sites.select("party", F.col("topics").alias("__topics")), "party").where(F.expr("regexp_like(url, __topics)")).drop("__topics")
+
+
 def slugs(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages with a unique slug: the first of a slug keeps it, others get their parent's name before it, then a number."""
     own = pages.withColumn("slug", T.slug(F.col(url)))
