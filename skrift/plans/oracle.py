@@ -2,6 +2,7 @@
 
 from .. import constants as K
 from ..operators import sections as X
+from ..sources import programs as P
 
 
 def _list(words) -> str:
@@ -164,9 +165,30 @@ b2 AS (SELECT doc_id, list_reduce([{{'done': []::VARCHAR[], 'held': NULL::VARCHA
     ELSE {{'done': a.done || [a.held], 'held': x.held}} END) AS f FROM b1),
 b3 AS (SELECT doc_id, array_to_string(list_transform(CASE WHEN f.held IS NULL THEN [] ELSE f.done || [f.held] END, lambda p: regexp_replace(p, '([\p{{L}}\p{{N}}_])- ([a-zåäö])', '\1\2', 'g')), chr(10) || chr(10)) AS text FROM b2)"""
 
+PROGRAMS = rf"""
+g0 AS (SELECT doc_id, text, unnest(p) AS x, unnest(range(len(p))) AS i FROM (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: {STRIPPED.format('x')}), lambda x: x <> '') AS p FROM documents)),
+g1 AS (SELECT doc_id, i // 12 + 1 AS page, i % 12 // 4 AS block, i % 4 AS line, k, {STRIPPED.format("CASE k WHEN 0 THEN left(x, 40) WHEN 1 THEN (i % 9 + 1) || '.1 ' || left(x, 30) WHEN 2 THEN 'M' WHEN 3 THEN '12' WHEN 4 THEN left(x, 100) ELSE x END")} AS text FROM (SELECT *, (doc_id + i * 7) % 11 AS k FROM g0)
+  UNION ALL SELECT doc_id, 1000000, 0, 0, 10, {STRIPPED.format("'Slut ' || regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')")} FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]')),
+g2 AS (SELECT *, CASE WHEN k = 3 OR regexp_matches(text, '{P.NOISE.replace("(?iu)", "(?i)")}') THEN 'skip' WHEN k = 2 THEN 'dropcap' WHEN NOT regexp_matches(text, '{P.LETTERS}') THEN 'skip' WHEN k IN (0, 4) OR regexp_matches(text, '{P.NUMBERED}') THEN 'heading' ELSE 'body' END AS style FROM g1),
+g3 AS (SELECT * FROM g2 WHERE style <> 'skip' WINDOW page AS (PARTITION BY doc_id, page) QUALIFY NOT (bool_or(regexp_matches(text, '{P.CONTENTS.replace("(?iu)", "(?i)")}')) OVER page OR (count(*) FILTER (style = 'heading') OVER page >= {P.CONTENTS_HEADINGS} AND coalesce(sum(length(text)) FILTER (style = 'body') OVER page, 0) < {P.CONTENTS_CHARS}))),
+g4 AS (SELECT *, CAST(style IS DISTINCT FROM lag(style) OVER o AS INT) AS turn FROM g3 WHERE style <> 'dropcap' WINDOW o AS (PARTITION BY doc_id, page, block ORDER BY line)),
+g5 AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, page, block ORDER BY line) AS run FROM g4),
+g6 AS (SELECT doc_id, page, block, run, style, list(text ORDER BY line) AS lines, array_to_string(list(text ORDER BY line), ' ') AS whole, min(line) AS line, count(*) OVER (PARTITION BY doc_id, page, block) AS runs FROM g5 GROUP BY doc_id, page, block, run, style),
+g7 AS (SELECT *, style = 'heading' AND length(whole) BETWEEN 2 AND {P.LONGEST_HEADING} AND regexp_matches(whole, '^[\p{{Lu}}\p{{Nd}}]') AND regexp_matches(whole, '{P.LETTERS}') AND (NOT ends_with(whole, '.') OR regexp_matches(whole, '{P.NUMBERED}')) AS head FROM g6),
+g8 AS (SELECT *, sum(CAST(head OR coalesce(before, false) AS INT)) OVER (PARTITION BY doc_id, page, block ORDER BY run) AS seq FROM (SELECT *, lag(head) OVER (PARTITION BY doc_id, page, block ORDER BY run) AS before FROM g7 WHERE NOT (runs = 1 AND style = 'heading' AND NOT head))),
+g9 AS (SELECT doc_id, page, block, seq, head, CASE WHEN head THEN any_value(whole) ELSE list_reduce([''] || flatten(list(lines ORDER BY run)), lambda a, x: CASE WHEN a = '' THEN x WHEN ends_with(a, '-') AND regexp_matches(x, '^\p{{Ll}}') AND NOT regexp_matches(x, '^(och|eller) ') THEN a[:-2] || x ELSE a || ' ' || x END) END AS text FROM g8 GROUP BY doc_id, page, block, seq, head),
+ga AS (SELECT doc_id, page, block, seq, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS kind, text FROM g9 UNION ALL SELECT doc_id, page, block, -1, 'dropcap', 'M' FROM g3 WHERE style = 'dropcap' GROUP BY doc_id, page, block),
+gb AS (SELECT *, coalesce(count(*) FILTER (kind = 'paragraph') OVER (PARTITION BY doc_id ORDER BY page, block, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM ga),
+gc AS (SELECT *, bool_or(kind = 'dropcap') OVER (PARTITION BY doc_id, n) AS capped FROM gb),
+gd AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY page, block, seq) AS last FROM gc WHERE kind <> 'dropcap'),
+ge AS (SELECT *, sum(CAST(kind = 'heading' AND coalesce(last = 'paragraph', false) AS INT)) OVER (PARTITION BY doc_id ORDER BY page, block, seq) AS section FROM gd),
+gf AS (SELECT doc_id, section, coalesce(max(page) FILTER (kind = 'heading'), 1) AS page, coalesce(list(text ORDER BY page, block, seq) FILTER (kind = 'heading'), []) AS heads, list(CASE WHEN capped THEN 'M' ELSE '' END || text ORDER BY page, block, seq) FILTER (kind = 'paragraph') AS parts FROM ge GROUP BY doc_id, section),
+gg AS (SELECT doc_id, section, page, list_reduce([''] || heads, lambda a, x: CASE WHEN regexp_matches(x, '{P.NUMBERED}') OR length(a) + length(x) + CAST(a <> '' AS INT) > {P.LONGEST_JOINED} THEN x WHEN a = '' THEN x ELSE a || ' ' || x END) AS heading, array_to_string(parts, chr(10) || chr(10)) AS text FROM gf WHERE parts IS NOT NULL)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "program_sections": f"WITH {PROGRAMS} SELECT doc_id || '.pdf' AS file, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INT) AS nth, heading, CAST(page AS INT) AS page, length(text) AS chars, sha1(text) AS sha1 FROM gg",
         "html_main_text": f"WITH {BLOCKS} SELECT page_id, title, text FROM mt",
         "html_blocks": f"WITH {BLOCKS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS nth, sha1(text) AS sha1, CAST(words AS INT) AS words, 0 AS linked, main FROM bl WHERE NOT skipped",
         "html_anchors": f"WITH a0 AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]+') AS host, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS label FROM pages), a1 AS (SELECT host || regexp_replace({unescaped('href')}, '#.*', '') AS url, {cleaned(unescaped('label'))} AS label FROM a0) SELECT url, array_to_string(list_sort(coalesce(list(DISTINCT label) FILTER (label <> ''), [])), '|') AS labels FROM a1 GROUP BY url",

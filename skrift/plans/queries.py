@@ -16,6 +16,7 @@ from ..sources import html as H
 from ..sources import index as I
 from ..sources import layers as L
 from ..sources import motions as M
+from ..sources import programs as P
 from ..sources import propositions as B
 from ..sources import sites as Y
 from ..tables import scratch, spread
@@ -161,6 +162,26 @@ def political(spark, sf) -> DataFrame:
     )
 
 
+def program_spans(spark, sf) -> DataFrame:
+    """Documents as spans of a programme's pages: headings of three kinds, drop caps, page numbers, and the whole text as the last block."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace("text", "([.!?]) ", "$1\n"), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    own = spread(table(spark, sf, "documents")).select("doc_id", "text", F.posexplode(parts).alias("i", "x"))
+    kind = (F.col("doc_id") + F.col("i") * 7) % 11
+    pick = lambda **of: F.coalesce(*[F.when(kind == int(k[1:]), v) for k, v in of.items() if k != "rest"], of["rest"])
+    text = pick(k0=F.left("x", F.lit(40)), k1=F.concat((F.col("i") % 9 + 1).cast("string"), F.lit(".1 "), F.left("x", F.lit(30))), k2=F.lit("M"), k3=F.lit("12"), k4=F.left("x", F.lit(100)), rest=F.col("x"))
+    spans = own.select(
+        F.concat("doc_id", F.lit(".pdf")).alias("file"), (F.floor(F.col("i") / 12) + 1).cast("int").alias("page"), F.floor(F.col("i") % 12 / 4).cast("int").alias("block"), (F.col("i") % 4).cast("int").alias("line"), F.lit(0).alias("span"),
+        pick(k0=F.lit("Sans"), k4=F.lit("Serif-Bold"), rest=F.lit("Serif")).alias("font"), pick(k0=F.lit(14.0), k2=F.lit(40.0), rest=F.lit(10.0)).alias("size"), pick(k4=F.lit(P.BOLD), rest=F.lit(0)).alias("flags"), text.alias("text"),
+    )
+    last = table(spark, sf, "documents").where(F.col("text").rlike(r"\S")).select(F.concat("doc_id", F.lit(".pdf")).alias("file"), F.lit(1_000_000).alias("page"), *[F.lit(0).alias(c) for c in ("block", "line", "span")], F.lit("Serif").alias("font"), F.lit(10.0).alias("size"), F.lit(0).alias("flags"), F.concat(F.lit("Slut "), F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    return spans.unionByName(last)
+
+
+def program_sections(spark, sf):
+    out = P.sections(program_spans(spark, sf))
+    return out.select("file", "nth", "heading", "page", F.length("text").cast("long").alias("chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
 def _slot_table(spark):
     return R.slots(spark, SLOT_PARTIES)
 
@@ -595,7 +616,7 @@ ALL = (
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, precision_rules, retrieval_runs, topic_urls, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
     pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
-    html_blocks, said_records, motion_records, proposition_records, carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
+    html_blocks, said_records, motion_records, proposition_records, program_sections, carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
 )
 
 

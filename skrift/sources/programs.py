@@ -1,17 +1,14 @@
 """Party programmes: text spans of PDF pages to one record a heading.
 
 Spans come from a Python data source ("pdf_spans", where a PDF library is
-installed) or any table of its schema. Lines, their styles, the body's style and
-pages of contents are DataFrame steps; only the fold of a file's lines to
-sections is sequential, and runs for each file as a group, which one programme
-bounds.
+installed) or any table of its schema. Lines, their styles, the body's style,
+pages of contents, paragraphs and sections are DataFrame steps: runs and
+sections are numbered by running sums over a file's lines in order.
 """
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -96,7 +93,7 @@ def lines(spans: DataFrame) -> DataFrame:
     out = spans.groupBy("file", "page", "block", "line").agg(F.array_sort(F.collect_list(own)).alias("s"))
     out = out.withColumn("text", strip(F.array_join(F.transform("s", lambda x: x["own"]), "")))
     out = out.withColumn("s", F.filter("s", lambda x: strip(x["text"]) != ""))
-    out = out.join(F.broadcast(body), "file")  # a row for each file
+    out = out.join(body, "file")  # a row for each file
     size = F.array_max(F.transform("s", lambda x: x["size"]))
     bold = F.forall("s", lambda x: F.lower(x["font"]).contains("bold") | (x["flags"].bitwiseAND(BOLD) != 0))
     letter = F.element_at(F.split("text", r"(?U)\s+"), -1)
@@ -120,90 +117,67 @@ def without_contents(styled: DataFrame) -> DataFrame:
     return own.join(contents, ["file", "page"], "left_anti")
 
 
-_NUMBERED, _LETTERS = re.compile(NUMBERED), re.compile(LETTERS)
-
-
-def reads_as_heading(text: str) -> bool:
+def reads_as_heading(text: Column) -> Column:
     """Short, with letters, capital or number first, and no sentence: pull quotes are set like headings."""
-    if not 2 <= len(text) <= LONGEST_HEADING or not _LETTERS.search(text):
-        return False
-    return (text[0].isupper() or text[0].isdigit()) and (not text.endswith(".") or bool(_NUMBERED.match(text)))
-
-
-def joined(parts: list[str]) -> str:
-    """Lines as a paragraph; a hyphen at a line's end goes before lower case, unless it stands for a shared ending."""
-    out = ""
-    for x in parts:
-        if out.endswith("-") and x[:1].islower() and not x.startswith(("och ", "eller ")):
-            out = out[:-1] + x
-        else:
-            out = f"{out} {x}".strip()
-    return out
+    starts = text.rlike(r"(?U)^[\p{Lu}\d]") & text.rlike(LETTERS)
+    return F.length(text).between(2, LONGEST_HEADING) & starts & (~text.endswith(".") | text.rlike(NUMBERED))
 
 
-def events(block: list[tuple[str, str, str | None]]) -> Iterator[tuple[str, str]]:
-    """A block's (style, text, letter) lines as drop caps, headings and paragraphs.
+def events(lines: DataFrame) -> DataFrame:
+    """(file, page, block, seq, kind, text) of lines: headings, paragraphs and drop caps, which come before what else is in their block.
 
-    A run of heading lines that does not read as a heading belongs to the paragraph around it; alone in a block, it is a pull quote and goes.
+    Heading lines that follow one another in a block are a run. A run that does
+    not read as a heading belongs to the paragraph around it; alone in a block,
+    it is a pull quote and goes.
     """
-    yield from (("dropcap", letter) for style, _, letter in block if style == "dropcap")
-    own = [(style, text) for style, text, _ in block if style != "dropcap"]
-    if own and all(style == "heading" for style, _ in own) and not reads_as_heading(" ".join(t for _, t in own)):
-        return
-    runs: list[tuple[str, list[str]]] = []
-    for style, text in own:
-        if runs and runs[-1][0] == style:
-            runs[-1][1].append(text)
-        else:
-            runs.append((style, [text]))
-    held: list[str] = []
-    for style, texts in runs:
-        if style == "heading" and reads_as_heading(" ".join(texts)):
-            if held:
-                yield "paragraph", joined(held)
-                held = []
-            yield "heading", " ".join(texts)
-        else:
-            held += texts
-    if held:
-        yield "paragraph", joined(held)
-
-
-def sections_of(blocks: Iterator[tuple[int, list]]) -> list[tuple[str, int, str]]:
-    """(heading, page, text) of (page, block) in order.
-
-    Headings without text between them are one, unless the later is numbered or
-    both together are too long: then it replaces the earlier.
-    """
-    out: list[list] = [["", 1, []]]
-    letter = ""
-    for page, block in blocks:
-        for kind, text in events(block):
-            last = out[-1]
-            if kind == "dropcap":
-                letter = text
-            elif kind == "paragraph":
-                last[2].append(letter + text)
-                letter = ""
-            elif last[2]:
-                out.append([text, page, []])
-            else:
-                both = f"{last[0]} {text}".strip()
-                last[0] = text if len(both) > LONGEST_JOINED or _NUMBERED.match(text) else both
-                last[1] = page
-    return [(heading, page, "\n\n".join(parts)) for heading, page, parts in out if parts]
+    block = ["file", "page", "block"]
+    order = Window.partitionBy(*block).orderBy("line")
+    own = lines.where("style <> 'dropcap'").withColumn("turn", (F.col("style") != F.lag("style", 1, "").over(order)).cast("int"))
+    own = own.withColumn("run", F.sum("turn").over(order))
+    run = Window.partitionBy(*block, "run")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text")).over(run)), lambda x: x["text"]), " ")
+    own = own.withColumn("head", (F.col("style") == "heading") & reads_as_heading(whole)).withColumn("runs", F.max("run").over(Window.partitionBy(*block)))
+    own = own.where(~((F.col("runs") == 1) & (F.col("style") == "heading") & ~F.col("head")))
+    # what stands between headings is one paragraph, whatever its runs
+    new = (F.col("head") & ((F.col("turn") == 1))) | (F.col("head") != F.lag("head", 1).over(order))
+    own = own.withColumn("seq", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(order))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
+    grouped = own.groupBy(*block, "seq", "head").agg(parts.alias("parts"))
+    text = F.when(F.col("head"), F.array_join("parts", " ")).otherwise(X.joined_lines(F.col("parts")))
+    found = grouped.select(*block, "seq", F.when(F.col("head"), "heading").otherwise("paragraph").alias("kind"), text.alias("text"))
+    caps = lines.where("style = 'dropcap'").groupBy(*block).agg(F.max_by("letter", "line").alias("text"))
+    return found.unionByName(caps.select(*block, F.lit(-1).alias("seq"), F.lit("dropcap").alias("kind"), "text"))
+
+
+def merged_heading(texts: Column) -> Column:
+    """Headings without text between them as one, unless a later one is numbered or both together are too long: then it replaces what was before."""
+
+    def step(done, text):
+        both = F.when(done == "", text).otherwise(F.concat(done, F.lit(" "), text))
+        return F.when((F.length(both) > LONGEST_JOINED) | text.rlike(NUMBERED), text).otherwise(both)
+
+    return F.aggregate(texts, F.lit(""), step)
 
 
 def sections(spans: DataFrame) -> DataFrame:
-    """(file, nth, heading, page, text): one row a heading of each file."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page", "block", "line"])
-        blocks = ((page, list(zip(g["style"], g["text"], g["letter"]))) for (page, _), g in frame.groupby(["page", "block"], sort=True))
-        found = sections_of(blocks)
-        return pd.DataFrame([(frame["file"].iloc[0], n, *x) for n, x in enumerate(found)], columns=["file", "nth", "heading", "page", "text"])
+    """(file, nth, heading, page, text): one row a heading of each file.
 
-    return without_contents(lines(spans)).groupBy("file").applyInPandas(fold, "file string, nth int, heading string, page int, text string")
+    A section begins where a heading follows a paragraph, so sections are
+    numbered by running sums over a file's events; what is before the first
+    heading is a section without one. A drop cap goes before the next paragraph.
+    """
+    file = Window.partitionBy("file").orderBy("page", "block", "seq")
+    own = events(without_contents(lines(spans)))
+    own = own.withColumn("before", F.coalesce(F.sum((F.col("kind") == "paragraph").cast("int")).over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gap = Window.partitionBy("file", "before").orderBy("page", "block", "seq")
+    own = own.withColumn("letter", F.last(F.when(F.col("kind") == "dropcap", F.col("text")), ignorenulls=True).over(gap)).where("kind <> 'dropcap'")
+    text = F.when(F.col("kind") == "paragraph", F.concat(F.coalesce("letter", F.lit("")), "text")).otherwise(F.col("text"))
+    opens = (F.col("kind") == "heading") & (F.lag("kind").over(file) == "paragraph")
+    own = own.withColumn("text", text).withColumn("section", F.sum(F.coalesce(opens, F.lit(False)).cast("int")).over(file))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("page", "block", "seq", "text")))), lambda x: x["text"])
+    out = own.groupBy("file", "section").agg(merged_heading(of("heading")).alias("heading"), F.coalesce(F.max(F.when(F.col("kind") == "heading", F.col("page"))), F.lit(1)).alias("page"), of("paragraph").alias("parts"))
+    out = out.where(F.size("parts") > 0).withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("section")) - 1)
+    return out.select("file", "nth", "heading", "page", F.array_join("parts", "\n\n").alias("text"))
 
 
 def projects(spans: DataFrame) -> DataFrame:
@@ -228,7 +202,7 @@ def records(spans: DataFrame, programs=PROGRAMS, project_file: str = PROJECT_FIL
     own = own.where(~shared | ~F.col("heading").rlike(FRAME))
     own = own.join(projects(spans.where(F.col("file").endswith(project_file))), ["file", "page"], "left")
     heading = F.when(F.coalesce("project", F.lit("")) != "", F.concat("project", F.lit(": "), "heading")).otherwise(F.col("heading"))
-    nth = F.row_number().over(X.Window.partitionBy("file").orderBy("nth")) - 1
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("nth")) - 1
     return own.select(F.concat("parti", F.lit(":program:"), nth.cast("string")).alias("chunk_id"), F.lit("program").alias("layer"), "parti", "doc_type", "year", heading.alias("heading"), "page", "text", "source_file")
 
 

@@ -131,9 +131,13 @@ def test_agreement_sections_have_their_project(spark):
     assert [(r.heading, r.text.split()[0]) for r in out] == [("Tillväxt: ", "Direktiv"), ("Tillväxt: Skatter", "sänks")]
 
 
-def test_programme_lines():
-    assert P.joined(["arbets-", "och familjeliv"]) == "arbets- och familjeliv" and P.joined(["demo-", "krati"]) == "demokrati"
-    assert P.reads_as_heading("2.1 Klimat.") and not P.reads_as_heading("Vi vill.") and not P.reads_as_heading("litet") and not P.reads_as_heading("x" * 91)
+def test_programme_headings(spark):
+    texts = [("2.1 Klimat.", True), ("Vi vill.", False), ("litet", False), ("X" + "x" * 90, False), ("7", False), ("Å", False), ("Öar", True)]
+    out = spark.createDataFrame(texts, "t string, want boolean").select(P.reads_as_heading(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in out)
+    parts = [(["Del", "Två"], "Del Två"), (["Del", "2.1 Klimat", "Mer"], "2.1 Klimat Mer"), (["a" * 70, "b" * 70], "b" * 70), ([], "")]
+    out = spark.createDataFrame(parts, "p array<string>, want string").select(P.merged_heading(F.col("p")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in out)
 
 
 SITE = Y.Site("T", "Testpartiet", r"^https://t\.se/politik/[^/]+/?$", "https://t.se/index.xml", ("https://t.se/a-o/",))
