@@ -1,5 +1,8 @@
 """Queries over the driver's tables; documents stand in for passages (layer = lang, party = source)."""
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -469,6 +472,38 @@ def url_discovery_join(spark, sf):
     return H.discovered(left, right).select("url", "lastmod", F.array_join("labels", ",").alias("labels"), F.array_join("sources", ",").alias("sources"))
 
 
+def sitemap_files(spark, sf) -> DataFrame:
+    """Pages as the sitemaps of five sites: an index each, seven children, one of which is no sitemap; compressed, marked and with junk before them."""
+    n = F.col("page_id")
+    party = F.concat(F.lit("p"), (n % 5).cast("string"))
+    date = F.when(n % 3 == 0, F.concat(F.lit("<x:lastmod> 2024-05-0"), (n % 9 + 1).cast("string"), F.lit("T01:02:03Z </x:lastmod>"))).otherwise("")
+    loc = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    child = lambda k: F.concat(F.lit("https://"), F.col("party"), F.lit("/map-"), k.cast("string"), F.lit(".xml"))
+    entry = F.concat(F.lit("<x:url><x:loc> "), loc, F.lit(" </x:loc>"), date, F.lit("</x:url>"))
+    own = table(spark, sf, "pages").select(party.alias("party"), F.floor(n / 5 % 7).alias("k"), "page_id", entry.alias("e"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "e"))), lambda x: x["e"]), "\n")
+    maps = own.groupBy("party", "k").agg(text.alias("t")).select(child(F.col("k")).alias("url"), F.concat(F.when(F.col("k") == 1, "junk \n").otherwise(""), F.lit('<?xml version="1.0" encoding="UTF-8"?><x:urlset xmlns:x="http://www.sitemaps.org/schemas/sitemap/0.9">'), "t", F.when(F.col("k") == 6, "").otherwise("</x:urlset>")).alias("t"), "k")
+    index = own.select("party").distinct().select(F.concat(F.lit("https://"), "party", F.lit("/index.xml")).alias("url"), F.concat(F.lit("\ufeff<sitemapindex>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.concat(F.lit("<sitemap><loc>"), child(k), F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("t"), F.lit(0).alias("k"))
+
+    @F.pandas_udf("binary")
+    def packed(col: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([gzip.compress(t.encode()) if n % 2 else t.encode() for t, n in zip(col, k)])
+
+    return maps.unionByName(index).select("url", packed("t", "k").alias("content"))
+
+
+def sitemap_urls(spark, sf):
+    sites = spark.range(6).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("party"), F.concat(F.lit("https://p"), F.col("id").cast("string"), F.lit("/index.xml")).alias("sitemap"))
+    return H.site_urls(sitemap_files(spark, sf), sites)
+
+
+def parties_in(spark, sf):
+    """Parties that each text names by an alias, one of which stands at its end."""
+    names = F.get(F.lit([*K.ALIASES, "Socialdemokraterna S", "xmoderaterna", "kd-l", "MP_"]), (F.col("doc_id") % (len(K.ALIASES) + 4)).cast("int"))
+    text = F.concat("text", F.lit(" ("), names, F.lit(", "), F.when(F.col("doc_id") % 3 == 0, "Sossarna?").otherwise(""))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.array_join(T.parties_in(text), ",").alias("parties"))
+
+
 def slug_collisions(spark, sf):
     return H.slugs(_urls(spark, sf).groupBy("url").agg(F.min("page_id").alias("page_id"))).select("url", "slug")
 
@@ -614,7 +649,7 @@ ALL = (
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, precision_rules, retrieval_runs, topic_urls, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
-    pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
+    pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, sitemap_urls, parties_in, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
     html_blocks, said_records, motion_records, proposition_records, program_sections, carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
 )

@@ -2,7 +2,6 @@
 
 import gzip
 from urllib.parse import urldefrag, urljoin
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,20 +79,52 @@ def anchors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     return found.groupBy("url").agg(F.array_sort(F.collect_set(F.nullif(F.col("label"), F.lit("")))).alias("labels"))
 
 
-def sitemap_entries(content: bytes, tag: str = "url") -> list[tuple[str, str | None]]:
-    """(loc, lastmod cut to its date) of each `tag`, in any namespace; gzip, a byte order mark and leading junk are dealt with."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    content = content.removeprefix(b"\xef\xbb\xbf").lstrip()
-    start = content.find(b"<?xml")
-    content = content[max(start if start >= 0 else content.find(b"<"), 0) :]
-    out = []
-    for node in ElementTree.fromstring(content).iter():
-        if node.tag.rsplit("}", 1)[-1] == tag:
-            own = {child.tag.rsplit("}", 1)[-1]: (child.text or "").strip() for child in node}
-            if own.get("loc"):
-                out.append((own["loc"], own.get("lastmod", "")[:10] or None))
-    return out
+SITEMAP = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string>>"
+
+
+def sitemaps(saved: DataFrame) -> DataFrame:
+    """saved files (url, content) with `map`, their sitemap by schema: url entries, or the sitemaps of an index; null where there is none.
+
+    Bytes are repaired first: gzip, a byte order mark, junk before the document.
+    """
+
+    @F.pandas_udf("string")
+    def repaired(col: pd.Series) -> pd.Series:
+        def one(content):
+            if content is None:
+                return None
+            try:
+                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+            except (OSError, EOFError):
+                return None
+            text = content.decode("utf-8-sig", errors="replace")
+            start = text.find("<?xml")
+            return text[max(start if start >= 0 else text.find("<"), 0) :]
+
+        return col.map(one)
+
+    text = repaired(F.col("content"))
+    return saved.select("url", F.from_xml(text, F.lit(SITEMAP), {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("map"))
+
+
+def site_urls(saved: DataFrame, sites: DataFrame) -> DataFrame:
+    """(party, url, lastmod) of each site (party, sitemap) from saved files (url, content): its sitemap's entries, or those of the children that an index names.
+
+    One step down at most; of several entries of a URL the last counts, children
+    in the order of their index. Files that were not saved or cannot be read are
+    left out.
+    """
+    own = written(sitemaps(saved), "sitemaps")
+    top = sites.select("party", F.col("sitemap").alias("url")).join(own, "url").select("party", "map")
+    children = top.select("party", F.posexplode("map.sitemap").alias("child", "s")).select("party", "child", F.trim("s.loc").alias("url"))
+    found = top.where("map.sitemap IS NULL").select("party", F.lit(0).alias("child"), "map").unionByName(children.join(own, "url").select("party", "child", "map"))
+    urls = found.select("party", "child", F.posexplode("map.url").alias("at", "u")).select("party", "child", "at", F.trim("u.loc").alias("url"), F.nullif(F.left(F.trim("u.lastmod"), F.lit(10)), F.lit("")).alias("lastmod"))
+    return urls.where("url <> ''").groupBy("party", "url").agg(F.max_by("lastmod", F.struct("child", "at")).alias("lastmod"))
+
+
+def child_sitemaps(saved: DataFrame) -> DataFrame:
+    """(url) of the sitemaps that saved files (url, content) name."""
+    return sitemaps(saved).select(F.explode("map.sitemap").alias("s")).select(F.trim("s.loc").alias("url")).distinct()
 
 
 def discovered(sitemap: DataFrame, index: DataFrame, pattern: str | None = None, index_only: bool = False) -> DataFrame:

@@ -64,43 +64,30 @@ def codes(argument: str) -> list[str]:
     return [argument]
 
 
-def sitemap_urls(site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> dict[str, str | None]:
-    """URL to date, of a sitemap or of the children of an index of sitemaps; what cannot be had is left out, a later child's date holds."""
-    out: dict[str, str | None] = {}
-    if not site.sitemap:
-        return out
-    try:
-        top = get(site.sitemap)
-        children = [url for url, _ in H.sitemap_entries(top, "sitemap")]
-    except Exception:  # noqa: BLE001 - a site without its sitemap still has its index
-        return out
-    if not children:
-        return dict(H.sitemap_entries(top, "url"))
-    for child in children:
-        wait(site.delay)
+def saved(spark: SparkSession, urls, get: Get, delay: float, wait: Callable[[float], None]) -> DataFrame:
+    """(url, content) of a few files, after a wait each; what cannot be had is left out."""
+    rows = []
+    for url in urls:
+        wait(delay)
         try:
-            out.update(H.sitemap_entries(get(child), "url"))
-        except Exception:  # noqa: BLE001
+            rows.append((url, bytearray(get(url))))
+        except Exception:  # noqa: BLE001 - a site without its sitemap still has its index
             continue
-    return out
+    return spark.createDataFrame(rows, "url string, content binary")
 
 
-def index_pages(spark: SparkSession, site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(url, html) of the site's index pages, a few; what cannot be had is left out."""
-    rows = []
-    for at in site.index_urls:
-        wait(site.delay)
-        try:
-            rows.append((at, get(at).decode("utf-8", errors="replace")))
-        except Exception:  # noqa: BLE001
-            continue
-    return spark.createDataFrame(rows, "url string, html string")
+def sitemap_urls(spark: SparkSession, site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, lastmod) of a site's sitemap, or of the children that it names: a frontier of one step."""
+    top = saved(spark, [site.sitemap] if site.sitemap else [], get, 0, lambda _: None)
+    children = [r["url"] for r in H.child_sitemaps(top).orderBy("url").collect()]
+    both = top.unionByName(saved(spark, children, get, site.delay, wait))
+    return H.site_urls(both, spark.createDataFrame([(site.code, site.sitemap)], "party string, sitemap string")).select("url", "lastmod")
 
 
 def discover(spark: SparkSession, site: Site, get: Get, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(url, lastmod, labels, sources) of the site's topic pages, in order of URL."""
-    left = spark.createDataFrame(list(sitemap_urls(site, get, wait).items()), "url string, lastmod string")
-    found = H.discovered(left, H.anchors(index_pages(spark, site, get, wait)), site.topics, bool(site.index_urls and site.index_only))
+    pages = saved(spark, site.index_urls, get, site.delay, wait).select("url", F.decode("content", "utf-8").alias("html"))
+    found = H.discovered(sitemap_urls(spark, site, get, wait), H.anchors(pages), site.topics, bool(site.index_urls and site.index_only))
     return found.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).orderBy("url")
 
 
