@@ -188,6 +188,7 @@ gg AS (SELECT doc_id, section, page, list_reduce([''] || heads, lambda a, x: CAS
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "latest_logged": "WITH s AS (SELECT user_id, event_type, event_id, value, row_number() OVER (ORDER BY event_id % 2, event_id) - 1 AS seq FROM events) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY seq DESC) = 1",
         "sitemap_urls": "WITH m AS (SELECT page_id, 'p' || page_id % 5 AS party, page_id // 5 % 7 AS k, trim(url) AS url, CASE WHEN page_id % 3 = 0 THEN '2024-05-0' || (page_id % 9 + 1) END AS lastmod FROM pages) SELECT party, url, lastmod FROM m WHERE k <> 6 QUALIFY row_number() OVER (PARTITION BY party, url ORDER BY k DESC, page_id DESC) = 1",
         "parties_in": "WITH t AS (SELECT doc_id, ' ' || lower(text || ' (' || " + _list([*K.ALIASES, "Socialdemokraterna S", "xmoderaterna", "kd-l", "MP_"]) + f"[doc_id % {len(K.ALIASES) + 4} + 1] || ', ' || CASE WHEN doc_id % 3 = 0 THEN 'Sossarna?' ELSE '' END) || ' ' AS t FROM documents), h AS (SELECT doc_id, code, min(n) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {n} AS n, '{K.ALIASES[a]}' AS code FROM t WHERE regexp_matches(t, '[^\\p{{L}}\\p{{N}}_]{a}[^\\p{{L}}\\p{{N}}_]')" for n, a in enumerate(sorted(K.ALIASES, key=len, reverse=True))) + ") GROUP BY doc_id, code) SELECT doc_id, coalesce((SELECT string_agg(code, ',' ORDER BY n) FROM h WHERE h.doc_id = t.doc_id), '') AS parties FROM t",
         "program_sections": f"WITH {PROGRAMS} SELECT doc_id || '.pdf' AS file, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INT) AS nth, heading, CAST(page AS INT) AS page, length(text) AS chars, sha1(text) AS sha1 FROM gg",

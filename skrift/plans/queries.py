@@ -18,6 +18,7 @@ from ..operators import sections as X
 from ..sources import html as H
 from ..sources import index as I
 from ..sources import layers as L
+from ..sources import log as G
 from ..sources import motions as M
 from ..sources import programs as P
 from ..sources import propositions as B
@@ -454,6 +455,17 @@ def latest_result(spark, sf):
     return E.latest(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
+def latest_logged(spark, sf):
+    """Last rows of a log that got the events in two appends, the first of them twice, and was compacted between."""
+    folder, own = scratch(spark, "log"), table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    keys = ["user_id", "event_type"]
+    G.append(own.where("event_id % 2 = 0"), folder, "even", ["event_id"])
+    G.append(own.where("event_id % 2 = 0"), folder, "even", ["event_id"])
+    G.compact(spark, folder, keys)
+    G.append(own.where("event_id % 2 = 1"), folder, "odd", ["event_id"])
+    return G.latest(G.read(spark, folder), keys).select(*keys, "event_id", "value", "seq")
+
+
 def best_section_match(spark, sf):
     docs = spread(table(spark, sf, "documents"))
     s = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "body")).withColumn("heading", F.lit(""))
@@ -649,7 +661,7 @@ ALL = (
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
     source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, precision_rules, retrieval_runs, topic_urls, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
-    pooled_citation_coverage, report_grains, grading_sheet, latest_result, best_section_match, url_discovery_join, sitemap_urls, parties_in, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
+    pooled_citation_coverage, report_grains, grading_sheet, latest_result, latest_logged, best_section_match, url_discovery_join, sitemap_urls, parties_in, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
     html_blocks, said_records, motion_records, proposition_records, program_sections, carry_forward, body_style_mode, stub_embedding, worklist, grade_carry_over, followup_parent, problem_flags,
 )

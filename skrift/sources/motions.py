@@ -5,13 +5,18 @@ are aggregates and windows over them, and proposals meet sections by a join on
 their words.
 """
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
 from ..functions import text as T
 from ..tables import written
+from . import log
 from .elements import HEADINGS, elements, inside, stripped, strings
 
 # Classes and patterns of the export's markup.
@@ -146,3 +151,70 @@ def subtype_pages(spark: SparkSession, sessions: list[str], fetch) -> DataFrame:
     own = spark.createDataFrame([(s,) for s in sessions], "session string").repartition(max(1, len(sessions)), "session")
     got = own.mapInPandas(pages, SUBTYPES)
     return got.groupBy(F.concat("rm", F.lit(":"), "beteckning").alias("key")).agg(F.max("subtyp").alias("subtype"))
+
+
+class SavedPages(DataSource):
+    """spark.readStream.format("saved_pages").load(folder): the documents of a listing's saved pages, `<session>-<page>.json` files, in order of name.
+
+    The offset is the name of the last page that was read: it is kept in the
+    query's checkpoint, so a restart goes on behind it and reads no page twice.
+    A page holds {"documents": [{"rm", "beteckning", "subtyp"}]}; pages are
+    saved under names that sort in the order of saving. The folder is read by
+    pyarrow's file systems, local or remote.
+    """
+
+    @classmethod
+    def name(cls):
+        return "saved_pages"
+
+    def schema(self):
+        return SUBTYPES + ", page string"
+
+    def streamReader(self, schema):
+        return _SavedPagesReader(self.options["path"])
+
+
+class _Page(InputPartition):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class _SavedPagesReader(DataSourceStreamReader):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _store(self):
+        from pyarrow.fs import FileSystem
+
+        return FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else FileSystem.from_uri("file://" + self.folder)
+
+    def _names(self) -> list[str]:
+        from pyarrow.fs import FileSelector, FileType
+
+        store, path = self._store()
+        return sorted(f.base_name for f in store.get_file_info(FileSelector(path)) if f.type == FileType.File and f.base_name.endswith(".json") and f.base_name[0] not in "._")
+
+    def initialOffset(self) -> dict:
+        return {"page": ""}
+
+    def latestOffset(self) -> dict:
+        return {"page": max(self._names(), default="")}
+
+    def partitions(self, start: dict, end: dict):
+        return [_Page(n) for n in self._names() if start["page"] < n <= end["page"]]
+
+    def read(self, partition: _Page):
+        store, path = self._store()
+        with store.open_input_stream(f"{path}/{partition.name}") as f:
+            for d in json.loads(f.read()).get("documents", []):
+                yield d["rm"], d["beteckning"], d.get("subtyp") or "", partition.name
+
+
+def subtype_stream(spark: SparkSession, pages: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Adds what saved pages list to a log of subtypes (see log.py); `latest` of it by document is the dictionary."""
+    spark.dataSource.register(SavedPages)
+
+    def add(batch: DataFrame, n: int) -> None:
+        log.append(batch, folder, f"{checkpoint}-{n}", ["page"])
+
+    return spark.readStream.format("saved_pages").load(pages).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
