@@ -88,8 +88,11 @@ CHECKS = {
     "card": lambda hit: F.length(_digits(hit)).between(14, 19) & _luhn(_digits(hit)),
     "phone": lambda hit: F.length(_digits(hit)).between(10, 15),
 }
-#: The check digit holds for cards of 13 digits too.
-WINDOW_CHECKS = {"card": lambda hit: _luhn(_digits(hit)), "ip": CHECKS["ip"]}
+#: Endings that tell a mail's host, however its signs are written; no feature looks at them.
+ENDINGS = "com org net edu gov info biz io eu uk us ca au de at ch fr be nl es pt it se no dk fi pl cz ru jp cn in br mx example".split()
+ENDING = r"(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)(?:" + "|".join(ENDINGS) + ")$"
+#: Weak labels that are no base rule's verdict. The check digit holds for cards of 13 digits too.
+WINDOW_CHECKS = {"email": lambda hit: hit.rlike(ENDING), "card": lambda hit: _luhn(_digits(hit)), "ip": CHECKS["ip"]}
 
 
 def _windows(text: Column, runs: Column, name: str) -> Column:
@@ -282,7 +285,7 @@ def _all(found: DataFrame, model: Boosted) -> DataFrame:
     # foldable: one literal in the plan
     scores = F.split(F.lit(",".join(str(chosen.get(c, NO)) for c in range(CODES))), ",").cast("array<int>")
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1
-    # cards and addresses only with a good check; other spans with the label are base spans
+    # only with a good check or a known ending; phones with the label are base spans
     able = F.filter("proposed", lambda s: F.when(s["kind"].isin(*WINDOW_CHECKS), s["label"]).otherwise(~s["label"]))
     scored = F.transform(outside(able, F.col("base")), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.get(scores, s["code"]).alias("score")))
     best = _best(F.filter(scored, lambda s: s["score"] > NO))

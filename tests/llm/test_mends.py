@@ -72,3 +72,18 @@ def test_base_spans_match_brute_force(spark, table):
         assert r.doc_id == doc and r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), (doc, joined)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, _, k, _ in want) for x in ("email", "ip", "card", "phone"))
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def test_spelled_out_emails_are_found(spark):
+    """200 of them among plain ones; what only looks like one stays."""
+    rows = []
+    for i in range(200):
+        rows.append((i, f"Write to john{i}.doe (at) example{i % 7} (dot) com or ring, number {i}."))
+        rows.append((1000 + i, f"mail jane{i}@host{i % 5}.org, {'and bob_' + str(i) + '@mail.net too' if i % 2 else 'thanks'}"))
+        rows.append((2000 + i, f"I saw him{i} (at) home. It was late, x{i}@y.zz said [at] once."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert sum(got[i].n_added for i in range(200)) >= 190 and all(got[i].n_email == 0 for i in range(200))
+    assert sum(got[2000 + i].n_added for i in range(200)) == 0
+    one = next(r.text for r in pii.redacted(docs).where("doc_id = 7").collect())
+    assert "john7" not in one and "(dot)" not in one and one.startswith("Write to ")
