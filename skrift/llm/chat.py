@@ -16,8 +16,9 @@ spans cover the texts of assistant turns.
 Defined results: null texts and roles are empty; a missing parent makes a root;
 messages on a cycle are on no path. Of messages that repeat an id within a
 conversation, the one with the smallest parent (null first), role, text and score
-counts. A conversation without a message gives no
-row. In linear(), a conversation is one path ordered by turn (nulls first), and
+counts. A message without an id is one that nothing replies to; ids are read as
+strings, and a leaf without one has a made-up name. A conversation without a
+message gives no row. In linear(), a conversation is one path ordered by turn (nulls first), and
 ties by role, then text. Columns other than the named ones are not read.
 """
 
@@ -113,6 +114,9 @@ def formatted(messages: DataFrame, most: int | None = None, unique: bool = False
     unique: no id is repeated within a conversation, so none has to be looked for.
     """
     if not unique:
+        # what has no id is written once under one of its own, which no reply names
+        own = F.when(F.col("id").isNull(), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("id").cast("string"))
+        messages = written(messages.select("conv", own.alias("id"), F.col("parent").cast("string").alias("parent"), "role", "text", "score"), "named")
         one = messages.groupBy("conv", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
         messages = written(one.select("conv", "id", "m.*"), "messages")
     paths = best_paths(messages.select("conv", "id", "parent", "score"), most)

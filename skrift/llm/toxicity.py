@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def severity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", name: str = "severity") -> DataFrame:
-    """docs and their expected severity, 0 to the number of grades less 1."""
+    """docs and their expected severity, 0 to the number of grades less 1; a column of that name is replaced."""
     if scorer is None:
         return docs.withColumn(name, F.lit(0.0))
     byte_batches(docs.sparkSession)
