@@ -15,7 +15,7 @@ ROW = "__row"
 
 
 def less_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below the rejection limit."""
+    """Documents whose expected severity is below the rejection limit; each row is judged by its text, whatever its id."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.severity(docs, model, name="__severity").where(F.col("__severity") < toxicity.REJECT).select(docs.columns)
 
@@ -32,7 +32,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that contain no benchmark item."""
+    """Rows that contain no benchmark item; a row is taken out for its own text, so rows of null or repeated ids stay or go one by one."""
     rows = keyed(docs, ROW)
     found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
     leaks = written(found.select(ROW).distinct(), "leaks")
@@ -40,13 +40,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All rows, personal data replaced by its kind; n_chars follows the text, null texts stay null."""
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each row; repeated rows and rows without an id are queue entries of their own, ties go by id, then size."""
     return mixing.mix(docs)
 
 
