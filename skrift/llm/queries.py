@@ -70,10 +70,8 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     own = (op1_toxicity, op2_chat, op3_licenses, op4_mixing, op5_pii, op6_decontamination, op7_warc, op8_near_dedup, op9_secrets, op10_neighbours, op11_phrases, op12_packing, op13_negatives)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
