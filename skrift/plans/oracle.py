@@ -189,6 +189,8 @@ gg AS (SELECT doc_id, section, page, list_reduce([''] || heads, lambda a, x: CAS
 def oracle_sql() -> dict[str, str]:
     return {
         "latest_logged": "WITH s AS (SELECT user_id, event_type, event_id, value, row_number() OVER (ORDER BY event_id % 2, event_id) - 1 AS seq FROM events) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY seq DESC) = 1",
+        "passage_rows": f"""WITH {PIECES}, k AS (SELECT doc_id, lang, source, CASE lang WHEN 'en' THEN 'said' WHEN 'fr' THEN 'motion' WHEN 'de' THEN 'program' ELSE 'proposition' END AS layer, CASE lang WHEN 'en' THEN source || ' (' || source || ') om ämne: ämne' WHEN 'fr' THEN source || ' (' || source || '), motion ' || doc_id || ' 2024/25, om h' WHEN 'de' THEN source || ' (' || source || '), partiprogram (antaget 2020) — h' ELSE 'Regeringen (M, KD, L), proposition 2024/25:1 t — h' END AS kontext, CASE WHEN lang = 'fr' THEN CASE WHEN doc_id % 2 = 0 THEN 'Enskild motion' ELSE '' END END AS subtyp FROM documents)
+SELECT doc_id || '#' || i AS id, layer, source AS parti, CAST(doc_id AS VARCHAR) AS parent, subtyp, sha1(kontext) AS kontext, sha1(piece) AS text, left(sha1('passage: ' || kontext || chr(10) || piece), 16) AS emb FROM p8 JOIN k ON pid = doc_id""",
         "sitemap_urls": "WITH m AS (SELECT page_id, 'p' || page_id % 5 AS party, page_id // 5 % 7 AS k, trim(url) AS url, CASE WHEN page_id % 3 = 0 THEN '2024-05-0' || (page_id % 9 + 1) END AS lastmod FROM pages) SELECT party, url, lastmod FROM m WHERE k <> 6 QUALIFY row_number() OVER (PARTITION BY party, url ORDER BY k DESC, page_id DESC) = 1",
         "parties_in": "WITH t AS (SELECT doc_id, ' ' || lower(text || ' (' || " + _list([*K.ALIASES, "Socialdemokraterna S", "xmoderaterna", "kd-l", "MP_"]) + f"[doc_id % {len(K.ALIASES) + 4} + 1] || ', ' || CASE WHEN doc_id % 3 = 0 THEN 'Sossarna?' ELSE '' END) || ' ' AS t FROM documents), h AS (SELECT doc_id, code, min(n) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {n} AS n, '{K.ALIASES[a]}' AS code FROM t WHERE regexp_matches(t, '[^\\p{{L}}\\p{{N}}_]{a}[^\\p{{L}}\\p{{N}}_]')" for n, a in enumerate(sorted(K.ALIASES, key=len, reverse=True))) + ") GROUP BY doc_id, code) SELECT doc_id, coalesce((SELECT string_agg(code, ',' ORDER BY n) FROM h WHERE h.doc_id = t.doc_id), '') AS parties FROM t",
         "program_sections": f"WITH {PROGRAMS} SELECT doc_id || '.pdf' AS file, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INT) AS nth, heading, CAST(page AS INT) AS page, length(text) AS chars, sha1(text) AS sha1 FROM gg",
@@ -222,7 +224,7 @@ FROM o LEFT JOIN g ON o.id = g.id AND o.answer = g.answer WHERE NOT (conv_id % 5
         "slot_retrieval": f"WITH {FILLED} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(similarity, score), 9) DESC, slot, pos) AS INT) AS n, slot, pid, round(similarity, 6) AS similarity FROM fi",
         "slot_gaps": f"WITH {FILLED} SELECT qid, s_party, s_layer FROM (SELECT DISTINCT qid FROM qv) q, sl WHERE NOT EXISTS (SELECT 1 FROM fi WHERE fi.qid = q.qid AND fi.slot = sl.slot) AND NOT (s_layer = 'motion' AND s_party IN ('M', 'KD', 'L'))",
         "relevance_cutoff": f"WITH {CORPUS}, {dense('rank <= 300')} SELECT qid, layer, pid, round(score, 6) AS similarity FROM (SELECT *, max(score) OVER (PARTITION BY qid, layer) AS best FROM ve JOIN c USING (pid)) WHERE score >= greatest(0.1, best - 0.15)",
-        "quota_table": "WITH q AS (SELECT * FROM (VALUES ('one_party','program',3),('one_party','motion',8),('one_party','proposition',3),('one_party','said',3),('several_parties','program',1),('several_parties','motion',2),('several_parties','proposition',2),('several_parties','said',1)) t(mode, layer, w)), s AS (SELECT unnest(['program,motion,proposition,said', 'motion', 'program,said']) AS layers), x AS (SELECT * FROM q, s WHERE list_contains(string_split(layers, ','), layer)) SELECT mode, layers, layer, CAST(ceil(w * (SELECT sum(w) FROM q b WHERE b.mode = x.mode) / sum(w) OVER (PARTITION BY mode, layers)) AS INT) AS n FROM x",
+        "quota_table": "WITH q AS (SELECT * FROM (VALUES ('one_party','program',3),('one_party','motion',8),('one_party','proposition',3),('one_party','said',3),('several_parties','program',1),('several_parties','motion',2),('several_parties','proposition',2),('several_parties','said',1)) t(mode, layer, w)), s AS (SELECT unnest(['program,motion,proposition,said', 'motion', 'program,said']) AS layers), x AS (SELECT * FROM q, s WHERE list_contains(string_split(layers, ','), layer)) SELECT item_id AS qid, mode, layers, layer, n FROM (SELECT mode, layers, layer, CAST(ceil(w * (SELECT sum(w) FROM q b WHERE b.mode = x.mode) / sum(w) OVER (PARTITION BY mode, layers)) AS INT) AS n FROM x) y JOIN benchmark ON mode = ['one_party', 'several_parties'][item_id % 2 + 1] AND layers = ['program,motion,proposition,said', 'motion', 'program,said'][item_id % 3 + 1]",
         "context_budget": rf"WITH {NUMBERED}, pc AS (SELECT qid, n, chr(10) || '[' || n || '] ' || upper(layer) || ' — ' || context || chr(10) || 'källa: ' || source || chr(10) || text || chr(10) AS piece FROM nu) SELECT qid, n, chars, s AS sha1 FROM (SELECT qid, n, length(piece) AS chars, sha1(piece) AS s, sum(length(piece)) OVER (PARTITION BY qid ORDER BY n) AS run FROM pc) WHERE run <= 20000",
         "source_list": f"WITH {NUMBERED} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY f) AS INT) AS line_no, '[' || ns || '] ' || source AS line FROM (SELECT qid, source, min(n) AS f, string_agg(n, ', ' ORDER BY n) AS ns FROM nu WHERE n IN (1, 3, 5, 6, 7, 8, 12) GROUP BY qid, source)",
         "cited_numbers": "SELECT item_id, array_to_string([item_id, item_id + 3] || CASE WHEN item_id > 0 AND item_id < 50 THEN range(item_id, item_id * 2 + 1) ELSE [item_id, item_id * 2] END, ',') AS numbers FROM benchmark",
@@ -286,14 +288,13 @@ g(qid, i, taken, picks) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), []::VARCHAR[
 f AS (SELECT qid, arg_max(picks, i) AS picks FROM g GROUP BY qid), o AS (SELECT qid, unnest(picks) AS pid, CAST(unnest(range(1, len(picks) + 1)) AS INT) AS rank FROM f)
 SELECT qid, pid, party, rank FROM o JOIN z USING (pid)""",
         "individual_motions": f"WITH {POLITICAL} SELECT pid, single FROM pol WHERE layer = 'motion'",
-        "slot_table": """
-WITH p AS (SELECT * FROM (VALUES (0,'S'),(1,'M'),(2,'SD'),(3,'C'),(4,'V'),(5,'KD'),(6,'MP'),(7,'L')) t(i, s_party)), l AS (SELECT * FROM (VALUES (0,'program',1),(1,'motion',2),(2,'proposition',2),(3,'said',1)) t(j, s_layer, n))
+        "slot_table": """SELECT item_id AS qid, s.* FROM (WITH p AS (SELECT * FROM (VALUES (0,'S'),(1,'M'),(2,'SD'),(3,'C'),(4,'V'),(5,'KD'),(6,'MP'),(7,'L')) t(i, s_party)), l AS (SELECT * FROM (VALUES (0,'program',1),(1,'motion',2),(2,'proposition',2),(3,'said',1)) t(j, s_layer, n))
 SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS INT) AS slot, s_party, s_layer, n, 'all' AS asked FROM p, l WHERE s_layer <> 'proposition' OR s_party IN ('M', 'KD', 'L')
-UNION ALL VALUES (0, 'KD', 'motion', 13, 'KD'), (1, 'KD', 'said', 5, 'KD')""",
+UNION ALL VALUES (0, 'KD', 'motion', 13, 'KD'), (1, 'KD', 'said', 5, 'KD')) s JOIN benchmark ON s.asked = CASE WHEN item_id % 2 = 0 THEN 'all' ELSE 'KD' END""",
         "tool_round": f"WITH {SHOWN} SELECT qid, n, call, pid FROM sh",
         "prompt_context": f"""WITH {SHOWN}, pc AS (SELECT qid, n, chr(10) || '[' || n || '] ' || upper(layer) || ' — ' || kontext || chr(10) || 'källa: ' || CASE layer WHEN 'motion' THEN 'motion ' || pid || ' 2024/25' || CASE WHEN single THEN ' (enskild motion, ' || signers || ')' ELSE '' END
   WHEN 'proposition' THEN 'prop. 2024/25:' || pid || ', 1 maj 2024' WHEN 'program' THEN 'partiprogram, s. ' || pid % 40 ELSE url END || chr(10) || text
-  || CASE WHEN layer = 'motion' AND pid % 5 = 0 AND text <> '' THEN chr(10) || 'Motivering: ' || CASE WHEN length(left(text, 900)) > 600 THEN regexp_replace(left(text, 600), ' [^ ]*$', '') || ' …' ELSE left(text, 900) END ELSE '' END || chr(10) AS piece FROM sh),
+  || CASE WHEN layer = 'motion' AND pid % 5 = 0 AND text <> '' THEN chr(10) || 'Motivering: ' || CASE WHEN length(text) > 600 THEN regexp_replace(left(text, 600), ' [^ ]*$', '') || ' …' ELSE text END ELSE '' END || chr(10) AS piece FROM sh),
 cx AS (SELECT qid, chr(10) || 'HÄMTADE TEXTER' || chr(10) || string_agg(piece, chr(10) ORDER BY n) AS context FROM pc GROUP BY qid),
 pr AS (SELECT item_id AS qid, 'KONTEXT' || chr(10) || coalesce(context, chr(10) || 'HÄMTADE TEXTER') || CASE WHEN item_id % 2 = 0 THEN chr(10) || chr(10) || '{K.GAPS_TITLE}' || chr(10) || '- Socialdemokraterna (S): partiprogrammet' || chr(10) || '- Socialdemokraterna (S): motioner' ELSE '' END
   || chr(10) || chr(10) || 'SLUT PÅ KONTEXT' || CASE WHEN regexp_matches(text, '(?i){K.VOTING_ADVICE}') THEN '{K.VOTING_ADVICE_NOTE}' ELSE '' END || chr(10) || chr(10) || 'FRÅGA: ' || text AS t

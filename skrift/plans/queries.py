@@ -162,7 +162,7 @@ def political(spark, sf) -> DataFrame:
         F.lit("2024/25").alias("rm"), c("pid").cast("string").alias("beteckning"), F.concat(F.lit("t"), c("pid").cast("string")).alias("doc_title"), F.lit("1 maj 2024").alias("datum"),
         F.lit("partiprogram").alias("doc_type"), (c("pid") % 40).cast("int").alias("page"), (F.lit(2000) + c("pid") % 2 * 20).cast("int").alias("year"), F.lit("h").alias("heading"),
         F.concat(F.when(c("pid") % 7 == 0, F.lit("ftp://")).otherwise(F.lit("https://")), F.lit("p.se/"), (c("pid") % 50).cast("string")).alias("url"), F.when(c("pid") % 2 == 0, "2024-05-06T01").alias("lastmod"),
-        F.when(c("pid") % 5 == 0, F.left("text", F.lit(900))).alias("sektion_text"),
+        F.when(c("pid") % 5 == 0, c("text")).alias("sektion_text"),
     )
 
 
@@ -215,9 +215,11 @@ def individual_motions(spark, sf):
 
 
 def slot_table(spark, sf):
-    """All slots of a question about all parties, and of one about one."""
+    """The slots of every question: of even ones about all parties, of odd ones about one and two layers."""
     every = R.slots(spark, []).withColumn("asked", F.lit("all"))
-    return every.unionByName(R.slots(spark, ["KD"], ["motion", "said"], searched=["motion", "said"]).withColumn("asked", F.lit("KD")))
+    every = every.unionByName(R.slots(spark, ["KD"], ["motion", "said"], searched=["motion", "said"]).withColumn("asked", F.lit("KD")))
+    own = asked(spark, sf).select("qid", F.when(F.col("qid") % 2 == 0, "all").otherwise("KD").alias("asked"))
+    return own.join(F.broadcast(every), "asked")  # two short fixed lists
 
 
 def _shown(spark, sf):
@@ -286,8 +288,12 @@ def relevance_cutoff(spark, sf):
 
 
 def quota_table(spark, sf):
-    rows = [(m, ",".join(ls), x, n) for m in K.QUOTA for ls in (K.LAYERS, ("motion",), ("program", "said")) for x, n in R.quota(m, ls).items()]
-    return spark.createDataFrame(rows, "mode string, layers string, layer string, n int")
+    """How many passages of each layer every question gets, by how many parties it is about and which layers it searches."""
+    searched = (K.LAYERS, ("motion",), ("program", "said"))
+    rows = [(m, ",".join(ls), x, n) for m in K.QUOTA for ls in searched for x, n in R.quota(m, ls).items()]
+    each = spark.createDataFrame(rows, "mode string, layers string, layer string, n int")
+    how = asked(spark, sf).select("qid", F.get(F.lit(list(K.QUOTA)), (F.col("qid") % 2).cast("int")).alias("mode"), F.get(F.lit([",".join(ls) for ls in searched]), (F.col("qid") % 3).cast("int")).alias("layers"))
+    return how.join(F.broadcast(each), ["mode", "layers"])  # a short fixed list
 
 
 def _numbered(spark, sf):
@@ -326,7 +332,8 @@ def embedding_cache_missing(spark, sf):
     return I.missing(keyed, known).select("emb", F.sha1(F.col("text").cast("binary")).alias("sha1"))
 
 
-def passage_union(spark, sf):
+def _passages(spark, sf) -> DataFrame:
+    """Documents as the four layers' records, and these as passages."""
     c = F.col
     docs = table(spark, sf, "documents")
     own = lambda lang: docs.where(c("lang") == lang).withColumn("chunk_id", c("doc_id").cast("string")).withColumn("parti", c("source"))
@@ -335,8 +342,17 @@ def passage_union(spark, sf):
     program = own("de").select("chunk_id", "parti", F.lit(None).cast("string").alias("doc_type"), F.lit(2020).alias("year"), F.lit("h").alias("heading"), F.lit(1).alias("page"), "text")
     prop = own("es").select("chunk_id", "parti", F.lit("2024/25").alias("rm"), F.lit("1").alias("beteckning"), F.lit("t").alias("doc_title"), F.lit("h").alias("heading"), F.lit("d").alias("datum"), "text")
     kinds = own("fr").where("doc_id % 2 = 0").select(F.concat(F.lit("2024/25:"), "chunk_id").alias("key"), F.lit("Enskild motion").alias("subtype"))
-    out = L.passages(said, motion, program, prop, kinds)
-    return out.groupBy("layer", "parti", "kontext", "subtyp").agg(F.countDistinct("parent").alias("parents"))
+    return L.passages(said, motion, program, prop, kinds)
+
+
+def passage_union(spark, sf):
+    return _passages(spark, sf).groupBy("layer", "parti", "kontext", "subtyp").agg(F.countDistinct("parent").alias("parents"))
+
+
+def passage_rows(spark, sf):
+    """Every passage, with digests of its context and text."""
+    sha = lambda c: F.sha1(F.col(c).cast("binary")).alias(c)
+    return _passages(spark, sf).select("id", "layer", "parti", "parent", "subtyp", sha("kontext"), sha("text"), "emb")
 
 
 def context_lines(spark, sf):
@@ -659,7 +675,7 @@ def problem_flags(spark, sf):
 ALL = (
     tokenize_stem, term_freq, doc_freq_idf, corpus_stats, bm25_topk, index_bm25, index_deltas, bm25_drop_party_words, vector_topk, vector_topk_per_label, rrf_hybrid, rrf_weights,
     hybrid_layer_filter, hybrid_party_filter, per_party_cap, per_party_cap_shared, slot_retrieval, slot_gaps, relevance_cutoff, quota_table, context_budget,
-    source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, context_lines, split_paragraphs, split_text_full,
+    source_list, cited_numbers, history_last_turns, content_key, embedding_cache_missing, passage_union, passage_rows, context_lines, split_paragraphs, split_text_full,
     sentence_split, substantive_sentences, language_vote, voting_advice_flag, precision_mrr, precision_rules, retrieval_runs, topic_urls, party_coverage, false_hits, metrics_by_type, latency_p50_p90,
     pooled_citation_coverage, report_grains, grading_sheet, latest_result, latest_logged, best_section_match, url_discovery_join, sitemap_urls, parties_in, slug_collisions, html_strip, html_main_text, html_anchors, section_ranges,
     individual_motions, slot_table, tool_round, prompt_context, listed_sources, link_buttons, passage_counts, filter_hits, text_length_places, party_mentions, citation_strip, joined_line_text, answer_metrics,
