@@ -68,10 +68,15 @@ def test_best_section(spark):
     assert out[1] == (1.0, "Skogen") and out[2] == (0.0, "")
 
 
-def test_html():
-    title, text, links = H.parsed("<title>T</title><nav>x</nav><article><p>A<b> b<br>c</article><a href='/u#f'>L</a>")
-    assert (title, text, links) == ("T", "A b\nc\nL", [("/u#f", "L")])
-    assert H.sitemap_entries(b"junk<urlset><url><loc>u</loc><lastmod>2024-01-02T03</lastmod></url></urlset>") == [("u", "2024-01-02")]
+def test_html(spark):
+    long = "ord och mer text om skolan i hela landet som ska bli bättre"
+    pages = spark.createDataFrame([("https://a.se/b/", f"<title>T</title><nav>x</nav><article><p>{long}<b> b<br>{long}</article><a href='../u#f'>L</a>")], "url string, html string")
+    row = H.main_text(pages).first()
+    assert (row.title, row.text) == ("T", f"{long} b\n{long}")
+    assert [(r.url, r.labels) for r in H.anchors(pages).collect()] == [("https://a.se/u", ["L"])]
+    saved = spark.createDataFrame([("m", bytearray(b"junk<urlset><url><loc>u</loc><lastmod>2024-01-02T03</lastmod></url></urlset>")), ("n", bytearray(b"\x1f\x8bbad")), ("o", None)], "url string, content binary")
+    sites = spark.createDataFrame([("S", "m"), ("T", "n"), ("U", "o"), ("V", "gone")], "party string, sitemap string")
+    assert list(map(tuple, H.site_urls(saved, sites).collect())) == [("S", "u", "2024-01-02")]
 
 
 def test_latest(spark):
