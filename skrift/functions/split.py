@@ -49,7 +49,9 @@ def split_text(text: str | None, most: int = K.MAX_CHARS, overlap: int = K.OVERL
     """Pieces of a text: paragraphs, then sentences, packed while they fit, in the order of the text (see _sentences).
 
     Each piece after the first starts with the tail of the one before, from
-    its first blank on. A short text is one piece, an empty one has none.
+    its first blank on; where that tail has no blank, the piece stays as it is
+    (unordered, it loses white space at its ends all the same). A short text
+    is one piece, an empty one has none.
     """
     text = (text or "").strip()
     if len(text) <= most:
@@ -58,8 +60,8 @@ def split_text(text: str | None, most: int = K.MAX_CHARS, overlap: int = K.OVERL
     pieces = _packed([p for para in paras for p in ([para] if len(para) <= most else _sentences(para, most, overlap, ordered))], "\n\n", most)
     if not overlap:
         return pieces
-    tails = (p[-overlap:].partition(" ")[2] for p in pieces)
-    return pieces[:1] + [f"{t} {p}".strip() for t, p in zip(tails, pieces[1:])]
+    tails = (p[-overlap:].partition(" ")[1:] for p in pieces)
+    return pieces[:1] + [f"{t} {p}".strip() if blank or not ordered else p for (blank, t), p in zip(tails, pieces[1:])]
 
 
 @F.pandas_udf(types.ArrayType(types.StringType()))

@@ -36,6 +36,13 @@ def test_split_text():
     assert giant[0].startswith("First one.")
 
 
+def test_a_piece_without_a_tail_stays_as_it_is():
+    text = "a" * 1200 + "\n\n" + "bb " * 500 + "c."
+    whole = "bb " * 400
+    assert split_text(text)[:2] == ["a" * 1200, whole] and len(whole) == 1200
+    assert split_text(text, ordered=False)[1] == whole.strip()
+
+
 def test_shared_cap_is_greedy(spark):
     rows = [(1, 1, "A;B", 1), (1, 2, "A", 2), (1, 3, "B;C", 3), (1, 4, "", 4), (1, 5, "C", 5), (1, 6, "", 6)]
     hits = spark.createDataFrame(rows, "qid long, pid long, party string, rank int")
