@@ -3,10 +3,12 @@
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from skrift.functions import text as T
 from skrift.operators import evaluate as E
 from skrift.operators import search as S
 from skrift.sources import html as H
@@ -126,3 +128,28 @@ def test_topic_patterns_of_a_table(spark):
     sites = spark.createDataFrame([("S", "/a/[^/]+$"), ("V", "/[c-z]$"), ("X", None)], "party string, topics string")
     assert [r.url for r in H.topic_pages(urls, sites).collect()] == ["https://s.se/a/b"]
     assert H.topic_pages(urls, sites.withColumn("topics", F.lit("v.se"))).count() == 1
+
+
+def test_counted_words_are_the_columns_stems(spark):
+    texts = ["Landsbygdens ÅKRAR åkrarna och OCH Kelvin K x1 caféernas\tnej", "", "och det", "ord " * 700 + "Östra östra"]
+    own = spark.createDataFrame([(i, "", x) for i, x in enumerate(texts)], "pid long, context string, text string").repartition(2)
+    stems = {r.pid: r.s for r in own.select("pid", T.tokens(F.col("text")).alias("s")).collect()}
+    got = {r.pid: (r.dl, {x.term: x.tf for x in r.own}) for r in S.token_lists(own).collect()}
+    assert got == {i: (len(s), dict(Counter(s))) for i, s in stems.items()}
+    sent = spark.sparkContext.broadcast({"ord", "åkr"})
+    assert {r.pid: (r.dl, {x.term for x in r.own}) for r in S.token_lists(own, sent).collect()} == {i: (len(s), set(s) & {"ord", "åkr"}) for i, s in stems.items()}
+
+
+def test_scores_are_summed_in_the_row(spark, monkeypatch):
+    """Ties, copies, repeated words: as by a join, with and without a limit, and no pair of question and passage is shuffled to be summed."""
+    rnd = random.Random(7)
+    text = lambda n: " ".join(rnd.choice("abcdefgh") * 3 for _ in range(n))
+    passages = spark.createDataFrame([(p, "c", text(rnd.randrange(0, 9))) for p in range(120)] + [(200 + p, "c", "aaa bbb") for p in range(20)], "pid long, context string, text string").repartition(3)
+    questions = spark.createDataFrame([(q, text(4)) for q in range(9)] + [(50, "zzz"), (51, None)], "qid long, question string")
+    rows = lambda df: {(r.qid, r["rank"]): (r.pid, round(r.score, 9)) for r in df.collect()}
+    got = [rows(S.bm25(passages, questions, n)) for n in (3, None)]
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)", S.bm25(passages, questions, 3)._jdf.queryExecution().executedPlan().toString())
+    assert exchanges and not any("pid" in x for x in exchanges)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    assert got == [rows(S.bm25(passages, questions, n)) for n in (3, None)] and len(got[1]) > 300
+    assert S.bm25(passages, questions.limit(0), 3).count() == 0
