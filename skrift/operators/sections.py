@@ -1,7 +1,10 @@
 """Ordered text structure: paragraphs, headings, section ranges, PDF spans, carried values."""
 
+import unicodedata
+
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, types
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -105,11 +108,28 @@ def body_style(spans: DataFrame) -> DataFrame:
     return per.groupBy("file").agg(best).select("file", "b.font", "b.size")
 
 
-def joined_lines(lines: Column) -> Column:
+def join_lines(lines) -> str | None:
+    """Lines as one text, each added once to a list of parts (a growing text would be copied for each line); see joined_lines."""
+    parts: list[str] = []
+    for line in lines:
+        if line is None:
+            return None
+        if parts and parts[-1].endswith("-") and unicodedata.category(line[:1] or " ") == "Ll" and not line.startswith(("och ", "eller ")):
+            parts[-1:] = [parts[-1][:-1], line] if len(parts[-1]) > 1 else [line]
+        elif parts:
+            parts.append(" " + line)
+            for end, cut in ((-1, str.rstrip), (0, str.lstrip)):  # blanks at both ends go, with what is nothing else
+                while parts:
+                    parts[end] = cut(parts[end], " ")
+                    if parts[end]:
+                        break
+                    parts.pop(end)
+        elif line:
+            parts = [line]
+    return "".join(parts)
+
+
+@F.pandas_udf(types.StringType())
+def joined_lines(lines: pd.Series) -> pd.Series:
     """Lines as one text; a hyphen at a line's end goes when the next one starts in lower case, unless it stands for a shared ending."""
-
-    def step(done, line):
-        cut = done.endswith("-") & line.rlike(r"^\p{Ll}") & ~line.rlike("^(?:och|eller) ")
-        return F.when(done == "", line).when(cut, F.concat(F.regexp_replace(done, "-$", ""), line)).otherwise(F.trim(F.concat(done, F.lit(" "), line)))
-
-    return F.aggregate(lines, F.lit(""), step)
+    return lines.map(lambda x: None if x is None else join_lines(x))

@@ -1,6 +1,7 @@
 """Section ends at any number of levels, slots over shared passages, spreading."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,15 @@ def test_spread_runs_nothing(spark):
 
     own = spread(spark.range(40).select(counted("id").alias("x")).groupBy("x").count())
     assert calls.value == 0 and own.count() == 40
+
+
+def test_joined_lines_like_a_fold_and_in_linear_time(spark):
+    rnd = random.Random(3)
+    some = ["och ", "eller x", "x-", "Ab-", "-", "", " ", "  a- ", "b ", "åre", "ß-", "ǅ", "1", "c-\n", "--"]
+    rows = [[rnd.choice(some) for _ in range(rnd.randrange(0, 9))] for _ in range(400)] + [["a", None], None]
+    step = lambda done, line: F.when(done == "", line).when(done.endswith("-") & line.rlike(r"^\p{Ll}") & ~line.rlike("^(?:och|eller) "), F.concat(F.regexp_replace(done, "-$", ""), line)).otherwise(F.trim(F.concat(done, F.lit(" "), line)))
+    own = spark.createDataFrame(list(enumerate(rows)), "i int, l array<string>")
+    assert all(r.x == r.y for r in own.select(F.aggregate("l", F.lit(""), step).alias("x"), X.joined_lines("l").alias("y")).collect())
+    began = time.perf_counter()
+    out = spark.range(1).select(X.joined_lines(F.array_repeat(F.lit("ord-"), 100_000)).alias("x")).first().x
+    assert out == "ord" * 100_000 + "-" and time.perf_counter() - began < 20
