@@ -62,11 +62,12 @@ def retrieval_run(ranking: DataFrame, passages: DataFrame, searches: DataFrame)
     own = searches.select("qid", "k", F.col("layer").alias("__layer"), F.col("party").alias("__party"), "per_party")
     keep = (F.col("__layer").isNull() | (F.col("layer") == F.col("__layer"))) & (F.col("__party").isNull() | F.arrays_overlap(T.split_set(F.col("party")), F.col("__party")))
     hits = ranking.join(own, "qid").join(meta, "pid").where(F.coalesce(keep, F.lit(False)))
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
-    free = hits.where("per_party IS NULL").withColumn("nth", nth).where("nth <= k")
+    by = lambda *of: F.row_number().over(Window.partitionBy("qid", *of).orderBy("rank"))
     # of a set of parties the greedy choice takes at most per_party passages, so only so many go to Python
-    of_set = F.row_number().over(Window.partitionBy("qid", "party").orderBy("rank"))
-    slim = hits.where("per_party IS NOT NULL").withColumn("__of", of_set).where("__of <= per_party").drop("__of")
+    few = F.when(F.col("per_party").isNull(), F.col("nth") <= F.col("k")).otherwise(F.col("__of") <= F.col("per_party"))
+    # written: what is left is small, and both kinds of search read it
+    slim = written(hits.withColumn("nth", by()).withColumn("__of", by("party")).where(few).drop("__of"), "slim")
+    free = slim.where("per_party IS NULL")
 
     def greedy(pdf):
         taken: dict[str, int] = {}
@@ -79,7 +80,7 @@ def retrieval_run(ranking: DataFrame, passages: DataFrame, searches: DataFrame)
                     taken[p] = taken.get(p, 0) + 1
         return pdf.loc[keep].assign(nth=range(1, len(keep) + 1))
 
-    capped = slim.groupBy("qid").applyInPandas(greedy, free.schema)
+    capped = slim.where("per_party IS NOT NULL").groupBy("qid").applyInPandas(greedy, free.schema)
     return free.unionByName(capped).select("qid", "pid", "score", F.col("nth").cast("int").alias("rank"), "layer", "party", "context")
 
 
