@@ -18,13 +18,27 @@ def paragraphs(text: Column) -> Column:
     """Lines folded to paragraphs: a line joins an unfinished one that is long, or if it starts in lower case or follows a comma or dash."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (x != "") & ~x.rlike(NOISE))
 
-    def step(done, line):
-        last = F.element_at(done, -1)
-        joins = ~last.rlike("[.!?:]$") & ((F.length(last) >= 90) | line.rlike(r"^\p{Ll}") | last.rlike("[,–-]$"))
-        both = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit(" "), line)))
-        return F.when(F.size(done) == 0, F.array(line)).when(joins, both).otherwise(F.concat(done, F.array(line)))
+    return F.transform(folded(lines), lambda p: F.regexp_replace(p, HYPHEN, "$1$2"))
+
 
-    return F.transform(F.aggregate(lines, F.array().cast("array<string>"), step), lambda p: F.regexp_replace(p, HYPHEN, "$1$2"))
+def fold_lines(lines) -> list[str] | None:
+    """Lines (stripped, none empty) folded to paragraphs, each line looked at once (a growing paragraph would be copied and searched for each)."""
+    done: list[str] = []
+    parts: list[str] = []
+    for line in () if lines is None else lines:
+        if parts and parts[-1][-1] not in ".!?:" and (size >= 90 or unicodedata.category(line[0]) == "Ll" or parts[-1][-1] in ",–-"):
+            parts.append(line)
+            size += 1 + len(line)
+            continue
+        if parts:
+            done.append(" ".join(parts))
+        parts, size = [line], len(line)
+    return None if lines is None else done + [" ".join(parts)] * bool(parts)
+
+
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def folded(lines: pd.Series) -> pd.Series:
+    return lines.map(fold_lines, na_action=None)
 
 
 def is_heading(p: Column) -> Column:

@@ -1,4 +1,4 @@
-"""HTML as a relation: one row an element or string, by a table function.
+"""HTML as a relation: one row an element or string, parsed in Arrow batches.
 
 Elements are numbered as they open and close (`start`, `end`), so an element
 contains another whose interval lies in its own; strings are rows of the tag
@@ -9,16 +9,21 @@ page still gives rows. Strings of scripts, styles and comments are no rows. A pa
 is one row of the tag `#error`.
 """
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MUTE = frozenset(("script", "style", "template"))
 BLOCK = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption footer form h1 h2 h3 h4 h5 h6 head header hr li main nav noscript ol p pre section table tbody td tfoot th thead title tr ul".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Rows after which a batch goes to Spark.
+ROWS = 20_000
 #: block counts the edges of block elements before the row: strings of one number stand in one block.
 ELEMENT = "start int, end int, depth int, tag string, classes array<string>, href string, text string, block int"
 
@@ -63,25 +68,66 @@ class _Rows(HTMLParser):
         return tag
 
 
-@F.udtf(returnType=ELEMENT)
-class Elements:
-    def eval(self, html: str) -> Iterator[tuple]:
-        page = _Rows()
-        try:
-            page.feed(html or "")
-            page.close()
-        except Exception as error:  # noqa: BLE001 - one bad page is a row with an error
-            yield 0, 1, 0, "#error", [], None, repr(error)[:300], 0
-            return
-        while page.open:
-            page._close()
-        yield from page.done
+def _page_rows(html: str | None) -> list[tuple]:
+    page = _Rows()
+    try:
+        page.feed(html or "")
+        page.close()
+    except Exception as error:  # noqa: BLE001 - one bad page is a row with an error
+        return [(0, 1, 0, "#error", [], None, repr(error)[:300], 0)]
+    while page.open:
+        page._close()
+    return page.done
+
+
+def page_strings(html: str | None) -> list[tuple[bool, str]]:
+    """A page's strings in order, each with whether it stands in a title."""
+    rows = _page_rows(html)
+    titles = sorted((row[0], row[1]) for row in rows if row[3] == "title")
+    found, reach, n = [], -1, 0
+    for start, _, _, tag, _, _, text, _ in rows:
+        if tag == "#text":
+            while n < len(titles) and titles[n][0] < start:
+                reach, n = max(reach, titles[n][1]), n + 1
+            found.append((reach > start, text))
+    return found
+
+
+@F.pandas_udf(ArrayType(StructType().add("title", BooleanType()).add("text", StringType())))
+def strings_of(html: pd.Series) -> pd.Series:
+    """All strings of a page as one value: what needs no other elements is read without rows, so nothing is shuffled. No page has none."""
+    return html.map(lambda x: [] if x is None else [{"title": t, "text": s} for t, s in page_strings(x)], na_action=None)
+
+
+def _elements(kinds: list[pa.Field]):
+    """For mapInArrow over (columns to keep, HTML): the kept columns and ELEMENT's, some pages at a time."""
+
+    def out(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        kept = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(batch.num_columns - 1)]
+        own = [pa.array(column, field.type) for column, field in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays(kept + own, [*batch.schema.names[:-1], *[field.name for field in kinds]])
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for n, html in enumerate(batch.column(batch.num_columns - 1)):
+                found = _page_rows(html.as_py())
+                at += [n] * len(found)
+                rows += found
+                if len(rows) >= ROWS:
+                    yield out(batch, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield out(batch, at, rows)
+
+    return run
 
 
 def elements(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The columns of pages but the HTML, and its elements; a page without any has no rows."""
-    keep = [c for c in pages.columns if c != html]
-    return pages.lateralJoin(Elements(F.col(html).outer())).select(*keep, *[part.split()[0] for part in ELEMENT.split(", ")])
+    """The columns of pages but the HTML, and its elements; a page without any has no rows. Rows go to Spark in Arrow batches."""
+    own = pages.select(*[c for c in pages.columns if c != html], html)
+    kinds = StructType.fromDDL(ELEMENT)
+    return own.mapInArrow(_elements(list(to_arrow_schema(kinds))), StructType(own.schema.fields[:-1] + kinds.fields))
 
 
 def inside(rows: DataFrame, keys: list[str], outer: Column, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Government bills: HTML exports of PDF pages to one record a topic of a policy section.
 
-HTML becomes rows of elements, and these (title, text of lines); everything after
+HTML becomes a page's strings, and these (title, text of lines); everything after
 that is column expressions: header fields by patterns, sections as an array of places
 and titles, bodies cut out of the text, topics by sections.topic_records' rule.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import sections as X
 from ..tables import written
-from .elements import elements, inside
+from .elements import strings_of
 from .motions import html_files
 
 # Names and patterns of the documents.
@@ -36,29 +36,35 @@ PROPOSAL_BOX = (
 HEAD, AREA_HEAD = 5000, 400
 
 
+def _lines(strings: Column) -> Column:
+    """{title, text} of a page's strings: a line for each, without white space at its ends."""
+    own = F.transform(strings, lambda x: F.struct(x["title"].alias("title"), F.regexp_replace(x["text"], r"(?U)^\s+|\s+$", "").alias("line")))
+    own = F.filter(own, lambda x: x["line"] != "")
+    of = lambda rows, by: F.array_join(F.transform(rows, lambda x: x["line"]), by)
+    return F.struct(of(F.filter(own, lambda x: x["title"]), " ").alias("title"), F.concat(F.lit("\n"), of(own, "\n"), F.lit("\n")).alias("text"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file, title, text) of (file, html): a line for each string, without white space at its ends."""
-    rows = inside(elements(files.select("file", "html")), ["file"], F.col("tag") == "title", "title")
-    own = rows.where("tag = '#text'").withColumn("line", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("line <> ''")
-    joined = lambda only, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(only, F.struct("start", "line")))), lambda x: x["line"]), by)
-    own = own.groupBy("file").agg(joined(F.col("title"), " ").alias("title"), F.concat(F.lit("\n"), joined(F.lit(True), "\n"), F.lit("\n")).alias("text"))
-    return files.select("file").join(own, "file", "left").select("file", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("\n\n")).alias("text"))
+    return files.select("file", _lines(strings_of("html")).alias("own")).select("file", "own.title", "own.text")
 
 
 def texts(files: DataFrame, limit: int = K.HEAD_CHARS) -> DataFrame:
-    """(file, title, text, whole) of (file, html), in two passes.
+    """(file, title, text, whole) of (file, html), in two passes over a row, so files meet no other rows.
 
     The first parses `limit` characters of each file that is no volume of an
     area. What it lacks goes through the second whole: volumes, budgets, bills
     whose number or summary is not in the first part.
     """
     volume = F.col("file").rlike(AREA_FILE)
-    head = written(lines(files.where(~volume).select("file", F.left("html", F.lit(limit)).alias("html"))), "heads")
-    start = F.left("text", F.lit(HEAD))
-    enough = (F.regexp_extract(start, BILL, 2) != "") & ~F.regexp_extract(start, BILL, 2).isin("1", "100") & F.col("text").rlike(SUMMARY)
-    found = head.where(enough).withColumn("whole", F.lit(False))
-    missed = files.join(found.select("file"), "file", "left_anti")
-    return found.unionByName(lines(missed).withColumn("whole", F.lit(True)))
+    head = files.select("file", "html", _lines(strings_of(F.when(~volume, F.left("html", F.lit(limit))))).alias("head"))
+    text = F.col("head.text")
+    number = F.regexp_extract(F.left(text, F.lit(HEAD)), BILL, 2)
+    enough = ~volume & (number != "") & ~number.isin("1", "100") & text.rlike(SUMMARY)
+    head = head.withColumn("whole", ~F.coalesce(enough, F.lit(False)))
+    both = head.select("file", "whole", "head", _lines(strings_of(F.when(F.col("whole"), F.col("html")))).alias("all"))
+    own = F.when(F.col("whole"), F.col("all")).otherwise(F.col("head"))
+    return both.select("file", own["title"].alias("title"), own["text"].alias("text"), "whole")
 
 
 def headings(text: Column, pattern: str) -> Column:
@@ -128,7 +134,8 @@ def documents(read: DataFrame) -> DataFrame:
 
 def records(read: DataFrame, least: int = K.MIN_CHARS) -> DataFrame:
     """One row a topic of read files (file, title, text); of files with the same key and any record, the first by name counts."""
-    docs = documents(read)
+    # written: bills, sections and fields are read off the same texts, which are parsed and searched once
+    docs = written(documents(read), "bills")
     bills = docs.where("kind = 'bill'").select("file", F.regexp_extract("text", SUMMARY, 1).alias("summary"), F.col("text").rlike(SUMMARY).alias("has")).where("has")
     whole = F.array_join(X.paragraphs(F.col("summary")), "\n\n")
     summaries = bills.select("file", F.lit(0).alias("nth"), F.lit(0).alias("group"), F.lit(SUMMARY_TITLE).alias("heading"), whole.alias("text"))
