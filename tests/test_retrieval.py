@@ -153,3 +153,25 @@ def test_scores_are_summed_in_the_row(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     assert got == [rows(S.bm25(passages, questions, n)) for n in (3, None)] and len(got[1]) > 300
     assert S.bm25(passages, questions.limit(0), 3).count() == 0
+
+
+def test_words_are_told_apart_as_arrays_and_few_are_stemmed(monkeypatch):
+    import pyarrow as pa
+
+    from skrift.functions import counts as C
+
+    stemmed = []
+    monkeypatch.setattr(C, "stem", lambda word, own=C.stem: stemmed.append(word) or own(word))
+    monkeypatch.setattr(C, "BYTES", 20)
+
+    class Sent:
+        value = {"ordning", "x1"}
+
+    texts = ["Ordningarnas ORDNINGEN", "", None, "xyz och", "zyx X1", "ÅÄÖÉåäöé Æab naïve", "ordna besked beskeden", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["pid", "text"])
+    rows = [r for out in C.counted(Sent)(iter([batch])) for r in out.to_pylist()]
+    assert [r["dl"] for r in rows] == [2, 0, 0, 1, 2, 4, 3, 0]
+    assert [{x["term"]: x["tf"] for x in r["own"]} for r in rows] == [{"ordning": 2}, {}, {}, {}, {"x1": 1}, {}, {}, {}]
+    assert sorted(stemmed) == ["ordna", "ordningarnas", "ordningen", "x1"]
+    own = [r for out in C.counted()(iter([batch.slice(5)])) for r in out.to_pylist()]
+    assert [{x["term"]: x["tf"] for x in r["own"]} for r in own] == [{"åäöéåäöé": 1, "ab": 1, "na": 1, "ve": 1}, {"ordna": 1, "besked": 2}, {}]
