@@ -47,6 +47,18 @@ def test_spread_runs_nothing(spark):
     assert calls.value == 0 and own.count() == 40
 
 
+def test_spread_leaves_rows_of_many_files_where_they_are(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    shuffles = lambda df: spread(df)._jdf.queryExecution().executedPlan().toString().count("Exchange RoundRobin")
+    for n in (1, cores):
+        spark.range(100).repartition(n).write.parquet(f"{tmp_path}/{n}")
+    one, many = (spark.read.parquet(f"{tmp_path}/{n}") for n in (1, cores))
+    own = many.where("id % 2 = 0").selectExpr("id + 1 AS x")
+    assert shuffles(own) == 0 and spread(own).count() == 50
+    # few files, and plans whose rows do not lie as the files do
+    assert shuffles(one) == 1 and shuffles(many.groupBy("id").count()) == 1 and shuffles(many.join(one, "id")) == 1
+
+
 def test_joined_lines_like_a_fold_and_in_linear_time(spark):
     rnd = random.Random(3)
     some = ["och ", "eller x", "x-", "Ab-", "-", "", " ", "  a- ", "b ", "åre", "ß-", "ǅ", "1", "c-\n", "--"]
