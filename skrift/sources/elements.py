@@ -9,6 +9,7 @@ page still gives rows. Strings of scripts, styles and comments are no rows. A pa
 is one row of the tag `#error`.
 """
 
+from bisect import bisect
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,6 +27,8 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ROWS = 20_000
 #: block counts the edges of block elements before the row: strings of one number stand in one block.
 ELEMENT = "start int, end int, depth int, tag string, classes array<string>, href string, text string, block int"
+#: A page in one row: its strings in order, and elements in order, each with its first string (from 1) and how many follow from there; inside: another kind of element contains it.
+OUTLINE = "strings array<string>, elements array<struct<start:int,end:int,tag:string,classes:array<string>,inside:boolean,first:int,n:int>>"
 
 
 class _Rows(HTMLParser):
@@ -99,6 +102,65 @@ def strings_of(html: pd.Series) -> pd.Series:
     return html.map(lambda x: [] if x is None else [{"title": t, "text": s} for t, s in page_strings(x)], na_action=None)
 
 
+def page_outline(html: str | None, wanted, outer) -> tuple[list[str], list[tuple]]:
+    """A page's strings, and the elements that are `wanted` by tag and classes as in OUTLINE; `outer` tells the tags that others are inside of.
+
+    An element's strings lie together, so they are told by two numbers however deep elements nest.
+    """
+    rows = sorted(_page_rows(html), key=lambda row: row[0])
+    texts = [row for row in rows if row[3] in ("#text", "#error")]
+    places = [row[0] for row in texts]
+    found, reach = [], -1
+    for start, end, _, tag, classes, *_ in rows:
+        if tag == "#error" or tag != "#text" and wanted(tag, classes):
+            first = bisect(places, start - (tag == "#error"))
+            found.append((start, end, tag, classes, reach > start, first + 1, bisect(places, end) - first))
+        if tag in outer:
+            reach = max(reach, end)
+    return [row[6] for row in texts], found
+
+
+def _outlines(wanted, outer, strings: pa.DataType, kinds: pa.DataType):
+    """For mapInArrow over (columns to keep, HTML): the kept columns and OUTLINE's, some pages at a time."""
+
+    def out(batch: pa.RecordBatch, at: int, pages: list[tuple]) -> pa.RecordBatch:
+        kept = [batch.column(i).slice(at, len(pages)) for i in range(batch.num_columns - 1)]
+        texts, own, ends, stops = [], [], [0], [0]
+        for strings_, found in pages:
+            texts += strings_
+            own += found
+            ends.append(len(texts))
+            stops.append(len(own))
+        columns = zip(*own) if own else [()] * kinds.value_type.num_fields
+        rows = pa.StructArray.from_arrays([pa.array(column, field.type) for column, field in zip(columns, kinds.value_type)], fields=list(kinds.value_type))
+        both = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, strings.value_type)), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rows)]
+        return pa.RecordBatch.from_arrays(kept + both, [*batch.schema.names[:-1], "strings", "elements"])
+
+    def run(batches):
+        for batch in batches:
+            at, size, pages = 0, 0, []
+            for html in batch.column(batch.num_columns - 1):
+                pages.append(page_outline(html.as_py(), wanted, outer))
+                size += len(pages[-1][0]) + len(pages[-1][1])
+                if size >= ROWS:
+                    yield out(batch, at, pages)
+                    at, size, pages = at + len(pages), 0, []
+            if pages:
+                yield out(batch, at, pages)
+
+    return run
+
+
+def outlines(pages: DataFrame, wanted, outer: tuple[str, ...] = (), html: str = "html") -> DataFrame:
+    """The columns of pages but the HTML, and OUTLINE's of each: what meets no other page is read row by row, so nothing is shuffled.
+
+    `wanted(tag, classes)` says which elements are listed; `outer` names the tags for `inside`. A page that cannot be read has the element `#error`.
+    """
+    own = pages.select(*[c for c in pages.columns if c != html], html)
+    kinds = StructType.fromDDL(OUTLINE)
+    return own.mapInArrow(_outlines(wanted, frozenset(outer), *[f.type for f in to_arrow_schema(kinds)]), StructType(own.schema.fields[:-1] + kinds.fields))
+
+
 def _elements(kinds: list[pa.Field]):
     """For mapInArrow over (columns to keep, HTML): the kept columns and ELEMENT's, some pages at a time."""
 

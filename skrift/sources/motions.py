@@ -1,23 +1,27 @@
 """Motions: HTML files to one record a proposal, each with the section that argues for it.
 
-A file is rows of elements (see elements.py); headers, proposals and sections
-are aggregates and windows over them, and proposals meet sections by a join on
-their words.
+A file is one row with its elements in order (see elements.py); headers, proposals
+and sections are column expressions over them, and proposals meet sections by
+their words, so no file meets another one and nothing is shuffled.
 """
 
 import json
+from collections import Counter
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from .. import constants as K
 from ..functions import text as T
-from ..tables import written
+from ..functions.counts import MatchWords
 from . import log
-from .elements import HEADINGS, elements, inside, stripped, strings
+from .elements import HEADINGS, outlines, stripped
 
 # Classes and patterns of the export's markup.
 PROPOSAL_CLASSES = {"Frslagstext", "Hemstlatt", "Yrkande"}
@@ -37,82 +41,98 @@ def html_files(spark: SparkSession, folder: str) -> DataFrame:
     return own.select(F.col("path").alias("file"), decoded("content").alias("html"))
 
 
-def _named(tag: str, name: str) -> Column:
-    return (F.col("tag") == tag) & F.array_contains("classes", name)
+def _named(line: Column, tag: str, name: str) -> Column:
+    return (line["tag"] == tag) & F.array_contains(line["classes"], name)
 
 
-def _any(names) -> Column:
-    return F.arrays_overlap("classes", F.array(*map(F.lit, sorted(names))))
+def _any(line: Column, names) -> Column:
+    return F.arrays_overlap(line["classes"], F.array(*map(F.lit, sorted(names))))
+
+
+def _with(value: Column, then) -> Column:
+    """then(value), where value is computed once: a lambda function that names an expression computes it for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _wanted(tag: str, classes: list[str]) -> bool:
+    """Elements that a motion is read from."""
+    return tag in ("p", "li", *HEADINGS) or (tag == "span" and ("sidhuvud_beteckning" in classes or "MotionarLista" in classes)) or (tag == "div" and "Section1" in classes)
 
 
 def lines(files: DataFrame, key: str = "file") -> DataFrame:
-    """Elements of the files that a motion is read from: headers, headings, paragraphs and list items with their strings and text, and section divisions."""
-    rows = inside(elements(files.select(key, "html")), [key], F.col("tag") == "li", "in_item")
-    wanted = F.col("tag").isin("p", "li", *HEADINGS) | _named("span", "sidhuvud_beteckning") | _named("span", "MotionarLista")
-    own = strings(rows, [key], wanted).withColumn("text", T.clean(F.array_join("strings", "")))
-    rest = rows.where(_named("div", "Section1") | (F.col("tag") == "#error")).select(*[c for c in own.columns if c not in ("strings", "text")], F.array().cast("array<string>").alias("strings"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.unionByName(rest)
-
-
-def headers(lines: DataFrame, key: str = "file") -> DataFrame:
-    """(key, rm, beteckning, parti, forste_undertecknare, doc_title, undertecknare) by the first element of each kind; what a page lacks is empty."""
-    first = lambda kind, value: F.coalesce(F.min_by(value, F.when(kind, F.col("start"))), F.lit(""))
-    signer = F.struct("start", "text")
-    own = lines.groupBy(key).agg(
-        first(_named("span", "sidhuvud_beteckning"), stripped(F.col("strings"))).alias("number"),
-        first(_named("span", "MotionarLista"), stripped(F.col("strings"))).alias("forste_undertecknare"),
-        first(F.col("tag") == "h1", F.col("text")).alias("doc_title"),
-        F.array_sort(F.collect_list(F.when(_named("p", "Underskrifter") & (F.col("text") != ""), signer))).alias("signers"),
-    )
-    return own.select(
-        key, F.regexp_extract("number", NUMBER, 1).alias("rm"), F.regexp_extract("number", NUMBER, 2).alias("beteckning"), F.regexp_extract("forste_undertecknare", PARTY, 1).alias("parti"),
-        "forste_undertecknare", "doc_title", F.array_join(F.transform("signers", lambda s: s["text"]), ";").alias("undertecknare"),
+    """(key, lines) of (key, html): headers, headings, paragraphs, list items and section divisions in order, with their strings joined without white space at their ends (spans) or as clean text."""
+    own = outlines(files.select(key, "html"), _wanted, ("li",))
+    texts = lambda e: F.slice("strings", e["first"], e["n"])
+    text = lambda e: F.when(e["tag"] == "span", stripped(texts(e))).when(e["tag"] == "div", "").otherwise(T.clean(F.array_join(texts(e), "")))
+    line = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["tag"].alias("tag"), e["classes"].alias("classes"), e["inside"].alias("in_item"), text(e).alias("text"))
+    return own.select(key, F.transform("elements", line).alias("lines"))
+
+
+def header(lines: Column) -> Column:
+    """{rm, beteckning, parti, forste_undertecknare, doc_title, undertecknare} by the first line of each kind; what a page lacks is empty."""
+    first = lambda kind: F.coalesce(F.get(F.filter(lines, kind), 0)["text"], F.lit(""))
+    number, signer = first(lambda x: _named(x, "span", "sidhuvud_beteckning")), first(lambda x: _named(x, "span", "MotionarLista"))
+    signers = F.filter(lines, lambda x: _named(x, "p", "Underskrifter") & (x["text"] != ""))
+    return F.struct(
+        F.regexp_extract(number, NUMBER, 1).alias("rm"), F.regexp_extract(number, NUMBER, 2).alias("beteckning"), F.regexp_extract(signer, PARTY, 1).alias("parti"),
+        signer.alias("forste_undertecknare"), first(lambda x: x["tag"] == "h1").alias("doc_title"), F.array_join(F.transform(signers, lambda x: x["text"]), ";").alias("undertecknare"),
     )
 
 
-def proposals(lines: DataFrame, key: str = "file") -> DataFrame:
-    """(key, nr, text): list items or paragraphs of the classes of proposals, numbered in order."""
-    own = lines.where(F.col("tag").isin("li", "p") & _any(PROPOSAL_CLASSES) & (F.col("text") != ""))
-    return own.select(key, F.row_number().over(Window.partitionBy(key).orderBy("start")).alias("nr"), "text")
+def proposals(lines: Column) -> Column:
+    """[text]: list items or paragraphs of the classes of proposals, in order."""
+    return F.transform(F.filter(lines, lambda x: x["tag"].isin("li", "p") & _any(x, PROPOSAL_CLASSES) & (x["text"] != "")), lambda x: x["text"])
 
 
-def sections(lines: DataFrame, key: str = "file") -> DataFrame:
-    """(key, pos, heading, body): headings of the first section division with the paragraphs up to the next; neither list items nor proposals are body text."""
-    top = lines.where(_named("div", "Section1")).groupBy(key).agg(F.min(F.struct("start", "end")).alias("top"))
-    own = lines.join(top, key).where((F.col("start") > F.col("top.start")) & (F.col("end") < F.col("top.end")))
-    own = own.where(F.col("tag").isin("p", *HEADINGS) & ~F.col("in_item") & ~_any(PROPOSAL_CLASSES) & (F.col("text") != ""))
-    own = own.withColumn("heads", F.col("tag").isin(*HEADINGS) | _any(HEADING_CLASSES))
-    nth = F.sum(F.col("heads").cast("int")).over(Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
-    body = F.array_sort(F.collect_list(F.when(~F.col("heads"), F.struct("start", "text"))))
-    out = own.withColumn("pos", nth).where("pos > 0").groupBy(key, "pos").agg(F.max(F.when(F.col("heads"), F.col("text"))).alias("heading"), body.alias("b"))
-    return out.select(key, "pos", "heading", F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("body"))
+def sections(lines: Column) -> Column:
+    """[{heading, body}]: headings of the first section division with the paragraphs up to the next; neither list items nor proposals are body text."""
+    within = lambda x, top: (x["start"] > top["start"]) & (x["end"] < top["end"]) & x["tag"].isin("p", *HEADINGS) & ~x["in_item"] & ~_any(x, PROPOSAL_CLASSES) & (x["text"] != "")
+    own = _with(F.get(F.filter(lines, lambda x: _named(x, "div", "Section1")), 0), lambda top: F.filter(lines, lambda x: within(x, top)))
+    texts = lambda own: F.transform(own, lambda x: x["text"])
+    heads = lambda own: F.array_compact(F.transform(own, lambda x, i: F.when(x["tag"].isin(*HEADINGS) | _any(x, HEADING_CLASSES), i)))
 
+    def cut(x: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(x["heads"], i + 1), F.size(x["texts"]))
+        body = lambda at, i: F.array_join(F.slice(x["texts"], at + 2, end(i) - at - 1), " ")
+        return F.transform(x["heads"], lambda at, i: F.struct(F.get(x["texts"], at).alias("heading"), body(at, i).alias("body")))
 
-def matched(proposals: DataFrame, sections: DataFrame, key: str = "file") -> DataFrame:
-    """(key, nr, match_score, pos): the section that holds the largest share of a proposal's words, the first of equals; pos is null where none shares any.
+    return _with(_with(own, lambda own: F.struct(texts(own).alias("texts"), heads(own).alias("heads"))), cut)
 
-    Words meet words, so pairs are as many as a document's parts share words.
+
+@F.arrow_udf(ArrayType(StructType().add("match_score", DoubleType()).add("pos", IntegerType())))
+def matched(proposals: pa.Array, bodies: pa.Array) -> pa.Array:
+    """[{match_score, pos}] of each proposal: the place of the section whose body holds the largest share of its words, the first of equals; pos is null where none shares any.
+
+    Words meet words of one motion, so pairs are as many as its parts share words.
     """
-    asked = proposals.select(key, "nr", T.match_words(F.col("text")).alias("y"))
-    held = sections.select(key, "pos", F.explode(T.match_words(F.col("body"))).alias("word"))
-    shared = asked.select(key, "nr", F.size("y").alias("n"), F.explode("y").alias("word")).join(held, [key, "word"])
-    best = shared.groupBy(key, "nr", "n", "pos").agg(F.count("*").alias("both")).groupBy(key, "nr", "n").agg(F.max(F.struct("both", (-F.col("pos")).alias("back"))).alias("b"))
-    best = best.select(key, "nr", (F.col("b.both") / F.col("n")).alias("match_score"), (-F.col("b.back")).alias("pos"))
-    return proposals.select(key, "nr").join(best, [key, "nr"], "left").select(key, "nr", F.coalesce("match_score", F.lit(0.0)).alias("match_score"), "pos")
+    known, found = MatchWords(), []
+    for asks, parts in zip(proposals, bodies):
+        places, own = {}, []
+        for n, body in enumerate(parts.as_py()):
+            for word in known.of(body):
+                places.setdefault(word, []).append(n)
+        for words in map(known.of, asks.as_py()):
+            both = Counter(chain.from_iterable(places[word] for word in words if word in places))
+            pos, most = min(both.items(), key=lambda x: (-x[1], x[0]), default=(None, 0))
+            own.append((most / len(words) if most else 0.0, pos))
+        found.append(own)
+    return pa.array(found, pa.list_(pa.struct([("match_score", pa.float64()), ("pos", pa.int32())])))
 
 
 def records(files: DataFrame, key: str = "file", least: float = K.MIN_MATCH) -> DataFrame:
-    """One row a proposal of the motions in files (key, html), with the best section if it holds at least `least` of the proposal's words."""
-    # written: headers, proposals and sections are read off the same rows
-    own = written(lines(files, key), "lines")
-    asks, parts = proposals(own, key), sections(own, key)
-    best = matched(asks, parts, key)
-    out = asks.join(best, [key, "nr"]).join(headers(own, key), key).join(parts, [key, "pos"], "left")
-    good = F.col("match_score") >= least
+    """One row a proposal of the motions in files (key, html), with the best section if it holds at least `least` of the proposal's words. Files meet no other rows."""
+    own = lines(files, key).select(key, header(F.col("lines")).alias("head"), proposals(F.col("lines")).alias("asks"), sections(F.col("lines")).alias("parts"))
+    own = own.withColumn("best", matched("asks", F.transform("parts", lambda s: s["body"])))
+
+    def record(text: Column, i: Column) -> Column:
+        best = F.get("best", i)
+        of = lambda name: F.when(best["match_score"] >= least, F.coalesce(F.get("parts", best["pos"])[name], F.lit(""))).otherwise("")
+        return F.struct(text.alias("text"), of("heading").alias("heading"), of("body").alias("sektion_text"), best["match_score"].alias("match_score"), (i + 1).alias("yrkande_nr"))
+
+    out = own.select(key, "head", F.explode(F.transform("asks", record)).alias("own"))
     return out.select(
-        key, "text", F.when(good, F.col("heading")).otherwise("").alias("heading"), F.when(good, F.col("body")).otherwise("").alias("sektion_text"),
-        "match_score", F.col("nr").alias("yrkande_nr"), "parti", "rm", "beteckning", "doc_title", "forste_undertecknare", "undertecknare",
-        F.lit("motion").alias("layer"), F.concat("rm", F.lit(":"), "beteckning", F.lit(":yrkande:"), F.col("nr").cast("string")).alias("chunk_id"),
+        key, "own.*", "head.parti", "head.rm", "head.beteckning", "head.doc_title", "head.forste_undertecknare", "head.undertecknare",
+        F.lit("motion").alias("layer"), F.concat("head.rm", F.lit(":"), "head.beteckning", F.lit(":yrkande:"), F.col("own.yrkande_nr").cast("string")).alias("chunk_id"),
     )
 
 

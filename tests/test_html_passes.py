@@ -1,7 +1,13 @@
+import random
+
 from pyspark.sql import functions as F
 
+from skrift.functions import text as T
+from skrift.functions.counts import MatchWords
 from skrift.operators import search as S
 from skrift.operators import sections as X
+from skrift.sources import elements as N
+from skrift.sources import motions as M
 from skrift.sources import propositions as B
 
 
@@ -33,3 +39,43 @@ def test_few_hits_go_to_the_passages(spark):
     found = S.met(hits, own)
     assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found) and "Exchange hash" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, 3, 1, "x" * 9), (1, 7, 2, "x" * 9)]
+
+
+def test_motions_are_read_once_without_a_shuffle(spark):
+    rnd = random.Random(8)
+    words = "skog skogen skogarna vargjakt och att havet fiskens x1 12 riksdagen motionen Östersjön ÅKER".split()
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randrange(n)))
+    pages, want = {}, {}
+    for page in range(30):
+        asks, parts = [some(6) for _ in range(rnd.randrange(5))], [[some(9) for _ in range(rnd.randrange(3))] for _ in range(rnd.randrange(6))]
+        section = "".join(f"<h2>Del <b>{n}</b></h2>" + "".join(f"<div><p>{p}</p></div><li><p>skogen havet</p></li><p class='Yrkande'> </p>" for p in part) for n, part in enumerate(parts))
+        pages[page] = f"<span class='a sidhuvud_beteckning'> 2024/25:<i> {page} </i></span>" + "".join(f"<li class=Frslagstext>{a}</li></b>" for a in asks) + f"<div class=Section1><p>{some(9)}</p>{section}</div><h2>Utanför</h2><p>{' '.join(words)}</p>"
+        for nr, ask in enumerate([a for a in asks if a], 1):
+            own, best = MatchWords().of(ask), (0, None)
+            for n, part in enumerate(parts):
+                both = len(own & MatchWords().of(" ".join(part)))
+                best = (both, n) if both > best[0] else best
+            score = best[0] / len(own) if own else 0.0
+            good = best[1] is not None and score >= 0.5
+            want[page, nr] = (ask, score, f"Del {best[1]}" if good else "", " ".join(p for p in parts[best[1]] if p) if good else "", f"2024/25:{page}:yrkande:{nr}")
+    files = spark.createDataFrame([*pages.items(), (99, None), (98, ""), (97, "<![bad<p class='Yrkande'>x</p>")], "file long, html string")
+    found = M.records(files)
+    assert "Exchange" not in plan(found) and plan(found).count("MapInArrow") == 1
+    rows = {(r.file, r.yrkande_nr): (r.text, r.match_score, r.heading, r.sektion_text, r.chunk_id) for r in found.collect()}
+    assert rows == want and len(want) > 20
+
+
+def test_elements_that_are_not_closed_share_their_strings(spark):
+    strings, own = N.page_outline("<ul><li>a<p class='x y'>b<p>c</ul>d" + "<p>e" * 20_000, lambda tag, classes: tag == "p", {"li"})
+    assert strings[:4] == ["a", "b", "c", "d"] and len(strings) == 20_004 and len(own) == 20_002
+    assert [(e[2:]) for e in own[:3]] == [("p", ["x", "y"], True, 2, 2), ("p", [], True, 3, 1), ("p", [], False, 5, 20_000)] and own[-1][5:] == (20_004, 1)
+    rows = N.outlines(spark.createDataFrame([(1, "<p>a"), (2, None), (3, "b")], "id long, html string"), lambda tag, classes: tag == "p").collect()
+    assert [(r.id, r.strings, [e.n for e in r.elements]) for r in rows] == [(1, ["a"], [1]), (2, [], []), (3, ["b"], [])]
+
+
+def test_words_that_match_are_those_of_the_columns(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aåÄÖeErRnas tdiIİK0é-\n") for _ in range(40)) for _ in range(300)] + ["", " ", "Riksdagen ÄR och Skogarnas ERNA lerna"]
+    known = MatchWords()
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.match_words(F.col("text")).alias("w")).collect():
+        assert known.of(r.text) == set(r.w)
