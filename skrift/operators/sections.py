@@ -1,5 +1,6 @@
 """Ordered text structure: paragraphs, headings, section ranges, PDF spans, carried values."""
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -12,13 +13,14 @@ from .. import constants as K
 # Page furniture, hyphenation at line ends, headings of volumes.
 NOISE = r"^(?:Prop\.|Prop\. \d{4}/\d{2}:\d+|\d{4}/\d{2}:\d+|[\d\s,.−\-–+%()]+|(?:Prop\. \d{4}/\d{2}:\d+\s*)?Utgiftsområde \d{1,2})$"
 HYPHEN = r"(?U)(\w)- (?!och\b|eller\b|samt\b|till\b|som\b)([a-zåäö])"
+#: White space as (?U)\s has it.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_NOISE = re.compile(NOISE, re.ASCII)
 
 
 def paragraphs(text: Column) -> Column:
     """Lines folded to paragraphs: a line joins an unfinished one that is long, or if it starts in lower case or follows a comma or dash."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (x != "") & ~x.rlike(NOISE))
-
-    return F.transform(folded(lines), lambda p: F.regexp_replace(p, HYPHEN, "$1$2"))
+    return F.transform(folded(text), lambda p: F.when(p.contains("- "), F.regexp_replace(p, HYPHEN, "$1$2")).otherwise(p))
 
 
 def fold_lines(lines) -> list[str] | None:
@@ -36,9 +38,14 @@ def fold_lines(lines) -> list[str] | None:
     return None if lines is None else done + [" ".join(parts)] * bool(parts)
 
 
-@F.pandas_udf(types.ArrayType(types.StringType()))
-def folded(lines: pd.Series) -> pd.Series:
-    return lines.map(fold_lines, na_action=None)
+def fold_text(text: str | None) -> list[str] | None:
+    """A text's lines, without white space at their ends, page furniture and table cells, folded to paragraphs."""
+    return None if text is None else fold_lines(x for line in text.split("\n") if (x := line.strip(SPACE)) and not _NOISE.match(x))
+
+
+@F.arrow_udf(types.ArrayType(types.StringType()))
+def folded(texts: pa.Array) -> pa.Array:
+    return pa.array([fold_text(text.as_py()) for text in texts], pa.list_(pa.string()))
 
 
 def is_heading(p: Column) -> Column:

@@ -9,20 +9,25 @@ page still gives rows. Strings of scripts, styles and comments are no rows. A pa
 is one row of the tag `#error`.
 """
 
+import re
 from bisect import bisect
+from collections import Counter
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import StructType
+
+from ..operators.sections import SPACE
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MUTE = frozenset(("script", "style", "template"))
 BLOCK = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption footer form h1 h2 h3 h4 h5 h6 head header hr li main nav noscript ol p pre section table tbody td tfoot th thead title tr ul".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Tags that are read without a search for attributes; none of them changes how what follows is read.
+PLAIN, PLAIN_END = re.compile("<(p|b|i|li|td|tr|div|span)>"), re.compile("</(p|b|i|li|td|tr|div|span)>")
 #: Rows after which a batch goes to Spark.
 ROWS = 20_000
 #: block counts the edges of block elements before the row: strings of one number stand in one block.
@@ -83,23 +88,70 @@ def _page_rows(html: str | None) -> list[tuple]:
     return page.done
 
 
-def page_strings(html: str | None) -> list[tuple[bool, str]]:
-    """A page's strings in order, each with whether it stands in a title."""
-    rows = _page_rows(html)
-    titles = sorted((row[0], row[1]) for row in rows if row[3] == "title")
-    found, reach, n = [], -1, 0
-    for start, _, _, tag, _, _, text, _ in rows:
-        if tag == "#text":
-            while n < len(titles) and titles[n][0] < start:
-                reach, n = max(reach, titles[n][1]), n + 1
-            found.append((reach > start, text))
-    return found
+class _Strings(HTMLParser):
+    """A page's strings in order, and the places of those in a title: strings of _Rows, without its rows."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.held, self.muted, self.done, self.titles = [], Counter(), 0, [], []
+
+    def updatepos(self, i, j):
+        return j  # lines are not counted
+
+    def parse_starttag(self, i):
+        plain = PLAIN.match(self.rawdata, i)
+        if plain is None:
+            return super().parse_starttag(i)
+        self.handle_starttag(plain[1], ())
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = PLAIN_END.match(self.rawdata, i)
+        if plain is None or self.cdata_elem is not None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1])
+        return plain.end()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in VOID:
+            self.open.append(tag)
+            self.held[tag] += 1
+            self.muted += tag in MUTE
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if self.held[tag]:
+            last = None
+            while last != tag:
+                last = self.open.pop()
+                self.held[last] -= 1
+                self.muted -= last in MUTE
+
+    def handle_data(self, data):
+        if not self.muted:
+            if self.held["title"]:
+                self.titles.append(len(self.done))
+            self.done.append(data)
+
+
+def page_strings(html: str | None) -> tuple[list[str], list[int]]:
+    """A page's strings in order, and the places of those in a title; a page that cannot be read has none."""
+    page = _Strings()
+    try:
+        page.feed(html or "")
+        page.close()
+    except Exception:  # noqa: BLE001 - as in _page_rows
+        return [], []
+    return page.done, page.titles
 
 
-@F.pandas_udf(ArrayType(StructType().add("title", BooleanType()).add("text", StringType())))
-def strings_of(html: pd.Series) -> pd.Series:
-    """All strings of a page as one value: what needs no other elements is read without rows, so nothing is shuffled. No page has none."""
-    return html.map(lambda x: [] if x is None else [{"title": t, "text": s} for t, s in page_strings(x)], na_action=None)
+def page_text(html: str | None) -> tuple[str, str]:
+    """(title, text) of a page: a line for each string, without white space at its ends."""
+    strings, titles = page_strings(html)
+    own = [string.strip(SPACE) for string in strings]
+    return " ".join(own[i] for i in titles if own[i]), "\n" + "\n".join(filter(None, own)) + "\n"
 
 
 def page_outline(html: str | None, wanted, outer) -> tuple[list[str], list[tuple]]:

@@ -1,17 +1,21 @@
 """Government bills: HTML exports of PDF pages to one record a topic of a policy section.
 
-HTML becomes a page's strings, and these (title, text of lines); everything after
-that is column expressions: header fields by patterns, sections as an array of places
-and titles, bodies cut out of the text, topics by sections.topic_records' rule.
+HTML becomes (title, text of lines) in Arrow batches that are bounded by bytes, as a
+page may be large; everything after that is column expressions: header fields by
+patterns, sections as an array of places and titles, bodies cut out of the text,
+topics by sections.topic_records' rule.
 """
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import sections as X
-from ..tables import written
-from .elements import strings_of
+from ..tables import byte_batches, written
+from .elements import page_text
 from .motions import html_files
 
 # Names and patterns of the documents.
@@ -19,8 +23,8 @@ GOVERNMENT = "M;KD;L"
 PREVIOUS_PM = "Magdalena Andersson"
 BILL = r"Regeringens proposition (\d{4}/\d{2}):(\d+)"
 DATE = r"(?U)Stockholm den (\d{1,2} \w+ \d{4})"
-SUMMARY = r"(?s)\nPropositionens huvudsakliga innehåll\n(.*?)\nInnehållsförteckning\n"
-SUMMARY_TITLE = "Propositionens huvudsakliga innehåll"
+SUMMARY_TITLE, CONTENTS_TITLE = "Propositionens huvudsakliga innehåll", "Innehållsförteckning"
+SUMMARY = rf"(?s)\n{SUMMARY_TITLE}\n(.*?)\n{CONTENTS_TITLE}\n"
 POLICY_HEADING = r"\n(\d\.\d)\n([A-ZÅÄÖ][^\n.]{3,90})\n"
 POLICY_TITLE = r"^(Reformer|Politiska utgångspunkter)"
 AREA_FILE = r"031d\d+\.html$"
@@ -34,37 +38,51 @@ PROPOSAL_BOX = (
 )
 #: Characters at the start in which a bill names itself, and an area volume its area.
 HEAD, AREA_HEAD = 5000, 400
+#: Characters after which a batch of texts goes to Spark.
+CHARS = 1 << 21
+_BILL = re.compile(BILL, re.ASCII)
+
+
+def enough(text: str) -> bool:
+    """Whether a text that may be cut names a bill that is no budget, and has its whole summary."""
+    number = _BILL.search(text[:HEAD])
+    at = text.find(f"\n{SUMMARY_TITLE}\n")
+    return number is not None and number[2] not in ("1", "100") and at >= 0 and text.find(f"\n{CONTENTS_TITLE}\n", at + len(SUMMARY_TITLE) + 2) >= 0
 
 
-def _lines(strings: Column) -> Column:
-    """{title, text} of a page's strings: a line for each, without white space at its ends."""
-    own = F.transform(strings, lambda x: F.struct(x["title"].alias("title"), F.regexp_replace(x["text"], r"(?U)^\s+|\s+$", "").alias("line")))
-    own = F.filter(own, lambda x: x["line"] != "")
-    of = lambda rows, by: F.array_join(F.transform(rows, lambda x: x["line"]), by)
-    return F.struct(of(F.filter(own, lambda x: x["title"]), " ").alias("title"), F.concat(F.lit("\n"), of(own, "\n"), F.lit("\n")).alias("text"))
+def _texts(limit: int):
+    """For mapInArrow over (file, cut, html): see texts."""
 
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for file, cut, html in zip(*batch.columns):
+                head = page_text(html.as_py()[:limit]) if cut.as_py() and html.is_valid else None
+                own = head if head and enough(head[1]) else page_text(html.as_py())
+                rows.append((file.as_py(), *own, own is not head))
+                size += len(own[1])
+                if size >= CHARS:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
 
-def lines(files: DataFrame) -> DataFrame:
-    """(file, title, text) of (file, html): a line for each string, without white space at its ends."""
-    return files.select("file", _lines(strings_of("html")).alias("own")).select("file", "own.title", "own.text")
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["file", "title", "text", "whole"])
+
+    return run
 
 
 def texts(files: DataFrame, limit: int = K.HEAD_CHARS) -> DataFrame:
-    """(file, title, text, whole) of (file, html), in two passes over a row, so files meet no other rows.
+    """(file, title, text, whole) of (file, html), where a file meets no other rows.
 
-    The first parses `limit` characters of each file that is no volume of an
-    area. What it lacks goes through the second whole: volumes, budgets, bills
-    whose number or summary is not in the first part.
+    `limit` characters are parsed of each file that is no volume of an area.
+    What they lack is parsed whole: volumes, budgets, bills whose number or
+    summary is not in the first part.
     """
-    volume = F.col("file").rlike(AREA_FILE)
-    head = files.select("file", "html", _lines(strings_of(F.when(~volume, F.left("html", F.lit(limit))))).alias("head"))
-    text = F.col("head.text")
-    number = F.regexp_extract(F.left(text, F.lit(HEAD)), BILL, 2)
-    enough = ~volume & (number != "") & ~number.isin("1", "100") & text.rlike(SUMMARY)
-    head = head.withColumn("whole", ~F.coalesce(enough, F.lit(False)))
-    both = head.select("file", "whole", "head", _lines(strings_of(F.when(F.col("whole"), F.col("html")))).alias("all"))
-    own = F.when(F.col("whole"), F.col("all")).otherwise(F.col("head"))
-    return both.select("file", own["title"].alias("title"), own["text"].alias("text"), "whole")
+    byte_batches(files.sparkSession)
+    return files.select("file", (~F.col("file").rlike(AREA_FILE)).alias("cut"), "html").mapInArrow(_texts(limit), "file string, title string, text string, whole boolean")
 
 
 def headings(text: Column, pattern: str) -> Column:
@@ -134,25 +152,27 @@ def documents(read: DataFrame) -> DataFrame:
 
 def records(read: DataFrame, least: int = K.MIN_CHARS) -> DataFrame:
     """One row a topic of read files (file, title, text); of files with the same key and any record, the first by name counts."""
-    # written: bills, sections and fields are read off the same texts, which are parsed and searched once
-    docs = written(documents(read), "bills")
-    bills = docs.where("kind = 'bill'").select("file", F.regexp_extract("text", SUMMARY, 1).alias("summary"), F.col("text").rlike(SUMMARY).alias("has")).where("has")
-    whole = F.array_join(X.paragraphs(F.col("summary")), "\n\n")
-    summaries = bills.select("file", F.lit(0).alias("nth"), F.lit(0).alias("group"), F.lit(SUMMARY_TITLE).alias("heading"), whole.alias("text"))
+    byte_batches(read.sparkSession)
+    own = documents(read)
+    summary = F.when((F.col("kind") == "bill") & F.col("text").rlike(SUMMARY), F.regexp_extract("text", SUMMARY, 1))
+    own = own.withColumn("summary", F.array_join(X.paragraphs(summary), "\n\n"))
+    # written: bills, sections and fields are read off the same texts, which are parsed and searched once; of a bill only its summary is
+    docs = written(own.withColumn("text", F.when(F.col("kind") != "bill", F.col("text"))), "bills")
+    fields = ["file", "rm", "beteckning", "area", "doc_title", "parti", "datum", "key"]
+    bills = docs.where("summary IS NOT NULL").select(*fields, F.lit(0).alias("nth"), F.lit(0).alias("group"), F.lit(SUMMARY_TITLE).alias("heading"), F.col("summary").alias("text"))
     policy = policy_sections(docs.where("kind = 'budget'").select("file", "text", (F.col("beteckning") == "1").alias("budget")))
     area = area_sections(docs.where("kind = 'area'").select("file", "text"))
     named = F.when((F.col("of") == "area") & (F.col("heading") != F.col("section")), F.concat("section", F.lit(" – "), "heading")).otherwise(F.col("heading"))
     both = policy.withColumn("of", F.lit("budget")).unionByName(area.withColumn("of", F.lit("area")))
     topics = X.grouped_topics(both, ["file", "nth", "of"], least).select("file", "nth", "group", named.alias("heading"), "text")
-    # texts of whole files stay behind: fields and records are joined by file
-    fields = docs.select("file", "rm", "beteckning", "area", "doc_title", "parti", "datum", "key")
-    out = fields.join(summaries.unionByName(topics), "file")
-    first = Window.partitionBy("key")
-    out = out.withColumn("first", F.min("file").over(first)).where(F.col("file") == F.col("first"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("nth", "group")) - 1
+    # texts of whole files stay behind: the few budgets' fields and records are joined by file
+    out = bills.unionByName(docs.where("kind <> 'bill'").select(*fields).join(topics, "file"))
+    # rows of a key's first file come first, so one order finds and numbers them
+    ordered = Window.partitionBy("key").orderBy("file", "nth", "group")
+    out = out.select("*", F.first("file").over(ordered).alias("first"), (F.row_number().over(ordered) - 1).alias("at")).where(F.col("file") == F.col("first"))
     prefix = F.concat(F.lit("prop:"), "rm", F.lit(":"), "beteckning", F.lit(":"), F.when(F.col("area").isNotNull(), F.concat(F.lit("uo"), "area", F.lit(":"))).otherwise(""))
     name = F.element_at(F.split("file", "/"), -1)
-    return out.select("rm", "beteckning", "doc_title", "parti", "datum", name.alias("file"), "heading", "text", F.concat(prefix, nth.cast("string")).alias("chunk_id"))
+    return out.select("rm", "beteckning", "doc_title", "parti", "datum", name.alias("file"), "heading", "text", F.concat(prefix, F.col("at").cast("string")).alias("chunk_id"))
 
 
 def build(spark: SparkSession, folder: str, path: str) -> DataFrame:

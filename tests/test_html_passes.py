@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skrift.functions import text as T
@@ -9,6 +10,7 @@ from skrift.operators import sections as X
 from skrift.sources import elements as N
 from skrift.sources import motions as M
 from skrift.sources import propositions as B
+from skrift.tables import BATCH_BYTES
 
 
 def plan(df):
@@ -79,3 +81,53 @@ def test_words_that_match_are_those_of_the_columns(spark):
     known = MatchWords()
     for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.match_words(F.col("text")).alias("w")).collect():
         assert known.of(r.text) == set(r.w)
+
+
+def test_pages_meet_python_in_batches_that_are_bounded_by_bytes(spark):
+    held = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        page = "<p>Regeringens proposition 2023/24:9</p><p>Propositionens huvudsakliga innehåll</p>" + "<p>rad</p>" * 1000 + "<p>" + "x" * 400_000
+        files = spark.range(0, 40, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(".html")).alias("file"), F.concat(F.lit(page), F.col("id").cast("string")).alias("html"))
+        read = B.texts(files).select("file", F.length("text").alias("n"))
+        sizes = files.mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+        assert sum(r.n for r in sizes) == 40 and max(r["size"] for r in sizes) < 6_000_000
+        assert read.agg(F.count("*"), F.countDistinct("file"), F.min("n")).first()[:] == (40, 40, 404_074)
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+        if held:
+            spark.conf.set(BATCH_BYTES, held)
+    whole = pa.record_batch({"file": [str(n) for n in range(40)], "cut": [False] * 40, "html": [page] * 40})
+    back = list(B._texts(100)([whole]))
+    assert sum(b.num_rows for b in back) == 40 and max(b.nbytes for b in back) < 2 * B.CHARS + 2 * len(page)
+
+
+def test_strings_are_those_of_the_rows():
+    rnd = random.Random(4)
+    bits = ["<p>", "</p>", "<P>", "<p", "<b>x", "</b>", "<title>", "</title>", "<title/>", "<script>", "</script>", "<style>p {} ", "</style>", "<template>", "</template>", "<br>", "</br>", "<br/>", "<p/>", "<p class='a>b'>"]
+    bits += ["&amp;", "&lt", "&", " text ", "\x1f\n", "<!-- c", "-->", "<![bad", "<!doctype x>", "<?pi>", "</>", "</ p>", "<", ">", "<div>", "</div >", "<li>", "</span>", "<textarea>", "<p>>"]
+    for _ in range(3000):
+        html = "".join(rnd.choice(bits) for _ in range(rnd.randrange(30)))
+        rows = sorted(N._page_rows(html), key=lambda row: row[0])
+        titles = [row for row in rows if row[3] == "title"]
+        texts = [row for row in rows if row[3] == "#text"]
+        want = [row[6] for row in texts], [i for i, row in enumerate(texts) if any(t[0] < row[0] < t[1] for t in titles)]
+        assert N.page_strings(html) == want, html
+
+
+def test_lines_are_stripped_as_by_the_columns(spark):
+    rnd = random.Random(5)
+    bits = [*X.SPACE, "\x1c", "\x1f", "\u180e", "\u200b", "\ufeff", "a", "B", "12", "٣", "−", "%", "Prop.", "Prop. 2023/24:1", "Utgiftsområde 9", "av- ", ".", ",", "\n"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(25))) for _ in range(2000)]
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (x != "") & ~x.rlike(X.NOISE))
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", lines.alias("lines"), X.folded(F.col("text")).alias("own"), X.paragraphs(F.col("text")).alias("p")).collect():
+        assert r.own == X.fold_lines(r.lines) and len(r.p) == len(r.own)
+
+
+def test_files_of_one_bill_count_once(spark):
+    page = "<title>{}</title><p>Regeringens proposition 2023/24:{}</p><p>Propositionens huvudsakliga innehåll</p><p>{}</p><p>Innehållsförteckning</p><p>1</p>"
+    budget = "<p>1.{n}</p><p>Reformer nu</p><p>" + "Skatten sänks för alla. " * 9 + "</p>"
+    files = [("c.html", page.format("C", 7, "tredje")), ("b.html", page.format("B", 7, "andra")), ("a.html", "<p>Regeringens proposition 2023/24:7</p>"), ("e.html", page.format("E", 1, "x") + budget.format(n=2) + budget.format(n=3)), ("f.html", page.format("F", 1, "x") + budget.format(n=2)), ("d.html", page.format("D", 8, "12"))]
+    rows = sorted((r.chunk_id, r.file, r.doc_title, r.heading, r.text[:7]) for r in B.records(B.texts(spark.createDataFrame(files, "file string, html string"))).collect())
+    of = "Propositionens huvudsakliga innehåll"
+    assert rows == [("prop:2023/24:1:0", "e.html", "E", "Reformer nu", "Skatten"), ("prop:2023/24:1:1", "e.html", "E", "Reformer nu", "Skatten"), ("prop:2023/24:7:0", "b.html", "B", of, "andra"), ("prop:2023/24:8:0", "d.html", "D", of, "")]
