@@ -20,7 +20,12 @@ _NOISE = re.compile(NOISE, re.ASCII)
 
 def paragraphs(text: Column) -> Column:
     """Lines folded to paragraphs: a line joins an unfinished one that is long, or if it starts in lower case or follows a comma or dash."""
-    return F.transform(folded(text), lambda p: F.when(p.contains("- "), F.regexp_replace(p, HYPHEN, "$1$2")).otherwise(p))
+    return unhyphened(folded(text))
+
+
+def unhyphened(paragraphs: Column) -> Column:
+    """Paragraphs without hyphens of line ends, unless these stand for a shared ending."""
+    return F.transform(paragraphs, lambda p: F.when(p.contains("- "), F.regexp_replace(p, HYPHEN, "$1$2")).otherwise(p))
 
 
 def fold_lines(lines) -> list[str] | None:

@@ -24,7 +24,6 @@ PREVIOUS_PM = "Magdalena Andersson"
 BILL = r"Regeringens proposition (\d{4}/\d{2}):(\d+)"
 DATE = r"(?U)Stockholm den (\d{1,2} \w+ \d{4})"
 SUMMARY_TITLE, CONTENTS_TITLE = "Propositionens huvudsakliga innehåll", "Innehållsförteckning"
-SUMMARY = rf"(?s)\n{SUMMARY_TITLE}\n(.*?)\n{CONTENTS_TITLE}\n"
 POLICY_HEADING = r"\n(\d\.\d)\n([A-ZÅÄÖ][^\n.]{3,90})\n"
 POLICY_TITLE = r"^(Reformer|Politiska utgångspunkter)"
 AREA_FILE = r"031d\d+\.html$"
@@ -43,11 +42,18 @@ CHARS = 1 << 21
 _BILL = re.compile(BILL, re.ASCII)
 
 
+def summary_of(text: str) -> str | None:
+    """What stands between the titles of the summary and of the contents."""
+    start, end = f"\n{SUMMARY_TITLE}\n", f"\n{CONTENTS_TITLE}\n"
+    at = text.find(start)
+    to = text.find(end, at + len(start))
+    return text[at + len(start) : to] if at >= 0 and to >= 0 else None
+
+
 def enough(text: str) -> bool:
     """Whether a text that may be cut names a bill that is no budget, and has its whole summary."""
     number = _BILL.search(text[:HEAD])
-    at = text.find(f"\n{SUMMARY_TITLE}\n")
-    return number is not None and number[2] not in ("1", "100") and at >= 0 and text.find(f"\n{CONTENTS_TITLE}\n", at + len(SUMMARY_TITLE) + 2) >= 0
+    return number is not None and number[2] not in ("1", "100") and summary_of(text) is not None
 
 
 def _texts(limit: int):
@@ -59,7 +65,7 @@ def _texts(limit: int):
             for file, cut, html in zip(*batch.columns):
                 head = page_text(html.as_py()[:limit]) if cut.as_py() and html.is_valid else None
                 own = head if head and enough(head[1]) else page_text(html.as_py())
-                rows.append((file.as_py(), *own, own is not head))
+                rows.append((file.as_py(), *own, own is not head, X.fold_text(summary_of(own[1]))))
                 size += len(own[1])
                 if size >= CHARS:
                     yield out(rows)
@@ -68,21 +74,21 @@ def _texts(limit: int):
                 yield out(rows)
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["file", "title", "text", "whole"])
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["file", "title", "text", "whole", "summary"])
 
     return run
 
 
 def texts(files: DataFrame, limit: int = K.HEAD_CHARS) -> DataFrame:
-    """(file, title, text, whole) of (file, html), where a file meets no other rows.
+    """(file, title, text, whole, summary) of (file, html), where a file meets no other rows; the summary, if there is one, as paragraphs with their hyphens.
 
     `limit` characters are parsed of each file that is no volume of an area.
     What they lack is parsed whole: volumes, budgets, bills whose number or
     summary is not in the first part.
     """
     byte_batches(files.sparkSession)
-    return files.select("file", (~F.col("file").rlike(AREA_FILE)).alias("cut"), "html").mapInArrow(_texts(limit), "file string, title string, text string, whole boolean")
+    return files.select("file", (~F.col("file").rlike(AREA_FILE)).alias("cut"), "html").mapInArrow(_texts(limit), "file string, title string, text string, whole boolean, summary array<string>")
 
 
 def headings(text: Column, pattern: str) -> Column:
@@ -130,7 +136,7 @@ def area_sections(docs: DataFrame) -> DataFrame:
 
 
 def documents(read: DataFrame) -> DataFrame:
-    """Header fields of read files (file, title, text): kind is bill, budget or area; files that name no bill, tests and those of the previous government go."""
+    """Header fields of read files (see texts): kind is bill, budget or area; files that name no bill, tests and those of the previous government go."""
     head, area_head = F.left("text", F.lit(HEAD)), F.left("text", F.lit(AREA_HEAD))
     found = lambda t, p, n=1: F.nullif(F.regexp_extract(t, p, n), F.lit(""))
     volume = F.col("file").rlike(AREA_FILE)
@@ -138,11 +144,11 @@ def documents(read: DataFrame) -> DataFrame:
     number = F.when(volume, F.lit("1")).otherwise(found(head, BILL, 2))
     area, name = found(area_head, AREA), F.trim(F.regexp_extract(area_head, AREA, 2))
     year = (F.left("rm", F.lit(4)).cast("int") + 1).cast("string")
-    own = read.select("file", "title", "text", rm.alias("rm"), number.alias("beteckning"), F.when(volume, area).alias("area"), F.when(volume, name).alias("area_name"), volume.alias("volume"))
+    own = read.select("file", "title", "text", "summary", rm.alias("rm"), number.alias("beteckning"), F.when(volume, area).alias("area"), F.when(volume, name).alias("area_name"), volume.alias("volume"))
     own = own.where(F.col("rm").isNotNull() & (~F.col("volume") | F.col("area").isNotNull()) & ~F.col("title").startswith("TEST"))
     own = own.where(F.col("volume") | ~F.left("text", F.lit(HEAD)).contains(PREVIOUS_PM))
     return own.select(
-        "file", "text", "rm", "beteckning", "area",
+        "file", "text", "summary", "rm", "beteckning", "area",
         F.when(F.col("volume"), "area").when(F.col("beteckning").isin("1", "100"), "budget").otherwise("bill").alias("kind"),
         F.when(F.col("volume"), F.concat(F.lit("Budgetpropositionen för "), year, F.lit(", utgiftsområde "), "area", F.lit(" "), "area_name")).otherwise(F.col("title")).alias("doc_title"),
         F.lit(GOVERNMENT).alias("parti"), F.regexp_extract("text", DATE, 1).alias("datum"),
@@ -151,11 +157,10 @@ def documents(read: DataFrame) -> DataFrame:
 
 
 def records(read: DataFrame, least: int = K.MIN_CHARS) -> DataFrame:
-    """One row a topic of read files (file, title, text); of files with the same key and any record, the first by name counts."""
+    """One row a topic of read files (see texts); of files with the same key and any record, the first by name counts."""
     byte_batches(read.sparkSession)
     own = documents(read)
-    summary = F.when((F.col("kind") == "bill") & F.col("text").rlike(SUMMARY), F.regexp_extract("text", SUMMARY, 1))
-    own = own.withColumn("summary", F.array_join(X.paragraphs(summary), "\n\n"))
+    own = own.withColumn("summary", F.when(F.col("kind") == "bill", F.array_join(X.unhyphened(F.col("summary")), "\n\n")))
     # written: bills, sections and fields are read off the same texts, which are parsed and searched once; of a bill only its summary is
     docs = written(own.withColumn("text", F.when(F.col("kind") != "bill", F.col("text"))), "bills")
     fields = ["file", "rm", "beteckning", "area", "doc_title", "parti", "datum", "key"]
