@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import sections as X
+from ..operators.sections import fold_text  # goes to the workers, as the module's UDFs can't
 from ..tables import byte_batches, written
 from .elements import page_text
 from .motions import html_files
@@ -65,7 +66,7 @@ def _texts(limit: int):
             for file, cut, html in zip(*batch.columns):
                 head = page_text(html.as_py()[:limit]) if cut.as_py() and html.is_valid else None
                 own = head if head and enough(head[1]) else page_text(html.as_py())
-                rows.append((file.as_py(), *own, own is not head, X.fold_text(summary_of(own[1]))))
+                rows.append((file.as_py(), *own, own is not head, fold_text(summary_of(own[1]))))
                 size += len(own[1])
                 if size >= CHARS:
                     yield out(rows)
